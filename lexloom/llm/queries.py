@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
 from lexloom.llm.decontaminate import find_contamination
+from lexloom.llm.pii import KINDS, describe, find_pii
 from lexloom.llm.quality_rules import BOILERPLATE, MENU, SENTENCE_END, SEPARATORS, SHOUTING
 from lexloom.llm.quality_rules import judge as judge_quality
 from lexloom.llm.url_filter import filter_urls
@@ -36,10 +37,17 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("pii_base", lambda x: x["k"] == k)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(describe(F.col("pii_base")), 256).alias("base_sha256"), describe(F.col("pii_spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op7_winnowing": op7_winnowing,
+    "op9_pii": op9_pii,
 }
 
 _S = r"\x20\x09-\x0D"
