@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import table
 from lexloom.llm.decontaminate import find_contamination
 from lexloom.llm.pii import KINDS, describe, find_pii
+from lexloom.llm import quality_model
 from lexloom.llm.quality_rules import BOILERPLATE, MENU, SENTENCE_END, SEPARATORS, SHOUTING
 from lexloom.llm.quality_rules import judge as judge_quality
+from lexloom.llm.simhash import near_duplicates
 from lexloom.llm.url_filter import filter_urls
 
 URL_RULES = [
@@ -23,6 +25,12 @@ URL_RULES = [
 ]
 
 
+def op1_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_model.train(documents, table(spark, sf_dir, "labels"))
+    return quality_model.score(documents, model, threshold=0.7)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -32,6 +40,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -44,8 +56,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_additive_model": op1_additive_model,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
+    "op6_simhash": op6_simhash,
     "op7_winnowing": op7_winnowing,
     "op9_pii": op9_pii,
 }
