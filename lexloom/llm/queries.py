@@ -14,8 +14,22 @@ from lexloom.llm import quality_model
 from lexloom.llm.quality_rules import BOILERPLATE, MENU, SENTENCE_END, SEPARATORS, SHOUTING
 from lexloom.llm.quality_rules import judge as judge_quality
 from lexloom.llm.simhash import near_duplicates
+from lexloom.llm.token_file import read_token_files, write_token_files
 from lexloom.llm.url_filter import filter_urls
 
+#: Vocabulary files of the tokenizers; the folder is a parameter of the queries, nothing is copied.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
+    """Path of a vocabulary file: of the installed package of public vocabularies, or in the folder given."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{folder}/{name}"
+    return public_tokenizers.path(name)
+
+
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -31,6 +45,11 @@ def op1_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(documents, model, threshold=0.7)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(files)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -57,6 +76,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_model": op1_additive_model,
+    "op2_token_files": op2_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
