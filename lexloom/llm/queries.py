@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
 from lexloom.llm.decontaminate import find_contamination
+from lexloom.llm.packing import pack_documents
 from lexloom.llm.pii import KINDS, describe, find_pii
 from lexloom.llm import quality_model
 from lexloom.llm.quality_rules import BOILERPLATE, MENU, SENTENCE_END, SEPARATORS, SHOUTING
@@ -74,6 +75,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(describe(F.col("pii_base")), 256).alias("base_sha256"), describe(F.col("pii_spans")).alias("spans"))
 
 
+def op10_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_model": op1_additive_model,
     "op2_token_files": op2_token_files,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_winnowing": op7_winnowing,
     "op9_pii": op9_pii,
+    "op10_island_packing": op10_island_packing,
 }
 
 _S = r"\x20\x09-\x0D"
