@@ -17,6 +17,7 @@ from lexloom.llm.quality_rules import judge as judge_quality
 from lexloom.llm.simhash import near_duplicates
 from lexloom.llm.token_file import read_token_files, write_token_files
 from lexloom.llm.url_filter import filter_urls
+from lexloom.llm.warc_zip import read_packages, write_packages
 
 #: Vocabulary files of the tokenizers; the folder is a parameter of the queries, nothing is copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -69,6 +70,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packages(write_packages(table(spark, sf_dir, "pages")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("pii_base", lambda x: x["k"] == k)).cast("long")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
     "op7_winnowing": op7_winnowing,
+    "op8_warc_zip": op8_warc_zip,
     "op9_pii": op9_pii,
     "op10_island_packing": op10_island_packing,
 }
