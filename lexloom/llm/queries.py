@@ -15,6 +15,7 @@ from lexloom.llm import quality_model
 from lexloom.llm.quality_rules import BOILERPLATE, MENU, SENTENCE_END, SEPARATORS, SHOUTING
 from lexloom.llm.quality_rules import judge as judge_quality
 from lexloom.llm.simhash import near_duplicates
+from lexloom.llm.suffix_dedup import remove_repeats
 from lexloom.llm.token_file import read_token_files, write_token_files
 from lexloom.llm.url_filter import filter_urls
 from lexloom.llm.warc_zip import read_packages, write_packages
@@ -52,6 +53,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files)
 
 
+def op3_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -87,6 +92,7 @@ def op10_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_model": op1_additive_model,
     "op2_token_files": op2_token_files,
+    "op3_interval_expansion": op3_interval_expansion,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
