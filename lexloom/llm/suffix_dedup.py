@@ -41,11 +41,13 @@ LENGTH = 100
 SEED = 20
 #: Characters of text that a map task takes at a time.
 BATCH_CHARS = 3_000_000
+#: Windows whose seeds are found at a time: arrays of 2 MB.
+CHUNK = 1 << 18
 #: Bytes of text per bucket of texts and per bucket of seeds.
 TEXT_BUCKET = 8 << 20
 SEED_BUCKET = 6 << 20
 #: Bytes whose suffixes are sorted together, as a rule and at most.
-SORTED, MAX_SORTED = 1 << 20, 8 << 20
+SORTED, MAX_SORTED = 1 << 20, 4 << 20
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x9E3779B97F4A7C15
@@ -88,13 +90,8 @@ def _dealt(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes
         yield int(bucket[own[0]]), _columns(*[a[own] for a in arrays])
 
 
-def find_seeds(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, lo, hi): the runs lo..hi of windows with the same seed, over texts joined in raw that end at `ends`."""
-    n, none = len(raw), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    starts = np.concatenate(([0], ends[:-1]))
-    long = ends - starts >= length
-    if not long.any():
-        return none
+def _seed_of_windows(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the k bytes from each place, and for each window the place of its seed."""
     base = lambda m: np.uint64(pow(_BASE, m, 1 << 64))
     powers, m = {1: _TABLE[raw]}, 1
     while 2 * m <= k:
@@ -115,15 +112,30 @@ def find_seeds(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
         span *= 2
     if span < want:
         least = np.minimum(least[: len(least) - (want - span)], least[want - span :])
-    seed = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.zeros(n + 1, np.int8)
+    return h, (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def find_seeds(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = SEED, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, lo, hi): the runs lo..hi of windows with the same seed, over texts joined in raw that end at `ends`.
+
+    Works through `chunk` window starts at a time, whatever the length of a text.
+    """
+    starts = np.concatenate(([0], ends[:-1]))
+    long = ends - starts >= length
+    inside = np.zeros(len(raw) + 1, np.int8)
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - length + 1, -1)
-    p = np.flatnonzero(np.cumsum(inside[: len(seed)], dtype=np.int8))
-    s = seed[p]
-    cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(s) != 0)) + 1
-    first = np.concatenate(([0], cut))
-    return h[s[first]], p[first], p[np.concatenate((cut - 1, [len(p) - 1]))]
+    inside, out = np.cumsum(inside, dtype=np.int8), [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a in range(0, len(raw), chunk):
+        p = np.flatnonzero(inside[a : a + chunk])
+        if not len(p):
+            continue
+        h, seed = _seed_of_windows(raw[a : a + chunk + length - 1], length, k)
+        s = seed[p]
+        cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(s) != 0)) + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(p) - 1]))
+        out.append((h[s[first]], p[first] + a, p[last] + a))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
