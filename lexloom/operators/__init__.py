@@ -1,0 +1 @@
+"""Operators, DataFrames in and out: pages, segments, vectors, fusion, context, registry, events."""

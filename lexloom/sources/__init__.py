@@ -1,0 +1 @@
+"""Sources and sinks: uploads, tables, JSONL, vector collections, event feeds, settings, model connectors."""
