@@ -13,14 +13,17 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker keeps at most; then it starts anew. About 200 bytes each.
-KEPT_PIECES = 600_000
+#: Pieces after which a worker starts a new table and keeps of the old one what it still meets. About 200 bytes each.
+KEPT_PIECES = 700_000
 
 #: White space besides the blank and the newline.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SIGN_SET = frozenset(_SIGNS)
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -38,16 +41,40 @@ class PieceEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
+        # a newline stands alone between words; where white space is dropped, a control sign between blanks does
+        self.mark, self.joint = ("\n", "\n") if self.leading else ("\x01", " \x01 ")
+        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else -1
+        self.lowers = self.tokenizer.encode("AÀ", add_special_tokens=False).ids == self.tokenizer.encode("aà", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, many in one text: the mark between them is a token of its own that no piece holds."""
+        if len(pieces) < 2 or any(self.mark in p for p in pieces) or (not self.leading and any(not p or p.isspace() for p in pieces)):
+            return self._ids(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(ids == self.mark_id)
+        if len(ends) != len(pieces) - 1:  # a vocabulary in which the mark merges
+            return self._ids(pieces)
+        data, w = ids.tobytes(), self.kind.itemsize
+        starts, ends = [0, *((ends + 1) * w).tolist()], [*(ends * w).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
+
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces that are encoded alone; None if the text must stay whole."""
         if any(s in text for s in self.special):
             return None
         if not self.leading:
+            if self.lowers:
+                try:
+                    text.encode("latin-1")
+                    text = text.lower()  # here NFC changes nothing and each letter is lowered alone, as the tokenizer does
+                except UnicodeEncodeError:
+                    pass
             return text.replace("\n", " ").split(" ")
         if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or _OTHER_SPACE.search(text):
             return None
@@ -55,24 +82,47 @@ class PieceEncoder:
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def _learn(self, new: set[str]) -> None:
-        """Adds pieces to those known. A letter and a full stop or comma never merge, so `word.` is `word` and `.`."""
-        known, ended = self.known, [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha() and p[-2] < "\u0530"]
-        new.difference_update(ended)
-        new |= {x for p in ended for x in (p[:-1], p[-1])}.difference(known)
+        """Adds pieces to those known. Letters and ASCII signs after them never merge, so `word.` is `word` and `.`."""
+        known = self.known
+        cores = [(p, p.rstrip(_SIGNS)) for p in new if p[-1:] in _SIGN_SET]
+        ended = [(p, core, p[len(core) :]) for p, core in cores if core[-1:].isalpha() and core[-1] < "\u0530"]
+        new.difference_update(p for p, _, _ in ended)
+        new |= {x for _, *parts in ended for x in parts}.difference(known)
+        if not self.leading:
+            known[""] = b""
+            new.discard("")
         todo = list(new)
-        for a in range(0, len(todo), 20_000):
-            known.update(zip(todo[a : a + 20_000], self._ids(todo[a : a + 20_000]), strict=True))
-        for p in ended:
-            known[p] = known[p[:-1]] + known[p[-1]]
+        plain = [p for p in todo if self.mark not in p]
+        if len(plain) < len(todo):
+            odd = [p for p in todo if self.mark in p]
+            known.update(zip(odd, self._ids(odd), strict=True))
+        for a in range(0, len(plain), 2000):
+            known.update(zip(plain[a : a + 2000], self._piece_ids(plain[a : a + 2000]), strict=True))
+        for p, core, signs in ended:
+            known[p] = known[core] + known[signs]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [self._pieces(t) if t else [] for t in texts]
         texts = list(texts)
+        cut = [self._pieces(t) if t else [] for t in texts]
         if len(self.known) > KEPT_PIECES:
-            self.known = {}
+            self.known, self.older = {}, self.known
         known = self.known
-        self._learn({p for pieces in cut if pieces for p in pieces}.difference(known))
-        return [self._ids([t])[0] if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+        flat = list(chain.from_iterable(p for p in cut if p))
+        ids = list(map(known.get, flat))
+        at = [i for i, x in enumerate(ids) if x is None]
+        if at:
+            new = {flat[i] for i in at}
+            again = [p for p in new if p in self.older]  # pieces that are used again move on, the others go
+            known.update((p, self.older[p]) for p in again)
+            self._learn(new.difference(again))
+            for i in at:
+                ids[i] = known[flat[i]]
+        out, a = [], 0
+        for t, pieces in zip(texts, cut, strict=True):
+            n = len(pieces or ())
+            out.append(self._ids([t])[0] if pieces is None else b"".join(ids[a : a + n]))
+            a += n
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
