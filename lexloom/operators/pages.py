@@ -50,7 +50,7 @@ def union_area(boxes: Column) -> Column:
 def image_coverage(boxes: Column, width: Column, height: Column) -> Column:
     """Part of the page that images cover, each place once; at most 1, 0 without a page."""
     area = width * height
-    covered = _bind(clip_boxes(boxes, width, height), union_area)
+    covered = F.coalesce(_bind(clip_boxes(boxes, width, height), union_area), F.lit(0.0))
     return F.when(area > 0, F.least(F.lit(1.0), covered / area)).otherwise(0.0)
 
 

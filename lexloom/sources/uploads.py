@@ -12,11 +12,11 @@ from lexloom.functions import document_id, is_pdf
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, document_id, document_hash, size, content, failed, reason) of the files under a path."""
+    """(filename, document_id, document_hash, size, content, failed, reason) of the files under a path. Files without a byte are skipped by the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(F.url_decode(name).alias("filename"), F.sha2("content", 256).alias("document_hash"), F.col("length").alias("size"), "content")
-    reason = F.when(~is_pdf(F.col("filename")), "not_a_pdf").when(F.col("size") == 0, "empty_file")
+    reason = F.when(~is_pdf(F.col("filename")), "not_a_pdf")
     return rows.withColumn("document_id", document_id(F.col("filename"))).withColumn("reason", reason).withColumn("failed", reason.isNotNull())
 
 
