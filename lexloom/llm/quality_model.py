@@ -135,10 +135,14 @@ def _line_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _plane_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Newton steps of a depth-two tree over two features: a cut of the first, then a cut of the second on each side."""
+    """Newton steps of a depth-two tree over two features: the cut of the first after which cuts of the second, one on each side, gain most."""
+    best: tuple[float, list[slice]] = (-1.0, [slice(0, len(g))])
+    for cut in range(len(g)):
+        sides = [slice(0, cut), slice(cut, len(g))] if cut else [slice(0, len(g))]
+        sums = [(g[rows].sum(axis=0), h[rows].sum(axis=0)) for rows in sides]
+        best = max(best, (sum(_best_cut(*x)[0] + float(_gain(x[0].sum(), x[1].sum())) for x in sums), sides), key=lambda x: x[0])
     out = np.zeros(g.shape)
-    _, cut = _best_cut(g.sum(axis=1), h.sum(axis=1))
-    for rows in [slice(0, cut), slice(cut, len(g))] if cut else [slice(0, len(g))]:
+    for rows in best[1]:
         _, k = _best_cut(g[rows].sum(axis=0), h[rows].sum(axis=0))
         for cols in [slice(0, k), slice(k, g.shape[1])] if k else [slice(0, g.shape[1])]:
             out[rows, cols] = g[rows, cols].sum() / (h[rows, cols].sum() + L2)
