@@ -113,7 +113,8 @@ class ZipPackage:
         tail_at = max(0, size - _END.size - _MANY)
         tail = read(tail_at, size - tail_at)
         k = tail.rfind(b"PK\5\6")
-        while k >= 0 and k + _END.size + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
+        # a comment may hold the sign too: the record must reach the end of the file with its comment
+        while k >= 0 and (k + _END.size > len(tail) or k + _END.size + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
             k = tail.rfind(b"PK\5\6", 0, k)
         if k < 0:
             raise ValueError("no end of central directory")
