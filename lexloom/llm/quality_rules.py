@@ -95,4 +95,8 @@ def judge(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
         "clean_text",
     )
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return rows.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("n_lost_chars") * 100 <= F.col("__n") * MAX_LOST_PERCENT)).drop("__n")
+    rows = rows.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("n_lost_chars") * 100 <= F.col("__n") * MAX_LOST_PERCENT))
+    # a filter on the verdict must not be moved below the columns it rests on, where words and hashes would be made anew
+    # for every use; a generator of one row holds it back
+    passed = [F.col(f"`{c.replace('`', '``')}`") for c in documents.columns if c.lower() not in added]
+    return rows.select(*passed, F.inline(F.array(F.struct(*added))))
