@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lexloom.functions import percent, status_rollup
 
 #: Values that the last event sets, also to null, and those that keep the last one that was there.
-LAST = ("stage", "status", "message", "chunks", "progress_current", "progress_total", "error")
+LAST = ("stage", "status", "message", "chunks", "indexed_chunks", "progress_current", "progress_total", "progress_percent", "progress_unit", "error")
+
+# Fixed value: what a file says whose job is gone.
+JOB_LOST = "Status job tidak ditemukan; proses mungkin berhenti saat backend restart"
 KEPT = ("native_pages", "ocr_pages", "total_pages")
 
 
@@ -31,6 +34,21 @@ def fold_progress(events: DataFrame) -> DataFrame:
     return own.groupBy("filename").agg(last, *kept).select("filename", "x.*", *KEPT)
 
 
+def mark_lost(files: DataFrame) -> DataFrame:
+    """Folded files whose job is unknown: those still at work have failed."""
+    at_work = F.coalesce(F.col("status").isin("queued", "processing"), F.lit(False))
+    new = {"status": "failed", "stage": "failed", "message": JOB_LOST, "error": JOB_LOST}
+    return files.withColumns({c: F.when(at_work, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def load_state(saved: Column) -> Column:
+    """A saved list of files as a struct; absent, broken or wrongly shaped parts are empty."""
+    kind = "files array<struct<name:string,size:bigint>>, fileProgress map<string,struct<status:string,stage:string,message:string>>, activeJobIds array<string>, fileJobIds map<string,string>"
+    got = F.from_json(saved, kind, {"mode": "PERMISSIVE"})
+    empty = {"files": F.from_json(F.lit("[]"), "array<struct<name:string,size:bigint>>"), "fileProgress": F.from_json(F.lit("{}"), "map<string,struct<status:string,stage:string,message:string>>"), "activeJobIds": F.array().cast("array<string>"), "fileJobIds": F.create_map().cast("map<string,string>")}
+    return F.struct(*[F.coalesce(got[c], empty[c]).alias(c) for c in empty])
+
+
 def job_outcomes(events: DataFrame) -> DataFrame:
     """(job_id, n_files, n_failed, outcome, with_failures) from the last status of each file."""
     files = events.where("filename <> '-'").groupBy("job_id", "filename").agg(F.max_by("status", "seq").alias("status"))

@@ -35,24 +35,46 @@ def _fold(rows: pd.DataFrame, state: dict | None) -> tuple[list[tuple[int, str,
     return out, state
 
 
+def _in_order(log: DataFrame) -> DataFrame:
+    """Each hash's operations in one partition, by seq; they are folded as they stream by, so no group is held whole."""
+    return log.repartition("document_hash").sortWithinPartitions("document_hash", "seq")
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, pd.DataFrame]]:
+    for batch in batches:
+        for key, rows in batch.groupby("document_hash", sort=False, dropna=False):
+            yield (None if pd.isna(key) else key), rows
+
+
 def registry_outcomes(log: DataFrame) -> DataFrame:
     """What each operation did: inserted, reset, duplicate, updated, rejected. In order of seq within each hash."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _fold(rows.sort_values("seq"), None)
-        return pd.DataFrame([(*x, rows["document_hash"].iloc[0]) for x in out], columns=["seq", "op", "outcome", "document_hash"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for key, rows in _runs(batches):
+            out, state = _fold(rows, state if key == last else None)
+            last = key
+            yield pd.DataFrame([(*x, key) for x in out], columns=["seq", "op", "outcome", "document_hash"])
 
-    return log.groupBy("document_hash").applyInPandas(run, "seq long, op string, outcome string, document_hash string")
+    return _in_order(log).mapInPandas(run, "seq long, op string, outcome string, document_hash string")
 
 
 def registry_state(log: DataFrame) -> DataFrame:
     """Latest state of each hash by the rules above."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        _, state = _fold(rows.sort_values("seq"), None)
-        return pd.DataFrame([state] if state else [], columns=[x.split()[0] for x in STATE.split(", ")])
+    names = [x.split()[0] for x in STATE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for key, rows in _runs(batches):
+            if key != last and state:
+                yield pd.DataFrame([state], columns=names)
+            _, state = _fold(rows, state if key == last else None)
+            last = key
+        if state:
+            yield pd.DataFrame([state], columns=names)
 
-    return log.groupBy("document_hash").applyInPandas(run, STATE)
+    return _in_order(log).mapInPandas(run, STATE)
 
 
 def latest_state(log: DataFrame) -> DataFrame:

@@ -159,15 +159,15 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda m: F.when(i % m != 0, (i % (m * 7)).cast("int"))
     return e.select(
         i.alias("seq"), F.when(ends, "job_status").otherwise("document_status").alias("type"), F.concat(F.lit("job"), F.floor(u / 10).cast("string")).alias("job_id"), F.when(ends, "-").otherwise(F.concat(F.lit("f"), u.cast("string"), F.lit(".pdf"))).alias("filename"),
-        F.col("event_type").alias("stage"), F.element_at(F.array(F.lit("processing"), F.lit("completed"), F.lit("failed")), (i % 3 + 1).cast("int")).alias("status"), F.concat(F.lit("m"), (i % 13).cast("string")).alias("message"), number(2).alias("chunks"), number(3).alias("progress_current"), number(4).alias("progress_total"),
+        F.col("event_type").alias("stage"), F.element_at(F.array(F.lit("processing"), F.lit("completed"), F.lit("failed")), (i % 3 + 1).cast("int")).alias("status"), F.concat(F.lit("m"), (i % 13).cast("string")).alias("message"), number(2).alias("chunks"), number(8).alias("indexed_chunks"), number(3).alias("progress_current"), number(4).alias("progress_total"), F.when(i % 9 != 0, (i % 100).cast("double") / 4).alias("progress_percent"), F.when(i % 10 != 0, "pages").alias("progress_unit"),
         number(5).alias("native_pages"), number(6).alias("ocr_pages"), number(7).alias("total_pages"), F.when(i % 3 == 2, "boom").alias("error"),
     )
 
 
 JOBS_SQL = r"""
 jobs AS (SELECT event_id AS seq, CASE WHEN event_id % 50 = 49 THEN 'job_status' ELSE 'document_status' END AS type, 'job' || (user_id // 10) AS job_id, CASE WHEN event_id % 50 = 49 THEN '-' ELSE 'f' || user_id || '.pdf' END AS filename,
-  event_type AS stage, (['processing', 'completed', 'failed'])[CAST(event_id % 3 + 1 AS INTEGER)] AS status, 'm' || (event_id % 13) AS message, CASE WHEN event_id % 2 <> 0 THEN (event_id % 14)::INTEGER END AS chunks, CASE WHEN event_id % 3 <> 0 THEN (event_id % 21)::INTEGER END AS progress_current,
-  CASE WHEN event_id % 4 <> 0 THEN (event_id % 28)::INTEGER END AS progress_total, CASE WHEN event_id % 5 <> 0 THEN (event_id % 35)::INTEGER END AS native_pages, CASE WHEN event_id % 6 <> 0 THEN (event_id % 42)::INTEGER END AS ocr_pages, CASE WHEN event_id % 7 <> 0 THEN (event_id % 49)::INTEGER END AS total_pages, CASE WHEN event_id % 3 = 2 THEN 'boom' END AS error FROM events)"""
+  event_type AS stage, (['processing', 'completed', 'failed'])[CAST(event_id % 3 + 1 AS INTEGER)] AS status, 'm' || (event_id % 13) AS message, CASE WHEN event_id % 2 <> 0 THEN (event_id % 14)::INTEGER END AS chunks, CASE WHEN event_id % 8 <> 0 THEN (event_id % 56)::INTEGER END AS indexed_chunks, CASE WHEN event_id % 3 <> 0 THEN (event_id % 21)::INTEGER END AS progress_current,
+  CASE WHEN event_id % 4 <> 0 THEN (event_id % 28)::INTEGER END AS progress_total, CASE WHEN event_id % 9 <> 0 THEN (event_id % 100)::DOUBLE / 4 END AS progress_percent, CASE WHEN event_id % 10 <> 0 THEN 'pages' END AS progress_unit, CASE WHEN event_id % 5 <> 0 THEN (event_id % 35)::INTEGER END AS native_pages, CASE WHEN event_id % 6 <> 0 THEN (event_id % 42)::INTEGER END AS ocr_pages, CASE WHEN event_id % 7 <> 0 THEN (event_id % 49)::INTEGER END AS total_pages, CASE WHEN event_id % 3 = 2 THEN 'boom' END AS error FROM events)"""
 
 
 def citation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

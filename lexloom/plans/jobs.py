@@ -83,7 +83,7 @@ def stream_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry)}
 
-_FOLD = rf"""WITH {JOBS_SQL} SELECT filename, arg_max_null(stage, seq) AS stage, arg_max_null(status, seq) AS status, arg_max_null(message, seq) AS message, arg_max_null(chunks, seq) AS chunks, arg_max_null(progress_current, seq) AS progress_current, arg_max_null(progress_total, seq) AS progress_total,
+_FOLD = rf"""WITH {JOBS_SQL} SELECT filename, arg_max_null(stage, seq) AS stage, arg_max_null(status, seq) AS status, arg_max_null(message, seq) AS message, arg_max_null(chunks, seq) AS chunks, arg_max_null(indexed_chunks, seq) AS indexed_chunks, arg_max_null(progress_current, seq) AS progress_current, arg_max_null(progress_total, seq) AS progress_total, arg_max_null(progress_percent, seq) AS progress_percent, arg_max_null(progress_unit, seq) AS progress_unit,
 arg_max_null(error, seq) AS error, arg_max(native_pages, seq) AS native_pages, arg_max(ocr_pages, seq) AS ocr_pages, arg_max(total_pages, seq) AS total_pages FROM jobs WHERE filename <> '-' AND type <> 'job_status' GROUP BY filename"""
 _FILES = f"WITH {JOBS_SQL}, files AS (SELECT job_id, filename, arg_max(status, seq) AS status FROM jobs WHERE filename <> '-' GROUP BY job_id, filename)"
 ORACLES = {

@@ -2,40 +2,64 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
-from dataclasses import dataclass
-
-# The application's defaults.
-DEFAULTS = {"RETRIEVAL_LIMIT": 20, "RERANK_TOP_K": 7, "RRF_K": 60, "RERANK_MIN_SCORE": 0.05, "MAX_TOKENS": 8192, "EMBEDDING_BATCH_SIZE": 8, "HTTP_TIMEOUT_SECONDS": 120}
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
 class Settings:
-    retrieval_limit: int
-    rerank_top_k: int
-    rrf_k: int
-    rerank_min_score: float
-    max_tokens: int
-    embedding_batch_size: int
-    http_timeout_seconds: int
+    """Models, store and limits. The names in a mapping are those of the fields in upper case."""
+
+    embedding_model: str = "embedding"
+    api_key: str = ""
+    base_url: str = "http://localhost"
+    store_host: str = "http://localhost:6333"
+    store_key: str = ""
+    collection: str = "chunks"
+    # fixed values: the application's defaults
+    embedding_batch_size: int = 8
+    http_timeout_seconds: float = 120.0
+    rerank_model: str = "reranker"
+    generative_model: str = "generator"
+    retrieval_limit: int = 20
+    rerank_top_k: int = 7
+    rrf_k: int = 60
+    rerank_min_score: float = 0.05
+    generation_max_tokens: int = 8192
 
     @classmethod
     def of(cls, env: Mapping[str, str]) -> Settings:
-        """Blank values take the default; whole numbers must be above zero."""
+        """Blank values take the default, addresses lose a final slash, whole numbers must be above zero."""
         out = {}
-        for name, default in DEFAULTS.items():
-            raw = (env.get(name) or "").strip()
-            value = type(default)(raw) if raw else default
-            if isinstance(default, int) and value <= 0:
-                raise ValueError(f"{name} must be above zero")
-            out[name.lower()] = value
+        for f in fields(cls):
+            raw = (env.get(f.name.upper()) or "").strip()
+            if not raw:
+                continue
+            value = type(f.default)(raw.rstrip("/") if f.name in ("base_url", "store_host") else raw)
+            if isinstance(f.default, int) and value <= 0:
+                raise ValueError(f"{f.name} must be above zero")
+            out[f.name] = value
         return cls(**out)
 
+    def _require(self, *names: str) -> Settings:
+        for name in names:
+            if not getattr(self, name):
+                raise ValueError(f"{name} is required")
+        if self.http_timeout_seconds <= 0:
+            raise ValueError("http_timeout_seconds must be above zero")
+        return self
+
+    def check_indexing(self) -> Settings:
+        return self._require("embedding_model", "api_key", "store_host", "collection")
+
+    def check_scope(self) -> Settings:
+        return self._require("api_key", "generative_model")
+
     def check_query(self) -> Settings:
-        """Ranges that answering needs."""
-        if not 1 <= self.max_tokens <= 40960:
-            raise ValueError("MAX_TOKENS must be from 1 to 40960")
-        if not self.rerank_min_score >= 0 or math.isinf(self.rerank_min_score):
-            raise ValueError("RERANK_MIN_SCORE must be at least 0")
+        """What answering needs besides indexing: models and ranges."""
+        self.check_indexing()._require("rerank_model", "generative_model", "retrieval_limit", "rerank_top_k", "rrf_k")
+        if self.rerank_min_score < 0:
+            raise ValueError("rerank_min_score must be at least 0")
+        if not 1 <= self.generation_max_tokens <= 40960:
+            raise ValueError("generation_max_tokens must be from 1 to 40960")
         return self

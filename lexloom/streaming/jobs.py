@@ -18,10 +18,10 @@ from lexloom.operators.events import KEPT, LAST, is_terminal
 from lexloom.operators.registry import STATE, fold_batches
 
 EVENTS = (
-    "seq long, type string, job_id string, filename string, stage string, status string, message string, chunks int, progress_current int, progress_total int, "
+    "seq long, type string, job_id string, filename string, stage string, status string, message string, chunks int, indexed_chunks int, progress_current int, progress_total int, progress_percent double, progress_unit string, "
     "native_pages int, ocr_pages int, total_pages int, error string"
 )
-_FOLDED = "filename string, stage string, status string, message string, chunks int, progress_current int, progress_total int, error string, native_pages int, ocr_pages int, total_pages int"
+_FOLDED = "filename string, stage string, status string, message string, chunks int, indexed_chunks int, progress_current int, progress_total int, progress_percent double, progress_unit string, error string, native_pages int, ocr_pages int, total_pages int"
 
 
 def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, *, files_per_batch: int | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def stream_progress(events: DataFrame) -> DataFrame:
                 seq = int(x.seq)
                 for i, c in enumerate(names[1:]):
                     v = getattr(x, c)
-                    v = None if pd.isna(v) else v if isinstance(v, str) else int(v)
+                    v = None if pd.isna(v) else v if isinstance(v, str) else float(v) if c == "progress_percent" else int(v)
                     if c in LAST or v is not None:
                         held[i] = v
         state.update((seq, *held))

@@ -110,12 +110,20 @@ def test_registry(spark):
 
 
 def test_event_fold_is_idempotent(spark):
-    cols = "seq long, type string, job_id string, filename string, stage string, status string, message string, chunks int, progress_current int, progress_total int, native_pages int, ocr_pages int, total_pages int, error string"
-    df = spark.createDataFrame([(1, "s", "j", "a", "parsing", "processing", "m", 3, None, None, 2, None, None, None), (2, "s", "j", "a", "parsing", "completed", "m", None, None, None, None, 1, None, None), (3, "s", "j", "-", "x", "failed", "m", *[None] * 7), (4, "job_status", "j", "-", "job", "completed", "m", *[None] * 7)], cols)
+    cols = "seq long, type string, job_id string, filename string, stage string, status string, message string, chunks int, indexed_chunks int, progress_current int, progress_total int, progress_percent double, progress_unit string, native_pages int, ocr_pages int, total_pages int, error string"
+    df = spark.createDataFrame([(1, "s", "j", "a", "parsing", "processing", "m", 3, None, None, None, None, None, 2, None, None, None), (2, "s", "j", "a", "parsing", "completed", "m", None, None, None, None, None, None, None, 1, None, None), (3, "s", "j", "-", "x", "failed", "m", *[None] * 10), (4, "job_status", "j", "-", "job", "completed", "m", *[None] * 10)], cols)
     once = events.fold_progress(df).collect()
     assert (once[0]["chunks"], once[0]["native_pages"], once[0]["ocr_pages"], once[0]["status"]) == (None, 2, 1, "completed")
     assert events.fold_progress(df.unionByName(df)).collect() == once
     assert events.job_outcomes(df).first() == ("j", 1, 0, "completed", False)
+    lost = events.mark_lost(events.fold_progress(df.where("seq = 1"))).first()
+    assert (lost["status"], lost["error"]) == ("failed", events.JOB_LOST)
+
+
+def test_saved_state(spark):
+    df = spark.createDataFrame([('{"files": [{"name": "a"}], "activeJobIds": "x"}',), ("broken",), (None,)], "s string")
+    got = [r["x"] for r in df.select(events.load_state(F.col("s")).alias("x")).collect()]
+    assert [(len(x["files"]), x["activeJobIds"], x["fileJobIds"]) for x in got] == [(1, [], {}), (0, [], {}), (0, [], {})]
 
 
 def test_collection_and_jsonl(spark, tmp_path):
@@ -145,12 +153,14 @@ def test_uploads(spark, tmp_path):
 
 
 def test_settings():
-    assert settings.Settings.of({"RRF_K": " ", "MAX_TOKENS": "5"}).check_query() == settings.Settings(20, 7, 60, 0.05, 5, 8, 120)
+    assert settings.Settings.of({"RRF_K": " ", "GENERATION_MAX_TOKENS": "5", "API_KEY": " k "}).check_query() == settings.Settings(api_key="k", generation_max_tokens=5)
     for bad in ({"RRF_K": "0"}, {"RRF_K": "x"}):
         with pytest.raises(ValueError):
             settings.Settings.of(bad)
     with pytest.raises(ValueError):
-        settings.Settings.of({"MAX_TOKENS": "40961"}).check_query()
+        settings.Settings.of({"API_KEY": "k", "GENERATION_MAX_TOKENS": "40961"}).check_query()
+    with pytest.raises(ValueError, match="api_key"):
+        settings.Settings().check_scope()
 
 
 def test_model_connectors(spark):
