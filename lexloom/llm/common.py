@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder, read by Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,10 +31,9 @@ def whole(text: Column | str) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lexloom-"))
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base

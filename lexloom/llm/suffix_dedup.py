@@ -17,8 +17,10 @@ earlier in the same one. Strings are judged on the input, overlaps count, matche
    bytes or more. In each such group all but the earliest window are repeats.
 4. Removal. The spans go to the texts (the same exchange as before), are merged and cut out.
 
-Every step works on bounded groups: buckets are as many as the input needs, and the windows of one seed, however often
-it occurs, are split by their offset to the seed and by their bytes when they exceed MAX_SORTED.
+Every step works on bounded groups: buckets are as many as the input needs. A seed that would bring more than HOT_ROWS
+rows into one bucket (a line that a good part of all documents share, with other text around it each time) is found on a
+sample of the documents, which decides only the route: its windows are dealt out one by one by their own hash, where the
+earliest of equal ones is kept. A set of seeds that still exceeds MAX_SORTED is split by its windows' bytes.
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ SEED_BUCKET = 6 << 20
 #: Bytes whose suffixes are sorted together, as a rule and at most.
 SORTED, MAX_SORTED = 1 << 20, 4 << 20
 
+#: Rows of a seed from which its windows are dealt out one by one, and the most seeds of which this list is kept (8 bytes each).
+HOT_ROWS, HOT_SEEDS = 100_000, 100_000
+#: Text that the search for such seeds reads, as long as it is not less than one document of SAMPLE_ONE_OF.
+SAMPLE_BYTES, SAMPLE_ONE_OF = 32 << 20, 5_000
+
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), "<u8").astype(np.uint64)
@@ -288,6 +295,24 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return rows.join(keys, "row").select(F.col("new").alias("key"), "text"), keys.select(F.col("new").alias("key"), "id"), size or 0
 
 
+def _hot_seeds(docs: DataFrame, size: int, length: int) -> np.ndarray:
+    """Hashes of seeds that are expected to have more than HOT_ROWS different rows, in order."""
+    one_of = max(1, min(SAMPLE_ONE_OF, size // SAMPLE_BYTES))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups(batches, BATCH_CHARS):
+            texts = [t.encode("utf-8", "surrogatepass") for t in group["text"]]
+            raw = b"".join(texts)
+            hashes, lo, hi = find_seeds(np.frombuffer(raw, np.uint8), np.cumsum([len(t) for t in texts]), length)
+            same = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
+            own, n = np.unique(np.unique(np.stack([hashes, same]), axis=1)[0], return_counts=True)
+            yield pd.DataFrame({"seed": own.view(np.int64), "n": n})
+
+    found = docs.where(F.pmod(F.xxhash64("key"), F.lit(one_of)) == 0).mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    found = found.where(F.col("n") * one_of > HOT_ROWS).orderBy(F.desc("n"), "seed").limit(HOT_SEEDS)
+    return np.sort(np.array([r["seed"] for r in found.collect()], np.int64).view(np.uint64))
+
+
 def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: its id, n_bytes, n_removed, n_spans (long), kept_sha256 and, on request, kept (binary).
 
@@ -301,6 +326,8 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
         for group in groups(batches, BATCH_CHARS):
             yield group["key"].to_numpy(np.int64), [t.encode("utf-8", "surrogatepass") for t in group["text"]]
 
+    hot = _hot_seeds(docs, size, length)
+
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, texts in raw_texts(batches):
             raw = b"".join(texts)
@@ -310,18 +337,33 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
             same = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
             key, at, windows = keys[doc], (lo - np.concatenate(([0], ends[:-1]))[doc]).astype(np.uint32), (hi - lo + 1).astype(np.uint8)
             first, rest = _classes(hashes, same, key, at)
-            out = [(b, False, x) for b, x in _dealt((hashes[first] % np.uint64(n_seed)).astype(np.int64), hashes[first], same[first], key[first], at[first], windows[first])]
-            out += [(b, True, x) for b, x in _dealt((hashes[rest] % np.uint64(n_seed)).astype(np.int64), key[rest], at[rest], windows[rest])]
-            yield pd.DataFrame(out, columns=["bucket", "repeats", "rows"])
+            out = []
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, hashes[first]), len(hot) - 1)] == hashes[first]
+                own, first = first[is_hot], first[~is_hot]
+                own = own[np.lexsort((at[own], key[own]))]
+                row = np.repeat(own, windows[own])
+                step = np.arange(len(row)) - np.repeat(np.cumsum(windows[own], dtype=np.int64) - windows[own], windows[own])
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a : a + length]) for a in (lo[row] + step).tolist()), "<u8").reshape(-1, 2)
+                kept, again = _classes(digest[:, 0], digest[:, 1], key[row], at[row] + step)
+                place = (at[row] + step).astype(np.uint32)
+                out += [(b, 2, x) for b, x in _dealt((digest[kept, 0] % np.uint64(n_seed)).astype(np.int64), digest[kept, 0].copy(), digest[kept, 1].copy(), key[row[kept]], place[kept])]
+                out += [(b, 1, x) for b, x in _dealt((digest[again, 0] % np.uint64(n_seed)).astype(np.int64), key[row[again]], place[again], np.ones(len(again), np.uint8))]
+            out += [(b, 0, x) for b, x in _dealt((hashes[first] % np.uint64(n_seed)).astype(np.int64), hashes[first], same[first], key[first], at[first], windows[first])]
+            out += [(b, 1, x) for b, x in _dealt((hashes[rest] % np.uint64(n_seed)).astype(np.int64), key[rest], at[rest], windows[rest])]
+            # kinds: 0 the earliest rows of classes, 1 repeats of them, 2 single windows of hot seeds
+            yield pd.DataFrame(out, columns=["bucket", "kind", "rows"])
 
     def classes(batch: pd.DataFrame) -> pd.DataFrame:
-        hashes, same, key, at, windows = _joined(batch["rows"][~batch["repeats"]], 5)
-        rest_key, rest_at, rest_windows = _joined(batch["rows"][batch["repeats"]], 3)
+        hashes, same, key, at, windows = _joined(batch["rows"][batch["kind"] == 0], 5)
+        rest_key, rest_at, rest_windows = _joined(batch["rows"][batch["kind"] == 1], 3)
+        one, two, hot_key, hot_at = _joined(batch["rows"][batch["kind"] == 2], 4)
+        _, hot_rest = _classes(one, two, hot_key, hot_at)
         first, rest = _classes(hashes, same, key, at)
         own = hashes[first]
         many = np.concatenate((own[1:] == own[:-1], [False])) | np.concatenate(([False], own[1:] == own[:-1])) if len(own) else np.zeros(0, bool)
         ask = first[many]
-        key2, at2, n2 = (np.concatenate(x) for x in ((rest_key, key[rest]), (rest_at, at[rest]), (rest_windows, windows[rest])))
+        key2, at2, n2 = (np.concatenate(x) for x in ((rest_key, key[rest], hot_key[hot_rest]), (rest_at, at[rest], hot_at[hot_rest]), (rest_windows, windows[rest], np.ones(len(hot_rest), np.uint8))))
         out = [(b, False, x) for b, x in _dealt(_bucket(key2, n_text), key2.astype(np.int64), at2.astype(np.uint32), (n2.astype(np.int64) + length - 1).astype(np.uint32))]
         out += [(b, True, x) for b, x in _dealt(_bucket(key[ask], n_text), key[ask].astype(np.int64), at[ask].astype(np.uint32), windows[ask].astype(np.uint8), hashes[ask].astype(np.uint64))]
         return pd.DataFrame(out, columns=["bucket", "asks", "rows"])
@@ -386,7 +428,7 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
             out.append((key, b - a, int(removed[b] - removed[a]), runs, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
         return pd.DataFrame(out, columns=names)
 
-    found = docs.mapInPandas(seeds, "bucket long, repeats boolean, rows binary").groupBy("bucket").applyInPandas(classes, "bucket long, asks boolean, rows binary")
+    found = docs.mapInPandas(seeds, "bucket long, kind int, rows binary").groupBy("bucket").applyInPandas(classes, "bucket long, asks boolean, rows binary")
     found = stored(found, "repeats")
     held = docs.mapInPandas(texts, "bucket long, index binary, texts binary")
     contexts = held.groupBy("bucket").cogroup(found.where("asks").select("bucket", "rows").groupBy("bucket")).applyInPandas(fetch, "bucket long, rows binary, bytes binary")

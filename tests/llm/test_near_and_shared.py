@@ -166,8 +166,10 @@ def test_sets_that_are_too_large_are_dealt_out(monkeypatch):
     assert cover(suffix_dedup.resolve(seed, key, at, windows, contexts, 30)) == whole
 
 
-def test_removal_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot_rows", [100_000, 3, 0])
+def test_removal_against_brute_force(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot_rows)
     r = random.Random(8)
     pool = ["".join(r.choice("abc dé") for _ in range(r.randint(5, 90))) for _ in range(12)]
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 6))) for _ in range(50)] + ["", "é" * 200, "é" * 200]
