@@ -22,7 +22,8 @@ def _so_far() -> WindowSpec:
 def page_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, text) to normalised lines; the empty part after a final line end is none."""
     lines = pages.select("doc_id", "page_number", F.posexplode(F.split(F.col("text"), SPLIT_LINES, -1)).alias("line_no", "line"))
-    return normalize_lines(lines)
+    # one shuffle: all windows and groups below are by document, or by document and page
+    return normalize_lines(lines).repartition("doc_id")
 
 
 def join_split_articles(lines: DataFrame) -> DataFrame:
