@@ -100,6 +100,17 @@ ORACLES = {
     "margin_keys": f"WITH {LEGAL_SQL}, {clean_sql('legal', 'basic')}, {margin_sql('basic', 'margins')} SELECT doc_id, key, n_pages FROM margins",
     "hyphen_join": f"WITH {document_sql()} SELECT doc_id, page_number, count(*)::BIGINT AS n_lines, {_PAGE_TEXT} FROM cleaned GROUP BY doc_id, page_number",
     "legal_sections": f"WITH {classified_sql()} SELECT doc_id, section::BIGINT AS section, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, string_agg(content, ' ' ORDER BY page_number, line_no) AS text, min(page_number) AS page_start, max(page_number) AS page_end FROM classified WHERE content IS NOT NULL AND ctx = 'PASAL' GROUP BY doc_id, section",
+    "legal_chunks": rf"""WITH {classified_sql()},
+tokens AS (SELECT doc_id, section, bab_no, bab, pasal, ayat, page_number, line_no, unnest(list_filter(string_split(content, ' '), lambda x: x <> '')) AS word, unnest(range(len(list_filter(string_split(content, ' '), lambda x: x <> '')))) AS pos FROM classified WHERE content IS NOT NULL AND ctx = 'PASAL'),
+listed AS (SELECT doc_id, section, any_value(bab_no) AS bab_no, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, list(word ORDER BY page_number, line_no, pos) AS words, list(page_number ORDER BY page_number, line_no, pos) AS on_pages FROM tokens GROUP BY doc_id, section),
+packed AS (SELECT *, list_reduce(list_transform(words, lambda w: {{'n': length(w)::BIGINT, 'ks': [1::BIGINT]}}), lambda a, x: CASE WHEN a.n + 1 + x.n > 1000 THEN {{'n': x.n, 'ks': list_append(a.ks, a.ks[-1] + 1)}} ELSE {{'n': a.n + 1 + x.n, 'ks': list_append(a.ks, a.ks[-1])}} END).ks AS ks FROM listed),
+offsets AS (SELECT *, coalesce(sum(ks[-1]) OVER (PARTITION BY doc_id, pasal, ayat ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM packed),
+flat AS (SELECT doc_id, section, bab_no, bab, pasal, ayat, before, unnest(words) AS word, unnest(on_pages) AS page, unnest(ks) AS k, unnest(range(len(ks))) AS i FROM offsets),
+chunked AS (SELECT doc_id, section, k, any_value(bab_no) AS bab_no, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, (any_value(before) + k)::INTEGER AS part, min(page) AS page_start, max(page) AS page_end, list_sort(list_distinct(list(page))) AS pages, string_agg(word, ' ' ORDER BY i) AS text FROM flat GROUP BY doc_id, section, k),
+titles AS (SELECT doc_id, bab_no, string_agg(CASE WHEN kind IS NULL OR kind <> 'BAB' THEN line END, ' ' ORDER BY page_number, line_no) AS bab_title FROM classified WHERE bab_no > 0 AND ctx = 'BAB' GROUP BY doc_id, bab_no)
+SELECT c.doc_id, 'UU No. ' || c.doc_id || '.pdf' AS filename, bab, bab_title, pasal, ayat, part, page_start, page_end, array_to_string(pages, ',') AS pages, text,
+  'uu_no_' || c.doc_id || '-pasal' || pasal || '-' || CASE WHEN coalesce(ayat, '') <> '' THEN 'ayat' || ayat ELSE 'noayat' END || '-part' || part AS chunk_id
+FROM chunked c LEFT JOIN titles t ON c.doc_id = t.doc_id AND c.bab_no = t.bab_no""",
     "bab_titles": f"WITH {classified_sql()} SELECT doc_id, bab_no::BIGINT AS bab_no, max(bab) AS bab, string_agg(CASE WHEN kind IS NULL OR kind <> 'BAB' THEN line END, ' ' ORDER BY page_number, line_no) AS bab_title FROM classified WHERE bab_no > 0 AND ctx = 'BAB' GROUP BY doc_id, bab_no",
     "penjelasan_cut": f"WITH {classified_sql()} SELECT doc_id, count(*)::BIGINT AS n_lines, count(kind)::BIGINT AS n_headings FROM classified GROUP BY doc_id",
     "doc_metrics": rf"""WITH {document_sql()},

@@ -83,12 +83,26 @@ def stream_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry)}
 
+#: Registry states one operation after the other, by a recursive query.
+_REGISTRY = r"""WITH RECURSIVE log AS (SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'reserve' ELSE 'update' END AS op, 'h' || user_id AS document_hash, 'doc_' || user_id AS document_id, 'f' || user_id || '.pdf' AS filename, 'i' || (event_id // 200) AS ingestion_id,
+  (['processing', 'completed', 'failed'])[CAST(event_id % 3 + 1 AS INTEGER)] AS status, CASE WHEN event_id % 3 = 1 THEN (event_id % 90)::INTEGER END AS indexed_chunks, CASE WHEN event_id % 3 = 2 THEN 'boom' END AS error, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+st AS (SELECT DISTINCT document_hash, 0::BIGINT AS rn, NULL::VARCHAR AS op, NULL::VARCHAR AS outcome, NULL::VARCHAR AS document_id, NULL::VARCHAR AS filename, NULL::VARCHAR AS ingestion_id, NULL::VARCHAR AS status, NULL::INTEGER AS indexed_chunks, NULL::VARCHAR AS error FROM log
+  UNION ALL
+  SELECT document_hash, rn, op, outcome, CASE WHEN outcome IN ('inserted', 'reset') THEN new_id ELSE document_id END, CASE WHEN outcome IN ('inserted', 'reset') THEN new_name ELSE filename END, CASE WHEN outcome IN ('inserted', 'reset') THEN new_ing ELSE ingestion_id END,
+    CASE WHEN outcome IN ('inserted', 'reset') THEN 'queued' WHEN outcome = 'updated' THEN new_status ELSE status END, CASE WHEN outcome IN ('inserted', 'reset') THEN NULL WHEN outcome = 'updated' THEN new_chunks ELSE indexed_chunks END, CASE WHEN outcome IN ('inserted', 'reset') THEN NULL WHEN outcome = 'updated' THEN new_error ELSE error END
+  FROM (SELECT st.document_hash, l.rn, l.op, st.document_id, st.filename, st.ingestion_id, st.status, st.indexed_chunks, st.error, l.document_id AS new_id, l.filename AS new_name, l.ingestion_id AS new_ing, l.status AS new_status, l.indexed_chunks AS new_chunks, l.error AS new_error,
+    CASE WHEN l.op = 'reserve' THEN CASE WHEN st.status IS NULL THEN 'inserted' WHEN st.status = 'failed' THEN 'reset' ELSE 'duplicate' END WHEN st.status IS NULL OR st.ingestion_id <> l.ingestion_id THEN 'rejected' ELSE 'updated' END AS outcome
+    FROM st JOIN log l ON l.document_hash = st.document_hash AND l.rn = st.rn + 1))"""
+_STATE = _REGISTRY + " SELECT document_hash, document_id, filename, ingestion_id, status, indexed_chunks, error FROM st WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_hash ORDER BY rn DESC) = 1"
 _FOLD = rf"""WITH {JOBS_SQL} SELECT filename, arg_max_null(stage, seq) AS stage, arg_max_null(status, seq) AS status, arg_max_null(message, seq) AS message, arg_max_null(chunks, seq) AS chunks, arg_max_null(indexed_chunks, seq) AS indexed_chunks, arg_max_null(progress_current, seq) AS progress_current, arg_max_null(progress_total, seq) AS progress_total, arg_max_null(progress_percent, seq) AS progress_percent, arg_max_null(progress_unit, seq) AS progress_unit,
 arg_max_null(error, seq) AS error, arg_max(native_pages, seq) AS native_pages, arg_max(ocr_pages, seq) AS ocr_pages, arg_max(total_pages, seq) AS total_pages FROM jobs WHERE filename <> '-' AND type <> 'job_status' GROUP BY filename"""
 _FILES = f"WITH {JOBS_SQL}, files AS (SELECT job_id, filename, arg_max(status, seq) AS status FROM jobs WHERE filename <> '-' GROUP BY job_id, filename)"
 ORACLES = {
     "event_fold": _FOLD,
     "stream_fold": _FOLD,
+    "registry_state": _STATE,
+    "stream_registry": _STATE,
+    "registry_outcomes": _REGISTRY + " SELECT op, outcome, count(*)::BIGINT AS n FROM st WHERE rn > 0 GROUP BY op, outcome",
     "job_outcome": _FILES + " SELECT job_id, count(*)::BIGINT AS n_files, count(*) FILTER (WHERE status = 'failed')::BIGINT AS n_failed, CASE WHEN count(*) FILTER (WHERE status = 'completed') > 0 THEN 'completed' ELSE 'failed' END AS outcome, count(*) FILTER (WHERE status = 'completed') > 0 AND count(*) FILTER (WHERE status = 'failed') > 0 AS with_failures FROM files GROUP BY job_id",
     "ui_status": _FILES + ", c AS (SELECT job_id, count(*) FILTER (WHERE status NOT IN ('completed', 'failed'))::BIGINT AS pending, count(*) FILTER (WHERE status = 'failed')::BIGINT AS failed, count(*) FILTER (WHERE status = 'completed')::BIGINT AS completed FROM files GROUP BY job_id) SELECT *, CASE WHEN pending > 0 THEN 'processing' WHEN failed > 0 THEN 'error' WHEN completed > 0 THEN 'success' ELSE 'idle' END AS state FROM c",
     "terminal_cut": f"WITH {JOBS_SQL}, e AS (SELECT *, coalesce(max(CASE WHEN type = 'job_status' AND status IN ('completed', 'failed') THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM jobs) SELECT job_id, count(*)::BIGINT AS n, max(seq) AS last FROM e WHERE ended = 0 GROUP BY job_id",
