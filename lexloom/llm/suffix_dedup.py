@@ -46,7 +46,7 @@ BATCH_CHARS = 3_000_000
 #: Windows whose seeds are found at a time: arrays of 2 MB.
 CHUNK = 1 << 18
 #: Bytes of text per bucket of texts and per bucket of seeds.
-TEXT_BUCKET = 8 << 20
+TEXT_BUCKET = 3 << 20
 SEED_BUCKET = 6 << 20
 #: Bytes whose suffixes are sorted together, as a rule and at most.
 SORTED, MAX_SORTED = 1 << 20, 4 << 20
@@ -146,7 +146,7 @@ def find_seeds(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` bytes, equal ones by place. The text is a ring, as its transform is."""
+    """Suffixes in order of their first `depth` bytes, equal ones in any order. The text is a ring, as its transform is."""
     n = len(text)
     padded = np.resize(text, n + 8)
     key = np.zeros(n, np.uint64)
@@ -154,7 +154,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[i : i + n]
     known = min(8, depth)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if known >= depth:
             return order
         ranks = np.empty(n, np.int64)
@@ -429,7 +429,7 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
         return pd.DataFrame(out, columns=names)
 
     found = docs.mapInPandas(seeds, "bucket long, kind int, rows binary").groupBy("bucket").applyInPandas(classes, "bucket long, asks boolean, rows binary")
-    found = stored(found, "repeats")
+    # both parts of it are used below: the seeds' exchange is reused, and finding the classes again costs less than a table
     held = docs.mapInPandas(texts, "bucket long, index binary, texts binary")
     contexts = held.groupBy("bucket").cogroup(found.where("asks").select("bucket", "rows").groupBy("bucket")).applyInPandas(fetch, "bucket long, rows binary, bytes binary")
     more = contexts.groupBy("bucket").applyInPandas(expand, "bucket long, rows binary")
