@@ -40,8 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder, with the scheme of its file system, as executors without Spark's settings need it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}"))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -55,9 +56,9 @@ def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table made by `stored` which nothing reads any more."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    base = shared_dir(spark).split("://")[-1].replace("file:", "").rstrip("/")
+    base = posixpath.dirname(scratch(spark, "x")).split(":", 1)[-1].lstrip("/")
     for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
-        if base in folder:
+        if f"/{base}/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 

@@ -96,7 +96,9 @@ class TokenFile:
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    if uri.startswith("file:") and "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
 def put(uri: str, data: list[bytes]) -> None:
