@@ -1,13 +1,11 @@
-"""What the operators of this subpackage share: table access, the shared folder, ordered batches."""
+"""What the operators of this subpackage share: table access and the shared folder."""
 
 from __future__ import annotations
 
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,23 +59,3 @@ def drop_stored(df: DataFrame) -> None:
         if f"/{base}/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-
-
-def key_runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """Batches of a partition sorted by `key`, dealt anew so that no key is cut between two of them."""
-    rest: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        last = (batch[key] != batch[key].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield pd.concat([*rest, batch.iloc[:cut]], ignore_index=True)
-            rest = [batch.iloc[cut:]]
-        elif rest and (rest[-1][key].iloc[-1] != batch[key].iloc[0]).any():
-            yield pd.concat(rest, ignore_index=True)
-            rest = [batch]
-        else:
-            rest.append(batch)
-    if rest:
-        yield pd.concat(rest, ignore_index=True)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import key_runs, stored, whole
+from lexloom.llm.common import stored, whole
 from lexloom.llm.components import connected_components
 
 RADIUS = 4
@@ -85,6 +85,26 @@ def _forest(x: np.ndarray, radius: int, left_out: int, depth: int = 0) -> list[t
     return out
 
 
+def key_runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of a partition sorted by `key`, dealt anew so that no key is cut between two of them."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = (batch[key] != batch[key].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield pd.concat([*rest, batch.iloc[:cut]], ignore_index=True)
+            rest = [batch.iloc[cut:]]
+        elif rest and (rest[-1][key].iloc[-1] != batch[key].iloc[0]).any():
+            yield pd.concat(rest, ignore_index=True)
+            rest = [batch]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
 def near_duplicates(documents: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, fingerprint (16 hex digits), component_id.
 

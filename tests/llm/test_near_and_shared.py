@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -69,6 +70,17 @@ def test_large_buckets_are_split_without_loss(monkeypatch):
     assert all(root(i) == root(j) for i in range(200) for j in range(i) if (int(x[i]) ^ int(x[j])).bit_count() <= 4)
 
 
+def test_key_runs_never_cut_a_key():
+    r = random.Random(7)
+    for _ in range(100):
+        rows = pd.DataFrame({"t": sorted(r.choices(range(4), k=40)), "n": range(40)})
+        cuts = sorted(r.sample(range(41), 5))
+        got = list(simhash.key_runs((rows.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, 40], strict=True)), ["t"]))
+        assert pd.concat(got)["n"].tolist() == list(range(40))
+        seen = [set(x["t"]) for x in got]
+        assert sum(map(len, seen)) == len(set(rows["t"]))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {(r["node"], r["component"]) for r in connected_components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
