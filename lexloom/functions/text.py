@@ -28,7 +28,7 @@ QUESTION_WITH_REFERENCE = " ketentuan dalam peraturan ketenagakerjaan"
 QUESTION_WITHOUT_REFERENCE = " menurut peraturan ketenagakerjaan Indonesia"
 
 #: Line ends as Python's splitlines sees them.
-SPLIT_LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+SPLIT_LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def stripped(x: Column) -> Column:
@@ -52,7 +52,7 @@ def normalize_ascii(x: Column) -> Column:
 
 
 def _nfkc(line: str) -> str:
-    line = unicodedata.normalize("NFKC", line).replace(" ", " ").replace("­", "").replace("�", " ")
+    line = unicodedata.normalize("NFKC", line).replace("\u00a0", " ").replace("\u00ad", "").replace("\ufffd", " ")
     return " ".join("".join(c for c in line if unicodedata.category(c)[0] != "C").split())
 
 
@@ -110,14 +110,14 @@ def suspicious_text(x: Column) -> Column:
     letters = F.length(F.regexp_replace(tight, r"[^\p{L}\p{N}]", ""))
     tokens = F.filter(F.transform(F.split(collapsed(x), " "), lambda t: F.regexp_replace(t, r"^[.,;:()\[\]{}]+|[.,;:()\[\]{}]+$", "")), lambda t: t != "")
     single = F.size(F.filter(tokens, lambda t: F.length(t) == 1))
-    broken = F.contains(x, F.lit("�")) | F.contains(x, F.lit("\x00")) | F.contains(x, F.lit("(cid:"))
+    broken = F.contains(x, F.lit("\ufffd")) | F.contains(x, F.lit("\x00")) | F.contains(x, F.lit("(cid:"))
     ratio = (F.length(tight) >= 40) & ((letters / F.length(tight) < 0.45) | ((F.size(tokens) >= 20) & (single / F.greatest(F.size(tokens), F.lit(1)) > 0.45)))
     return (collapsed(x) != "") & (broken | ratio)
 
 
 def normalize_query(x: Column) -> Column:
     """A question with white space collapsed and article and paragraph references in one form. NFKC is the caller's (normalize_lines)."""
-    spaced = collapsed(F.replace(x, F.lit(" "), F.lit(" ")))
+    spaced = collapsed(F.replace(x, F.lit("\u00a0"), F.lit(" ")))
     article = F.regexp_replace(spaced, r"(?i)\bpasal\s*([0-9]+[a-z]?)\b", "Pasal $1")
     return F.regexp_replace(article, r"(?i)\bayat\s*(?:\(\s*)?([0-9]+)(?:\s*\))?", "Ayat $1")
 

@@ -15,7 +15,7 @@ def one(spark, value, f):
 
 @pytest.mark.parametrize(
     ("raw", "line"),
-    [("a\tb", "ab"), ("a b", "a b"), ("so­ft", "soft"), ("a�b", "a b"), ("ﬁn", "fin"), ("  a   b ", "a b"), ("", ""), (None, None), ("é́\x07", "é́")],
+    [("a\tb", "ab"), ("a\u00a0b", "a b"), ("so\u00adft", "soft"), ("a\ufffdb", "a b"), ("ﬁn", "fin"), ("  a   b ", "a b"), ("", ""), (None, None), ("é́\x07", "é́")],
 )
 def test_lines_are_normalised(spark, raw, line):
     df = spark.createDataFrame([(raw,)], "line string")
