@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces after which a worker starts a new table and keeps of the old one what it still meets. About 200 bytes each.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 400_000
 
 #: White space besides the blank and the newline.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
@@ -54,7 +54,7 @@ class PieceEncoder:
 
     def _piece_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, many in one text: the mark between them is a token of its own that no piece holds."""
-        if len(pieces) < 2 or any(self.mark in p for p in pieces) or (not self.leading and any(not p or p.isspace() for p in pieces)):
+        if len(pieces) < 2:
             return self._ids(pieces)
         ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(pieces)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(ids == self.mark_id)
@@ -78,26 +78,41 @@ class PieceEncoder:
             return text.replace("\n", " ").split(" ")
         if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or _OTHER_SPACE.search(text):
             return None
-        # blanks stay with the word that follows, newlines stand alone
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+        # a blank belongs to the word that follows and is left out of its key; the first word of a line, which has none, is
+        # marked by a NUL; newlines stand alone
+        out: list[str] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = "\x00" + words[0]
+            out += words
+            out.append("\n")
+        out.pop()
+        return out
+
+    def _text(self, key: str) -> str:
+        """What a key of `known` stands for."""
+        return key if not self.leading or key == "\n" else key[1:] if key[0] == "\x00" else " " + key
 
     def _learn(self, new: set[str]) -> None:
         """Adds pieces to those known. Letters and ASCII signs after them never merge, so `word.` is `word` and `.`."""
-        known = self.known
-        cores = [(p, p.rstrip(_SIGNS)) for p in new if p[-1:] in _SIGN_SET]
-        ended = [(p, core, p[len(core) :]) for p, core in cores if core[-1:].isalpha() and core[-1] < "\u0530"]
-        new.difference_update(p for p, _, _ in ended)
-        new |= {x for _, *parts in ended for x in parts}.difference(known)
+        known, mark, ended, todo = self.known, "\x00" if self.leading else "", [], []
+        for p in new:
+            if p[-1:] in _SIGN_SET:
+                core = p.rstrip(_SIGNS)
+                if core[-1:].isalpha() and core[-1] < "\u0530":
+                    ended.append((p, core, mark + p[len(core) :]))
+                    continue
+            todo.append(p)
+        todo += {x for _, *parts in ended for x in parts}.difference(known, new)
         if not self.leading:
             known[""] = b""
-            new.discard("")
-        todo = list(new)
         plain = [p for p in todo if self.mark not in p]
         if len(plain) < len(todo):
             odd = [p for p in todo if self.mark in p]
-            known.update(zip(odd, self._ids(odd), strict=True))
+            known.update(zip(odd, self._ids(list(map(self._text, odd))), strict=True))
         for a in range(0, len(plain), 2000):
-            known.update(zip(plain[a : a + 2000], self._piece_ids(plain[a : a + 2000]), strict=True))
+            part = plain[a : a + 2000]
+            known.update(zip(part, self._piece_ids(list(map(self._text, part))), strict=True))
         for p, core, signs in ended:
             known[p] = known[core] + known[signs]
 

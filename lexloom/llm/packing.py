@@ -18,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.llm.common import drop_stored, stored, whole
 from lexloom.llm.encode import encoder, ids_crc32
-from lexloom.llm.token_file import groups
+from lexloom.llm.token_file import text_groups
 
 CAPACITY = 4096
 CELL = 4000
@@ -178,22 +180,23 @@ def pack_documents(documents: DataFrame, tokenizer: str, *, end_id: int, capacit
     """
     kind = documents.schema[id_col].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         code, task, seen = encoder(tokenizer, "dropped"), TaskContext.get().partitionId(), 0
-        for group in groups(batches):
+        for docs_of, texts in text_groups(batches):
             rows = []
-            for doc, data in zip(group["id"], code.encode(group["text"]), strict=True):
+            for doc, data in zip(docs_of, code.encode(texts), strict=True):
                 ids = np.append(np.frombuffer(data, code.kind), code.kind.type(end_id)).astype("<u4")
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     part = ids[a : a + capacity]
                     rows.append((doc, k, a, len(part), ids_crc32(part), (task << 24) + seen // CELL, seen % CELL))
                     seen += 1
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "cell", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32", "cell", "item"])
 
     docs = documents.select(documents[id_col].alias("id"), whole(documents[text_col]).alias("text"))
-    pieces = stored(docs.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, cell long, item int"), "pieces")
+    kinds = [to_arrow_type(documents.schema[id_col].dataType), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    pieces = stored(docs.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, cell long, item int"), "pieces")
     first = pack_cells(pieces.select("cell", "item", F.col("length").cast("int").alias("length")), capacity)
     full = F.col("fill") >= WELL_FILLED * capacity
     # what is not well filled is dealt out evenly over new cells

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,17 @@ def groups(batches: Iterator[pd.DataFrame], limit: int = GROUP_CHARS) -> Iterato
             yield batch.iloc[own]
 
 
+def text_groups(batches: Iterator[pa.RecordBatch], limit: int = GROUP_CHARS) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of (id, text) rows in order, in groups of about `limit` bytes; only a group at a time becomes Python strings."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff(total // limit)) + 1).tolist(), len(total)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                part = batch.slice(a, b - a)
+                yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
 def write_token_files(documents: DataFrame, tokenizer: str, *, end_id: int, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, adds end_id, writes files in ascending id order; returns (path, shard, part, first, n_docs, n_ids).
 
@@ -137,7 +150,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, *, end_id: int, part
     docs = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(-(2**63))).alias("id"), whole(documents[text_col]).alias("text"))
     ordered = (docs.repartitionByRange(partitions, "id") if partitions else docs.repartitionByRange("id")).sortWithinPartitions("id", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, part, code = TaskContext.get().partitionId(), 0, encoder(tokenizer, "leading")
@@ -145,23 +158,24 @@ def write_token_files(documents: DataFrame, tokenizer: str, *, end_id: int, part
         end = np.array([end_id], code.kind).tobytes()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             ids, lengths, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
             path = f"{folder}/{shard:06d}-{part:06d}.tok"
             put(path, [to_bytes(ids, lengths, tokens, bits)])
-            return pd.DataFrame({"path": [path], "shard": [shard], "part": [part], "first": [int(ids[0])], "n_docs": [len(ids)], "n_ids": [len(tokens)]})
+            values = {"path": pa.array([path]), "shard": pa.array([shard], pa.int32()), "part": pa.array([part], pa.int32()), "first": pa.array([int(ids[0])]), "n_docs": pa.array([len(ids)]), "n_ids": pa.array([len(tokens)])}
+            return pa.RecordBatch.from_pydict(values)
 
-        for group in groups(batches):
-            out = [x + end for x in code.encode(group["text"])]
+        for docs_of, texts in text_groups(batches):
+            out = [x + end for x in code.encode(texts)]
             lengths = np.array([len(x) for x in out], np.int64) // code.kind.itemsize
-            held.append((group["id"].to_numpy(np.int64), lengths, np.frombuffer(b"".join(out), code.kind)))
+            held.append((np.array(docs_of, np.int64), lengths, np.frombuffer(b"".join(out), code.kind)))
             if sum(len(x[2]) for x in held) >= SHARD_IDS:
                 yield close()
                 held, part = [], part + 1
         if held:
             yield close()
 
-    return stored(ordered.mapInPandas(write, "path string, shard int, part int, first long, n_docs long, n_ids long"), "token-files")
+    return stored(ordered.mapInArrow(write, "path string, shard int, part int, first long, n_docs long, n_ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
