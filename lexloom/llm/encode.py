@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces after which a worker starts a new table and keeps of the old one what it still meets. About 200 bytes each.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 
 #: White space besides the blank and the newline.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
@@ -119,7 +119,8 @@ class PieceEncoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = list(texts)
         cut = [self._pieces(t) if t else [] for t in texts]
-        if len(self.known) > KEPT_PIECES:
+        # lower-cased words repeat more, and packing runs beside larger stages: fewer are kept
+        if len(self.known) > (KEPT_PIECES if self.leading else KEPT_PIECES * 5 // 8):
             self.known, self.older = {}, self.known
         known = self.known
         flat = list(chain.from_iterable(p for p in cut if p))
