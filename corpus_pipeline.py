@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import pii
 from lexloom.llm.common import stored, table
+from lexloom.llm.components import connected_components
 from lexloom.llm.decontaminate import find_contamination
 from lexloom.llm.packing import pack_documents
 from lexloom.llm.quality_rules import judge
 from lexloom.llm.queries import vocabulary
 from lexloom.llm.simhash import near_duplicates
+from lexloom.llm.similar import similar_links
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids that are broadcast at most (8 bytes each); more are joined by shuffling.
@@ -43,8 +45,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays. Rows without an id pass."""
-    return _without(docs, near_duplicates(docs).where("doc_id <> component_id"))
+    """Of each group the document of the smallest id stays. Rows without an id pass.
+
+    Groups are chains of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, or whose SimHash
+    fingerprints differ in four bits or fewer.
+    """
+    prints = near_duplicates(docs).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    groups = connected_components(similar_links(docs).unionByName(prints))
+    return _without(docs, groups.where("node <> component").select(F.col("node").alias("doc_id")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
