@@ -33,24 +33,23 @@ def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, *, files_
 def stream_progress(events: DataFrame) -> DataFrame:
     """fold_progress as a stream: a row with the new state of each file that a batch touches (update mode)."""
     names = [x.split()[0] for x in _FOLDED.split(", ")]
+    n = len(names) - 1
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, held = (state.get[0], list(state.get[1:])) if state.exists else (-1, [None] * (len(names) - 1))
+        # each value has the seq it came with: a key's chunks come in no promised order, and a replay changes nothing
+        held, seqs = (list(state.get[:n]), list(state.get[n:])) if state.exists else ([None] * n, [-1] * n)
         for rows in batches:
-            for x in rows.sort_values("seq").itertuples():
-                if x.seq <= seq:
-                    continue  # a replay changes nothing
-                seq = int(x.seq)
+            for x in rows.itertuples():
                 for i, c in enumerate(names[1:]):
                     v = getattr(x, c)
                     v = None if pd.isna(v) else v if isinstance(v, str) else float(v) if c == "progress_percent" else int(v)
-                    if c in LAST or v is not None:
-                        held[i] = v
-        state.update((seq, *held))
+                    if x.seq > seqs[i] and (c in LAST or v is not None):
+                        held[i], seqs[i] = v, int(x.seq)
+        state.update((*held, *seqs))
         yield pd.DataFrame([(key[0], *held)], columns=names)
 
     own = events.where((F.col("filename") != "-") & (F.col("type") != "job_status"))
-    return own.groupBy("filename").applyInPandasWithState(fold, _FOLDED, f"seq long, {_FOLDED.partition(', ')[2]}", "update", GroupStateTimeout.NoTimeout)
+    return own.groupBy("filename").applyInPandasWithState(fold, _FOLDED, ", ".join([_FOLDED.partition(", ")[2], *(f"{c}_seq long" for c in names[1:])]), "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_registry(log: DataFrame) -> DataFrame:
