@@ -126,7 +126,9 @@ def index_batches(chunks: DataFrame, size: int = 8, by: str = "doc_id", order: s
 
 
 def fold_batches(batches: Iterator[pd.DataFrame], state: dict | None) -> dict | None:
-    """The state after more batches of one hash, for stateful streams."""
-    for rows in batches:
-        _, state = _fold(rows.sort_values("seq"), state)
-    return state
+    """The state after more batches of one hash, for stateful streams.
+
+    They come in no promised order, so a hash's rows of a micro-batch are put in order as a whole before they are folded.
+    """
+    held = list(batches)
+    return _fold(pd.concat(held).sort_values("seq"), state)[1] if held else state

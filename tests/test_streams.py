@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lexloom.operators import events
+from lexloom.operators import events, registry
 from lexloom.streaming import jobs
 
 
@@ -32,3 +32,15 @@ def test_progress_does_not_depend_on_the_order_of_chunks(spark, small_chunks, tm
     want = events.fold_progress(log)
     got = latest(spark, jobs.stream_progress(jobs.event_stream(spark, f"{tmp_path}/log")), "filename", tmp_path)
     assert got == sorted(map(str, want.select(*sorted(want.columns)).collect()))
+
+
+def test_registry_does_not_depend_on_the_order_of_chunks(spark, small_chunks, tmp_path):
+    r = random.Random(4)
+    rows = [(i, "reserve" if i % 5 == 0 else "update", f"h{r.randint(0, 2)}", "d", "f.pdf", f"i{i // 40}", r.choice(("processing", "completed", "failed")), r.choice((None, i)), r.choice((None, "boom"))) for i in range(300)]
+    r.shuffle(rows)
+    schema = "seq long, op string, document_hash string, document_id string, filename string, ingestion_id string, status string, indexed_chunks int, error string"
+    log = spark.createDataFrame(rows, schema).coalesce(1)
+    log.write.parquet(f"{tmp_path}/log")
+    want = registry.registry_state(log)
+    got = latest(spark, jobs.stream_registry(jobs.event_stream(spark, f"{tmp_path}/log", schema)), "document_hash", tmp_path)
+    assert got == sorted(map(str, want.select(*sorted(want.columns)).collect()))
