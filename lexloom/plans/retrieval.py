@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import INSUFFICIENT_EVIDENCE, OUT_OF_SCOPE, append_citations, clean_answer, normalize_query, parse_scope, question_ok, rewrite_query, text_length
@@ -69,15 +69,24 @@ def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.sources(citation_hits(spark, sf_dir))
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _questions(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     i = F.col("item_id")
     tail = F.when(i % 3 == 0, F.concat(F.lit(" PASAL"), (i % 90).cast("string"), F.lit("A  ayat ( "), (i % 7).cast("string"), F.lit(" ) apa"))).when(i % 3 == 1, "  pasal 5 b").otherwise("  \t ")
-    return table(spark, sf_dir, "benchmark").select(i, F.concat(F.lit("  "), F.substring("text", 1, 80), tail).alias("question"))
+    return table(spark, sf_dir, "benchmark").select(i, F.concat(F.lit("  "), text, tail).alias("question"))
 
 
-def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rewritten(questions: DataFrame) -> DataFrame:
     q = F.col("question")
-    return _questions(spark, sf_dir).select("item_id", normalize_query(q).alias("normalized"), rewrite_query(q).alias("rewritten"), text_length(q).alias("n"), question_ok(q).alias("ok"))
+    return questions.select("item_id", normalize_query(q).alias("normalized"), rewrite_query(q).alias("rewritten"), text_length(q).alias("n"), question_ok(q).alias("ok"))
+
+
+def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of the first 80 characters, as its SQL has them; query_rewrite_whole takes all."""
+    return _rewritten(_questions(spark, sf_dir, F.substring("text", 1, 80)))
+
+
+def query_rewrite_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rewritten(_questions(spark, sf_dir, F.col("text")))
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +124,7 @@ def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", vectors.dense_ok(v).alias("dense_ok"), vectors.sparse_ok(F.col("w")).alias("sparse_ok"), F.array_join(F.transform(indices, lambda x: x.cast("string")), ",").alias("indices"), F.size(values).cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (dense_topk, sparse_topk, hybrid_rrf, rerank_threshold, no_evidence, parent_context, prompt_context, source_list, query_rewrite, answer_clean, citation_append, scope_parse, vector_checks)}
+QUERIES = {f.__name__: f for f in (dense_topk, sparse_topk, hybrid_rrf, rerank_threshold, no_evidence, parent_context, prompt_context, source_list, query_rewrite, query_rewrite_whole, answer_clean, citation_append, scope_parse, vector_checks)}
 
 _DENSE = r"""
 dense AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::BIGINT AS rank FROM
@@ -165,3 +174,4 @@ length(s)::BIGINT AS n, length(question) BETWEEN 1 AND 2000 AND s <> '' AS ok FR
     "vector_checks": r"""SELECT vec_id, len(embedding) > 0 AS dense_ok, true AS sparse_ok, array_to_string(list_filter([CASE WHEN embedding[3] <> 0 THEN '1' END, CASE WHEN vec_id % 2 <> 0 AND embedding[2] <> 0 THEN '3' END, CASE WHEN embedding[1] <> 0 THEN '7' END], lambda x: x IS NOT NULL), ',') AS indices,
 ((embedding[3] <> 0)::INTEGER + (vec_id % 2 <> 0 AND embedding[2] <> 0)::INTEGER + (embedding[1] <> 0)::INTEGER)::BIGINT AS n FROM embeddings""",
 }
+ORACLES["query_rewrite_whole"] = ORACLES["query_rewrite"].replace("substr(text, 1, 80)", "text")
