@@ -6,6 +6,7 @@ file or document and lives as long as the job log.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexloom.operators.events import KEPT, LAST, is_terminal
+from lexloom.operators.events import KEPT, LAST, is_terminal, up_to_terminal
 from lexloom.operators.registry import STATE, fold_batches
 
 EVENTS = (
@@ -85,19 +86,29 @@ def to_latest(stream: DataFrame, key: str, path: str, checkpoint: str, *, once:
     return (out.trigger(availableNow=True) if once else out).start()
 
 
-def follow_job(events: DataFrame, job_id: str, send: Callable[[list[dict]], None], checkpoint: str) -> StreamingQuery:
+def follow_job(events: DataFrame, job_id: str, send: Callable[[list[dict]], None], checkpoint: str, *, every: str = "1 second") -> StreamingQuery:
     """Sends a job's events as they come and stops at the one that ends it."""
-    queries: list[StreamingQuery] = []
+    ended = threading.Event()
 
     def deliver(batch: DataFrame, _: int) -> None:
+        if ended.is_set():
+            return
+        own = batch.where(F.col("job_id") == job_id)
         # the events of one job, which its reader gets one by one anyway
-        rows = [r.asDict() for r in batch.where(F.col("job_id") == job_id).orderBy("seq").toLocalIterator()]
-        send(rows)
-        if batch.where((F.col("job_id") == job_id) & is_terminal(F.col("type"), F.col("status"))).limit(1).count() and queries:
-            queries[0].stop()
+        send([r.asDict() for r in up_to_terminal(own).orderBy("seq").toLocalIterator()])
+        if own.where(is_terminal(F.col("type"), F.col("status"))).limit(1).count():
+            ended.set()
 
-    queries.append(events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver).trigger(availableNow=True).start())
-    return queries[0]
+    query = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver).trigger(processingTime=every).start()
+
+    def stop() -> None:
+        # from a thread of its own: a query that is stopped by its own batch would wait for itself
+        while query.isActive and not ended.wait(1):
+            pass
+        query.stop()
+
+    threading.Thread(target=stop, daemon=True).start()
+    return query
 
 
 __all__ = ["EVENTS", "KEPT", "event_stream", "follow_job", "publish", "stream_progress", "stream_registry", "to_latest"]

@@ -44,3 +44,20 @@ def test_registry_does_not_depend_on_the_order_of_chunks(spark, small_chunks, tm
     want = registry.registry_state(log)
     got = latest(spark, jobs.stream_registry(jobs.event_stream(spark, f"{tmp_path}/log", schema)), "document_hash", tmp_path)
     assert got == sorted(map(str, want.select(*sorted(want.columns)).collect()))
+
+
+def test_follow_job_sends_later_events_up_to_the_end(spark, tmp_path):
+    def event(seq, job, kind, status):
+        return (seq, kind, job, "f", "s", status, *[None] * 11)
+
+    def add(*rows):
+        jobs.publish(spark.createDataFrame(rows, jobs.EVENTS).coalesce(1), f"{tmp_path}/log")
+
+    sent = []
+    add(event(1, "a", "document_status", "queued"), event(2, "b", "job_status", "completed"))
+    query = jobs.follow_job(jobs.event_stream(spark, f"{tmp_path}/log"), "a", sent.extend, f"{tmp_path}/checkpoint")
+    query.processAllAvailable()
+    assert [x["seq"] for x in sent] == [1] and query.isActive
+    add(event(3, "a", "document_status", "completed"), event(4, "a", "job_status", "completed"), event(5, "a", "document_status", "late"))
+    assert query.awaitTermination(30)
+    assert [x["seq"] for x in sent] == [1, 3, 4]
