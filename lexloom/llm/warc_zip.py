@@ -31,6 +31,10 @@ from lexloom.llm.token_file import opened, put
 PACKAGE_BYTES = 64 << 20
 #: Payloads from this many bytes on are deduplicated.
 MIN_PAYLOAD = 0
+#: Groups of equal payloads that are broadcast at most (about 70 bytes each).
+BROADCAST_GROUPS = 100_000
+#: Bytes of neighbouring records that are read at once, but for a single larger record.
+READ_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -54,10 +58,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     body = head if revisit else head + payload
     target = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>",
         f"WARC-Date: {DATE}", *([f"WARC-Target-URI: {target}"] if target else []), f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}",
         *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{digest}')}>", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}",
     ]
     z = zlib.compressobj(3, zlib.DEFLATED, 31)
@@ -126,7 +130,7 @@ class ZipPackage:
             sign, _, _, _, _, _, _, n, length, at = _END64.unpack(read(where, _END64.size))
             if sign != b"PK\6\6":
                 raise ValueError("no ZIP64 end record")
-        self.members: dict[str, tuple[int, int, int]] = {}
+        self.members: dict[str, tuple[int, int, int, int]] = {}
         data, pos = read(at, length), 0
         for _ in range(n):
             sign, _, _, _, method, _, _, crc, packed, full, n_name, n_extra, n_note, _, _, _, offset = _CENTRAL.unpack_from(data, pos)
@@ -142,14 +146,14 @@ class ZipPackage:
                     packed = next(field) if packed == _BIG else packed
                     offset = next(field) if offset == _BIG else offset
                 e += 4 + n_field
-            if method:
-                raise ValueError(f"member {name} is not stored")
-            self.members[name] = (offset, packed, crc)
+            self.members[name] = (offset, packed, crc, method)
             pos += _CENTRAL.size + n_name + n_extra + n_note
 
     def start(self, name: str) -> int:
-        """Where the bytes of a stored member begin."""
-        offset = self.members[name][0]
+        """Where the bytes of a stored member begin; members that are compressed cannot be read by range."""
+        offset, method = self.members[name][0], self.members[name][3]
+        if method:
+            raise ValueError(f"member {name} is not stored")
         head = _LOCAL.unpack(self.read(offset, _LOCAL.size))
         if head[0] != b"PK\3\4":
             raise ValueError("a broken local header")
@@ -165,24 +169,42 @@ class ZipPackage:
 # ---- tables ----------------------------------------------------------------------------------------------------------
 
 
-def plan_records(pages: DataFrame, *, min_payload: int = MIN_PAYLOAD, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page, refers_to) of the pages that become revisits."""
-    payload = F.encode(whole(pages[html_col]), "UTF-8")
-    rows = stored(pages.select(pages[id_col].cast("long").alias("page"), F.sha1(payload).alias("sha"), F.length(payload).alias("n")).where(F.col("page").isNotNull() & (F.col("n") >= min_payload)), "payloads")
-    groups = rows.groupBy("sha", "n").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha", "n", "keeper")
-    return rows.join(groups, ["sha", "n"]).where("page < keeper").select("page", F.col("keeper").alias("refers_to")).distinct()
+def payload_groups(rows: DataFrame, *, min_payload: int = MIN_PAYLOAD) -> tuple[DataFrame, int]:
+    """(sha, n, keeper, copies) of the payloads of at least `min_payload` bytes that several of the (page, sha, n) rows have, and the number of rows."""
+    groups = rows.where(F.col("page").isNotNull() & (F.col("n") >= min_payload)).groupBy("sha", "n").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("copies"))
+    return stored(groups.where("copies > 1"), "payloads"), rows.count()
+
+
+def _with_keepers(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """rows with the keeper of their payload's group, null where there is none. Pages move only where there are very many groups.
+
+    Up to BROADCAST_GROUPS groups are broadcast. Of more, those of over total / BROADCAST_GROUPS rows are, of which there
+    cannot be more than BROADCAST_GROUPS; the others have no payload that is hot and are joined by shuffling.
+    """
+    groups = groups.select(F.col("sha").alias("__sha"), F.col("n").alias("__n"), "keeper", "copies")
+    same = (F.col("sha") == F.col("__sha")) & (F.col("n") == F.col("__n"))
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), same, "left")
+    large = F.col("copies") * BROADCAST_GROUPS > total
+    first = rows.join(F.broadcast(groups.where(large)), same, "left")
+    loose = F.col("keeper").isNull() & F.col("page").isNotNull()
+    return first.where(~loose).unionByName(first.where(loose).drop("__sha", "__n", "keeper", "copies").join(groups.where(~large), same, "left"))
 
 
 def write_packages(pages: DataFrame, *, min_payload: int = MIN_PAYLOAD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record per row into packages in the shared folder; returns (path, n_records, n_bytes).
 
-    A null html is an empty payload; a row with a null id is a response. Rows that repeat an id are written each, with
-    the same role. An empty table gives no package. Other columns are not read. Texts stay where they are: only the plan
-    of revisits (two longs a row) is dealt out and joined to the pages by id.
+    A null html is an empty payload; a row with a null id is a response, and nothing refers to it. Rows that repeat an id
+    are records of their own: each is judged by its own payload, and rows of the largest id of a payload are all
+    responses. An empty table gives no package. Other columns are not read. Texts stay where they are: payloads are
+    grouped by digest and length, and the groups go to the pages (see `_with_keepers`).
     """
     folder = scratch(pages.sparkSession, "warc")
-    plan = plan_records(pages, min_payload=min_payload, id_col=id_col, html_col=html_col)
-    rows = pages.select(pages[id_col].cast("long").alias("page"), pages[url_col].alias("url"), whole(pages[html_col]).alias("html")).join(plan, "page", "left")
+    payload = F.encode(whole(pages[html_col]), "UTF-8")
+    own = [pages[id_col].cast("long").alias("page"), F.sha1(payload).alias("sha"), F.length(payload).alias("n")]
+    groups, total = payload_groups(pages.select(*own), min_payload=min_payload)
+    rows = _with_keepers(pages.select(*own, pages[url_col].alias("url"), whole(pages[html_col]).alias("html")), groups, total)
+    rows = rows.select("page", "url", "html", F.when(F.col("page") < F.col("keeper"), F.col("keeper")).alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -214,6 +236,21 @@ def write_packages(pages: DataFrame, *, min_payload: int = MIN_PAYLOAD, id_col:
     return stored(rows.mapInPandas(write, "path string, n_records long, n_bytes long"), "packages")
 
 
+def _records(at: Callable[[int, int], bytes], places: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The bytes at (offset, length) places in their order; neighbours are read together, READ_BYTES at a time."""
+    k = 0
+    while k < len(places):
+        start = end = places[k][0]
+        j = k
+        while j < len(places) and places[j][0] == end and (j == k or end + places[j][1] - start <= READ_BYTES):
+            end += places[j][1]
+            j += 1
+        data = memoryview(at(start, end - start))
+        for offset, length in places[k:j]:
+            yield bytes(data[offset - start : offset - start + length])
+        k = j
+
+
 def read_packages(packages: DataFrame, *, id_col: str = "page_id") -> DataFrame:
     """One row per record of the packages: its id, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -232,9 +269,9 @@ def read_packages(packages: DataFrame, *, id_col: str = "page_id") -> DataFrame:
                     package, rows = ZipPackage(at, f.size()), []
                     starts = {name: package.start(name) for name in package.members if name.startswith("archive/")}
                     for name in (n for n in package.members if n.startswith("indexes/")):
-                        for line in package.member(name).splitlines():
-                            x = json.loads(line)
-                            head, payload = parse_record(at(starts[x["filename"]] + x["offset"], x["length"]))
+                        index = [json.loads(line) for line in package.member(name).splitlines()]
+                        for data in _records(at, [(starts[x["filename"]] + x["offset"], x["length"]) for x in index]):
+                            head, payload = parse_record(data)
                             kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                             if kind == "response" and digest_of(payload) != digest:
                                 raise ValueError(f"a damaged payload in {path}")
