@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import tempfile
 import uuid
@@ -13,6 +14,11 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Rows of a table that are broadcast at most (some 30 bytes each).
+BROADCAST_ROWS = 500_000
+#: Parts into which each key is dealt where a table is too large for that.
+SALTS = 16
+
 #: Folders of sessions that name none, by application.
 _OWN: dict[str, str] = {}
 
@@ -28,9 +34,14 @@ def whole(text: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only where none is named."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session (all of it in one process) takes a temporary folder; on a cluster that is an error.
+    """
     base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lexloom-"))
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
@@ -50,6 +61,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", *, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with a table that has each combination of `keys` once; null keys meet null ones.
+
+    A table of at most `bound` rows is broadcast. A larger one is repeated SALTS times and dealt out by key and salt,
+    where the salt of a row is its place in its partition: a key that a third of all rows have is split SALTS times.
+    """
+    if table.limit(bound + 1).count() <= bound:
+        small, more = F.broadcast(table), []
+    else:
+        small, more = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__salt"]
+        rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    small = small.withColumnsRenamed({k: f"__{k}" for k in [*keys, *more]})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in [*keys, *more]]
+    out = rows.join(small, functools.reduce(lambda a, b: a & b, same), how)
+    return out.drop(*[f"__{k}" for k in [*keys, *more]], *more)
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a `row` number of their own each, written to the shared folder so that the numbers stay."""
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table made by `stored` which nothing reads any more."""
     spark = df.sparkSession
