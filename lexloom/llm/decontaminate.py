@@ -6,22 +6,25 @@ holds a window holds its fingerprint: no shared span of WINDOW words is missed.
 the benchmark's are candidates; each candidate window is then extended to its full words and compared as text, so chance
 hits of short spans do not count. Items shorter than WINDOW are found by the hash of all their words.
 
-The fingerprints of the benchmark are sent with the plan while there are at most INLINE of them (8 bytes each); beyond
-that the documents' fingerprints are exploded and joined, which shuffles (fingerprint, key) rows and no texts.
+The documents' fingerprints, with their places, and the benchmark's meet in a join. Of the benchmark at most
+BROADCAST_PRINTS fingerprints and BROADCAST_WINDOWS windows are broadcast; more are dealt out by key and salt, which
+moves (fingerprint, place, key) rows and no texts.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored, whole
+from lexloom.llm.common import attach, stored, whole
 
 WINDOW = 10
 K = 5
-INLINE = 20_000
+#: Fingerprints of the benchmark that are broadcast at most (8 bytes each).
+BROADCAST_PRINTS = 2_000_000
 #: Windows of the benchmark that are broadcast at most (about 100 bytes each).
 BROADCAST_WINDOWS = 200_000
 
@@ -62,63 +65,46 @@ def window_prints(words: Column, length: int, window: int = WINDOW, k: int = K)
     return _bind(_grams(words, k), least)
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = K, inline: int = INLINE, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, n_words, n_hit, n_items (long), items (array of string, sorted), contaminated.
+def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = K, broadcast_prints: int = BROADCAST_PRINTS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """One row per row of documents: its id, n_words, n_hit, n_items (long), items (array of string, sorted), contaminated.
 
     A word is hit if it lies in an occurrence of a window; items are those with a window in the document. Null and empty
-    texts have no words, and match nothing. Rows that repeat an id and text count once; one id with several texts gives
-    a row for each; a null id is an id like any other. An empty benchmark hits nothing. Other columns are not read.
+    texts have no words, and match nothing. Rows that repeat an id, or id and text, have a result each; a null id is an id
+    like any other. Items without an id or a word are left out, an empty benchmark hits nothing, an empty table of
+    documents gives no row. Other columns are not read.
     """
-    spark = documents.sparkSession
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), exact_words(whole(benchmark[text_col])).alias("w"), loose_words(whole(benchmark[text_col])).alias("lw"))
-    items = items.where((F.size("w") > 0) & F.col("item").isNotNull()).select("item", "w", "lw", F.least(F.size("w"), F.lit(window)).alias("len"))
+    items = stored(items.where((F.size("w") > 0) & F.col("item").isNotNull()).select("item", "w", "lw", F.least(F.size("w"), F.lit(window)).alias("len")), "items")
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most `window` values
-    text, key = whole(documents[text_col]), [documents[id_col].alias("id"), F.xxhash64(whole(documents[text_col])).alias("th")]
+    text = whole(documents[text_col])
+    docs = documents.select(documents[id_col].alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    none = F.array().cast("array<string>")
     if not lengths:
-        rows = documents.select(*key, F.size(loose_words(text)).cast("long").alias("n_words")).distinct()
-        return rows.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
-
-    pick = lambda f: F.flatten(F.array(*[f(n) for n in lengths]))
-    own = lambda n: F.when(F.col("len") == n, window_prints(F.col("lw"), n, window, k)).otherwise(F.array().cast("array<bigint>"))
-    prints = items.select(F.explode(pick(own)).alias("fp")).distinct()
-    first = [r[0] for r in prints.limit(inline + 1).collect()]
-
-    rows = documents.select(*key, text.alias("text"), loose_words(text).alias("lw"))
-    every = pick(lambda n: window_prints(F.col("lw"), n, window, k))
-    if len(first) <= inline:
-        listed = ", ".join(f"{x}L" if x != -(2**63) else "-9223372036854775807L - 1L" for x in first)
-        rows = rows.select("id", "th", "text", F.size("lw").cast("long").alias("n_words"), every.alias("fps"))
-        rows = rows.select("id", "th", "text", "n_words", F.expr(f"exists(fps, x -> x in ({listed}))").alias("met"))
-        seen = stored(rows.select("id", "th", "n_words", F.when(F.col("met"), F.col("text")).alias("text")), "contamination")
-        words = seen.select("id", "th", "n_words").distinct()
-        met = seen.where(F.col("text").isNotNull()).dropDuplicates(["id", "th"])
-    else:
-        words = rows.select("id", "th", F.size("lw").cast("long").alias("n_words")).distinct()
-        ids = rows.select("id", "th", F.explode(F.array_distinct(every)).alias("fp")).join(prints, "fp", "left_semi").select(F.col("id").alias("id2"), F.col("th").alias("th2")).distinct()
-        met = rows.join(ids, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left_semi").select("id", "th", "text").dropDuplicates(["id", "th"])
-
-    # extend the hits: windows whose fingerprint is the benchmark's, as text
-    def spans(source: DataFrame, keep: list[str], n: int, only: str) -> DataFrame:
-        at = F.transform(window_prints(F.col("lw"), n, window, k), lambda x, i: F.struct(x.alias("fp"), i.alias("at")))
-        out = source.select(*keep, "w", at.alias("at")).select(*keep, "w", F.explode(F.expr(f"filter(at, x -> {only})")).alias("x"))
-        return out.select(*keep, F.col("x.at").alias("at"), F.lit(n).alias("len"), F.array_join(F.slice("w", F.col("x.at") + 1, F.lit(n)), " ").alias("span"))
-
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
-
-    known = union([spans(items.where(F.col("len") == n), ["item"], n, "true") for n in lengths])
-    known = known.groupBy("span", "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    if known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    met = met.select("id", "th", exact_words(F.col("text")).alias("w"), loose_words(F.col("text")).alias("lw"))
-    held = f"x.fp in ({listed})" if len(first) <= inline else "true"
-    hits = union([spans(met, ["id", "th"], n, held) for n in lengths]).join(known, ["span", "len"])
+        zero = F.lit(0).cast("long")
+        return docs.select(F.col("id").alias(id_col), F.size(loose_words(F.col("text"))).cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), none.alias("items"), F.lit(False).alias("contaminated"))
+
+    # fingerprints of both sides, by window, meet in a join
+    def prints(n: int) -> Column:
+        return F.struct(F.lit(n).alias("len"), window_prints(F.col("lw"), n, window, k).alias("fps"))
+
+    own = items.select(F.explode(functools.reduce(lambda c, n: c.when(F.col("len") == n, prints(n)["fps"]), lengths[1:], F.when(F.col("len") == lengths[0], prints(lengths[0])["fps"]))).alias("fp")).distinct()
+    every = docs.select("id", "th", loose_words(F.col("text")).alias("lw")).select("id", "th", F.explode(F.array(*[prints(n) for n in lengths])).alias("x"))
+    every = every.select("id", "th", F.col("x.len").alias("len"), F.posexplode("x.fps").alias("at", "fp"))
+    places = attach(every, own, ["fp"], "left_semi", bound=broadcast_prints)
+    places = stored(places.groupBy("id", "th").agg(F.collect_set(F.struct("at", "len")).alias("places")), "places")
+
+    # candidates become text and are held against the benchmark's windows
+    spans = _bind(exact_words(F.col("text")), lambda w: F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice(w, x["at"] + 1, x["len"]), " ").alias("span"))))
+    seen = attach(docs, places, ["id", "th"]).select("id", "th", F.size(loose_words(F.col("text"))).cast("long").alias("n_words"), F.when(F.col("places").isNotNull(), spans).alias("spans"))
+    seen = stored(seen, "contamination")
+    starts = F.sequence(F.lit(0), F.size("w") - F.col("len"))
+    known = items.select("item", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.col("len")), " "))).alias("span"))
+    known = stored(known.groupBy("span", "len").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    hits = seen.where(F.col("spans").isNotNull()).select("id", "th", F.explode("spans").alias("x")).select("id", "th", "x.*")
+    # rows of equal id and text are one here: their spans are equal
+    hits = attach(hits, known, ["span", "len"], "inner", bound=BROADCAST_WINDOWS).groupBy("id", "th", "at", "len").agg(F.first("items").alias("items"))
     hits = hits.groupBy("id", "th").agg(F.collect_list(F.struct("at", "len")).alias("at"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hits = hits.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "items", F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))).cast("long").alias("n_hit"))
-    out = words.join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
-    n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    hits = hits.select("id", "th", "items", F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))).cast("long").alias("n_hit"))
+    out = attach(seen.select("id", "th", "n_words"), stored(hits, "hits"), ["id", "th"])
+    n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", none)
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (n_hit > 0).alias("contaminated"))
-
