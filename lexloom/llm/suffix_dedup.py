@@ -7,9 +7,10 @@ earlier in the same one. Strings are judged on the input, overlaps count, matche
    window's seed. It depends on the window's bytes alone, so equal windows have equal seeds at equal places: they meet
    under the seed's hash, and no repeat is missed. Consecutive windows with the same seed form one row: about a
    fortieth of the bytes, 29 bytes each, packed by numpy and dealt out by the hash.
-2. Classes. Rows of a seed whose windows' bytes are equal (by hash) are one class; its earliest row stands for it, every
-   window of the others is a repeat. This is done in the map task first, so copies shrink before they are dealt out.
-   Seeds with one class are done. Seeds with more ask for their representatives' bytes.
+2. Classes. Rows of a seed whose windows' bytes are equal (64-bit XXH3 within a 64-bit seed hash) are one class; its
+   earliest row stands for it, every window of the others is a repeat. Map tasks do this first, HELD_ROWS rows at a time:
+   repeats go to their texts from there, and only the earliest rows are dealt out by the seed. Seeds with one class are
+   done. Seeds with more ask for their representatives' bytes.
 3. Intervals. The bytes come from the texts, dealt out by document. For each bounded set of seeds the suffixes of the
    bytes are sorted by their first LENGTH bytes, which gives a Burrows-Wheeler transform. A breadth-first search extends
    intervals backward one byte per level (Beller et al. 2013): level l finds exactly the boundaries of suffixes whose
@@ -17,14 +18,16 @@ earlier in the same one. Strings are judged on the input, overlaps count, matche
    bytes or more. In each such group all but the earliest window are repeats.
 4. Removal. The spans go to the texts (the same exchange as before), are merged and cut out.
 
-Every step works on bounded groups: buckets are as many as the input needs. A seed that would bring more than HOT_ROWS
-rows into one bucket (a line that a good part of all documents share, with other text around it each time) is found on a
-sample of the documents, which decides only the route: its windows are dealt out one by one by their own hash, where the
-earliest of equal ones is kept. A set of seeds that still exceeds MAX_SORTED is split by its windows' bytes.
+Every step works on bounded groups: buckets are as many as the input needs. A seed with more than HOT_ROWS rows that
+differ (a line that many documents share, with other text around it each time) would make its bucket large. Such seeds are
+counted exactly; there cannot be more than HOT_SEEDS. Their windows take step 3 one by one, dealt out by their bytes, where
+equal ones are merged in each bucket of texts and by salt before they meet. A set of seeds that still exceeds MAX_SORTED is
+split by its windows' bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored, whole
+from lexloom.llm.common import SALTS, attach, stored, whole
 from lexloom.llm.token_file import groups
 
 LENGTH = 100
@@ -51,10 +54,10 @@ SEED_BUCKET = 6 << 20
 #: Bytes whose suffixes are sorted together, as a rule and at most.
 SORTED, MAX_SORTED = 1 << 20, 4 << 20
 
-#: Rows of a seed from which its windows are dealt out one by one, and the most seeds of which this list is kept (8 bytes each).
-HOT_ROWS, HOT_SEEDS = 100_000, 100_000
-#: Text that the search for such seeds reads, as long as it is not less than one document of SAMPLE_ONE_OF.
-SAMPLE_BYTES, SAMPLE_ONE_OF = 32 << 20, 5_000
+#: Rows of seeds that a map task merges at a time, 33 bytes each.
+HELD_ROWS = 1 << 20
+#: Rows of a seed from which its windows are dealt out by their bytes, and the most seeds that can be listed so (8 bytes each).
+HOT_ROWS, HOT_SEEDS = 250_000, 1_000_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x9E3779B97F4A7C15
@@ -79,6 +82,11 @@ def _arrays(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _count(data: bytes) -> int:
+    """Rows in packed columns."""
+    return struct.unpack_from("<I", data)[0]
+
+
 def _joined(blobs: Iterator[bytes], width: int) -> list[np.ndarray]:
     got = [_arrays(b) for b in blobs]
     return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * width
@@ -295,22 +303,26 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return rows.join(keys, "row").select(F.col("new").alias("key"), "text"), keys.select(F.col("new").alias("key"), "id"), size or 0
 
 
-def _hot_seeds(docs: DataFrame, size: int, length: int) -> np.ndarray:
-    """Hashes of seeds that are expected to have more than HOT_ROWS different rows, in order."""
-    one_of = max(1, min(SAMPLE_ONE_OF, size // SAMPLE_BYTES))
+def _hot_seeds(rows: DataFrame) -> np.ndarray:
+    """Hashes, in order, of the seeds with more than HOT_ROWS rows that differ; rows (bucket, n, rows) are the packed rows of seeds.
+
+    Counted exactly: a seed's rows are all in one bucket, so only buckets of more than HOT_ROWS rows are looked into. Of
+    very large inputs the least number grows, so that there are never more than HOT_SEEDS such seeds.
+    """
+    sizes = rows.groupBy("bucket").agg(F.sum("n").alias("rows"))
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_SEEDS)
+    heavy = stored(sizes.where(F.col("rows") > least).select("bucket"), "heavy")
+    if not heavy.limit(1).count():
+        return np.zeros(0, np.uint64)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in groups(batches, BATCH_CHARS):
-            texts = [t.encode("utf-8", "surrogatepass") for t in group["text"]]
-            raw = b"".join(texts)
-            hashes, lo, hi = find_seeds(np.frombuffer(raw, np.uint8), np.cumsum([len(t) for t in texts]), length)
-            same = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
-            own, n = np.unique(np.unique(np.stack([hashes, same]), axis=1)[0], return_counts=True)
-            yield pd.DataFrame({"seed": own.view(np.int64), "n": n})
+        for batch in batches:
+            seeds, n = np.unique(_joined(batch["rows"], 5)[0], return_counts=True)
+            yield pd.DataFrame({"seed": seeds.astype(np.uint64).view(np.int64), "n": n})
 
-    found = docs.where(F.pmod(F.xxhash64("key"), F.lit(one_of)) == 0).mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    found = found.where(F.col("n") * one_of > HOT_ROWS).orderBy(F.desc("n"), "seed").limit(HOT_SEEDS)
-    return np.sort(np.array([r["seed"] for r in found.collect()], np.int64).view(np.uint64))
+    counted = attach(rows, heavy, ["bucket"], "left_semi").select("rows").mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["seed"] for r in counted.where(F.col("n") > least).collect()], np.int64).view(np.uint64))
 
 
 def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -321,50 +333,51 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
     """
     docs, ids, size = _keyed(documents, id_col, text_col)
     n_seed, n_text = max(1, -(-size // SEED_BUCKET)), max(1, -(-size // TEXT_BUCKET))
+    rows_kind, spans_kind = "bucket long, n long, rows binary", "bucket long, rows binary"
+
+    def spans_of(key: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
+        """Spans (key, at, bytes) that are to go, dealt by the bucket of their text."""
+        return list(_dealt(_bucket(key, n_text), key.astype(np.int64), at.astype(np.uint32), n.astype(np.uint32)))
 
     def raw_texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         for group in groups(batches, BATCH_CHARS):
             yield group["key"].to_numpy(np.int64), [t.encode("utf-8", "surrogatepass") for t in group["text"]]
 
-    hot = _hot_seeds(docs, size, length)
-
+    # 1 and 2: rows of seeds; a task keeps the earliest of equal ones and marks the others as repeats
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def dealt() -> pd.DataFrame:
+            hashes, same, key, at, windows = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, rest = _classes(hashes, same, key, at)
+            out = [(b, _count(x), False, x) for b, x in spans_of(key[rest], at[rest], windows[rest].astype(np.int64) + length - 1)]
+            out += [(b, _count(x), True, x) for b, x in _dealt((hashes[first] % np.uint64(n_seed)).astype(np.int64), hashes[first], same[first], key[first], at[first], windows[first])]
+            return pd.DataFrame(out, columns=["bucket", "n", "open", "rows"])
+
         for keys, texts in raw_texts(batches):
             raw = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts])
             hashes, lo, hi = find_seeds(np.frombuffer(raw, np.uint8), ends, length)
             doc = np.searchsorted(ends, lo, side="right")
             same = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
-            key, at, windows = keys[doc], (lo - np.concatenate(([0], ends[:-1]))[doc]).astype(np.uint32), (hi - lo + 1).astype(np.uint8)
-            first, rest = _classes(hashes, same, key, at)
-            out = []
-            if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, hashes[first]), len(hot) - 1)] == hashes[first]
-                own, first = first[is_hot], first[~is_hot]
-                own = own[np.lexsort((at[own], key[own]))]
-                row = np.repeat(own, windows[own])
-                step = np.arange(len(row)) - np.repeat(np.cumsum(windows[own], dtype=np.int64) - windows[own], windows[own])
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a : a + length]) for a in (lo[row] + step).tolist()), "<u8").reshape(-1, 2)
-                kept, again = _classes(digest[:, 0], digest[:, 1], key[row], at[row] + step)
-                place = (at[row] + step).astype(np.uint32)
-                out += [(b, 2, x) for b, x in _dealt((digest[kept, 0] % np.uint64(n_seed)).astype(np.int64), digest[kept, 0].copy(), digest[kept, 1].copy(), key[row[kept]], place[kept])]
-                out += [(b, 1, x) for b, x in _dealt((digest[again, 0] % np.uint64(n_seed)).astype(np.int64), key[row[again]], place[again], np.ones(len(again), np.uint8))]
-            out += [(b, 0, x) for b, x in _dealt((hashes[first] % np.uint64(n_seed)).astype(np.int64), hashes[first], same[first], key[first], at[first], windows[first])]
-            out += [(b, 1, x) for b, x in _dealt((hashes[rest] % np.uint64(n_seed)).astype(np.int64), key[rest], at[rest], windows[rest])]
-            # kinds: 0 the earliest rows of classes, 1 repeats of them, 2 single windows of hot seeds
-            yield pd.DataFrame(out, columns=["bucket", "kind", "rows"])
+            held.append((hashes, same, keys[doc], (lo - np.concatenate(([0], ends[:-1]))[doc]).astype(np.uint32), (hi - lo + 1).astype(np.uint8)))
+            if sum(len(x[0]) for x in held) >= HELD_ROWS:
+                yield dealt()
+                held = []
+        if held:
+            yield dealt()
+
+    found = stored(docs.mapInPandas(seeds, "bucket long, n long, open boolean, rows binary"), "seeds")
+    open_rows, done = found.where("open").select("bucket", "n", "rows"), [found.where("not open").select("bucket", "rows")]
+    hot = _hot_seeds(open_rows)
 
     def classes(batch: pd.DataFrame) -> pd.DataFrame:
-        hashes, same, key, at, windows = _joined(batch["rows"][batch["kind"] == 0], 5)
-        rest_key, rest_at, rest_windows = _joined(batch["rows"][batch["kind"] == 1], 3)
-        one, two, hot_key, hot_at = _joined(batch["rows"][batch["kind"] == 2], 4)
-        _, hot_rest = _classes(one, two, hot_key, hot_at)
+        hashes, same, key, at, windows = _joined(batch["rows"], 5)
         first, rest = _classes(hashes, same, key, at)
         own = hashes[first]
         many = np.concatenate((own[1:] == own[:-1], [False])) | np.concatenate(([False], own[1:] == own[:-1])) if len(own) else np.zeros(0, bool)
         ask = first[many]
-        key2, at2, n2 = (np.concatenate(x) for x in ((rest_key, key[rest], hot_key[hot_rest]), (rest_at, at[rest], hot_at[hot_rest]), (rest_windows, windows[rest], np.ones(len(hot_rest), np.uint8))))
-        out = [(b, False, x) for b, x in _dealt(_bucket(key2, n_text), key2.astype(np.int64), at2.astype(np.uint32), (n2.astype(np.int64) + length - 1).astype(np.uint32))]
+        out = [(b, False, x) for b, x in spans_of(key[rest], at[rest], windows[rest].astype(np.int64) + length - 1)]
         out += [(b, True, x) for b, x in _dealt(_bucket(key[ask], n_text), key[ask].astype(np.int64), at[ask].astype(np.uint32), windows[ask].astype(np.uint8), hashes[ask].astype(np.uint64))]
         return pd.DataFrame(out, columns=["bucket", "asks", "rows"])
 
@@ -381,13 +394,17 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
         key, lengths = _joined(batch["index"], 2)
         return key, lengths, b"".join(map(zlib.decompress, batch["texts"]))
 
+    def looked_up(texts_of: pd.DataFrame, key: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bucket's texts and where in them the places are."""
+        keys, lengths, raw = opened(texts_of)
+        order = np.argsort(keys)
+        return raw, (np.cumsum(lengths) - lengths)[order[np.searchsorted(keys[order], key)]] + at
+
     def fetch(texts_of: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(texts_of):
             return pd.DataFrame([], columns=["bucket", "rows", "bytes"])
-        keys, lengths, raw = opened(texts_of)
         key, at, windows, hashes = _joined(asked["rows"], 4)
-        order = np.argsort(keys)
-        start = (np.cumsum(lengths) - lengths)[order[np.searchsorted(keys[order], key)]] + at
+        raw, start = looked_up(texts_of, key, at)
         bucket, out = (hashes % np.uint64(n_seed)).astype(np.int64), []
         by = np.argsort(bucket, kind="stable")
         for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
@@ -395,15 +412,75 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
             out.append((int(bucket[own[0]]), _columns(key[own], at[own], windows[own], hashes[own]), data))
         return pd.DataFrame(out, columns=["bucket", "rows", "bytes"])
 
+    # 3: the transform decides
     def expand(batch: pd.DataFrame) -> pd.DataFrame:
         key, at, windows, hashes = _joined(batch["rows"], 4)
         at, windows, data = at.astype(np.int64), windows.astype(np.int64), b"".join(batch["bytes"])
         ends = np.cumsum(windows + length - 1)
         contexts = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        found = list(resolve(hashes, key, at, windows, contexts, length))
-        key, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame([(b, x) for b, x in _dealt(_bucket(key, n_text), key, at.astype(np.uint32), n.astype(np.uint32))], columns=["bucket", "rows"])
-
+        return pd.DataFrame([x for spans in resolve(hashes, key, at, windows, contexts, length) for x in spans_of(*spans)], columns=["bucket", "rows"])
+
+    # hot seeds: their windows are dealt out by their bytes; equal ones shrink in each text's bucket, then by salt
+    def is_hot(hashes: np.ndarray) -> np.ndarray:
+        return hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
+
+    def without_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [(b, (x := _arrays(data)), is_hot(x[0])) for b, data in zip(batch["bucket"], batch["rows"], strict=True)]
+            yield pd.DataFrame([(b, int((~h).sum()), _columns(*[a[~h] for a in x])) for b, x, h in parts if not h.all()], columns=["bucket", "n", "rows"])
+
+    def ask_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes, _, key, at, windows = _joined(batch["rows"], 5)
+            own = np.flatnonzero(is_hot(hashes))
+            out = _dealt(_bucket(key[own], n_text), key[own].astype(np.int64), at[own].astype(np.uint32), windows[own].astype(np.uint8))
+            yield pd.DataFrame([(b, _count(x), x) for b, x in out], columns=["bucket", "n", "rows"])
+
+    def merged(key: np.ndarray, at: np.ndarray, data: np.ndarray, bucket_of, salt: int) -> pd.DataFrame:
+        """The earliest of equal windows (rows of data), dealt by their bytes; spans of the others."""
+        order = np.lexsort((at, key))
+        _, first = np.unique(np.ascontiguousarray(data[order]).view(f"V{length}").ravel(), return_index=True)
+        keep = np.zeros(len(order), bool)
+        keep[first] = True
+        rest, first = order[~keep], order[keep]
+        out = [(b, 0, False, x, b"") for b, x in spans_of(key[rest], at[rest], np.full(len(rest), length))]
+        to = bucket_of(data[first])
+        by = np.argsort(to, kind="stable")
+        for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else ():
+            i = first[own]
+            out.append((int(to[own[0]]), salt, True, _columns(key[i].astype(np.int64), at[i].astype(np.uint32)), data[i].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "salt", "open", "rows", "bytes"])
+
+    def hot_windows(n_hot: int):
+        bucket_of = lambda data: np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) % n_hot for x in data), np.int64, len(data))
+
+        def fetch_hot(texts_of: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(texts_of):
+                return pd.DataFrame([], columns=["bucket", "salt", "open", "rows", "bytes"])
+            key, at, windows = _joined(asked["rows"], 3)
+            row = np.repeat(np.arange(len(key)), windows)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(windows, dtype=np.int64) - windows, windows)
+            raw, start = looked_up(texts_of, key, at)
+            every, salt, out = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), length), int(asked["bucket"].iloc[0]) % SALTS, []
+            for a in range(0, len(row), CHUNK):
+                own = slice(a, a + CHUNK)
+                out.append(merged(key[row[own]], at[row[own]] + step[own], every[start[row[own]] + step[own]], bucket_of, salt))
+            return pd.concat(out, ignore_index=True)
+
+        def shrink(batch: pd.DataFrame) -> pd.DataFrame:
+            key, at = _joined(batch["rows"], 2)
+            return merged(key, at.astype(np.int64), np.frombuffer(b"".join(batch["bytes"]), np.uint8).reshape(-1, length), bucket_of, 0)
+
+        return fetch_hot, shrink
+
+    def expand_hot(batch: pd.DataFrame) -> pd.DataFrame:
+        key, at = _joined(batch["rows"], 2)
+        data = b"".join(batch["bytes"])
+        contexts, one = [data[a : a + length] for a in range(0, len(data), length)], np.ones(len(key), np.int64)
+        spans = resolve(np.zeros(len(key), np.uint64), key, at.astype(np.int64), one, contexts, length)
+        return pd.DataFrame([x for own in spans for x in spans_of(*own)], columns=["bucket", "rows"])
+
+    # 4: the spans go to the texts
     def finish(texts_of: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
         if not len(texts_of):
@@ -428,12 +505,22 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
             out.append((key, b - a, int(removed[b] - removed[a]), runs, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
         return pd.DataFrame(out, columns=names)
 
-    found = docs.mapInPandas(seeds, "bucket long, kind int, rows binary").groupBy("bucket").applyInPandas(classes, "bucket long, asks boolean, rows binary")
     # both parts of it are used below: the seeds' exchange is reused, and finding the classes again costs less than a table
+    asked = (open_rows.mapInPandas(without_hot, rows_kind) if len(hot) else open_rows).select("bucket", "rows").groupBy("bucket").applyInPandas(classes, "bucket long, asks boolean, rows binary")
     held = docs.mapInPandas(texts, "bucket long, index binary, texts binary")
-    contexts = held.groupBy("bucket").cogroup(found.where("asks").select("bucket", "rows").groupBy("bucket")).applyInPandas(fetch, "bucket long, rows binary, bytes binary")
-    more = contexts.groupBy("bucket").applyInPandas(expand, "bucket long, rows binary")
-    spans = found.where("not asks").select("bucket", "rows").unionByName(more)
+    contexts = held.groupBy("bucket").cogroup(asked.where("asks").select("bucket", "rows").groupBy("bucket")).applyInPandas(fetch, "bucket long, rows binary, bytes binary")
+    done += [asked.where("not asks").select("bucket", "rows"), contexts.groupBy("bucket").applyInPandas(expand, spans_kind)]
+    if len(hot):
+        asks = stored(open_rows.mapInPandas(ask_hot, rows_kind), "hot-rows")
+        # a row of a seed has at most LENGTH - SEED + 1 windows
+        n_hot = max(1, -(-(asks.agg(F.sum("n")).first()[0] or 0) * (length + 1) * (length - SEED + 1) // SORTED))
+        fetch_hot, shrink = hot_windows(n_hot)
+        kind = "bucket long, salt int, open boolean, rows binary, bytes binary"
+        once = stored(held.groupBy("bucket").cogroup(asks.select("bucket", "rows").groupBy("bucket")).applyInPandas(fetch_hot, kind), "hot-windows")
+        twice = stored(once.where("open").groupBy("bucket", "salt").applyInPandas(shrink, kind), "hot-windows")
+        done += [x.where("not open").select("bucket", "rows") for x in (once, twice)]
+        done.append(twice.where("open").groupBy("bucket").applyInPandas(expand_hot, spans_kind))
+    spans = functools.reduce(DataFrame.unionByName, done)
     kind = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     out = held.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInPandas(finish, kind)
     if ids is not None:

@@ -109,8 +109,9 @@ def plain_hits(texts, items, window):
     return out
 
 
-@pytest.mark.parametrize("inline", [20_000, 0])
-def test_contamination_against_brute_force(spark, inline):
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_contamination_against_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
     r = random.Random(6)
     word = lambda: r.choice(["alpha", "Beta", "gamma", "DELTA", "É", "é", "x1", "9"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([14, 11, 10, 3, 1, 0, 12])] + [(90, None)]
@@ -124,7 +125,7 @@ def test_contamination_against_brute_force(spark, inline):
     texts += [None, "", "..."]
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, len int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {x["doc_id"]: x for x in decontaminate.find_contamination(docs, bench, inline=inline).collect()}
+    got = {x["doc_id"]: x for x in decontaminate.find_contamination(docs, bench, broadcast_prints=bound).collect()}
     for i, (n, hit, found) in enumerate(plain_hits(texts, items, 10)):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"], got[i]["contaminated"]) == (n, hit, found, hit > 0)
 
@@ -132,8 +133,14 @@ def test_contamination_against_brute_force(spark, inline):
 def test_contamination_of_awkward_documents(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, "one"), (2, None)], "item_id long, text string")
     out = decontaminate.find_contamination(awkward(spark), bench)
-    assert out.count() == 9  # repeated rows count once
+    assert out.count() == 11
     assert [r["doc_id"] for r in out.where("contaminated").collect()] == [4]
+    twice = awkward(spark).unionByName(awkward(spark)).withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))
+    got = decontaminate.find_contamination(twice, bench)
+    assert got.count() == 22  # a row for each, null ids and repeated rows too
+    assert [(r["doc_id"], r["n_hit"]) for r in got.where("contaminated").collect()] == [(None, 10)] * 2
+    two = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (1, "other words")], "doc_id long, text string")
+    assert sorted((r["n_words"], r["n_hit"]) for r in decontaminate.find_contamination(two, bench).collect()) == [(2, 0), (10, 10)]
     assert decontaminate.find_contamination(awkward(spark), bench.where("false")).where("contaminated").count() == 0
     assert decontaminate.find_contamination(empty(spark), bench).count() == 0
 
@@ -192,6 +199,28 @@ def test_removal_against_brute_force(spark, monkeypatch, hot_rows):
         assert (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) == want
 
 
+def test_a_line_in_every_document_makes_no_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 50)
+    monkeypatch.setattr(suffix_dedup, "HELD_ROWS", 500)
+    r, line = random.Random(3), "".join(random.Random(9).choice("abcdefgh ") for _ in range(300))
+    texts = ["".join(r.choice("ijklmn") for _ in range(120)) + line + "".join(r.choice("opqrst") for _ in range(120)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    sizes = []
+
+    def open_rows(rows):
+        found = seen(rows)
+        sizes.append((found, rows.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]))
+        return found
+
+    seen = suffix_dedup._hot_seeds
+    monkeypatch.setattr(suffix_dedup, "_hot_seeds", open_rows)
+    got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(df).collect()}
+    for i, want in enumerate(plain_removal([t.encode() for t in texts], 100)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
+    # the line's inner windows are merged in the tasks; those at its edges differ everywhere, and their seeds are found hot
+    assert len(sizes[0][0]) > 0
+
+
 def test_removal_of_awkward_documents(spark):
     out = suffix_dedup.remove_repeats(awkward(spark), keep_text=True)
     assert out.count() == 11  # rows that repeat an id are documents of their own
@@ -208,3 +237,6 @@ def test_near_duplicates_of_awkward_documents(spark):
     assert {(0, "0" * 16, 0), (1, "0" * 16, 0), (2, "0" * 16, 0)} <= out
     assert {c for d, _, c in out if d in (5, 6)} == {5}
     assert simhash.near_duplicates(empty(spark)).count() == 0
+    null_id = awkward(spark).withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id")))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(null_id).collect())
+    assert got[:2] == [(-1, 6), (-1, 6)]  # it has no id of its own to give
