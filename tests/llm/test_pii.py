@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,10 +57,71 @@ def test_redaction(spark):
     assert [r["text"] for r in pii.redact(pii.find_pii(df)).orderBy("doc_id").collect()] == ["😀 [EMAIL], [IP]!", "none", None]
 
 
-def test_trees_separate_held_out_examples(spark):
-    for trees, cut in pii._model(spark.sparkContext.applicationId).values():
+def test_trees_as_columns_give_what_trees_give(spark):
+    texts = [t for _, _, t in pii._examples(400, seed=21)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind, (trees, cut) in pii._model(spark.sparkContext.applicationId).items():
         assert len(trees) == pii.ROUNDS
         assert cut < float("inf")
+        rows = df.select(F.explode(pii.candidates(F.col("t"), kind)).alias("c")).select("c.*", F.lit(0).alias("x"))
+        score = sum(pii._as_column(t, F.struct(*pii.FEATURES)) for t in trees)
+        got = rows.select(*pii.FEATURES, score.alias("score")).collect()
+        assert len(got) > 20
+        for r in got:
+            assert abs(r["score"] - sum(pii.RATE * pii._value(t, tuple(r)[:-1]) for t in trees)) < 1e-6
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_precision_and_recall_on_held_out_examples(spark, kind):
+    found = pii.quality(spark, pii._examples(2000, seed=99))[kind]
+    assert found["added"] >= 50
+    assert found["precision"] >= 0.9
+    assert found["recall"] >= 0.9
+
+
+def test_running_totals(spark):
+    r = random.Random(6)
+    rows = [[r.randint(-9, 9) for _ in range(n)] for n in (0, 1, 2, 3, 7, 8, 9, 100, 1025)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x array<int>")
+    got = df.select("i", pii.scan(F.col("x"), lambda a, b: a + b).alias("s"), pii.scan(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for r in got:
+        x = rows[r["i"]]
+        assert r["s"] == [sum(x[: k + 1]) for k in range(len(x))]
+        assert r["m"] == [max(x[: k + 1]) for k in range(len(x))]
+
+
+def test_merging_against_plain_one(spark):
+    r, rows = random.Random(8), []
+    for i in range(400):
+        base = sorted({(s := r.randint(0, 60), r.randint(0, 3), s + r.randint(1, 8)) for _ in range(r.randint(0, 4))})
+        added = []
+        for k in range(4):
+            at = 0
+            while (at := at + r.randint(0, 30)) < 60:  # those of a kind do not overlap
+                added.append((at, k, at := at + r.randint(1, 12)))
+        rows.append((i, [(*x, x[0], "") for x in base], [(*x, x[0], "") for x in added]))
+    span = "s:int,k:int,e:int,b:int,m:string"
+    df = spark.createDataFrame(rows, f"i int, base array<struct<{span}>>, added array<struct<{span}>>")
+    for x in df.select("i", pii._merge(F.col("base"), F.col("added")).alias("got")).collect():
+        _, want, added = rows[x["i"]]
+        for kind in pii.ORDER:
+            own = [a for a in added if pii.KINDS[a[1]] == kind and not any(a[0] < b[2] and b[0] < a[2] for b in want)]
+            want = [*want, *own]
+        assert [tuple(y) for y in x["got"]] == sorted(want)
+
+
+def test_time_is_in_proportion_to_matches(spark):
+    seconds = []
+    for n in (10_000, 100_000):
+        text = " ".join(f"10.0.{i % 256}.7 +1 (555) 010-{i % 10000:04d} a{i}@x.org 4465758382889437," for i in range(n // 4))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.redact(pii.find_pii(df)).select(F.size("pii_base").alias("n"), F.size("pii_spans").alias("m"), "text").first()
+        seconds.append(time.perf_counter() - began)
+        assert row["n"] == n // 4 * 4
+        assert row["m"] == row["n"]
+        assert row["text"].count("[") == n // 4 * 4
+    assert seconds[1] < 10
 
 
 def test_awkward_documents(spark):
