@@ -8,6 +8,7 @@ text of a special token, are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -46,17 +47,32 @@ class PieceEncoder:
         ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else -1
         self.lowers = self.tokenizer.encode("AÀ", add_special_tokens=False).ids == self.tokenizer.encode("aà", add_special_tokens=False).ids
+        self.kept = KEPT_PIECES
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.plain = None if self.leading or not self.lowers else self._without_patterns()
+
+    def _without_patterns(self):
+        """The tokenizer without normaliser and split pattern, which lower-case letters do not need; None if it is built otherwise."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        parts = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        last = (parts.get("pretokenizers") or [parts])[-1]
+        if last.get("type") != "ByteLevel" or last.get("add_prefix_space") or last.get("use_regex"):
+            return None
+        plain = Tokenizer.from_str(self.tokenizer.to_str())
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+    def _piece_ids(self, pieces: list[str], tokenizer) -> list[bytes]:
         """Ids of pieces, many in one text: the mark between them is a token of its own that no piece holds."""
         if len(pieces) < 2:
             return self._ids(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        ids = np.array(tokenizer.encode_batch_fast([self.joint.join(pieces)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(ids == self.mark_id)
         if len(ends) != len(pieces) - 1:  # a vocabulary in which the mark merges
             return self._ids(pieces)
@@ -95,32 +111,32 @@ class PieceEncoder:
 
     def _learn(self, new: set[str]) -> None:
         """Adds pieces to those known. Letters and ASCII signs after them never merge, so `word.` is `word` and `.`."""
-        known, mark, ended, todo = self.known, "\x00" if self.leading else "", [], []
-        for p in new:
-            if p[-1:] in _SIGN_SET:
-                core = p.rstrip(_SIGNS)
-                if core[-1:].isalpha() and core[-1] < "\u0530":
-                    ended.append((p, core, mark + p[len(core) :]))
-                    continue
-            todo.append(p)
-        todo += {x for _, *parts in ended for x in parts}.difference(known, new)
+        known, mark, ended = self.known, "\x00" if self.leading else "", []
+        for p in [p for p in new if p[-1:] in _SIGN_SET]:
+            core = p.rstrip(_SIGNS)
+            if core[-1:].isalpha() and core[-1] < "\u0530":
+                ended.append((p, core, mark + p[len(core) :]))
+        todo = new.difference([x[0] for x in ended])
+        todo.update({x for _, *parts in ended for x in parts}.difference(known))
         if not self.leading:
             known[""] = b""
-        plain = [p for p in todo if self.mark not in p]
-        if len(plain) < len(todo):
-            odd = [p for p in todo if self.mark in p]
-            known.update(zip(odd, self._ids(list(map(self._text, odd))), strict=True))
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            known.update(zip(part, self._piece_ids(list(map(self._text, part))), strict=True))
+            todo.discard("")
+        odd = [p for p in todo if self.mark in p]
+        known.update(zip(odd, self._ids(list(map(self._text, odd))), strict=True))
+        todo.difference_update(odd)
+        # words of lower-case Latin letters are as they are before and after normalising
+        letters = [p for p in todo if p.isalpha() and p.islower() and max(p) < "\u0100"] if self.plain else []
+        for tokenizer, pieces in ((self.plain, letters), (self.tokenizer, list(todo.difference(letters)))):
+            for a in range(0, len(pieces), 2000):
+                part = pieces[a : a + 2000]
+                known.update(zip(part, self._piece_ids(list(map(self._text, part)), tokenizer), strict=True))
         for p, core, signs in ended:
             known[p] = known[core] + known[signs]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = list(texts)
         cut = [self._pieces(t) if t else [] for t in texts]
-        # lower-cased words repeat more, and packing runs beside larger stages: fewer are kept
-        if len(self.known) > (KEPT_PIECES if self.leading else KEPT_PIECES * 5 // 8):
+        if len(self.known) > self.kept:
             self.known, self.older = {}, self.known
         known = self.known
         flat = list(chain.from_iterable(p for p in cut if p))
@@ -128,9 +144,9 @@ class PieceEncoder:
         at = [i for i, x in enumerate(ids) if x is None]
         if at:
             new = {flat[i] for i in at}
-            again = [p for p in new if p in self.older]  # pieces that are used again move on, the others go
+            again = new.intersection(self.older)  # pieces that are used again move on, the others go
             known.update((p, self.older[p]) for p in again)
-            self._learn(new.difference(again))
+            self._learn(new - again)
             for i in at:
                 ids[i] = known[flat[i]]
         out, a = [], 0
@@ -144,11 +160,14 @@ class PieceEncoder:
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 
-def encoder(path: str, spaces: str) -> PieceEncoder:
-    """The encoder of this process for a vocabulary file."""
+def encoder(path: str, spaces: str, kept: int = KEPT_PIECES) -> PieceEncoder:
+    """The encoder of this process for a vocabulary file; there is one at a time, as its tables are large."""
     if (path, spaces) not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path, spaces] = PieceEncoder(path, spaces=spaces)
-    return _ENCODERS[path, spaces]
+    own = _ENCODERS[path, spaces]
+    own.kept = kept
+    return own
 
 
 def ids_crc32(ids: np.ndarray) -> int:
