@@ -43,49 +43,59 @@ URL_RULES = [
 
 
 def op1_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by the additive model, trained on labels that are not held out."""
     documents = table(spark, sf_dir, "documents")
     model = quality_model.train(documents, table(spark, sf_dir, "labels"))
     return quality_model.score(documents, model, threshold=0.7)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to bit-packed files in order of id and read from them."""
     files = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return read_token_files(files)
 
 
 def op3_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 100-byte strings repeat from earlier on."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict by the line-first rules."""
     out = judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules above."""
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and the class that fingerprints within four bits join it to."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in windows of benchmark items."""
     out = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to ZIP packages and read from them."""
     return read_packages(write_packages(table(spark, sf_dir, "pages")))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base matches and spans of personal data."""
     out = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("pii_base", lambda x: x["k"] == k)).cast("long")
     return out.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(describe(F.col("pii_base")), 256).alias("base_sha256"), describe(F.col("pii_spans")).alias("spans"))
 
 
 def op10_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, packed into sequences of 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
@@ -122,8 +132,8 @@ k AS (SELECT doc_id, sum(length(x)) + count(*) - 1 AS n FROM l
              OR (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 100
                 > len(list_filter(regexp_split_to_array(x, '[{_S}]+'), lambda y: y <> '')) * 10
              OR regexp_matches(x, '{SEPARATORS}')
-             OR regexp_matches(lower(x), '{MENU}')
-             OR regexp_matches(lower(x), '{BOILERPLATE}'))
+             OR regexp_matches(x, '{MENU.replace("'", "''")}')
+             OR regexp_matches(x, '{BOILERPLATE.replace("'", "''")}'))
       GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(s, '[{_S}]+', '', 'g'))::BIGINT AS word_chars,
              (length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,

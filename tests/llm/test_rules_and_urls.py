@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import quality_rules, queries
 from lexloom.llm.url_filter import RuleTrie, filter_urls, split_url
-from tests.conftest import SMALL, same_rows
+from tests.conftest import SMALL, duck, same_rows
 from tests.llm.helpers import awkward, empty
 
 
@@ -45,6 +45,60 @@ def test_lines(spark, line, clean):
     assert row["n_lost_chars"] == (0 if clean else len(line) + 1)
 
 
+SPACES, CLOSING = " \t\n\x0b\x0c\r", ".!?…\"'”’»)]"
+
+
+def plain_line_fails(x):
+    """The rules sign by sign, without patterns."""
+    ends = any(c in "。！？｡।॥؟۔" for c in x) or x.rstrip(SPACES)[-1:] in (":", ";")
+    for i, c in enumerate(x):
+        if c in ".!?…":
+            j = i + 1
+            while j < len(x) and x[j] in CLOSING:
+                j += 1
+            ends |= j == len(x) or x[j] in SPACES
+    runs = [len(run) for run in "".join(c if c in "!?" else " " for c in x).split()]
+    words = [w for w in x.translate({ord(c): " " for c in SPACES}).split(" ") if w]
+    symbols = sum(c in "#*$%&|<>" for c in x)
+    parts, at = 0, 0
+    while (at := min((k for k in (x.find(f" {c} ", at) for c in "|>»") if k >= 0), default=-1)) >= 0:
+        parts, at = parts + 1, at + 3
+    low = "".join(c.lower() if c.lower().upper() == c else c for c in x).replace("’", "'")
+    menu = low.strip(SPACES).rstrip(".!?:;" + SPACES) in quality_rules.MENU_ENTRIES.split("|")
+    phrase = any(_alone(low, p) for p in quality_rules.PHRASES.split("|"))
+    return not ends or sum(n > 1 for n in runs) > 2 or symbols * 100 > len(words) * 10 or parts > 1 or menu or phrase
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _alone(low, phrase):
+    at = low.find(phrase)
+    while at >= 0:
+        if (at == 0 or low[at - 1] not in LETTERS) and (at + len(phrase) == len(low) or low[at + len(phrase)] not in LETTERS):
+            return True
+        at = low.find(phrase, at + 1)
+    return False
+
+
+def test_lines_against_plain_rules(spark):
+    r = random.Random(12)
+    parts = ["a", "Word", " ", " ", ".", "!", "?", "!!", "??", ":", ";", "\u2028", "\u0085", "\r", "\t", "|", " | ", " > ", " » ", "#", "%", "Home", "MENÜ", "zurück", "Cookies", "tous droits RÉSERVÉS", "d’utilisation", "conditions ", "x", "”", ")", "。", "।", "İ", "é", "log in", "se connecter"]
+    lines = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(1500)]
+    lines += ["It ends.\u2028", "It ends.\u0085", "a | b<\u0085 | c.", "a | b<\r | c.", "これは文です。次", "Home\u0085", "no end", "Buy!! Now!! Ok!!", "Über uns", "zurück.", "Notcookies.", "Impressum."]
+    lines = [x for x in lines if any(c not in SPACES for c in x)]
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, line string")
+    got = {x["i"]: x["f"] for x in df.select("i", quality_rules.line_fails(F.col("line")).alias("f")).collect()}
+    for i, x in enumerate(lines):
+        assert got[i] == plain_line_fails(x), repr(x)
+    con = duck(SMALL)
+    con.register("lines", df.toPandas())
+    for pattern in (quality_rules.SENTENCE_END, quality_rules.SHOUTING, quality_rules.SEPARATORS, quality_rules.MENU, quality_rules.BOILERPLATE):
+        there = dict(con.execute("SELECT i, regexp_matches(line, ?) FROM lines", [pattern]).fetchall())
+        here = {x["i"]: x["m"] for x in df.select("i", F.col("line").rlike(pattern).alias("m")).collect()}
+        assert there == here, pattern
+
+
 def test_verdicts(spark):
     distinct = " ".join(f"word{i}" for i in range(60))
     df = spark.createDataFrame([(1, distinct + "."), (2, distinct), (3, "few words."), (4, "For " * 80 + ".")], "doc_id long, text string")
@@ -80,6 +134,23 @@ def test_trie_against_plain_search(spark):
     assert filter_urls(df.where(F.lit(False)), RULES).count() == 0
 
 
+@pytest.mark.parametrize("bound", [100, 3, 0])
+def test_rules_as_a_table_give_the_same(spark, bound):
+    r = random.Random(2)
+    rules = RULES + [(r.choice(("allow", "block")), r.choice(("com", "Example.com", "", "b.org", "a..com")), "/" + "/".join(r.choices(["en", "7", "x", ""], k=r.randint(0, 3)))) for _ in range(40)]
+    urls = [None, "", "no scheme", "http://", "http://com./en/", "http://a..com/en/7/", "http://EXAMPLE.com/en/7/x?y", "http://a.example.com/" + "x/" * 3000, "x://b.org#/x"]
+    urls += ["http://" + ".".join(r.choices(["com", "example", "a", "org", "b", ""], k=r.randint(1, 4))) + "/" + "/".join(r.choices(["en", "7", "78", "free", "x", ""], k=r.randint(0, 4))) + r.choice(["", "?q", "#f"]) for _ in range(300)]
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 200, u, 1, "x") for i, u in enumerate(urls)], "page_id long, url string, size int, of string")
+    want = sorted(map(str, filter_urls(df, rules).collect()))
+    assert len(want) == len(urls)
+    assert sorted(map(str, filter_urls(df, rules, broadcast_rules=bound).collect())) == want
+    as_table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert sorted(map(str, filter_urls(df, as_table, broadcast_rules=bound).collect())) == want
+    assert filter_urls(df.where("false"), rules, broadcast_rules=bound).count() == 0
+    with pytest.raises(ValueError):
+        filter_urls(df, [("maybe", "com", "/")], broadcast_rules=bound).count()
+
+
 def test_many_rules_and_bad_ones():
     trie = RuleTrie([("block", "com", f"/p{i:03d}") for i in range(300)])
     assert trie.find("x.com", "/p123/y") == ("com/p123", "block")
