@@ -173,7 +173,9 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
             yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "x": [features(t) for t in batch["text"]]})
 
     docs = documents.select(documents[id_col].alias("id"), whole(documents[text_col]).alias("text")).join(F.broadcast(own), "id")
-    got = sorted((r[0], r[1], list(r[2])) for r in docs.mapInPandas(measure, "id string, y int, x array<double>").collect())
+    # an id that several texts have gives one row, the least of their features: no more rows come to the driver than ids
+    measured = docs.mapInPandas(measure, "id string, y int, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    got = sorted((r["id"], r["y"], list(r["x"])) for r in measured.collect())
     x = np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     return AdditiveModel().fit(x, np.array([float(r[1] > 0) for r in got]))
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import zipfile
 
 import numpy as np
@@ -77,9 +78,12 @@ def test_zip_with_a_comment_and_deflated_members():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("a", b"x" * 99)
+        z.writestr(zipfile.ZipInfo("b"), b"y" * 9, zipfile.ZIP_STORED)
     data = raw.getvalue()
+    package = warc_zip.ZipPackage(lambda at, n: data[at : at + n], len(data))
+    assert package.member("b") == b"y" * 9  # only members that are read must be stored
     with pytest.raises(ValueError, match="not stored"):
-        warc_zip.ZipPackage(lambda at, n: data[at : at + n], len(data))
+        package.member("a")
 
 
 PAGES = "page_id long, url string, html string, sha string, n int, page string, refers_to string"
@@ -101,3 +105,97 @@ def test_records_round_trip(spark):
     assert warc_zip.read_packages(warc_zip.write_packages(null_id)).where("page_id is null and record_type = 'response'").count() == 4
     assert warc_zip.read_packages(warc_zip.write_packages(df.unionByName(df))).count() == 16
     assert warc_zip.read_packages(warc_zip.write_packages(df.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("bound", [100_000, 1])
+def test_records_of_ids_that_repeat(spark, monkeypatch, bound):
+    monkeypatch.setattr(warc_zip, "BROADCAST_GROUPS", bound)
+    rows = [(1, "A"), (1, "B"), (2, "A"), (3, "B"), (None, "A"), (None, "B"), (4, "C"), (4, "C"), (5, ""), (6, None), (7, "D")]
+    df = spark.createDataFrame([(i, "http://x/", h) for i, h in rows], "page_id long, url string, html string")
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    refers = {(1, "A"): 2, (1, "B"): 3, (5, ""): 6}
+    want = sorted(((i, len(h or ""), digest(h), "revisit" if (i, h) in refers else "response", refers.get((i, h))) for i, h in rows), key=str)
+    got = warc_zip.read_packages(warc_zip.write_packages(df)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_long_records_in_small_packages(spark, monkeypatch):
+    monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", 3000)
+    monkeypatch.setattr(warc_zip, "READ_BYTES", 1000)
+    html = ["".join(chr(97 + (i * k * k) % 26) for k in range(300)) for i in range(40)] + ["é" * 3_000_000]
+    df = spark.createDataFrame([(i, "http://x/", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    packages = warc_zip.write_packages(df)
+    assert packages.count() > 1
+    got = {r["page_id"]: r["payload_digest"] for r in warc_zip.read_packages(packages).collect()}
+    assert got == {i: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for i, h in enumerate(html)}
+
+
+def plain_features(text):
+    """features, counted sign by sign and word by word."""
+    raw = (text or "").encode()
+    words, n = raw.split(), max(len(raw), 1)
+    w, count = max(len(words), 1), lambda signs: sum(b in signs for b in raw)
+    distinct, long = set(words), [x for x in words if len(x) > 9]
+    return [
+        math.log2(1 + len(words)), count(bytes(range(65, 91))) / n, count(b"0123456789") / n, count(b"#$%&*<>=@^_~\\/{}[]+") / w, count(b"|") / w, count(b"!") / w, count(b".?") / w, count(b",") / w, count(bytes(range(128, 256))) / n,
+        count(b"\n") / w, sum(map(len, words)) / w, len(long) / w, len(distinct) / w, sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / w, math.log2(w / max(len(distinct), 1)),
+    ]
+
+
+def test_scores_against_tables_row_by_row(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents")
+    model = quality_model.train(docs, table(spark, folder, "labels"))
+    below = lambda cuts, v: sum(c < v for c in cuts)
+    for r in quality_model.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        x = plain_features(r["text"])
+        assert np.allclose(x, quality_model.features(r["text"]))
+        z = model.intercept + sum(t[below(c, v)] for t, c, v in zip(model.tables, model.cuts, x, strict=True))
+        z += sum(t[below(cf, x[f]), below(cg, x[g])] for f, g, cf, cg, t in model.pairs)
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+        assert r["predicted"] == int(r["score"] >= 0.7)
+
+
+def plain_tree(values, g, h):
+    """Newton steps of the best tree of two cuts grown greedily, over sorted bins."""
+    gain = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + quality_model.L2)
+    edges = [0, values]
+    for _ in range(2):
+        found = [(gain(a, k) + gain(k, b) - gain(a, b), k) for a, b in zip(edges, edges[1:], strict=False) for k in range(a + 1, b)]
+        best = max(found, default=(0, 0))
+        if best[0] <= 1e-9:
+            break
+        edges = sorted([*edges, best[1]])
+    return [sum(g[a:b]) / (sum(h[a:b]) + quality_model.L2) for a, b in zip(edges, edges[1:], strict=False) for _ in range(a, b)]
+
+
+def test_one_round_by_hand(monkeypatch):
+    monkeypatch.setattr(quality_model, "ROUNDS", 1)
+    monkeypatch.setattr(quality_model, "PAIR_ROUNDS", 0)
+    r = np.random.default_rng(4)
+    x = r.integers(0, 6, (200, 2)).astype(float)
+    y = (x[:, 0] + r.random(200) * 3 > 4).astype(float)
+    model = quality_model.AdditiveModel().fit(x, y)
+    z = [math.log((y.sum() + 0.5) / (200.5 - y.sum()))] * 200
+    for f in range(2):
+        bins = [sum(c < v for c in model.cuts[f]) for v in x[:, f]]
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        g, h = ([sum(v for v, b in zip(values, bins, strict=True) if b == k) for k in range(len(model.cuts[f]) + 1)] for values in ([a - b for a, b in zip(y, p, strict=True)], [a * (1 - a) for a in p]))
+        steps = plain_tree(len(g), g, h)
+        assert np.allclose(model.tables[f], quality_model.RATE * np.array(steps))
+        z = [v + quality_model.RATE * steps[b] for v, b in zip(z, bins, strict=True)]
+
+
+def test_training_is_bounded_and_ignores_clashing_columns(spark):
+    labels = spark.createDataFrame([(i, i % 2, "t", i) for i in range(60)], "doc_id long, quality int, text string, id long")
+    docs = spark.createDataFrame([(i % 60, f"word{i % 7} " * (i % 2 * 20 + 1), 1, "y") for i in range(180)], "doc_id long, text string, quality int, id string")
+    seen = []
+    fit = quality_model.AdditiveModel.fit
+    model = quality_model.train(docs, labels, rows=10)
+    quality_model.AdditiveModel.fit = lambda self, x, y: seen.append(len(y)) or fit(self, x, y)
+    try:
+        quality_model.train(docs, labels, rows=10)
+    finally:
+        quality_model.AdditiveModel.fit = fit
+    assert seen == [10]  # each id once, however often it is repeated
+    assert quality_model.score(docs, model).count() == 180
