@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import pii
-from lexloom.llm.common import stored, table
+from lexloom.llm.common import attach, numbered, stored, table
 from lexloom.llm.components import connected_components
 from lexloom.llm.decontaminate import find_contamination
 from lexloom.llm.packing import pack_documents
@@ -22,8 +22,9 @@ from lexloom.llm.simhash import near_duplicates
 from lexloom.llm.similar import similar_links
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids that are broadcast at most (8 bytes each); more are joined by shuffling.
-BROADCAST_IDS = 500_000
+
+#: Pieces of text that a packing worker keeps: fewer than op10 alone, as the workers of other stages stay beside it.
+KEPT_PIECES = 200_000
 
 
 def _with_text(docs: DataFrame, text: str) -> DataFrame:
@@ -31,12 +32,9 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*[new.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id is not among ids (one column, doc_id). A null id is never among them."""
-    ids = stored(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_anti")
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Numbered rows but those whose number is among the dropped ones (one column, row); without the numbers."""
+    return attach(rows, stored(dropped, "dropped"), ["row"], "left_anti").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,19 +43,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays. Rows without an id pass.
+    """Of each group one row stays: that of the smallest id, a null id last; of rows with that id the first one read.
 
     Groups are chains of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, or whose SimHash
-    fingerprints differ in four bits or fewer.
+    fingerprints differ in four bits or fewer. Rows are numbered, so that repeated and missing ids make no difference.
     """
-    prints = near_duplicates(docs).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    groups = connected_components(similar_links(docs).unionByName(prints))
-    return _without(docs, groups.where("node <> component").select(F.col("node").alias("doc_id")))
+    rows = numbered(docs.select(*COLUMNS), "near")
+    prints = near_duplicates(rows, id_col="row").where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b"))
+    groups = connected_components(similar_links(rows, id_col="row").unionByName(prints)).withColumnRenamed("node", "row")
+    members = stored(attach(rows.select("row", "doc_id"), groups, ["row"], "inner"), "members")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    return _without(rows, members.select("row").join(first.select("row"), "row", "left_anti"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go. Rows without an id pass."""
-    return _without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that hold a window of a benchmark item go, each row judged by its own text."""
+    rows = numbered(docs.select(*COLUMNS), "judged")
+    return _without(rows, find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row").where("contaminated").select("row"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed into sequences."""
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, kept_pieces=KEPT_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
