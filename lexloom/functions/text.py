@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 __all__ = [
     "HEADINGS", "IGNORED_HEADERS", "dropped_by_cleaning", "SPLIT_LINES", "collapsed", "heading", "is_noise", "is_page_marker", "is_structural", "line_key",
-    "normalize_ascii", "normalize_lines", "normalize_query", "question_ok", "rewrite_query", "stripped", "suspicious_text", "text_length",
+    "normalize_ascii", "normalize_lines", "normalize_query", "normalize_questions", "question_ok", "rewrite_query", "stripped", "suspicious_text", "text_length",
 ]
 
 # Patterns and word lists of the documents' language.
@@ -72,9 +72,20 @@ def normalize_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     return ascii_rows.unionByName(lines.where(~plain).withColumn(column, _normalize_any(F.col(column))))
 
 
+@F.pandas_udf(StringType())
+def _nfkc_any(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def normalize_questions(questions: DataFrame, column: str = "question") -> DataFrame:
+    """Questions in NFKC; those of plain ASCII are as they are and keep to built-in functions."""
+    plain = F.coalesce(~F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(True))
+    return questions.where(plain).unionByName(questions.where(~plain).withColumn(column, _nfkc_any(F.col(column))))
+
+
 def line_key(x: Column) -> Column:
-    """Key by which repeated margin lines are found. Lower case stands for case folding; they differ in a few signs such as ß."""
-    return F.lower(collapsed(x))
+    """Key by which repeated margin lines are found: case-folded, that is lower case with ß as ss and one small sigma."""
+    return F.replace(F.replace(F.lower(collapsed(x)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def is_page_marker(x: Column) -> Column:
@@ -116,7 +127,7 @@ def suspicious_text(x: Column) -> Column:
 
 
 def normalize_query(x: Column) -> Column:
-    """A question with white space collapsed and article and paragraph references in one form. NFKC is the caller's (normalize_lines)."""
+    """A question with white space collapsed and article and paragraph references in one form. NFKC is done before, by normalize_questions."""
     spaced = collapsed(F.replace(x, F.lit("\u00a0"), F.lit(" ")))
     article = F.regexp_replace(spaced, r"(?i)\bpasal\s*([0-9]+[a-z]?)\b", "Pasal $1")
     return F.regexp_replace(article, r"(?i)\bayat\s*(?:\(\s*)?([0-9]+)(?:\s*\))?", "Ayat $1")

@@ -41,6 +41,12 @@ def mark_lost(files: DataFrame) -> DataFrame:
     return files.withColumns({c: F.when(at_work, v).otherwise(F.col(c)) for c, v in new.items()})
 
 
+def remove_files(listed: DataFrame, names: list[str]) -> DataFrame:
+    """The list without files of these names; a file that is still at work stays."""
+    at_work = F.coalesce(F.col("status").isin("queued", "processing"), F.lit(False))
+    return listed.where(~F.coalesce(F.col("filename").isin(*names), F.lit(False)) | at_work)
+
+
 def load_state(saved: Column) -> Column:
     """A saved list of files as a struct; absent, broken or wrongly shaped parts are empty."""
     kind = "files array<struct<name:string,size:bigint>>, fileProgress map<string,struct<status:string,stage:string,message:string>>, activeJobIds array<string>, fileJobIds map<string,string>"

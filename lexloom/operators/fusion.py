@@ -29,11 +29,18 @@ def fuse_rrf(dense: DataFrame, sparse: DataFrame, *, k: int = RRF_K, limit: int
     return rows.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= limit).drop("seen")
 
 
+def word_set(text: Column) -> Column:
+    """The distinct lower-cased ASCII words of a text."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z]+")), "")
+
+
+def set_overlap(asked: Column, own: Column) -> Column:
+    """Stand-in for a reranking model: part of the question's words that the text has."""
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, own)) / F.size(asked)).otherwise(0.0)
+
+
 def overlap_score(question: Column, text: Column) -> Column:
-    """Stand-in for a reranking model: part of the question's distinct words that the text has."""
-    words = lambda x: F.array_remove(F.array_distinct(F.split(F.lower(x), "[^a-z]+")), "")
-    q = words(question)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(0.0)
+    return set_overlap(word_set(question), word_set(text))
 
 
 def rerank(candidates: DataFrame, score: Callable[[DataFrame], DataFrame] | Column, *, top: int = RERANKED, min_score: float = MIN_SCORE) -> DataFrame:

@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# What uploads of known documents are told.
+DUPLICATE = ("Dokumen sudah pernah diinput (status: ", ", file: ", ")")
+ALL_DUPLICATES = "Semua dokumen sudah pernah diinput"
+
 STATE = "document_hash string, document_id string, filename string, ingestion_id string, status string, indexed_chunks int, error string"
 OUTCOME = f"seq long, op string, outcome string, {STATE}"
 
@@ -93,28 +97,39 @@ def latest_state(log: DataFrame) -> DataFrame:
 
 
 def duplicates(uploads: DataFrame, registry: DataFrame) -> DataFrame:
-    """Uploads with duplicate = their hash is known in a state other than failed."""
-    known = registry.where("status <> 'failed'").select("document_hash", F.lit(True).alias("__known")).distinct()
-    return uploads.join(known, "document_hash", "left").withColumn("duplicate", F.coalesce("__known", F.lit(False))).drop("__known")
+    """Uploads with duplicate (their hash is known in a state other than failed), existing_status and, for duplicates, error."""
+    known = registry.where("status <> 'failed'").groupBy(F.col("document_hash").alias("__hash")).agg(F.min(F.struct("status", "filename")).alias("__known"))
+    rows = uploads.join(known, F.col("document_hash") == F.col("__hash"), "left")
+    error = F.concat(F.lit(DUPLICATE[0]), F.col("__known.status"), F.lit(DUPLICATE[1]), F.coalesce(F.col("__known.filename"), F.lit("")), F.lit(DUPLICATE[2]))
+    return rows.withColumn("duplicate", F.col("__known").isNotNull()).withColumn("existing_status", F.col("__known.status")).withColumn("error", F.when(F.col("duplicate"), error)).drop("__known", "__hash")
 
 
 def upload_report(checked: DataFrame) -> DataFrame:
-    """One row per job: accepted, failed, and the verdict. All duplicates: 409; nothing accepted otherwise: 422."""
+    """One row per job: accepted, rejected and duplicate files, the status code and, of a job of duplicates only, what is said.
+
+    All duplicates: 409, with the file's own error if it is the only one; nothing accepted otherwise: 422; else 202.
+    """
     failed = F.coalesce("failed", F.lit(False))
-    rows = checked.groupBy("job_id").agg(F.count_if(~failed & ~F.col("duplicate")).alias("accepted"), F.count_if(failed).alias("rejected"), F.count_if(F.col("duplicate")).alias("duplicates"), F.every(F.col("duplicate")).alias("__all"))
-    return rows.select("job_id", "accepted", "rejected", "duplicates", F.when(F.col("__all"), 409).when(F.col("accepted") == 0, 422).otherwise(202).alias("status_code"))
+    rows = checked.groupBy("job_id").agg(F.count_if(~failed & ~F.col("duplicate")).alias("accepted"), F.count_if(failed).alias("rejected"), F.count_if(F.col("duplicate")).alias("duplicates"), F.every(F.col("duplicate")).alias("__all"), F.count(F.lit(1)).alias("__n"), F.min("error").alias("__error"))
+    code = F.when(F.col("__all"), 409).when(F.col("accepted") == 0, 422).otherwise(202)
+    said = F.when(F.col("__all"), F.when(F.col("__n") == 1, F.col("__error")).otherwise(ALL_DUPLICATES))
+    return rows.select("job_id", "accepted", "rejected", "duplicates", code.alias("status_code"), said.alias("detail"))
 
 
-def merge_points(existing: DataFrame, incoming: DataFrame, key: str = "point_id") -> DataFrame:
-    """Upsert by key: incoming rows replace existing ones."""
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+def repeated(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """(key, n, examples): keys that several rows have, and the three smallest ids of each. Groups are cut to three before they are gathered."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(id_col))).where("__n <= 3")
+    examples = first.groupBy(key).agg(F.array_sort(F.collect_list(id_col)).alias("examples"))
+    return counts.withColumnRenamed(key, "__key").join(examples, F.col("__key").eqNullSafe(F.col(key))).select(key, "n", "examples")
 
 
 def check_chunks(chunks: DataFrame) -> DataFrame:
     """Blank ids, blank texts, repeated ids and the first three of these, for the checks before indexing."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     by_id = chunks.where(~blank(F.col("chunk_id"))).groupBy("chunk_id").count().where("count > 1")
-    repeated = by_id.agg(F.count(F.lit(1)).alias("repeated_ids"), F.slice(F.array_sort(F.collect_set("chunk_id")), 1, 3).alias("examples"))
+    examples = by_id.orderBy("chunk_id").limit(3).agg(F.array_sort(F.collect_list("chunk_id")).alias("examples"))
+    repeated = by_id.agg(F.count(F.lit(1)).alias("repeated_ids")).join(examples)
     return chunks.agg(F.count_if(blank(F.col("chunk_id"))).alias("blank_ids"), F.count_if(blank(F.col("text"))).alias("blank_texts")).join(repeated)
 
 

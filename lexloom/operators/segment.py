@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lexloom.functions import HEADINGS, SPLIT_LINES, chunk_id, document_id, dropped_by_cleaning, heading, is_structural, line_key, normalize_lines
+from lexloom.sources.tables import stored
 
 MARGIN_LINES = 5
 MAX_CHARS = 1000
@@ -69,13 +70,18 @@ def join_hyphens(lines: DataFrame) -> DataFrame:
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Cleaned lines of whole documents: noise, then repeated margins, then hyphens."""
-    basic = clean_lines(page_lines(pages))
+    basic = stored(clean_lines(page_lines(pages)), "lines").repartition("doc_id")
     return join_hyphens(remove_margins(clean_lines(basic), repeated_margins(basic)))
 
 
+def again(cleaned: DataFrame) -> DataFrame:
+    """Cleaned lines cleaned once more page by page, headings joined."""
+    return join_split_articles(join_hyphens(clean_lines(cleaned)))
+
+
 def parser_lines(pages: DataFrame) -> DataFrame:
-    """Lines as the parser reads them: cleaned documents, cleaned once more page by page, headings joined."""
-    return join_split_articles(join_hyphens(clean_lines(clean_pages(pages))))
+    """Lines as the parser reads them: those of cleaned documents, cleaned once more."""
+    return again(clean_pages(pages))
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -138,9 +144,12 @@ def pack_sections(found: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     return rows.select("doc_id", "section", "bab_no", "bab", "pasal", "ayat", "k", F.size("at").alias("n_chunks"), F.array_join(F.slice("words", F.col("begin"), F.col("size")), " ").alias("text"), pages.alias("pages"))
 
 
-def chunk_documents(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(doc_id, filename, page_number, text) to chunks with ids, titles and page ranges."""
-    classified = classify(parser_lines(pages))
+def chunk_documents(pages: DataFrame, max_chars: int = MAX_CHARS, *, lines: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """(doc_id, filename, page_number, text) to chunks with ids, titles and page ranges; on request also section and k, which order them.
+
+    lines: the parser's lines of the pages, if they are there already.
+    """
+    classified = stored(classify(parser_lines(pages) if lines is None else lines), "classified")
     packed = pack_sections(sections(classified), max_chars)
     # part numbers go on where a (pasal, ayat) is opened again
     before = packed.where("k = 0").select("doc_id", "section", F.sum("n_chunks").over(Window.partitionBy("doc_id", "pasal", "ayat").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
@@ -149,18 +158,19 @@ def chunk_documents(pages: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     out = out.withColumn("part", (F.coalesce("before", F.lit(0)) + F.col("k") + 1).cast("int"))
     return out.select(
         "doc_id", "filename", "bab", "bab_title", "pasal", "ayat", "part", F.array_min("pages").alias("page_start"), F.array_max("pages").alias("page_end"), "pages", "text",
-        chunk_id(document_id(F.col("filename")), F.col("pasal"), F.col("ayat"), F.col("part")).alias("chunk_id"),
+        chunk_id(document_id(F.col("filename")), F.col("pasal"), F.col("ayat"), F.col("part")).alias("chunk_id"), *(["section", "k"] if ordered else []),
     )
 
 
-def document_metrics(pages: DataFrame, chunks: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+def document_metrics(pages: DataFrame, chunks: DataFrame, modes: DataFrame | None = None, *, cleaned: DataFrame | None = None) -> DataFrame:
     """Per document: characters, counts of articles and paragraphs, identifiers, page coverage, chunks, OCR and native pages.
 
     Articles are counted past PENJELASAN, and a chapter does not close an article here. modes: (doc_id, mode) by page.
+    cleaned: the pages' cleaned lines, if they are there already.
     """
-    cleaned = clean_pages(pages)
+    cleaned = stored(clean_pages(pages), "cleaned") if cleaned is None else cleaned
     per_page = cleaned.groupBy("doc_id", "page_number").agg(F.sum(F.length("line") + 1).alias("n")).groupBy("doc_id").agg((F.sum("n") - F.count(F.lit(1))).cast("long").alias("normalized_characters"), F.count(F.lit(1)).alias("text_pages"))
-    lines = join_split_articles(join_hyphens(clean_lines(cleaned)))
+    lines = again(cleaned)
     pasal = F.when(F.col("line").rlike(HEADINGS["PASAL"]), F.upper(F.regexp_extract("line", HEADINGS["PASAL"], 1)))
     rows = lines.withColumn("p", pasal).withColumn("own", F.last("p", True).over(_so_far()))
     ayat = F.when(F.col("p").isNull() & F.col("own").isNotNull() & F.col("line").rlike(HEADINGS["AYAT"]), F.regexp_extract("line", HEADINGS["AYAT"], 1))

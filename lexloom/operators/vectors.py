@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,32 +49,108 @@ def ranked(scored: DataFrame, limit: int, by: str = "query_id", score: str = "sc
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
 
 
-#: Query vectors that go to every task at most; a longer list is worked off in blocks of this many.
-QUERY_BLOCK = 1000
+#: Bytes of query vectors or weights that go to every task at most; more queries are worked off in several passes.
+PASS_BYTES = 64 << 20
+#: Digits of a score: matrix products of other shapes differ in the last bits, which must not decide ties.
+DIGITS = 12
+#: Queries that are multiplied at once.
+QUERY_BLOCK = 500
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, as SQL rounds."""
+    return np.trunc(x * 10.0**digits + np.copysign(0.5, x)) / 10.0**digits
+
+
+class _Best:
+    """The best `limit` of each query among what a task has seen: score first, then id."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.parts = limit, []
+
+    def add(self, first: int, ids: pd.Series, scores: np.ndarray, there: np.ndarray | None = None) -> None:
+        """scores[i, j] of the points `ids` for the queries from number `first` on; `there` marks those that count."""
+        if not scores.size:
+            return
+        shown = scores if there is None else np.where(there, scores, -np.inf)
+        k = min(self.limit, len(ids))
+        least = np.partition(shown, len(ids) - k, axis=0)[len(ids) - k]
+        point, query = np.nonzero((shown >= least) & (shown > -np.inf))
+        self.parts.append(pd.DataFrame({"q": query + first, "id": ids.to_numpy()[point], "score": scores[point, query]}))
+        if sum(map(len, self.parts)) > 2_000_000:
+            self.parts = [self.rows()]
+
+    def rows(self) -> pd.DataFrame:
+        if not self.parts:
+            return pd.DataFrame({"q": [], "id": [], "score": []})
+        rows = pd.concat(self.parts).sort_values(["q", "score", "id"], ascending=[True, False, True])
+        return rows[rows.groupby("q").cumcount() < self.limit]
+
 
+def _passes(queries: DataFrame, weight: int) -> Iterator[DataFrame]:
+    """The queries in parts of about PASS_BYTES, where one takes `weight` bytes."""
+    parts = -(-queries.count() * weight // PASS_BYTES)
+    for p in range(parts):
+        yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
 
-def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits: int | None = None) -> DataFrame:
+
+def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts) if parts else empty
+
+
+def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits: int | None = DIGITS) -> DataFrame:
     """(query_id, id, score, rank) by cosine. points (id, dense), queries (query_id, dense).
 
-    A stated set of queries against all points: queries are numbered and sent in blocks of bounded size, each point is
-    scored against its block in place, and only the best of each task are shuffled.
+    A stated set of queries against all points: queries go to the tasks as matrices of bounded size, each task multiplies
+    its points with them and keeps the best of each query, and only those are shuffled. Vectors that are empty or not
+    finite are left out; of a zero vector every cosine is 0.
     """
-    own = queries.select("query_id", F.col("dense").alias("__q")).where(dense_ok(F.col("__q")))
-    blocks, rows = -(-own.count() // QUERY_BLOCK) or 1, None
-    for b in range(blocks):
-        held = own if blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        block = F.broadcast(held.agg(F.collect_list(F.struct("query_id", "__q")).alias("__block")))
-        part = points.where(dense_ok(F.col("dense"))).join(block).select("id", "dense", F.explode("__block").alias("x"))
-        rows = part if rows is None else rows.unionByName(part)
-    score = cosine(F.col("dense"), F.col("x.__q"))
-    rows = rows.select(F.col("x.query_id").alias("query_id"), "id", (F.round(score, digits) if digits is not None else score).alias("score"))
-    return ranked(rows, limit)
-
-
-def tokens(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf) of lower-cased ASCII words."""
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
+    good = points.where(dense_ok(F.col("dense"))).select("id", "dense")
+    own = queries.where(dense_ok(F.col("dense"))).select("query_id", "dense")
+    size = own.agg(F.max(F.size("dense"))).first()[0] or 1
+
+    def matrix(rows: list) -> np.ndarray:
+        x = np.array(rows, np.float64)
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    parts, digits = [], DIGITS if digits is None else digits
+    for some in _passes(own, 8 * size) if limit > 0 else ():
+        got = some.collect()
+        shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in got], matrix([r[1] for r in got])))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            (names, asked), best = shared.value, _Best(limit)
+            for batch in batches:
+                if len(batch):
+                    x = matrix(batch["dense"].tolist())
+                    for a in range(0, len(names), QUERY_BLOCK):
+                        best.add(a, batch["id"], _rounded(x @ asked[a : a + QUERY_BLOCK].T, digits))
+            rows = best.rows()
+            yield pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]})
+
+        parts.append(good.mapInPandas(score, kinds))
+    return ranked(_union(parts, good.sparkSession.createDataFrame([], kinds)), limit)
+
+
+def term_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, terms, tfs): the lower-cased ASCII words of each text and how often it has them; in place, without a shuffle."""
     words = F.array_remove(F.split(F.lower(text_col), TOKEN_GAP), "")
-    return texts.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    kind = f"id {texts.schema[id_col].dataType.simpleString()}, terms array<string>, tfs array<double>"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(x) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([[float(n) for n in c.values()] for c in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "tfs"])
+
+    return texts.select(F.col(id_col).alias("id"), F.coalesce(words, F.array().cast("array<string>")).alias("words")).mapInArrow(count, kind)
+
+
+def tokens(vectors: DataFrame) -> DataFrame:
+    """(id, term, tf) rows of term vectors."""
+    return vectors.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
 
 
 def idf(n: Column, docs: Column) -> Column:
@@ -75,11 +158,61 @@ def idf(n: Column, docs: Column) -> Column:
     return F.log(1 + (docs - n + 0.5) / (n + 0.5))
 
 
-def sparse_top_k(weights: DataFrame, queries: DataFrame, n_docs: int, limit: int = 20, digits: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank) by the sum of query weight, point weight and IDF. weights (id, term, tf), queries (query_id, term, qtf)."""
-    # only terms that some query has are counted and joined
-    terms = queries.select("term").distinct()
-    held = weights.join(terms, "term", "left_semi")
-    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", idf(F.col("n"), F.lit(n_docs)).alias("idf"))
-    rows = held.join(queries.join(frequency, "term"), "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("qtf") * F.col("idf")).alias("score"))
-    return ranked(rows.withColumn("score", F.round("score", digits)) if digits is not None else rows, limit)
+def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int = 20, digits: int | None = DIGITS) -> DataFrame:
+    """(query_id, id, score, rank) by the sum of query weight, point weight and IDF over common terms; both sides (id or query_id, terms, tfs).
+
+    The queries' weights go to the tasks, at most PASS_BYTES at a time, and each task scores its points in place: no term
+    gathers the points that have it. Terms that many of the queries have are a matrix, the others lists.
+    """
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    asked = queries.select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("query_id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("qtf"))
+    seen = tokens(vectors).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    weighted = asked.join(seen, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.lit(n_docs))).alias("w"))
+    per_query = weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("weights"))
+    size = queries.agg(F.avg(F.size("terms"))).first()[0] or 1
+    parts, digits = [], DIGITS if digits is None else digits
+    for some in _passes(per_query, int(100 * size) + 1) if limit > 0 else ():
+        got = some.collect()
+        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in got], *_weights([r[1] for r in got])))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            (names, places, common, starts, of, weight), best = shared.value, _Best(limit)
+            n = len(names)
+            for batch in batches:
+                for a in range(0, len(batch), 1000):
+                    part = batch.iloc[a : a + 1000]
+                    total, there = np.zeros((len(part), n)), np.zeros((len(part), n), bool)
+                    for i, (terms, tfs) in enumerate(zip(part["terms"], part["tfs"], strict=True)):
+                        found = [(p, tf) for t, tf in zip(terms, tfs, strict=True) if (p := places.get(t)) is not None]
+                        held = [(p, tf) for p, tf in found if p < len(common)]
+                        if held:
+                            rows = common[[p for p, _ in held]]
+                            total[i] = np.array([tf for _, tf in held]) @ rows
+                            there[i] = rows.any(axis=0)
+                        for p, tf in found[:0] if len(held) == len(found) else [x for x in found if x[0] >= len(common)]:
+                            own = slice(starts[p - len(common)], starts[p - len(common) + 1])
+                            total[i, of[own]] += tf * weight[own]
+                            there[i, of[own]] = True
+                    best.add(0, part["id"], _rounded(total, digits), there)
+            rows = best.rows()
+            yield pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]})
+
+        parts.append(vectors.mapInPandas(score, kinds))
+    return ranked(_union(parts, vectors.sparkSession.createDataFrame([], kinds)), limit)
+
+
+def _weights(per_query: list) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each term (those of over a sixteenth of the queries first), their matrix, and lists of (query, weight) of the others."""
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for q, weights in enumerate(per_query):
+        for term, w in weights:
+            by_term.setdefault(term, []).append((q, w))
+    often = [t for t, own in by_term.items() if len(own) * 16 > len(per_query)]
+    rare = [t for t, own in by_term.items() if len(own) * 16 <= len(per_query)]
+    common = np.zeros((len(often), len(per_query)))
+    for i, t in enumerate(often):
+        for q, w in by_term[t]:
+            common[i, q] = w
+    starts = np.concatenate(([0], np.cumsum([len(by_term[t]) for t in rare]))).astype(np.int64)
+    flat = [x for t in rare for x in by_term[t]]
+    return {t: i for i, t in enumerate([*often, *rare])}, common, starts, np.array([q for q, _ in flat], np.int64), np.array([w for _, w in flat])

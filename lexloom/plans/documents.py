@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import document_id, format_size, is_pdf, point_id
 from lexloom.operators import pages, registry, segment
-from lexloom.plans.fixtures import BOXES_SQL, LEGAL_SQL, classified_sql, clean_sql, document_sql, legal_pages, margin_sql, page_boxes, table
+from lexloom.plans.fixtures import BOXES_SQL, LEGAL_SQL, chunked_sql, classified_sql, clean_sql, document_sql, legal_pages, margin_sql, page_boxes, table
+from lexloom.sources.sinks import Collection
+from lexloom.sources.tables import new_folder, stored
 
 
 def line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +46,12 @@ def legal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned lines are made once, for the chunks and for the counts."""
     source = legal_pages(spark, sf_dir)
     modes = source.select("doc_id", F.when(F.col("page_number") % 3 == 0, "full_ocr").otherwise("native_text").alias("mode"))
-    out = segment.document_metrics(source, segment.chunk_documents(source), modes)
-    return out.withColumn("identifiers", F.array_join("identifiers", "|")).drop("chunk_count", "chunk_page_coverage")
+    cleaned = stored(segment.clean_pages(source), "cleaned")
+    chunks = segment.chunk_documents(source, lines=segment.again(cleaned))
+    return segment.document_metrics(source, chunks, modes, cleaned=cleaned).withColumn("identifiers", F.array_join("identifiers", "|"))
 
 
 def structure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,15 @@ def name_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_hash_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that are there more than once, and the first three ids of each."""
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("document_hash")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), 1, 3), ",").alias("examples")).where("n > 1")
+    rows = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("document_hash"), "doc_id")
+    return registry.repeated(rows, "document_hash", "doc_id").withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
+
+
+def chunk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank ids, blank texts and repeated ids among documents as chunks; several share an id."""
+    i = F.col("doc_id")
+    chunks = table(spark, sf_dir, "documents").select(F.when(i % 31 == 0, "  ").otherwise(F.concat(F.lit("c"), (i % 150).cast("string"))).alias("chunk_id"), F.when(i % 29 != 0, F.col("text")).alias("text"))
+    return registry.check_chunks(chunks).withColumn("examples", F.array_join("examples", ","))
 
 
 def index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,15 +96,21 @@ def index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.index_batches(chunks, 8)
 
 
-def parent_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 64 chunks of each parent, by id."""
-    from pyspark.sql import Window
+def _points(spark: SparkSession, sf_dir: str) -> Collection:
+    """Documents as stored chunks; language and source are their parents."""
+    points = Collection(spark, new_folder(spark, "points"), 1)
+    rows = table(spark, sf_dir, "documents").where("trim(text) <> ''")
+    points.upsert(rows.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("lang").alias("filename"), F.col("source").alias("pasal"), "text", F.array(F.lit(1.0)).alias("dense"), F.create_map().cast("map<int,double>").alias("sparse")), "ing1", "none")
+    return points
 
-    rows = table(spark, sf_dir, "documents").select("lang", "source", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("lang", "source").orderBy("chunk_id")).cast("long")).where("n <= 64")
+
+def parent_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 64 stored points of each parent, by id."""
+    points = _points(spark, sf_dir)
+    return points.scroll_parents(points.read(), 64).select("filename", "pasal", "chunk_id", "point_id")
 
 
-QUERIES = {f.__name__: f for f in (line_clean, margin_keys, hyphen_join, legal_sections, bab_titles, penjelasan_cut, legal_chunks, doc_metrics, structure_counts, page_decision, image_union, point_ids, name_ids, doc_hash_dupes, index_batches, parent_scroll)}
+QUERIES = {f.__name__: f for f in (line_clean, margin_keys, hyphen_join, legal_sections, bab_titles, penjelasan_cut, legal_chunks, doc_metrics, structure_counts, page_decision, image_union, point_ids, name_ids, doc_hash_dupes, chunk_checks, index_batches, parent_scroll)}
 
 _PAGE_TEXT = "string_agg(line, chr(10) ORDER BY line_no) AS text"
 ORACLES = {
@@ -100,20 +118,14 @@ ORACLES = {
     "margin_keys": f"WITH {LEGAL_SQL}, {clean_sql('legal', 'basic')}, {margin_sql('basic', 'margins')} SELECT doc_id, key, n_pages FROM margins",
     "hyphen_join": f"WITH {document_sql()} SELECT doc_id, page_number, count(*)::BIGINT AS n_lines, {_PAGE_TEXT} FROM cleaned GROUP BY doc_id, page_number",
     "legal_sections": f"WITH {classified_sql()} SELECT doc_id, section::BIGINT AS section, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, string_agg(content, ' ' ORDER BY page_number, line_no) AS text, min(page_number) AS page_start, max(page_number) AS page_end FROM classified WHERE content IS NOT NULL AND ctx = 'PASAL' GROUP BY doc_id, section",
-    "legal_chunks": rf"""WITH {classified_sql()},
-tokens AS (SELECT doc_id, section, bab_no, bab, pasal, ayat, page_number, line_no, unnest(list_filter(string_split(content, ' '), lambda x: x <> '')) AS word, unnest(range(len(list_filter(string_split(content, ' '), lambda x: x <> '')))) AS pos FROM classified WHERE content IS NOT NULL AND ctx = 'PASAL'),
-listed AS (SELECT doc_id, section, any_value(bab_no) AS bab_no, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, list(word ORDER BY page_number, line_no, pos) AS words, list(page_number ORDER BY page_number, line_no, pos) AS on_pages FROM tokens GROUP BY doc_id, section),
-packed AS (SELECT *, list_reduce(list_transform(words, lambda w: {{'n': length(w)::BIGINT, 'ks': [1::BIGINT]}}), lambda a, x: CASE WHEN a.n + 1 + x.n > 1000 THEN {{'n': x.n, 'ks': list_append(a.ks, a.ks[-1] + 1)}} ELSE {{'n': a.n + 1 + x.n, 'ks': list_append(a.ks, a.ks[-1])}} END).ks AS ks FROM listed),
-offsets AS (SELECT *, coalesce(sum(ks[-1]) OVER (PARTITION BY doc_id, pasal, ayat ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM packed),
-flat AS (SELECT doc_id, section, bab_no, bab, pasal, ayat, before, unnest(words) AS word, unnest(on_pages) AS page, unnest(ks) AS k, unnest(range(len(ks))) AS i FROM offsets),
-chunked AS (SELECT doc_id, section, k, any_value(bab_no) AS bab_no, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, (any_value(before) + k)::INTEGER AS part, min(page) AS page_start, max(page) AS page_end, list_sort(list_distinct(list(page))) AS pages, string_agg(word, ' ' ORDER BY i) AS text FROM flat GROUP BY doc_id, section, k),
-titles AS (SELECT doc_id, bab_no, string_agg(CASE WHEN kind IS NULL OR kind <> 'BAB' THEN line END, ' ' ORDER BY page_number, line_no) AS bab_title FROM classified WHERE bab_no > 0 AND ctx = 'BAB' GROUP BY doc_id, bab_no)
+    "legal_chunks": rf"""WITH {chunked_sql()}
 SELECT c.doc_id, 'UU No. ' || c.doc_id || '.pdf' AS filename, bab, bab_title, pasal, ayat, part, page_start, page_end, array_to_string(pages, ',') AS pages, text,
   'uu_no_' || c.doc_id || '-pasal' || pasal || '-' || CASE WHEN coalesce(ayat, '') <> '' THEN 'ayat' || ayat ELSE 'noayat' END || '-part' || part AS chunk_id
 FROM chunked c LEFT JOIN titles t ON c.doc_id = t.doc_id AND c.bab_no = t.bab_no""",
     "bab_titles": f"WITH {classified_sql()} SELECT doc_id, bab_no::BIGINT AS bab_no, max(bab) AS bab, string_agg(CASE WHEN kind IS NULL OR kind <> 'BAB' THEN line END, ' ' ORDER BY page_number, line_no) AS bab_title FROM classified WHERE bab_no > 0 AND ctx = 'BAB' GROUP BY doc_id, bab_no",
     "penjelasan_cut": f"WITH {classified_sql()} SELECT doc_id, count(*)::BIGINT AS n_lines, count(kind)::BIGINT AS n_headings FROM classified GROUP BY doc_id",
-    "doc_metrics": rf"""WITH {document_sql()},
+    "doc_metrics": rf"""WITH {chunked_sql()},
+by_chunk AS (SELECT doc_id, count(*) AS chunk_count, len(list_distinct(flatten(list(pages)))) AS chunk_pages FROM chunked GROUP BY doc_id),
 per_page AS (SELECT doc_id, page_number, sum(length(line) + 1) - 1 AS n FROM cleaned GROUP BY doc_id, page_number),
 per_doc AS (SELECT doc_id, sum(n)::BIGINT AS normalized_characters, count(*) AS text_pages FROM per_page GROUP BY doc_id),
 heads AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^Pasal\s+(\d+[A-Za-z]?)(?:\s+(.+))?$') THEN upper(regexp_extract(line, '(?i)^Pasal\s+(\d+[A-Za-z]?)(?:\s+(.+))?$', 1)) END AS p FROM parsed),
@@ -121,8 +133,8 @@ owned AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER B
 named AS (SELECT doc_id, p, CASE WHEN p IS NULL AND own IS NOT NULL AND regexp_matches(line, '^\((\d+)\)\s*(.*)$') THEN regexp_extract(line, '^\((\d+)\)', 1) END AS a, own FROM owned),
 counts AS (SELECT doc_id, count(p)::BIGINT AS pasal_count, count(a)::BIGINT AS ayat_count, coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN p IS NOT NULL THEN 'Pasal ' || p WHEN a IS NOT NULL THEN 'Pasal ' || own || ' Ayat ' || a END))), '|'), '') AS identifiers FROM named GROUP BY doc_id),
 totals AS (SELECT doc_id, count(*) AS total_pages, count(*) FILTER (WHERE page_number % 3 = 0)::BIGINT AS ocr_pages, count(*) FILTER (WHERE page_number % 3 <> 0)::BIGINT AS native_pages FROM (SELECT DISTINCT doc_id, page_number FROM legal) GROUP BY doc_id)
-SELECT t.doc_id, coalesce(normalized_characters, 0)::BIGINT AS normalized_characters, coalesce(pasal_count, 0)::BIGINT AS pasal_count, coalesce(ayat_count, 0)::BIGINT AS ayat_count, coalesce(identifiers, '') AS identifiers, coalesce(text_pages, 0)::DOUBLE / total_pages AS page_coverage, ocr_pages, native_pages
-FROM totals t LEFT JOIN per_doc d ON t.doc_id = d.doc_id LEFT JOIN counts c ON t.doc_id = c.doc_id""",
+SELECT t.doc_id, coalesce(normalized_characters, 0)::BIGINT AS normalized_characters, coalesce(pasal_count, 0)::BIGINT AS pasal_count, coalesce(ayat_count, 0)::BIGINT AS ayat_count, coalesce(identifiers, '') AS identifiers, coalesce(text_pages, 0)::DOUBLE / total_pages AS page_coverage, coalesce(chunk_pages, 0)::DOUBLE / total_pages AS chunk_page_coverage, coalesce(chunk_count, 0)::BIGINT AS chunk_count, ocr_pages, native_pages
+FROM totals t LEFT JOIN per_doc d ON t.doc_id = d.doc_id LEFT JOIN counts c ON t.doc_id = c.doc_id LEFT JOIN by_chunk b ON t.doc_id = b.doc_id""",
     "structure_counts": rf"WITH {LEGAL_SQL}, {clean_sql('legal', 'basic')} SELECT doc_id, page_number, count(*) FILTER (WHERE regexp_matches(line, '(?i)^Pasal\s+(\d+[A-Za-z]?)(?:\s+(.+))?$'))::BIGINT AS n_pasal, count(*) FILTER (WHERE regexp_matches(line, '^\((\d+)\)\s*(.*)$'))::BIGINT AS n_ayat FROM basic GROUP BY doc_id, page_number",
     "page_decision": rf"""WITH {BOXES_SQL},
 texts AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS c, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS tight, coalesce(text, '') AS text FROM documents),
@@ -139,5 +151,10 @@ SELECT doc_id, sha256(text) AS document_hash, substr(h, 1, 8) || '-' || substr(h
 CASE WHEN page_id * 70001 < 1048576 THEN greatest(1, floor(page_id * 70001 / 1024.0::DOUBLE + 0.5::DOUBLE)::BIGINT) || ' KB' ELSE printf('%.1f', page_id * 70001 / 1048576.0::DOUBLE) || ' MB' END AS size FROM pages""",
     "doc_hash_dupes": "SELECT sha256(text) AS document_hash, count(*)::BIGINT AS n, array_to_string(list_slice(list_transform(list_sort(list(doc_id)), lambda x: x::VARCHAR), 1, 3), ',') AS examples FROM documents GROUP BY 1 HAVING count(*) > 1",
     "index_batches": "WITH r AS (SELECT source AS doc_id, (row_number() OVER (PARTITION BY source ORDER BY 'c' || doc_id) - 1) // 8 AS batch FROM documents), g AS (SELECT doc_id, batch, count(*)::BIGINT AS n FROM r GROUP BY doc_id, batch) SELECT doc_id, batch::BIGINT AS batch, n, (sum(n) OVER (PARTITION BY doc_id ORDER BY batch))::BIGINT AS indexed FROM g",
-    "parent_scroll": "SELECT lang, source, 'c' || doc_id AS chunk_id, row_number() OVER (PARTITION BY lang, source ORDER BY 'c' || doc_id)::BIGINT AS n FROM documents QUALIFY n <= 64",
+    "chunk_checks": r"""WITH c AS (SELECT CASE WHEN doc_id % 31 = 0 THEN '  ' ELSE 'c' || (doc_id % 150) END AS id, CASE WHEN doc_id % 29 <> 0 THEN text END AS text FROM documents),
+r AS (SELECT id FROM c WHERE trim(id) <> '' GROUP BY id HAVING count(*) > 1)
+SELECT (SELECT count(*) FROM c WHERE trim(id) = '')::BIGINT AS blank_ids, (SELECT count(*) FROM c WHERE trim(coalesce(text, '')) = '')::BIGINT AS blank_texts, (SELECT count(*) FROM r)::BIGINT AS repeated_ids, (SELECT coalesce(string_agg(id, ',' ORDER BY id), '') FROM (SELECT id FROM r ORDER BY id LIMIT 3)) AS examples""",
+    "parent_scroll": r"""WITH h AS (SELECT lang AS filename, source AS pasal, 'c' || doc_id AS chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('ing1:c' || doc_id)) AS h FROM documents WHERE trim(text) <> ''),
+p AS (SELECT filename, pasal, chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h)
+SELECT * FROM p WHERE filename IS NOT NULL AND pasal IS NOT NULL QUALIFY row_number() OVER (PARTITION BY filename, pasal ORDER BY point_id) <= 64""",
 }

@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, filename, page_number, text): documents cut into pages, with headings, headers, marks and word breaks put in by line."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("ln", "line"))
     k, ln, line = F.col("k"), F.col("ln"), F.col("line")
     text = lambda x: x.cast("string")
     put = {
@@ -37,6 +37,8 @@ def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (15,): F.lit(".. ,,"),
         (16,): F.concat(F.lit("Paragraf "), text(1 + ln % 3)),
         (19,): F.concat(F.lit("Pasal "), text(1 + ln % 9), F.lit(" "), line),
+        # ligature, full-width letters, no-break space, soft hyphen, replacement sign, zero-width space, a tab
+        (20,): F.concat(F.lit("\ufb01nal\u00a0\uff21\uff22 so\u00adft\ufffdx\u200b \ty "), text(ln % 3)),
     }
     new = line
     for keys, value in put.items():
@@ -47,7 +49,7 @@ def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEGAL_SQL = r"""
-legal0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents WHERE text IS NOT NULL),
+legal0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ln FROM documents),
 legal1 AS (SELECT *, (doc_id * 7 + ln * 13) % 40 AS k FROM legal0),
 legal AS (SELECT doc_id, CAST(1 + ln // 12 AS INTEGER) AS page_number, ln AS line_no,
   trim(regexp_replace(regexp_replace(CASE
@@ -58,7 +60,7 @@ legal AS (SELECT doc_id, CAST(1 + ln // 12 AS INTEGER) AS page_number, ln AS lin
     WHEN k = 9 THEN 'Lembaran Dokumen ' || doc_id WHEN k = 10 THEN '- 3 -' WHEN k = 11 THEN line || ' kete-'
     WHEN k = 24 THEN 'nagakerjaan ' || line WHEN k = 12 THEN 'SK No 12' WHEN k = 13 THEN 'Presiden Republik Indonesia'
     WHEN k = 14 AND doc_id % 5 = 0 THEN 'PENJELASAN' WHEN k = 15 THEN '.. ,,' WHEN k = 16 THEN 'Paragraf ' || (1 + ln % 3)
-    WHEN k = 19 THEN 'Pasal ' || (1 + ln % 9) || ' ' || line ELSE line END, '[\x00-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')) AS line FROM legal1)"""
+    WHEN k = 19 THEN 'Pasal ' || (1 + ln % 9) || ' ' || line WHEN k = 20 THEN 'final AB soft x y ' || (ln % 3) ELSE line END, '[\x00-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g')) AS line FROM legal1)"""
 
 
 def join_sql(source: str, name: str) -> str:
@@ -117,6 +119,18 @@ classified AS (SELECT *, CASE WHEN ctx = 'PASAL' THEN last_pasal END AS pasal,
     WHEN ctx = 'PASAL' AND (kind IS NULL OR kind NOT IN ('BAB', 'BAGIAN', 'PARAGRAF', 'PASAL')) THEN line END, '') AS content FROM secs)"""
 
 
+def chunked_sql() -> str:
+    """CTEs up to `chunked`, the chunks in order of (doc_id, section, k), and `titles`."""
+    return classified_sql() + rf""",
+tokens AS (SELECT doc_id, section, bab_no, bab, pasal, ayat, page_number, line_no, unnest(list_filter(string_split(content, ' '), lambda x: x <> '')) AS word, unnest(range(len(list_filter(string_split(content, ' '), lambda x: x <> '')))) AS pos FROM classified WHERE content IS NOT NULL AND ctx = 'PASAL'),
+listed AS (SELECT doc_id, section, any_value(bab_no) AS bab_no, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, list(word ORDER BY page_number, line_no, pos) AS words, list(page_number ORDER BY page_number, line_no, pos) AS on_pages FROM tokens GROUP BY doc_id, section),
+packed AS (SELECT *, list_reduce(list_transform(words, lambda w: {{'n': length(w)::BIGINT, 'ks': [1::BIGINT]}}), lambda a, x: CASE WHEN a.n + 1 + x.n > 1000 THEN {{'n': x.n, 'ks': list_append(a.ks, a.ks[-1] + 1)}} ELSE {{'n': a.n + 1 + x.n, 'ks': list_append(a.ks, a.ks[-1])}} END).ks AS ks FROM listed),
+offsets AS (SELECT *, coalesce(sum(ks[-1]) OVER (PARTITION BY doc_id, pasal, ayat ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM packed),
+flat AS (SELECT doc_id, section, bab_no, bab, pasal, ayat, before, unnest(words) AS word, unnest(on_pages) AS page, unnest(ks) AS k, unnest(range(len(ks))) AS i FROM offsets),
+chunked AS (SELECT doc_id, section, k, any_value(bab_no) AS bab_no, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, (any_value(before) + k)::INTEGER AS part, min(page) AS page_start, max(page) AS page_end, list_sort(list_distinct(list(page))) AS pages, string_agg(word, ' ' ORDER BY i) AS text FROM flat GROUP BY doc_id, section, k),
+titles AS (SELECT doc_id, bab_no, string_agg(CASE WHEN kind IS NULL OR kind <> 'BAB' THEN line END, ' ' ORDER BY page_number, line_no) AS bab_title FROM classified WHERE bab_no > 0 AND ctx = 'BAB' GROUP BY doc_id, bab_no)"""
+
+
 def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_number, text, page_w, page_h, boxes): a page per document with up to three images placed by its id."""
     docs = table(spark, sf_dir, "documents")

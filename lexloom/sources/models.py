@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions import SCOPE_SYSTEM_PROMPT, clean_answer, parse_scope, scope_prompt
+
 Embed = Callable[[list[str]], list[tuple[list[float], dict[int, float]]]]
 
 
@@ -52,7 +54,7 @@ def model_rerank(connect: Callable[[], Callable[[str, list[str]], list[float]]],
 
 
 def generate_answers(rows: DataFrame, connect: Callable[[], Callable[[str, str], str]]) -> DataFrame:
-    """(query_id, answer) from (query_id, question, context); an empty answer is an error."""
+    """(query_id, answer) from (query_id, question, context), cleaned; an answer that is empty, then or before, is an error."""
     kind = rows.schema["query_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,4 +65,21 @@ def generate_answers(rows: DataFrame, connect: Callable[[], Callable[[str, str],
                 raise ValueError("the model gave an empty answer")
             yield pd.DataFrame({"query_id": part["query_id"], "answer": answers})
 
-    return rows.select("query_id", "question", "context").mapInPandas(run, f"query_id {kind}, answer string")
+    out = rows.select("query_id", "question", "context").mapInPandas(run, f"query_id {kind}, answer string")
+    out = out.withColumn("answer", clean_answer(F.col("answer")))
+    return out.withColumn("answer", F.when(F.col("answer") == "", F.raise_error(F.lit("the model gave its reasoning only"))).otherwise(F.col("answer")))
+
+
+def classify_scope(questions: DataFrame, connect: Callable[[], Callable[[str, str], str]]) -> DataFrame:
+    """questions with in_scope, read from the model's replies to (system prompt, user prompt); a reply without a verdict is an error."""
+    names = [f.name for f in questions.schema.fields]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = connect()
+        for part in batches:
+            yield part.assign(__reply=[ask(SCOPE_SYSTEM_PROMPT, p) for p in part["__prompt"]]).drop(columns="__prompt")
+
+    asked = questions.withColumn("__prompt", scope_prompt(F.col("question"))).mapInPandas(run, f"{kind}, __reply string")
+    verdict = parse_scope(F.col("__reply"))
+    return asked.select(*names, F.when(verdict.isNull(), F.raise_error(F.lit("a scope reply without a verdict"))).otherwise(verdict).alias("in_scope"))

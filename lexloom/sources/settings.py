@@ -6,21 +6,25 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 
+# Names of the application's variables where they are not those of the fields in upper case.
+NAMES = {"api_key": "DEEPINFRA_API_KEY", "base_url": "DEEPINFRA_BASE_URL", "store_host": "QDRANT_HOST", "store_key": "QDRANT_API_KEY", "collection": "QDRANT_COLLECTION", "rerank_model": "RERANKED_MODEL"}
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Models, store and limits. The names in a mapping are those of the fields in upper case."""
+    """Models, store and limits. A mapping names them by the fields in upper case or as in NAMES."""
 
-    embedding_model: str = "embedding"
+    # fixed values: the application's defaults, but for the collection's name
+    embedding_model: str = "BAAI/bge-m3-multi"
     api_key: str = ""
-    base_url: str = "http://localhost"
+    base_url: str = "https://api.deepinfra.com/v1"
     store_host: str = "http://localhost:6333"
     store_key: str = ""
     collection: str = "chunks"
-    # fixed values: the application's defaults
     embedding_batch_size: int = 8
     http_timeout_seconds: float = 120.0
-    rerank_model: str = "reranker"
-    generative_model: str = "generator"
+    rerank_model: str = "Qwen/Qwen3-Reranker-4B"
+    generative_model: str = "Qwen/Qwen3-32B"
     retrieval_limit: int = 20
     rerank_top_k: int = 7
     rrf_k: int = 60
@@ -32,7 +36,7 @@ class Settings:
         """Blank values take the default, addresses lose a final slash, whole numbers must be above zero."""
         out = {}
         for f in fields(cls):
-            raw = (env.get(f.name.upper()) or "").strip()
+            raw = (env.get(f.name.upper()) or env.get(NAMES.get(f.name, "")) or "").strip()
             if not raw:
                 continue
             value = type(f.default)(raw.rstrip("/") if f.name in ("base_url", "store_host") else raw)

@@ -6,17 +6,19 @@ file or document and lives as long as the job log.
 
 from __future__ import annotations
 
+import logging
 import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexloom.operators.events import KEPT, LAST, is_terminal, up_to_terminal
+from lexloom.operators.events import KEPT, LAST, fold_progress, is_terminal, mark_lost, up_to_terminal
 from lexloom.operators.registry import STATE, fold_batches
+from lexloom.sources.tables import KeyedTable
 
 EVENTS = (
     "seq long, type string, job_id string, filename string, stage string, status string, message string, chunks int, indexed_chunks int, progress_current int, progress_total int, progress_percent double, progress_unit string, "
@@ -72,18 +74,34 @@ def publish(events: DataFrame, path: str) -> None:
 
 
 def to_latest(stream: DataFrame, key: str, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
-    """Keeps the latest row of each key under `path`, a version per batch; a batch that runs again writes the same version."""
-    spark = stream.sparkSession
+    """Keeps the latest row of each key in the KeyedTable under `path`; a batch rewrites the buckets it touches, and once if it runs again."""
+    table = KeyedTable(stream.sparkSession, path, key)
+    out = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    out = out.foreachBatch(lambda batch, number: table.upsert(batch.dropDuplicates([key]), number + 1))
+    return (out.trigger(availableNow=True) if once else out).start()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key])
-        if number:
-            old = spark.read.parquet(f"{path}/batch={number - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    out = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
-    return (out.trigger(availableNow=True) if once else out).start()
+class CrashLogger(StreamingQueryListener):
+    """Logs streaming queries that end with an error, which nobody may be waiting for."""
+
+    def __init__(self, log: logging.Logger = logging.getLogger(__name__)) -> None:
+        self.log = log
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if event.exception is not None:
+            self.log.error("query %s ended unexpectedly: %s", event.id, event.exception)
+
+
+def replay_job(history: DataFrame, job_id: str, known: DataFrame) -> DataFrame:
+    """Files as they stand after a lost connection: the job's history folded anew, or, where the job is gone, `known` files marked lost."""
+    own = history.where(F.col("job_id") == job_id)
+    return fold_progress(own) if own.limit(1).count() else mark_lost(known)
 
 
 def follow_job(events: DataFrame, job_id: str, send: Callable[[list[dict]], None], checkpoint: str, *, every: str = "1 second") -> StreamingQuery:
@@ -111,4 +129,4 @@ def follow_job(events: DataFrame, job_id: str, send: Callable[[list[dict]], None
     return query
 
 
-__all__ = ["EVENTS", "KEPT", "event_stream", "follow_job", "publish", "stream_progress", "stream_registry", "to_latest"]
+__all__ = ["EVENTS", "KEPT", "CrashLogger", "event_stream", "follow_job", "publish", "replay_job", "stream_progress", "stream_registry", "to_latest"]

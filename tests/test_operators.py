@@ -105,8 +105,11 @@ def test_registry(spark):
     assert registry.latest_state(plain).select("ingestion_id", "status", "indexed_chunks").first() == ("i3", "completed", 4)
     up = spark.createDataFrame([("j", "h", False), ("j", "z", False)], "job_id string, document_hash string, failed boolean")
     checked = registry.duplicates(up, registry.registry_state(log))
-    assert registry.upload_report(checked).first() == ("j", 1, 0, 1, 202)
-    assert registry.upload_report(checked.where("document_hash = 'h'")).first()["status_code"] == 409
+    assert registry.upload_report(checked).first() == ("j", 1, 0, 1, 202, None)
+    only = registry.upload_report(checked.where("document_hash = 'h'")).first()
+    assert (only["status_code"], only["detail"]) == (409, "Dokumen sudah pernah diinput (status: completed, file: f)")
+    both = registry.upload_report(checked.where("document_hash = 'h'").unionByName(checked.where("document_hash = 'h'"))).first()
+    assert (both["status_code"], both["detail"]) == (409, registry.ALL_DUPLICATES)
 
 
 def test_event_fold_is_idempotent(spark):

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lexloom.operators import events, registry
+from lexloom.sources.tables import KeyedTable
 from lexloom.streaming import jobs
 
 
@@ -19,7 +20,7 @@ def small_chunks(spark):
 def latest(spark, stream, key, folder):
     query = jobs.to_latest(stream, key, f"{folder}/state", f"{folder}/checkpoint")
     query.awaitTermination()
-    df = spark.read.parquet(f"{folder}/state/batch={query.lastProgress['batchId']}")
+    df = KeyedTable(spark, f"{folder}/state", key).read()
     return sorted(map(str, df.select(*sorted(df.columns)).collect()))
 
 

@@ -7,6 +7,6 @@ from tests.conftest import SMALL
 
 
 def test_questions_are_rewritten_whole(spark):
-    rows = plans.QUERIES["query_rewrite_whole"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/benchmark.parquet"), "item_id")
+    rows = plans.QUERIES["query_rewrite"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/benchmark.parquet"), "item_id")
     assert rows.count() and rows.where(F.length("text") > 80).count()
     assert rows.where(F.col("n") < F.length(F.trim("text"))).count() == 0
