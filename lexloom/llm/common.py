@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import posixpath
 import tempfile
@@ -83,6 +84,17 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), name)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the machine; the worker stays, and other stages run beside it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table made by `stored` which nothing reads any more."""
     spark = df.sparkSession

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored, whole
+from lexloom.llm.common import release, stored, whole
 from lexloom.llm.components import connected_components
 from lexloom.llm.simhash import key_runs
 
@@ -101,6 +101,7 @@ def similar_links(documents: DataFrame, *, shingle: int = SHINGLE, block: int =
             rows = [(i, xxhash.xxh64_intdigest(s.tobytes()), len(s), band_keys(s)) for i, t in zip(batch["id"], batch["text"], strict=True) if len(s := shingles(t, shingle))]
             keys = np.array([r[3] for r in rows], np.uint64).reshape(-1, BANDS).view(np.int64)
             yield pd.DataFrame({"id": [r[0] for r in rows], "own": np.array([r[1] for r in rows], np.uint64).view(np.int64), "n": [r[2] for r in rows], "keys": pd.Series(list(keys), dtype=object)})
+        release()
 
     docs = documents.select(F.col(id_col).cast("long").alias("id"), whole(documents[text_col]).alias("text")).where("id is not null")
     sketches = stored(docs.mapInPandas(sketch, "id long, own long, n long, keys array<long>"), "sketches")
@@ -121,6 +122,7 @@ def similar_links(documents: DataFrame, *, shingle: int = SHINGLE, block: int =
             # an id that repeats brings other texts along
             same = np.array([xxhash.xxh64_intdigest(s) for s in found], np.uint64).view(np.int64) == batch["own"].to_numpy()
             yield batch.drop(columns="text").assign(set=found)[same]
+        release()
 
     dealt = docs.join(members, "id").mapInPandas(sets, "id long, own long, component long, blocks int, set binary")
     k, m = F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int"), F.col("m")
@@ -135,6 +137,7 @@ def similar_links(documents: DataFrame, *, shingle: int = SHINGLE, block: int =
                     out += [(ids[at[a]], ids[at[b]]) for a, b in _forest([np.frombuffer(batch["set"].iloc[x], np.uint64) for x in at])]
             found = np.array(out, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        release()
 
     keys = ["component", "i", "j"]
     near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(link, "a long, b long")
