@@ -7,9 +7,9 @@ radius is missed. 2^(RADIUS + 1) - 1 tables of about 32 bits each.
 
 Equal fingerprints are merged first, so that groups of copies cost one row. Within a bucket (table, masked value) a
 search visits each fingerprint once and compares it with those not yet reached; only the links of a spanning forest are
-emitted, never all pairs. A bucket of
-more than SMALL fingerprints is split again by the bits that its mask leaves out: of RADIUS + 1 runs of them one must
-agree, so this loses no pair either. Components come from the stars of `components`.
+emitted, never all pairs. A bucket of more than HOT_BUCKET fingerprints is split before it is dealt out, by the bits that
+its mask leaves out: of RADIUS + 1 runs of them one must agree, so this loses no pair either. What a task is left with is
+split the same way down to SMALL. Components come from the stars of `components`.
 """
 
 from __future__ import annotations
@@ -22,13 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored, whole
+from lexloom.llm.common import attach, release, stored, whole
 from lexloom.llm.components import connected_components
 
 RADIUS = 4
 SHINGLE = 4
 BITS = 64
+#: Fingerprints that are compared with each other; more are split.
 SMALL = 4096
+#: Fingerprints of a bucket from which it is split before it is dealt out.
+HOT_BUCKET = 50_000
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -56,19 +59,30 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > count, bitorder="little").view("<u8")[0])
 
 
-def _forest(x: np.ndarray, radius: int, left_out: int, depth: int = 0) -> list[tuple[int, int]]:
-    """Indices (i, j) of links that connect all of x that is connected by distances of at most `radius`."""
+def runs(left_out: int, radius: int = RADIUS) -> list[int]:
+    """radius + 1 masks that share out the bits of left_out: two values that differ in `radius` of these bits agree in one run."""
+    places = np.array([i for i in range(BITS) if left_out >> i & 1], dtype=object)
+    return [sum(1 << int(i) for i in run) for run in np.array_split(places, radius + 1)]
+
+
+def _forest(x: np.ndarray, radius: int, left_out: int) -> list[tuple[int, int]]:
+    """Indices (i, j) of links that connect all of x that is connected by distances of at most `radius`.
+
+    x may differ in the bits of left_out only. Of more than SMALL values those that agree in a run of these bits are
+    compared, and so on while the runs part them well; what they do not part is close together and is soon visited.
+    """
     n = len(x)
-    if n > SMALL and depth == 0:
-        places = [i for i in range(BITS) if left_out >> i & 1]
-        out: list[tuple[int, int]] = []
-        for run in np.array_split(np.array(places, np.uint64), radius + 1):
-            part = x & np.uint64(sum(1 << int(i) for i in run))
+    if left_out.bit_count() <= radius:
+        return [(0, j) for j in range(1, n)]
+    if n > SMALL:
+        groups = []
+        for run in runs(left_out, radius):
+            part = x & np.uint64(run)
             order = np.argsort(part, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                if len(own) > 1:
-                    out += [(int(own[i]), int(own[j])) for i, j in _forest(x[own], radius, 0, 1)]
-        return out
+            own = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+            groups.append((run, own))
+        if max(len(g) for _, own in groups for g in own) * 8 <= n:
+            return [(int(g[i]), int(g[j])) for run, own in groups for g in own if len(g) > 1 for i, j in _forest(x[g], radius, left_out & ~run)]
     if n == 2:
         return [(0, 1)] if (int(x[0]) ^ int(x[1])).bit_count() <= radius else []
     out, rest = [], np.arange(n)
@@ -117,6 +131,7 @@ def near_duplicates(documents: DataFrame, *, radius: int = RADIUS, shingle: int
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"].astype("Int64"), "fp": np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).astype(np.int64)})
+        release()
 
     docs = documents.select(F.col(id_col).cast("long").alias("id"), whole(documents[text_col]).alias("text"))
     docs = stored(docs.mapInPandas(prints, "id long, fp long"), "fingerprints")
@@ -125,20 +140,37 @@ def near_duplicates(documents: DataFrame, *, radius: int = RADIUS, shingle: int
     signed = [m - (1 << 64) if m >> 63 else m for m in all_masks]
     tables = nodes.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
 
+    # a bucket of very many fingerprints is dealt out by the runs of the bits that its mask leaves out
+    every = (1 << BITS) - 1
+    parts = [runs(every & ~m, radius) for m in all_masks]
+    hot = tables.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("table", "key")
+    hot = stored(hot, "hot-buckets")
+    keys = ["table", "key", "run", "part"]
+    cold, split = tables, None
+    if hot.limit(1).count():
+        by_table = F.array(*[F.array(*[F.lit(p - (1 << 64) if p >> 63 else p) for p in own]) for own in parts])
+        cold, split = attach(tables, hot, ["table", "key"], "left_anti"), attach(tables, hot, ["table", "key"], "left_semi")
+        split = split.select("fp", "node", "table", "key", F.posexplode(F.get(by_table, F.col("table"))).alias("run", "part")).withColumn("part", F.col("fp").bitwiseAND(F.col("part")))
+    dealt = cold.select("fp", "node", "table", "key", F.lit(-1).alias("run"), F.lit(0).cast("long").alias("part"))
+    dealt = dealt if split is None else dealt.unionByName(split)
+
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in key_runs(batches, ["table", "key"]):
-            table, key = batch["table"].to_numpy(), batch["key"].to_numpy()
+        for batch in key_runs(batches, keys):
+            table, run = batch["table"].to_numpy(), batch["run"].to_numpy()
             fps, ids = batch["fp"].to_numpy().view(np.uint64), batch["node"].to_numpy()
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(table) != 0)) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+            change = np.zeros(len(batch) - 1, bool)
+            for c in keys:
+                change |= np.diff(batch[c].to_numpy()) != 0
+            cuts = np.flatnonzero(change) + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(table)]))
             pairs: list[tuple[int, int]] = []
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                pairs += [(s + i, s + j) for i, j in _forest(fps[s:e], radius, ~all_masks[table[s]])]
+                left_out = every & ~all_masks[table[s]] & ~(parts[table[s]][run[s]] if run[s] >= 0 else 0)
+                pairs += [(s + i, s + j) for i, j in _forest(fps[s:e], radius, left_out)]
             at = np.array(pairs, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
 
-    dealt = tables.repartition("table", "key").sortWithinPartitions("table", "key")
-    links = dealt.select("table", "key", "fp", "node").mapInPandas(link, "a long, b long")
+    links = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp", "node").mapInPandas(link, "a long, b long")
     found = connected_components(links)
     classes = nodes.join(found, nodes["node"] == found["node"], "left").select(nodes["fp"], F.coalesce(found["component"], nodes["node"]).alias("component_id"))
     return docs.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

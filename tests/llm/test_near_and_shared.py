@@ -31,7 +31,9 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def test_fingerprints_and_groups(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT_BUCKET, 1])
+def test_fingerprints_and_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_BUCKET", hot)
     r = random.Random(4)
     base = [" ".join(r.choice("abcdefghijkl") + str(r.randint(0, 99)) for _ in range(r.randint(30, 90))) for _ in range(25)]
     texts = base + [" ".join(w if r.random() > 0.02 else "Zz" for w in r.choice(base).split()) for _ in range(80)] + ["", None, "One", "one", "a b c"]
@@ -56,7 +58,7 @@ def test_large_buckets_are_split_without_loss(monkeypatch):
     r, mask = random.Random(2), simhash.masks()[5]
     own = [r.getrandbits(64) & mask | r.getrandbits(64) & ~mask & 0xFF for _ in range(1)]
     x = np.array([own[0] ^ sum(1 << b for b in r.sample([i for i in range(64) if not mask >> i & 1], r.randint(0, 9))) for _ in range(200)], np.uint64)
-    links = simhash._forest(x, 4, ~mask)
+    links = simhash._forest(x, 4, ~mask & (1 << 64) - 1)
     top = list(range(200))
 
     def root(i):
