@@ -6,8 +6,9 @@ tables. Here MinHash only proposes groups; what counts is the similarity of the
 Documents of equal sets are merged first. BANDS keys of ROWS minima propose pairs: one of similarity 0.8 shares no key
 with a probability of (1 - 0.8^5)^40 = 1.3e-7, more similar ones with less. Documents joined by chains of shared keys make
 a group. All sets of a group are compared, each with those not yet reached, and only the links of a spanning forest are
-emitted, never all pairs. A group of more than BLOCK shingles is cut into blocks, and each two of them make a task, so no
-task grows with the group.
+emitted, never all pairs. In a group of more than BLOCK shingles all are compared with one leader first; what is similar to
+it is connected. The others are cut into blocks, which meet the blocks of the whole group two by two, so no task grows with
+the group, and a group of near copies of one text is done in one pass.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import release, stored, whole
+from lexloom.llm.common import attach, release, stored, whole
 from lexloom.llm.components import connected_components
 from lexloom.llm.simhash import key_runs
 
@@ -31,6 +32,8 @@ BANDS, ROWS = 40, 5
 BLOCK = 500_000
 #: Members of groups that are broadcast at most (28 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 500_000
+#: Leaders of large groups whose sets are broadcast at most (some kilobytes each).
+BROADCAST_LEADERS = 2_000
 #: Rows that a Python worker turns into keys or sets at once.
 SLICE = 1000
 _TIMES, _PLUS = np.random.default_rng(5).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
@@ -90,6 +93,37 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[k : k + SLICE]
 
 
+def _led(members: DataFrame) -> DataFrame:
+    """Members (id, own, component, blocks, set) of large groups with lead_id and whether they are similar to their group's leader, the member of the least own."""
+    leaders = stored(members.where("own = component").groupBy("component").agg(F.min("id").alias("lead_id"), F.min_by("set", "id").alias("lead")), "leaders")
+    kind = "id long, own long, component long, blocks int, set binary, lead_id long, reached boolean"
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches):
+            reached = []
+            for own, lead in zip(batch["set"], batch["lead"], strict=True):
+                x, y = np.frombuffer(own, np.uint64), np.frombuffer(lead, np.uint64)
+                reached.append(len(np.intersect1d(x, y, True)) * (PART + WHOLE) >= PART * (len(x) + len(y)))
+            yield batch.drop(columns="lead").assign(reached=reached)
+        release()
+
+    return stored(attach(members, leaders, ["component"], "inner", bound=BROADCAST_LEADERS).select("id", "own", "component", "blocks", "set", "lead_id", "lead").mapInPandas(compare, kind), "led")
+
+
+def _left(led: DataFrame, block: int) -> DataFrame:
+    """(component, i, j, id, set): what is still to be compared in large groups.
+
+    Members similar to the leader are connected already and need not meet each other. Each block of the others meets each
+    block of all: in a group of near copies of one text that is little or nothing.
+    """
+    others = led.where("not reached").groupBy("component").agg(F.ceil(F.sum(F.octet_length("set")) / (8 * block)).cast("int").alias("b"))
+    rows = attach(led, stored(others, "others"), ["component"], "inner")
+    part = lambda n: F.pmod(F.xxhash64("own"), n).cast("int")
+    first = rows.where("not reached").select("component", part(F.col("b")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "set")
+    second = rows.select("component", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("i"), part(F.col("blocks")).alias("j"), "id", "set")
+    return first.unionByName(second)
+
+
 def similar_links(documents: DataFrame, *, shingle: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): ids of documents, links that join all whose shingle sets are PART / WHOLE similar, by chains too.
 
@@ -125,9 +159,13 @@ def similar_links(documents: DataFrame, *, shingle: int = SHINGLE, block: int =
         release()
 
     dealt = docs.join(members, "id").mapInPandas(sets, "id long, own long, component long, blocks int, set binary")
-    k, m = F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int"), F.col("m")
-    dealt = dealt.withColumn("k", k).select("id", "component", "set", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("m"))
-    dealt = dealt.select("component", F.least("k", m).alias("i"), F.greatest("k", m).alias("j"), "id", "set")
+    large = groups.join(blocks.where("blocks > 1"), "component", "left_semi").limit(1).count() > 0
+    undivided = lambda rows: rows.select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "set")
+    led, pairs = None, undivided(dealt)
+    if large:
+        dealt = stored(dealt, "dealt")
+        led = _led(dealt.where("blocks > 1"))
+        pairs = undivided(dealt.where("blocks = 1")).unionByName(_left(led, block))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in key_runs(batches, ["component", "i", "j"]):
@@ -140,6 +178,8 @@ def similar_links(documents: DataFrame, *, shingle: int = SHINGLE, block: int =
         release()
 
     keys = ["component", "i", "j"]
-    near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(link, "a long, b long")
+    near = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(link, "a long, b long")
+    if led is not None:
+        near = near.unionByName(led.where("reached and id <> lead_id").select(F.col("lead_id").alias("a"), F.col("id").alias("b")))
     equal = sketches.join(nodes.select("own", "node"), "own").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     return near.unionByName(equal)
