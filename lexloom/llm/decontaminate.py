@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import attach, stored, whole
+from lexloom.llm.common import attach, drop_stored, stored, whole
 
 WINDOW = 10
 K = 5
@@ -97,6 +97,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
     spans = _bind(exact_words(F.col("text")), lambda w: F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice(w, x["at"] + 1, x["len"]), " ").alias("span"))))
     seen = attach(docs, places, ["id", "th"]).select("id", "th", F.size(loose_words(F.col("text"))).cast("long").alias("n_words"), F.when(F.col("places").isNotNull(), spans).alias("spans"))
     seen = stored(seen, "contamination")
+    drop_stored(places)
     starts = F.sequence(F.lit(0), F.size("w") - F.col("len"))
     known = items.select("item", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.col("len")), " "))).alias("span"))
     known = stored(known.groupBy("span", "len").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
@@ -105,6 +106,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
     hits = attach(hits, known, ["span", "len"], "inner", bound=BROADCAST_WINDOWS).groupBy("id", "th", "at", "len").agg(F.first("items").alias("items"))
     hits = hits.groupBy("id", "th").agg(F.collect_list(F.struct("at", "len")).alias("at"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hits = hits.select("id", "th", "items", F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))).cast("long").alias("n_hit"))
-    out = attach(seen.select("id", "th", "n_words"), stored(hits, "hits"), ["id", "th"])
+    hits = stored(hits, "hits")
+    drop_stored(known)
+    drop_stored(items)
+    out = attach(seen.select("id", "th", "n_words"), hits, ["id", "th"])
     n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", none)
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (n_hit > 0).alias("contaminated"))

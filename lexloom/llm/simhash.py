@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import attach, release, stored, whole
+from lexloom.llm.common import attach, drop_stored, release, stored, whole
 from lexloom.llm.components import connected_components
 
 RADIUS = 4
@@ -172,5 +172,6 @@ def near_duplicates(documents: DataFrame, *, radius: int = RADIUS, shingle: int
 
     links = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp", "node").mapInPandas(link, "a long, b long")
     found = connected_components(links)
+    drop_stored(hot)
     classes = nodes.join(found, nodes["node"] == found["node"], "left").select(nodes["fp"], F.coalesce(found["component"], nodes["node"]).alias("component_id"))
     return docs.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import scratch, stored, whole
+from lexloom.llm.common import drop_stored, scratch, stored, whole
 from lexloom.llm.token_file import opened, put
 
 #: Bytes of records after which a package is closed.
@@ -233,7 +233,9 @@ def write_packages(pages: DataFrame, *, min_payload: int = MIN_PAYLOAD, id_col:
         if index:
             yield close()
 
-    return stored(rows.mapInPandas(write, "path string, n_records long, n_bytes long"), "packages")
+    packages = stored(rows.mapInPandas(write, "path string, n_records long, n_bytes long"), "packages")
+    drop_stored(groups)
+    return packages
 
 
 def _records(at: Callable[[int, int], bytes], places: list[tuple[int, int]]) -> Iterator[bytes]:
