@@ -32,6 +32,8 @@ MAGIC, VERSION, BLOCK = b"LXTK", 1, 1 << 14
 HEADER = struct.Struct("<4sHHIQQ")
 #: Documents that are encoded together, and the characters at which such a group is closed.
 GROUP_CHARS = 2_000_000
+#: Bytes of the input's files for a partition, at most.
+PARTITION_BYTES = 64 << 20
 #: Ids in a file at most, but for a single longer document.
 SHARD_IDS = 8_000_000
 
@@ -148,6 +150,10 @@ def write_token_files(documents: DataFrame, tokenizer: str, *, end_id: int, part
     spark = documents.sparkSession
     folder = scratch(spark, "tokens")
     docs = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(-(2**63))).alias("id"), whole(documents[text_col]).alias("text"))
+    # as many partitions as the input's files call for, where the session's number would make them too large
+    wanted = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // PARTITION_BYTES
+    if partitions is None and int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted < 1 << 20:
+        partitions = wanted
     ordered = (docs.repartitionByRange(partitions, "id") if partitions else docs.repartitionByRange("id")).sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
