@@ -22,20 +22,30 @@ OUTCOME = f"seq long, op string, outcome string, {STATE}"
 
 
 def _fold(rows: pd.DataFrame, state: dict | None) -> tuple[list[tuple[int, str, str]], dict | None]:
-    out = []
-    for x in rows.itertuples():
-        if x.op == "reserve":
-            if state is not None and state["status"] != "failed":
+    """What each operation does and the state after them; the state machine is sequential, so columns are walked side by side."""
+    out, last = [], -1
+    columns = [rows[c].tolist() for c in ("seq", "op", "ingestion_id", "status")]
+    ingestion, status = (state["ingestion_id"], state["status"]) if state else (None, None)
+    began, exists = -1, state is not None
+    for i, (seq, op, own, told) in enumerate(zip(*columns, strict=True)):
+        if op == "reserve":
+            if exists and status != "failed":
                 outcome = "duplicate"
             else:
-                outcome = "inserted" if state is None else "reset"
-                state = {"document_hash": x.document_hash, "document_id": x.document_id, "filename": x.filename, "ingestion_id": x.ingestion_id, "status": "queued", "indexed_chunks": None, "error": None}
-        elif state is None or state["ingestion_id"] != x.ingestion_id:
+                outcome = "reset" if exists else "inserted"
+                began, last, exists, ingestion, status = i, -1, True, own, "queued"
+        elif not exists or ingestion != own:
             outcome = "rejected"
         else:
-            outcome = "updated"
-            state = state | {"status": x.status, "indexed_chunks": None if pd.isna(x.indexed_chunks) else int(x.indexed_chunks), "error": x.error}
-        out.append((int(x.seq), x.op, outcome))
+            outcome, last, status = "updated", i, told
+        out.append((int(seq), op, outcome))
+    # the row that began the present ingestion and the last update that counted make the state
+    if began >= 0:
+        x = rows.iloc[began]
+        state = {"document_hash": x["document_hash"], "document_id": x["document_id"], "filename": x["filename"], "ingestion_id": x["ingestion_id"], "status": "queued", "indexed_chunks": None, "error": None}
+    if last >= 0:
+        x = rows.iloc[last]
+        state = state | {"status": x["status"], "indexed_chunks": None if pd.isna(x["indexed_chunks"]) else int(x["indexed_chunks"]), "error": x["error"]}
     return out, state
 
 

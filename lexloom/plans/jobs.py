@@ -9,6 +9,7 @@ from lexloom.functions import log_message
 from lexloom.jobs import ingest
 from lexloom.operators import events, registry
 from lexloom.plans.fixtures import JOBS_SQL, chunked_sql, job_events, legal_pages, registry_log, table
+from lexloom.sources.registry_store import RegistryStore
 from lexloom.sources.sinks import Collection
 from lexloom.sources.tables import KeyedTable, new_folder, stored
 from lexloom.streaming import jobs as streams
@@ -95,6 +96,15 @@ def upload_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.upload_report(rows.unionByName(alone)).withColumn("status_code", F.col("status_code").cast("long"))
 
 
+def registry_durable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log applied to a stored registry in two batches; equal to registry_state."""
+    store, log = RegistryStore(spark, new_folder(spark, "registry")), registry_log(spark, sf_dir)
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
+        store.apply(part)
+    return store.read()
+
+
 #: Texts of these lengths are those that the stand-in for an embedding model refuses.
 BAD_LENGTH = 41
 
@@ -138,7 +148,7 @@ def ingest_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.registry_state(reserves.unionByName(updates)).select("document_hash", "ingestion_id", "status", "indexed_chunks", "error")
 
 
-QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry)}
+QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, registry_durable, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry)}
 
 #: Registry states one operation after the other, by a recursive query.
 _REGISTRY = r"""WITH RECURSIVE log AS (SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'reserve' ELSE 'update' END AS op, 'h' || user_id AS document_hash, 'doc_' || user_id AS document_id, 'f' || user_id || '.pdf' AS filename, 'i' || (event_id // 200) AS ingestion_id,
@@ -188,6 +198,7 @@ ORACLES = {
     "stream_fold": _FOLD,
     "registry_state": _STATE,
     "stream_registry": _STATE,
+    "registry_durable": _STATE,
     "duplicate_uploads": _UPLOADS + " SELECT document_hash, duplicate, existing_status, error FROM checked",
     "upload_reports": _UPLOADS + f""", jobs AS (SELECT * FROM checked UNION ALL SELECT job_id || '-' || document_hash, * EXCLUDE (job_id) FROM checked),
 g AS (SELECT job_id, count(*) FILTER (WHERE NOT failed AND NOT duplicate)::BIGINT AS accepted, count(*) FILTER (WHERE failed)::BIGINT AS rejected, count(*) FILTER (WHERE duplicate)::BIGINT AS duplicates, bool_and(duplicate) AS every, count(*) AS n, min(error) AS e FROM jobs GROUP BY job_id)

@@ -10,6 +10,7 @@ from lexloom.functions import INSUFFICIENT_EVIDENCE, OUT_OF_SCOPE, line_key, nor
 from lexloom.jobs import answer, ingest
 from lexloom.operators import events, segment
 from lexloom.sources import http, models, sinks, uploads
+from lexloom.sources.registry_store import RegistryStore
 from lexloom.sources.settings import Settings
 from lexloom.sources.tables import KeyedTable
 from lexloom.streaming import jobs
@@ -121,6 +122,22 @@ def test_a_keyed_table_keeps_the_latest(spark, tmp_path):
     assert t.version() == 4
 
 
+def test_the_registry_is_durable(spark, tmp_path):
+    store = RegistryStore(spark, f"{tmp_path}/registry")
+    assert store.read().count() == 0
+    docs = spark.createDataFrame([("h1", "d", "f", "i1"), ("h1", "d", "f", "i2"), ("h2", "d", "g", "i3")], "document_hash string, document_id string, filename string, ingestion_id string")
+    assert {(r["document_hash"], r["ingestion_id"]): r["outcome"] for r in store.reserve(docs).collect()} == {("h1", "i1"): "inserted", ("h1", "i2"): "duplicate", ("h2", "i3"): "inserted"}
+    step = "document_hash string, ingestion_id string, step int, status string, indexed_chunks long, error string"
+    told = spark.createDataFrame([("h1", "i1", 1, "processing", None, None), ("h1", "i1", 2, "failed", None, "boom"), ("h2", "other", 2, "completed", 5, None)], step)
+    assert sorted(r["outcome"] for r in store.update(told).collect()) == ["rejected", "updated", "updated"]
+    store = RegistryStore(spark, f"{tmp_path}/registry")
+    assert store.get("h1").select("status", "error", "ingestion_id").first() == ("failed", "boom", "i1")
+    assert {r["outcome"] for r in store.reserve(docs.where("ingestion_id = 'i2'")).collect()} == {"reset"}
+    assert store.get("h1").select("status", "error", "ingestion_id").first() == ("queued", None, "i2")
+    assert store.get("h2").first()["status"] == "queued"
+    assert store.get("h3").count() == 0
+
+
 REPLY = {"embeddings": [[1.0, 2.0]], "sparse": [{"3": 0.5, "4": 0}]}
 
 
