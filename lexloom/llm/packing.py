@@ -14,7 +14,7 @@ Between epochs only arrays of piece numbers move, a few kilobytes for an island;
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexloom.llm.common import drop_stored, stored, whole
+from lexloom.llm.common import drop_stored, release, stored, whole
 from lexloom.llm.encode import encoder, ids_crc32
 from lexloom.llm.token_file import text_groups
 
@@ -32,11 +32,13 @@ CAPACITY = 4096
 CELL = 4000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 6
+POPULATION = 3
 #: Generations of an epoch at most, and those without a better individual after which it ends.
-GENERATIONS, STALE = 60, 8
+GENERATIONS, STALE = 60, 6
 #: Generations of an epoch that go on after the lower bound is met.
-SETTLE = 2
+SETTLE = 1
+#: Bins of a cell for which one above the lower bound is good enough.
+SPARE = 800
 #: Displaced pieces that are traded against the pieces of bins at most; more are best-fitted only.
 TRADED = 24
 #: Pieces of text that a worker's encoder keeps, about 200 bytes each; it may hold twice as many.
@@ -47,27 +49,34 @@ WELL_FILLED = 0.995
 Bins = list[list[int]]
 
 
+def _fill(own: list[int], size: list[int]) -> int:
+    return sum(map(size.__getitem__, own))
+
+
 def best_fit(bins: Bins, items: list[int], size: list[int], capacity: int) -> Bins:
     """Adds items in the given order, each to the fullest bin that can take it, else to a new one. Changes bins."""
-    room: dict[int, list[int]] = {}
+    # bins by what is free in them, and a bit for each such size that there is
+    room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    free = 0
     for b, own in enumerate(bins):
-        room.setdefault(capacity - sum(size[i] for i in own), []).append(b)
-    free = sorted(room)
+        left = capacity - _fill(own, size)
+        room[left].append(b)
+        free |= 1 << left
     for i in items:
-        k = bisect_left(free, size[i])
-        if k == len(free):
-            bins.append([i])
-            left, b = capacity - size[i], len(bins) - 1
-        else:
-            at = free[k]
+        n = size[i]
+        fits = free >> n
+        if fits:
+            at = n + (fits & -fits).bit_length() - 1
             b = room[at].pop()
             if not room[at]:
-                del room[at], free[k]
+                free ^= 1 << at
             bins[b].append(i)
-            left = at - size[i]
-        if left not in room:
-            room[left] = []
-            insort(free, left)
+            left = at - n
+        else:
+            bins.append([i])
+            left, b = capacity - n, len(bins) - 1
+        if not room[left]:
+            free |= 1 << left
         room[left].append(b)
     return bins
 
@@ -87,7 +96,7 @@ def lower_bound(size: list[int], capacity: int) -> int:
 
 def fitness(bins: Bins, size: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first; then bins as unevenly filled as can be (Falkenauer)."""
-    return len(bins), -sum((sum(size[i] for i in own) / capacity) ** 2 for own in bins)
+    return len(bins), -sum(_fill(own, size) ** 2 for own in bins) / capacity**2
 
 
 def _down(items: list[int], size: list[int]) -> list[int]:
@@ -101,7 +110,7 @@ def replace(bins: Bins, loose: list[int], size: list[int], capacity: int) -> lis
     """
     loose = sorted(loose, key=size.__getitem__)
     for own in bins:
-        gap = capacity - sum(size[i] for i in own)
+        gap = capacity - _fill(own, size)
         if not gap or len(own) > 8:
             continue
         sizes = [size[i] for i in loose]
@@ -129,7 +138,7 @@ def repair(child: Bins, displaced: list[int], size: list[int], capacity: int) ->
 
 def crossover(a: Bins, b: Bins, size: list[int], capacity: int, r: random.Random) -> Bins:
     """b with some well-filled bins of a put in whole; bins of b that hold one of their pieces go, the rest of those is displaced and put in anew."""
-    good = [own for own in a if sum(size[i] for i in own) >= WELL_FILLED * capacity] or sorted(a, key=lambda own: -sum(size[i] for i in own))[: len(a) // 2 + 1]
+    good = [own for own in a if _fill(own, size) >= WELL_FILLED * capacity] or sorted(a, key=lambda own: -_fill(own, size))[: len(a) // 2 + 1]
     put = r.sample(good, max(1, len(good) // 2))
     there = {i for own in put for i in own}
     child, displaced = [list(own) for own in put], []
@@ -143,7 +152,7 @@ def crossover(a: Bins, b: Bins, size: list[int], capacity: int, r: random.Random
 
 def mutate(bins: Bins, size: list[int], capacity: int, r: random.Random) -> Bins:
     """Opens the emptiest bins and some others, and puts their pieces in anew."""
-    order = sorted(range(len(bins)), key=lambda b: sum(size[i] for i in bins[b]))
+    order = sorted(range(len(bins)), key=lambda b: _fill(bins[b], size))
     out = {*order[: max(1, len(bins) // 20)], *r.sample(order, min(r.randint(1, 4), len(order)))}
     loose = [i for b in out for i in bins[b]]
     return repair([list(own) for b, own in enumerate(bins) if b not in out], loose, size, capacity)
@@ -154,14 +163,19 @@ def evolve(size: list[int], capacity: int, seed: int, immigrants: list[Bins] | N
 
     The first individuals are best fits of pieces in random order; what they become is up to crossover and mutation. An
     island rests after STALE generations without a better individual, or once it needs no more bins than the lower bound
-    and either has one bin at most that is not well filled or has had SETTLE generations to gather what is free.
+    (and one for SPARE, whose pieces are dealt anew in the second pass) and either has one bin at most that is not well
+    filled or has had SETTLE generations to gather what is free.
     """
     r, n, bound = random.Random(seed), len(size), lower_bound(size, capacity)
-    is_open = lambda own: sum(size[i] for i in own) < WELL_FILLED * capacity
-    settled = lambda bins, g: len(bins) <= bound and (g >= SETTLE or sum(map(is_open, bins)) <= 1)
+    is_open = lambda own: _fill(own, size) < WELL_FILLED * capacity
+    settled = lambda bins, g: len(bins) <= bound + bound // SPARE and (g >= SETTLE or sum(map(is_open, bins)) <= 1)
     people = list(immigrants or []) or [best_fit([], r.sample(range(n), n), size, capacity) for _ in range(POPULATION)]
     rank = lambda x: fitness(x, size, capacity)
     ranked = sorted(((rank(x), x) for x in people), key=lambda x: x[0])
+    if immigrants and ranked[0][0][0] > bound:
+        # a newcomer where evolution has not reached the bound: roughly from the largest piece down
+        new = best_fit([], sorted(range(n), key=lambda i: -size[i] * r.uniform(0.98, 1.02)), size, capacity)
+        ranked = sorted([*ranked, (rank(new), new)], key=lambda x: x[0])
     generations = stale = 0
     while generations < GENERATIONS and stale < STALE and not settled(ranked[0][1], generations):
         pick = lambda: r.sample(ranked, 2) if len(ranked) > 1 else ranked * 2
@@ -196,6 +210,8 @@ def pack_cells(items: DataFrame, capacity: int = CAPACITY, log: Callable[[int, D
     cells = items.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("x"))
     cells = stored(cells.select("cell", F.col("x.length").alias("size"), F.col("x.item").alias("items")), "cells")
     islands = cells.select("cell", "size", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+    # a cell is a few kilobytes and tenths of a second: islands are dealt out, a few dozen to a task
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, cells.count() * ISLANDS // 32)
 
     def epoch(number: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +239,7 @@ def pack_cells(items: DataFrame, capacity: int = CAPACITY, log: Callable[[int, D
             start = start.join(pool, ["cell", "island"])
         else:
             start = start.withColumn("people", F.array().cast("array<array<int>>"))
-        new = stored(start.mapInPandas(epoch(number), kind), "islands")
+        new = stored(start.repartition(tasks, "cell", "island").mapInPandas(epoch(number), kind), "islands")
         if log:
             log(number, new)
         if people is not None:
@@ -262,6 +278,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, *, end_id: int, capacit
                     rows.append((doc, k, a, len(part), ids_crc32(part), (task << 24) + seen // CELL, seen % CELL))
                     seen += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32", "cell", "item"])
+        release()
 
     docs = documents.select(documents[id_col].alias("id"), whole(documents[text_col]).alias("text"))
     kinds = [to_arrow_type(documents.schema[id_col].dataType), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
