@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces after which a worker starts a new table and keeps of the old one what it still meets. About 200 bytes each.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 1_000_000
 
 #: White space besides the blank and the newline.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
@@ -111,22 +111,27 @@ class PieceEncoder:
 
     def _learn(self, new: set[str]) -> None:
         """Adds pieces to those known. Letters and ASCII signs after them never merge, so `word.` is `word` and `.`."""
-        known, mark, ended = self.known, "\x00" if self.leading else "", []
-        for p in [p for p in new if p[-1:] in _SIGN_SET]:
-            core = p.rstrip(_SIGNS)
-            if core[-1:].isalpha() and core[-1] < "\u0530":
-                ended.append((p, core, mark + p[len(core) :]))
-        todo = new.difference([x[0] for x in ended])
-        todo.update({x for _, *parts in ended for x in parts}.difference(known))
+        known, mark, ended, todo = self.known, "\x00" if self.leading else "", [], []
+        for p in new:
+            if p[-1:] in _SIGN_SET:
+                core = p.rstrip(_SIGNS)
+                if core[-1:].isalpha() and core[-1] < "\u0530":
+                    ended.append((p, core, mark + p[len(core) :]))
+                    continue
+            todo.append(p)
+        todo += {x for _, *parts in ended for x in parts}.difference(known, new)
         if not self.leading:
             known[""] = b""
-            todo.discard("")
         odd = [p for p in todo if self.mark in p]
         known.update(zip(odd, self._ids(list(map(self._text, odd))), strict=True))
-        todo.difference_update(odd)
-        # words of lower-case Latin letters are as they are before and after normalising
-        letters = [p for p in todo if p.isalpha() and p.islower() and max(p) < "\u0100"] if self.plain else []
-        for tokenizer, pieces in ((self.plain, letters), (self.tokenizer, list(todo.difference(letters)))):
+        if self.plain:
+            # words of lower-case Latin letters are as they are before and after normalising
+            letters = [p for p in todo if p.isalpha() and p.islower() and max(p) < "\u0100"]
+            rest = set(letters)
+            kinds = ((self.plain, letters), (self.tokenizer, [p for p in todo if p and p not in rest and self.mark not in p]))
+        else:
+            kinds = ((self.tokenizer, [p for p in todo if p and self.mark not in p]),)
+        for tokenizer, pieces in kinds:
             for a in range(0, len(pieces), 2000):
                 part = pieces[a : a + 2000]
                 known.update(zip(part, self._piece_ids(list(map(self._text, part)), tokenizer), strict=True))
@@ -144,9 +149,9 @@ class PieceEncoder:
         at = [i for i, x in enumerate(ids) if x is None]
         if at:
             new = {flat[i] for i in at}
-            again = new.intersection(self.older)  # pieces that are used again move on, the others go
+            again = [p for p in new if p in self.older]  # pieces that are used again move on, the others go
             known.update((p, self.older[p]) for p in again)
-            self._learn(new - again)
+            self._learn(new.difference(again))
             for i in at:
                 ids[i] = known[flat[i]]
         out, a = [], 0

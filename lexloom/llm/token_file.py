@@ -151,7 +151,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, *, end_id: int, part
     folder = scratch(spark, "tokens")
     docs = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(-(2**63))).alias("id"), whole(documents[text_col]).alias("text"))
     # as many partitions as the input's files call for, where the session's number would make them too large
-    wanted = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // PARTITION_BYTES
+    wanted = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PARTITION_BYTES
     if partitions is None and int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted < 1 << 20:
         partitions = wanted
     ordered = (docs.repartitionByRange(partitions, "id") if partitions else docs.repartitionByRange("id")).sortWithinPartitions("id", "text")
