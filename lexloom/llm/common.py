@@ -11,12 +11,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.tables import spread
+
 #: ASCII white space between words, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 
 
-#: Rows of a table that are broadcast at most (some 30 bytes each).
-BROADCAST_ROWS = 500_000
+#: Rows of a table that are broadcast at most, and the bytes of its files (several times as many in memory).
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 #: Parts into which each key is dealt where a table is too large for that.
 SALTS = 16
 
@@ -25,8 +27,8 @@ _OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of a data folder, read by Spark."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table `name` of a data folder, read by Spark; a small one is dealt out over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def whole(text: Column | str) -> Column:
@@ -65,10 +67,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", *, bound: int = BROADCAST_ROWS) -> DataFrame:
     """rows joined with a table that has each combination of `keys` once; null keys meet null ones.
 
-    A table of at most `bound` rows is broadcast. A larger one is repeated SALTS times and dealt out by key and salt,
+    A table of at most `bound` rows and BROADCAST_BYTES is broadcast. A larger one is repeated SALTS times and dealt out by key and salt,
     where the salt of a row is its place in its partition: a key that a third of all rows have is split SALTS times.
     """
-    if table.limit(bound + 1).count() <= bound:
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= BROADCAST_BYTES and table.limit(bound + 1).count() <= bound:
         small, more = F.broadcast(table), []
     else:
         small, more = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__salt"]

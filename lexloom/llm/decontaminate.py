@@ -88,27 +88,26 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, window: in
         return F.struct(F.lit(n).alias("len"), window_prints(F.col("lw"), n, window, k).alias("fps"))
 
     own = items.select(F.explode(functools.reduce(lambda c, n: c.when(F.col("len") == n, prints(n)["fps"]), lengths[1:], F.when(F.col("len") == lengths[0], prints(lengths[0])["fps"]))).alias("fp")).distinct()
+    own = stored(own, "prints")
     every = docs.select("id", "th", loose_words(F.col("text")).alias("lw")).select("id", "th", F.explode(F.array(*[prints(n) for n in lengths])).alias("x"))
     every = every.select("id", "th", F.col("x.len").alias("len"), F.posexplode("x.fps").alias("at", "fp"))
     places = attach(every, own, ["fp"], "left_semi", bound=broadcast_prints)
     places = stored(places.groupBy("id", "th").agg(F.collect_set(F.struct("at", "len")).alias("places")), "places")
 
-    # candidates become text and are held against the benchmark's windows
+    # candidates become text and are held against the benchmark's windows; first their keys pick the texts, then the places meet those
+    held = attach(docs, stored(places.select("id", "th"), "candidates"), ["id", "th"], "left_semi")
     spans = _bind(exact_words(F.col("text")), lambda w: F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice(w, x["at"] + 1, x["len"]), " ").alias("span"))))
-    seen = attach(docs, places, ["id", "th"]).select("id", "th", F.size(loose_words(F.col("text"))).cast("long").alias("n_words"), F.when(F.col("places").isNotNull(), spans).alias("spans"))
-    seen = stored(seen, "contamination")
-    drop_stored(places)
+    hits = attach(held, places, ["id", "th"], "inner").select("id", "th", F.explode(spans).alias("x")).select("id", "th", "x.*")
     starts = F.sequence(F.lit(0), F.size("w") - F.col("len"))
     known = items.select("item", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.col("len")), " "))).alias("span"))
     known = stored(known.groupBy("span", "len").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
-    hits = seen.where(F.col("spans").isNotNull()).select("id", "th", F.explode("spans").alias("x")).select("id", "th", "x.*")
     # rows of equal id and text are one here: their spans are equal
     hits = attach(hits, known, ["span", "len"], "inner", bound=BROADCAST_WINDOWS).groupBy("id", "th", "at", "len").agg(F.first("items").alias("items"))
     hits = hits.groupBy("id", "th").agg(F.collect_list(F.struct("at", "len")).alias("at"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hits = hits.select("id", "th", "items", F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1))))).cast("long").alias("n_hit"))
     hits = stored(hits, "hits")
-    drop_stored(known)
-    drop_stored(items)
-    out = attach(seen.select("id", "th", "n_words"), hits, ["id", "th"])
+    for used in (places, known, items):
+        drop_stored(used)
+    out = attach(docs.select("id", "th", F.size(loose_words(F.col("text"))).cast("long").alias("n_words")), hits, ["id", "th"])
     n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", none)
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (n_hit > 0).alias("contaminated"))
