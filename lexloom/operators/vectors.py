@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.sources.tables import stored
+
 TOKEN_GAP = "[^a-z]+"
 
 
@@ -168,8 +170,8 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
     asked = queries.select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("query_id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("qtf"))
     seen = tokens(vectors).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     weighted = asked.join(seen, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.lit(n_docs))).alias("w"))
-    per_query = weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("weights"))
-    size = queries.agg(F.avg(F.size("terms"))).first()[0] or 1
+    per_query = stored(weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("weights")), "weights")
+    size = per_query.agg(F.avg(F.size("weights"))).first()[0] or 1
     parts, digits = [], DIGITS if digits is None else digits
     for some in _passes(per_query, int(100 * size) + 1) if limit > 0 else ():
         got = some.collect()
@@ -177,22 +179,23 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             (names, places, common, starts, of, weight), best = shared.value, _Best(limit)
-            n = len(names)
+            # where no weight is negative a common term shows in the sum
+            n, plain = len(names), not ((common < 0).any() or (weight < 0).any())
             for batch in batches:
                 for a in range(0, len(batch), 1000):
                     part = batch.iloc[a : a + 1000]
                     total, there = np.zeros((len(part), n)), np.zeros((len(part), n), bool)
+                    held = np.zeros((len(part), len(common)))
                     for i, (terms, tfs) in enumerate(zip(part["terms"], part["tfs"], strict=True)):
-                        found = [(p, tf) for t, tf in zip(terms, tfs, strict=True) if (p := places.get(t)) is not None]
-                        held = [(p, tf) for p, tf in found if p < len(common)]
-                        if held:
-                            rows = common[[p for p, _ in held]]
-                            total[i] = np.array([tf for _, tf in held]) @ rows
-                            there[i] = rows.any(axis=0)
-                        for p, tf in found[:0] if len(held) == len(found) else [x for x in found if x[0] >= len(common)]:
-                            own = slice(starts[p - len(common)], starts[p - len(common) + 1])
-                            total[i, of[own]] += tf * weight[own]
-                            there[i, of[own]] = True
+                        for t, tf in zip(terms, tfs, strict=True):
+                            if (p := places.get(t, -1)) >= len(common):
+                                own = slice(starts[p - len(common)], starts[p - len(common) + 1])
+                                total[i, of[own]] += tf * weight[own]
+                                there[i, of[own]] = True
+                            elif p >= 0:
+                                held[i, p] = tf
+                    total += held @ common
+                    there = total > 0 if plain else there | (held @ (common != 0) > 0)
                     best.add(0, part["id"], _rounded(total, digits), there)
             rows = best.rows()
             yield pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]})

@@ -12,7 +12,7 @@ from lexloom.jobs import answer
 from lexloom.operators import context, fusion, vectors
 from lexloom.plans.fixtures import HITS_SQL, citation_hits, table
 from lexloom.sources.sinks import Collection
-from lexloom.sources.tables import new_folder, stored
+from lexloom.sources.tables import new_folder, spread, stored
 
 #: Queries are the rows whose id is divisible by this; they are searched for in all rows.
 EVERY = 20
@@ -25,9 +25,9 @@ def _dense(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
 
 def _sparse(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    own = vectors.term_vectors(docs, "doc_id")
-    asked = vectors.term_vectors(docs.where(F.col("doc_id") % EVERY == 0), "doc_id").withColumnRenamed("id", "query_id")
-    return vectors.sparse_top_k(own, asked, docs.count(), limit, digits=6)
+    own = stored(vectors.term_vectors(docs, "doc_id"), "terms")
+    asked = own.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id")
+    return vectors.sparse_top_k(spread(own), asked, own.count(), limit, digits=6)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,20 @@ from pyspark.sql.types import StructType
 _OWN: dict[str, str] = {}
 
 
+#: Bytes of files for each core up to which a table in few files is dealt out anew.
+SMALL_PER_CORE = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than there are cores, dealt out over the cores; any other table as it is.
+
+    A small file is one row group as a rule, which one task would read and work off alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE and len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset a local session takes a temporary folder, and a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
