@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.centroids import cluster
 from lexloom.llm.common import table
 from lexloom.llm.decontaminate import find_contamination
 from lexloom.llm.packing import pack_documents
@@ -99,6 +100,11 @@ def op10_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op12_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's cluster of 40, by Lloyd's rounds over distinct integer vectors."""
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_model": op1_additive_model,
     "op2_token_files": op2_token_files,
@@ -110,11 +116,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zip": op8_warc_zip,
     "op9_pii": op9_pii,
     "op10_island_packing": op10_island_packing,
+    "op12_weighted_lloyd": op12_weighted_lloyd,
 }
 
 _S = r"\x20\x09-\x0D"
 
+def _lloyd_sql(k: int = 40, dims: int = 64, rounds: int = 5, scale: int = 256, salt: str = "2:") -> str:
+    """The rounds one after the other, each centroid's components as rows."""
+    parts = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {dims})",
+        f"cells AS MATERIALIZED (SELECT row, unnest(range(1, {dims + 1})) AS d, unnest(q) AS x FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id), q) - 1 AS cluster, q AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"far{i} AS (SELECT row, cluster, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM kept, c{i})")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT row, cluster, distance FROM far{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)")
+        if i < rounds:
+            parts.append(f"m{i} AS (SELECT cluster, d, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i} JOIN cells ON a{i}.row = cells.row GROUP BY cluster, d)")
+            parts.append(f"n{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY d) AS c FROM m{i} GROUP BY cluster)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} ON c{i}.cluster = n{i}.cluster)")
+    last = rounds
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} a JOIN kept ON a.row = kept.row JOIN c{last} c ON a.cluster = c.cluster"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_weighted_lloyd": _lloyd_sql(),
     "op4_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
 w AS (SELECT doc_id, s, list_filter(regexp_split_to_array(s, '[{_S}]+'), lambda x: x <> '') AS w,
