@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.centroids import cluster
 from lexloom.llm.common import table
 from lexloom.llm.decontaminate import find_contamination
+from lexloom.llm.main_text import extract_main_text
 from lexloom.llm.packing import pack_documents
 from lexloom.llm.pii import KINDS, describe, find_pii
 from lexloom.llm import quality_model
@@ -100,6 +101,11 @@ def op10_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op11_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, its blocks judged by a tree trained on labelled blocks."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector's cluster of 40, by Lloyd's rounds over distinct integer vectors."""
     return cluster(table(spark, sf_dir, "embeddings"))
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zip": op8_warc_zip,
     "op9_pii": op9_pii,
     "op10_island_packing": op10_island_packing,
+    "op11_block_tree": op11_block_tree,
     "op12_weighted_lloyd": op12_weighted_lloyd,
 }
 
