@@ -47,8 +47,11 @@ def exact_words(text: Column) -> Column:
 
 
 def loose_words(text: Column) -> Column:
-    """The words with every letter lower-cased: as many words, equal wherever exact_words are; cheaper."""
-    return _words(text, F.lower(text))
+    """The words with every letter lower-cased: as many words, equal wherever exact_words are; cheaper.
+
+    The small sigma alone depends on what stands around it, across gaps too, so its two forms are made one.
+    """
+    return _words(text, F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3")))
 
 
 def _grams(words: Column, n: int) -> Column:

@@ -132,6 +132,21 @@ def test_contamination_against_brute_force(spark, monkeypatch, bound):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"], got[i]["contaminated"]) == (n, hit, found, hit > 0)
 
 
+def test_contamination_where_lower_case_depends_on_what_stands_around(spark):
+    """Letters whose lower case is longer, several letters share or depends on their neighbours, across gaps too."""
+    odd = [chr(c) for c in range(0x80, 0x2000) if len(chr(c).lower()) > 1 or len(chr(c).upper()) > 1 or ("a" + chr(c)).lower() != "a" + chr(c).lower() or chr(c).lower() == chr(c).upper().lower() != chr(c).casefold()]
+    assert "\u03a3" in odd
+    rows, items = [], []
+    for i, letter in enumerate([*odd, "\u03c3", "\u03c2", "\u212a"]):
+        words = [a + letter + b for a, b in zip("\u0391\u0392\u0393\u0394\u0395\u0396\u0397\u0398\u0399\u039a", ["", "", "b", "", "\u0301", "", "", "x", "", ""], strict=True)]
+        items.append((i, " ".join(words)))
+        rows += [(i, gap.join(words)) for gap in (" ", ".", "'", ", ", ":", "\n")]
+    docs, bench = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, bench).collect()}
+    for n, (i, _) in enumerate(rows):
+        assert got[n]["n_hit"] == 10 and str(i) in got[n]["items"]
+
+
 def test_contamination_of_awkward_documents(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (None, "one"), (2, None)], "item_id long, text string")
     out = decontaminate.find_contamination(awkward(spark), bench)
