@@ -47,11 +47,28 @@ class PieceEncoder:
         ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else -1
         self.lowers = self.tokenizer.encode("AÀ", add_special_tokens=False).ids == self.tokenizer.encode("aà", add_special_tokens=False).ids
+        self.signs_apart = self._signs_apart()
         self.kept = KEPT_PIECES
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.plain = None if self.leading or not self.lowers else self._without_patterns()
 
+    def _signs_apart(self) -> bool:
+        """Whether the vocabulary's own pattern cuts between a letter and ASCII signs after it, whichever they are."""
+        cut = self.tokenizer.pre_tokenizer
+        if cut is None:
+            return False
+        ends = lambda letter, signs: any(b == len(letter) for _, (_, b) in cut.pre_tokenize_str(letter + signs))
+        return all(ends(letter, signs) for letter in ("a", "\u00e9", "\u044f") for signs in (*_SIGNS, _SIGNS))
+
+    def _ends_in_letter(self, core: str) -> bool:
+        """Whether the last sign of what the normaliser makes of core is a letter, as far as it is one of the scripts tried."""
+        if not core[-1:].isalpha() or core[-1] >= "\u0530":
+            return False
+        if core[-1] >= "\u0100" and self.tokenizer.normalizer is not None:
+            core = self.tokenizer.normalizer.normalize_str(core)
+        return core[-1:].isalpha()
+
     def _without_patterns(self):
         """The tokenizer without normaliser and split pattern, which lower-case letters do not need; None if it is built otherwise."""
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -110,12 +127,12 @@ class PieceEncoder:
         return key if not self.leading or key == "\n" else key[1:] if key[0] == "\x00" else " " + key
 
     def _learn(self, new: set[str]) -> None:
-        """Adds pieces to those known. Letters and ASCII signs after them never merge, so `word.` is `word` and `.`."""
+        """Adds pieces to those known. Where letters and ASCII signs after them never merge, `word.` is `word` and `.`."""
         known, mark, ended, todo = self.known, "\x00" if self.leading else "", [], []
         for p in new:
-            if p[-1:] in _SIGN_SET:
+            if self.signs_apart and p[-1:] in _SIGN_SET:
                 core = p.rstrip(_SIGNS)
-                if core[-1:].isalpha() and core[-1] < "\u0530":
+                if self._ends_in_letter(core):
                     ended.append((p, core, mark + p[len(core) :]))
                     continue
             todo.append(p)

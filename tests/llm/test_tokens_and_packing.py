@@ -27,6 +27,25 @@ def test_pieces_give_the_tokenizer_s_ids(name, spaces):
         assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts[a : a + 100])] == want
 
 
+@pytest.mark.parametrize(("name", "spaces"), [(BYTE, "leading"), (WORD, "dropped")])
+def test_letters_that_change_in_lower_case_before_signs(name, spaces):
+    e = encode.PieceEncoder(vocabulary(name), spaces=spaces)
+    assert e.signs_apart
+    letters = [chr(c) for c in range(0x80, 0x600) if len(chr(c).lower()) > 1 or len(chr(c).upper()) > 1 or chr(c).isalpha() and (chr(c).lower() != chr(c) or c % 7 == 0)]
+    texts = [f"Bu bir {a}{x}{signs} diye {x}{signs}" for x in letters for a in ("", "AL") for signs in (",", ".", "')", "=")] + ["Bu bir AL\u0130, ve NERDES\u0130N\u0130. diye"]
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == want
+
+
+def test_a_pattern_that_joins_letters_and_signs_is_noticed(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(vocabulary(BYTE))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.save(str(tmp_path / "joined.json"))
+    assert not encode.PieceEncoder(str(tmp_path / "joined.json"), spaces="leading").signs_apart
+
+
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 20, 31])
 def test_bits_round_trip(bits):
     x = np.random.default_rng(bits).integers(0, 1 << bits, 5001)
