@@ -7,6 +7,7 @@ import functools
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column taken has it, whatever its case."""
+    taken, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of this very name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def whole(text: Column | str) -> Column:
     """A text with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -71,15 +88,17 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
     where the salt of a row is its place in its partition: a key that a third of all rows have is split SALTS times.
     """
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    salt, *own = unused([*rows.columns, *table.columns], "__salt", *[f"__{k}" for k in [*keys, "salt"]])
     if size <= BROADCAST_BYTES and table.limit(bound + 1).count() <= bound:
         small, more = F.broadcast(table), []
     else:
-        small, more = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__salt"]
-        rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    small = small.withColumnsRenamed({k: f"__{k}" for k in [*keys, *more]})
-    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in [*keys, *more]]
+        small, more = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [salt]
+        rows = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    names = dict(zip([*keys, *more], own, strict=False))
+    small = small.withColumnsRenamed(names)
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{v}`")) for k, v in names.items()]
     out = rows.join(small, functools.reduce(lambda a, b: a & b, same), how)
-    return out.drop(*[f"__{k}" for k in [*keys, *more]], *more)
+    return out.drop(*names.values(), *more)
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:

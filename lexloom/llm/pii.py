@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import whole
+from lexloom.llm.common import named, unused, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -316,10 +316,10 @@ def find_pii(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
     A null text has none. Columns of these names are replaced, all others pass; rows are judged alone, so repeated rows
     give equal results and an empty table gives an empty one. No shuffle.
     """
-    rest = [documents[c] for c in documents.columns if c.lower() not in ("pii_base", "pii_spans")]
-    text = whole(documents[text_col])
-    rows = documents.select(*rest, base_spans(text).alias("pii_base"), _added(text, documents.sparkSession).alias("__added"))
-    return rows.withColumn("pii_spans", F.when(F.size("__added") == 0, F.col("pii_base")).otherwise(_merge(F.col("pii_base"), F.col("__added")))).drop("__added")
+    rest = [named(c) for c in documents.columns if c.lower() not in ("pii_base", "pii_spans")]
+    text, (added,) = whole(named(text_col)), unused([*documents.columns, "pii_base", "pii_spans"], "__added")
+    rows = documents.select(*rest, base_spans(text).alias("pii_base"), _added(text, documents.sparkSession).alias(added))
+    return rows.withColumn("pii_spans", F.when(F.size(added) == 0, F.col("pii_base")).otherwise(_merge(F.col("pii_base"), F.col(added)))).drop(added)
 
 
 def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACE, whole
+from lexloom.llm.common import SPACE, named, unused, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -94,30 +94,31 @@ def judge(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
     so repeated rows give equal results and an empty table gives an empty one. No shuffle.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_chars", "base_failed", "kept", "clean_text"]
-    rest = [documents[c] for c in documents.columns if c.lower() not in added]
-    t = F.col("__t")
-    rows = documents.select(*rest, whole(documents[text_col]).alias("__t"))
-    rows = rows.select("*", F.array_remove(F.split(t, f"[{SPACE}]+"), "").alias("__w"), F.split(t, "\n", -1).alias("__l"))
+    rest = [named(c) for c in documents.columns if c.lower() not in added]
+    text_, words_, lines_, full_, size_ = unused([*documents.columns, *added], "__t", "__w", "__l", "__f", "__n")
+    t = F.col(text_)
+    rows = documents.select(*rest, whole(named(text_col)).alias(text_))
+    rows = rows.select("*", F.array_remove(F.split(t, f"[{SPACE}]+"), "").alias(words_), F.split(t, "\n", -1).alias(lines_))
     blank = lambda x: ~x.rlike(f"[^{SPACE}]")
     rows = rows.select(
         "*",
-        F.filter("__l", lambda x: ~blank(x)).alias("__f"),
-        F.array_join(F.filter("__l", lambda x: F.when(blank(x), F.lit(True)).otherwise(~line_fails(x))), "\n").alias("clean_text"),
+        F.filter(lines_, lambda x: ~blank(x)).alias(full_),
+        F.array_join(F.filter(lines_, lambda x: F.when(blank(x), F.lit(True)).otherwise(~line_fails(x))), "\n").alias("clean_text"),
     )
     rows = rows.select(
-        *[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns if c.lower() not in added],
-        _size(F.col("__w")).alias("n_words"),
+        *[named(c) for c in documents.columns if c.lower() not in added],
+        _size(F.col(words_)).alias("n_words"),
         F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__f") - F.size(F.array_distinct("__f"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w")).alias("n_repeat_words"),
+        (F.size(full_) - F.size(F.array_distinct(full_))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(words_)).alias("n_repeat_words"),
         (F.length(t) - F.length("clean_text")).cast("long").alias("n_lost_chars"),
-        F.length(t).cast("long").alias("__n"),
+        F.length(t).cast("long").alias(size_),
         "clean_text",
     )
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    rows = rows.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("n_lost_chars") * 100 <= F.col("__n") * MAX_LOST_PERCENT))
+    rows = rows.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("n_lost_chars") * 100 <= F.col(size_) * MAX_LOST_PERCENT))
     # a filter on the verdict must not be moved below the columns it rests on, where words and hashes would be made anew
     # for every use; a generator of one row holds it back
-    passed = [F.col(f"`{c.replace('`', '``')}`") for c in documents.columns if c.lower() not in added]
+    passed = [named(c) for c in documents.columns if c.lower() not in added]
     return rows.select(*passed, F.inline(F.array(F.struct(*added))))

@@ -129,3 +129,9 @@ def test_awkward_documents(spark):
     assert out.count() == 11
     assert [r["doc_id"] for r in out.where(F.size("pii_base") > 0).collect()] == [8]
     assert pii.find_pii(empty(spark)).count() == 0
+
+
+def test_internal_names_do_not_clash(spark):
+    df = spark.createDataFrame([("mail a@b.org", "x", 1)], "text string, __added string, ___ADDED int")
+    out = pii.redact(pii.find_pii(df))
+    assert out.first()[:3] == ("mail [EMAIL]", "x", 1)

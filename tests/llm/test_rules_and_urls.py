@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import quality_rules, queries
+from lexloom.llm import common, quality_rules, queries
 from lexloom.llm.url_filter import RuleTrie, filter_urls, split_url
 from tests.conftest import SMALL, duck, same_rows
 from tests.llm.helpers import awkward, empty
@@ -157,3 +157,20 @@ def test_many_rules_and_bad_ones():
     assert trie.find("x.com", "/q") == (None, None)
     with pytest.raises(ValueError):
         RuleTrie([("maybe", "com", "/")])
+
+
+def test_internal_names_do_not_clash(spark):
+    row = ("A sentence with words in it. " * 20, "t", "w", "l", "f", "n", "x")
+    df = spark.createDataFrame([row], "text string, __t string, __W string, __l string, __f string, __n string, `a.b` string")
+    out = quality_rules.judge(df)
+    assert out.columns[:7] == df.columns
+    assert out.first()[1:7] == row[1:] and out.first()["kept"] == quality_rules.judge(df.select("text")).first()["kept"]
+
+
+def test_attach_takes_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a", 5, 6), (None, "b", 7, 8)], "k int, __k string, __salt int, ___k int")
+    table = spark.createDataFrame([(1, "x", 0), (None, "y", 1)], "k int, v string, __SALT2 int")
+    for bound in (10, 0):
+        got = common.attach(rows, table, ["k"], bound=bound)
+        assert got.columns == ["k", "__k", "__salt", "___k", "v", "__SALT2"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, rows["k"].eqNullSafe(table["k"])).select(rows["*"], "v", "__SALT2").collect()))
