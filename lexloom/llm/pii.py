@@ -25,15 +25,16 @@ from lexloom.llm.common import named, unused, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
-# the base patterns; greedy loops without a second way are written possessive, which matches the same
+# the base patterns; greedy loops without a second way are written possessive, which matches the same; runs of fewer than 12
+# digits, which fail as cards, are not gathered
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11}(?:[\x20-]?+[0-9])*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for the pattern to match; a cheap test first.
-NEEDS = {"email": "@", "ip": ".", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": "+"}
+NEEDS = {"email": "@", "ip": ".", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": "+"}
 
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{2,63}+){1,4}| at [A-Za-z0-9-]{1,63}+(?: dot [A-Za-z0-9-]{2,63}+){1,4})",
@@ -119,9 +120,13 @@ def base_spans(text: Column) -> Column:
 FEATURES = ("digits", "length", "separators", "luhn", "quad", "plus", "at", "good", "bad", "left", "right", "first")
 
 
-def candidates(text: Column, kind: str) -> Column:
+def proposals(text: Column, kind: str) -> Column:
+    """Proposed spans of a kind."""
+    return F.when(text.rlike(GENERATOR_NEEDS[kind]), locate(text, GENERATORS[kind])).otherwise(F.array().cast(_NONE))
+
+
+def candidates(text: Column, spans: Column, kind: str) -> Column:
     """Proposed spans of a kind with their features: array of structs. The words around a span are looked up in the text's bytes."""
-    spans = F.when(text.rlike(GENERATOR_NEEDS[kind]), locate(text, GENERATORS[kind])).otherwise(F.array().cast(_NONE))
 
     def features(x: Column, raw: Column) -> Column:
         m, d = x["m"], _digits(x["m"])
@@ -219,10 +224,29 @@ def fit(rows: list[tuple], labels: list[int]) -> list:
     return trees
 
 
-def _as_column(tree: tuple | float, x: Column) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(round(RATE * tree, 9))
-    return F.when(x[FEATURES[tree[0]]] <= tree[1], _as_column(tree[2], x)).otherwise(_as_column(tree[3], x))
+def _table(trees: list) -> Column:
+    """Trees of depth two as an array of (f0, c0, f1, c1, f2, c2, v0 to v3), one literal: the features and cuts of the root and its sides, and the leaves."""
+
+    def row(tree: tuple | float) -> str:
+        whole = lambda t: t if isinstance(t, tuple) else (0, 0.0, t, t)  # noqa: E731  a leaf as a split whose sides are alike
+        f0, c0, low, high = whole(tree)
+        sides = [whole(low), whole(high)]
+        numbers = [f0, c0, *[x for f, c, *_ in sides for x in (f, c)], *[round(RATE * v, 9) for _, _, *vs in sides for v in vs]]
+        names = ("f0", "c0", "f1", "c1", "f2", "c2", "v0", "v1", "v2", "v3")
+        return "named_struct(" + ", ".join(f"'{n}', {v if n[0] == 'f' else repr(float(v)) + 'D'}" for n, v in zip(names, numbers, strict=True)) + ")"
+
+    return F.expr("array(" + ", ".join(map(row, trees)) + ")")
+
+
+def _score(trees: list, x: Column) -> Column:
+    """Sum of the trees' values for a candidate."""
+
+    def total(own: Column) -> Column:
+        side = lambda t, f, c: F.get(own, t[f]) <= t[c]
+        value = lambda t: F.when(side(t, "f0", "c0"), F.when(side(t, "f1", "c1"), t["v0"]).otherwise(t["v1"])).otherwise(F.when(side(t, "f2", "c2"), t["v2"]).otherwise(t["v3"]))
+        return F.aggregate(_table(trees), F.lit(0.0), lambda a, t: a + value(t))
+
+    return _bind(F.array(*[x[f] for f in FEATURES]), total)
 
 
 @functools.cache
@@ -232,7 +256,7 @@ def _model(app: str) -> dict[str, tuple[list, float]]:
     packed = "\u0001".join(f"{k}\u0002{y}\u0002{t}" for k, y, t in _examples())
     rows = spark.range(1).select(F.posexplode(F.split(F.lit(packed), "\u0001"))).select("pos", F.split("col", "\u0002").alias("x")).select("pos", F.get("x", F.lit(0)).alias("kind"), F.get("x", F.lit(1)).cast("int").alias("y"), F.get("x", F.lit(2)).alias("t"))
     out = {}
-    found = {k: rows.where(F.col("kind") == k).select("pos", "y", F.explode(candidates(F.col("t"), k)).alias("c")).select("pos", "y", *[F.col(f"c.{f}") for f in FEATURES]).collect() for k in KINDS}
+    found = {k: rows.where(F.col("kind") == k).select("pos", "y", F.explode(candidates(F.col("t"), proposals(F.col("t"), k), k)).alias("c")).select("pos", "y", *[F.col(f"c.{f}") for f in FEATURES]).collect() for k in KINDS}
     for kind, got in found.items():
         got = sorted(got)
         train, held = [x for x in got if x["pos"] // 8 % 4], [x for x in got if not x["pos"] // 8 % 4]
@@ -264,17 +288,26 @@ def _plain(x: Column) -> Column:
     return F.struct(*[x[c].alias(c) for c in ("s", "k", "e", "b", "m")])
 
 
-def _added(text: Column, spark: SparkSession) -> Column:
-    """Proposals that pass their kind's threshold: array of (s, k, e, b, m)."""
+def _keys(spans: Column) -> Column:
+    """Start and end of each span in one number."""
+    return F.transform(spans, lambda x: F.call_function("shiftleft", x["s"].cast("long"), F.lit(31)) + x["e"])
+
+
+def _added(text: Column, base: Column, spark: SparkSession) -> Column:
+    """Proposals that pass their kind's threshold: array of (s, k, e, b, m). Those of a kind that all are base spans are not looked at."""
     model = _model(spark.sparkContext.applicationId)
 
-    def of(k: int, kind: str) -> Column:
+    def of(k: int, kind: str, known: Column) -> Column:
         trees, cut = model[kind]
-        score = lambda x: functools.reduce(lambda a, b: a + b, [_as_column(t, x) for t in trees])
-        rated = F.transform(candidates(text, kind), lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["b"].alias("b"), x["m"].alias("m"), score(x).alias("r")))
-        return F.transform(F.filter(rated, lambda x: x["r"] >= cut), _plain)
 
-    return F.flatten(F.array(*[of(k, kind) for k, kind in enumerate(KINDS)]))
+        def rated(spans: Column) -> Column:
+            rows = F.transform(candidates(text, spans, kind), lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), x["b"].alias("b"), x["m"].alias("m"), _score(trees, x).alias("r")))
+            return F.transform(F.filter(rows, lambda x: x["r"] >= cut), _plain)
+
+        none = F.array().cast("array<struct<s:int,k:int,e:int,b:int,m:string>>")
+        return _bind(proposals(text, kind), lambda spans: F.when(F.size(F.array_except(_keys(spans), known)) == 0, none).otherwise(rated(spans)))
+
+    return _bind(_keys(base), lambda known: F.flatten(F.array(*[of(k, kind, known) for k, kind in enumerate(KINDS)])))
 
 
 #: Kinds whose proposals stay where those of several kinds overlap: the ones of the stricter formats first.
@@ -300,8 +333,7 @@ def _add(there: Column, new: Column) -> Column:
 
 def _merge(base: Column, added: Column) -> Column:
     """Base spans and those proposals that overlap neither them nor a proposal of a kind before theirs in ORDER; by start, kind, end."""
-    of = lambda kind: F.filter(added, lambda x: x["k"] == KINDS.index(kind))
-    return functools.reduce(lambda there, kind: _add(there, of(kind)), ORDER, base)
+    return F.aggregate(F.array(*[F.lit(KINDS.index(kind)) for kind in ORDER]), base, lambda there, k: _add(there, F.filter(added, lambda x: x["k"] == k)))
 
 
 def describe(spans: Column) -> Column:
@@ -317,9 +349,17 @@ def find_pii(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
     give equal results and an empty table gives an empty one. No shuffle.
     """
     rest = [named(c) for c in documents.columns if c.lower() not in ("pii_base", "pii_spans")]
-    text, (added,) = whole(named(text_col)), unused([*documents.columns, "pii_base", "pii_spans"], "__added")
-    rows = documents.select(*rest, base_spans(text).alias("pii_base"), _added(text, documents.sparkSession).alias(added))
-    return rows.withColumn("pii_spans", F.when(F.size(added) == 0, F.col("pii_base")).otherwise(_merge(F.col("pii_base"), F.col(added)))).drop(added)
+    (added,) = unused([*documents.columns, "pii_base", "pii_spans"], "__added")
+    base, new, merged = _steps(documents.sparkSession.sparkContext.applicationId, text_col, added)
+    return documents.select(*rest, base.alias("pii_base")).withColumn(added, new).withColumn("pii_spans", merged).drop(added)
+
+
+@functools.lru_cache(16)
+def _steps(app: str, text_col: str, added: str) -> tuple[Column, Column, Column]:
+    """The columns pii_base, the proposals that pass, and pii_spans; kept, as making them takes longer than a short text."""
+    text = whole(named(text_col))
+    merged = F.when(F.size(added) == 0, F.col("pii_base")).otherwise(_merge(F.col("pii_base"), F.col(added)))
+    return base_spans(text), _added(text, F.col("pii_base"), SparkSession.getActiveSession()), merged
 
 
 def redact(found: DataFrame, *, text_col: str = "text") -> DataFrame:

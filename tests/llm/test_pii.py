@@ -63,8 +63,8 @@ def test_trees_as_columns_give_what_trees_give(spark):
     for kind, (trees, cut) in pii._model(spark.sparkContext.applicationId).items():
         assert len(trees) == pii.ROUNDS
         assert cut < float("inf")
-        rows = df.select(F.explode(pii.candidates(F.col("t"), kind)).alias("c")).select("c.*", F.lit(0).alias("x"))
-        score = sum(pii._as_column(t, F.struct(*pii.FEATURES)) for t in trees)
+        rows = df.select(F.explode(pii.candidates(F.col("t"), pii.proposals(F.col("t"), kind), kind)).alias("c")).select("c.*", F.lit(0).alias("x"))
+        score = pii._score(trees, F.struct(*pii.FEATURES))
         got = rows.select(*pii.FEATURES, score.alias("score")).collect()
         assert len(got) > 20
         for r in got:
