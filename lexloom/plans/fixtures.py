@@ -97,17 +97,17 @@ def hyphen_sql(source: str, name: str) -> str:
 {name} AS (SELECT doc_id, page_number, min(line_no) AS line_no, string_agg(CASE WHEN goes_on THEN left(line, length(line) - 1) ELSE line END, '' ORDER BY line_no) AS line FROM {name}_l GROUP BY doc_id, page_number, run)"""
 
 
-def document_sql() -> str:
-    """CTEs up to `cleaned`, the cleaned documents, and `parsed`, the lines as the parser reads them."""
+def document_sql(lines: str = LEGAL_SQL) -> str:
+    """CTEs up to `cleaned`, the cleaned documents, and `parsed`, the lines as the parser reads them; `lines` has the CTE `legal`."""
     second = r"""
 kept_m AS (SELECT *, lower(line) AS key, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no) <= 5 OR row_number() OVER (PARTITION BY doc_id, page_number ORDER BY line_no DESC) <= 5 AS in_margin FROM twice),
 kept AS (SELECT m.doc_id, page_number, line_no, line FROM kept_m m LEFT JOIN margins k ON m.doc_id = k.doc_id AND m.key = k.key WHERE NOT (in_margin AND k.key IS NOT NULL))"""
-    return ",".join([LEGAL_SQL, clean_sql("legal", "basic"), margin_sql("basic", "margins"), clean_sql("basic", "twice"), second, hyphen_sql("kept", "cleaned"), clean_sql("cleaned", "thrice"), hyphen_sql("thrice", "unbroken"), join_sql("unbroken", "parsed")])
+    return ",".join([lines, clean_sql("legal", "basic"), margin_sql("basic", "margins"), clean_sql("basic", "twice"), second, hyphen_sql("kept", "cleaned"), clean_sql("cleaned", "thrice"), hyphen_sql("thrice", "unbroken"), join_sql("unbroken", "parsed")])
 
 
-def classified_sql() -> str:
+def classified_sql(lines: str = LEGAL_SQL) -> str:
     """CTEs up to `classified`."""
-    return document_sql() + r""",
+    return document_sql(lines) + r""",
 kinds AS (SELECT *, CASE WHEN upper(line) = 'PENJELASAN' THEN 'PENJELASAN' WHEN regexp_matches(line, '(?i)^BAB\s+([IVXLCDM]+)$') THEN 'BAB' WHEN regexp_matches(line, '(?i)^Bagian\s+(.+)$') THEN 'BAGIAN'
   WHEN regexp_matches(line, '(?i)^Paragraf\s+(\d+)$') THEN 'PARAGRAF' WHEN regexp_matches(line, '(?i)^Pasal\s+(\d+[A-Za-z]?)(?:\s+(.+))?$') THEN 'PASAL' WHEN regexp_matches(line, '^\((\d+)\)\s*(.*)$') THEN 'AYAT' END AS kind FROM parsed),
 alive AS (SELECT * FROM (SELECT *, max(CASE WHEN kind = 'PENJELASAN' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_number, line_no) AS ended FROM kinds) WHERE ended = 0),
@@ -121,9 +121,9 @@ classified AS (SELECT *, CASE WHEN ctx = 'PASAL' THEN last_pasal END AS pasal,
     WHEN ctx = 'PASAL' AND (kind IS NULL OR kind NOT IN ('BAB', 'BAGIAN', 'PARAGRAF', 'PASAL')) THEN line END, '') AS content FROM secs)"""
 
 
-def chunked_sql() -> str:
+def chunked_sql(lines: str = LEGAL_SQL) -> str:
     """CTEs up to `chunked`, the chunks in order of (doc_id, section, k), and `titles`."""
-    return classified_sql() + rf""",
+    return classified_sql(lines) + rf""",
 tokens AS (SELECT doc_id, section, bab_no, bab, pasal, ayat, page_number, line_no, unnest(list_filter(string_split(content, ' '), lambda x: x <> '')) AS word, unnest(range(len(list_filter(string_split(content, ' '), lambda x: x <> '')))) AS pos FROM classified WHERE content IS NOT NULL AND ctx = 'PASAL'),
 listed AS (SELECT doc_id, section, any_value(bab_no) AS bab_no, any_value(bab) AS bab, any_value(pasal) AS pasal, any_value(ayat) AS ayat, list(word ORDER BY page_number, line_no, pos) AS words, list(page_number ORDER BY page_number, line_no, pos) AS on_pages FROM tokens GROUP BY doc_id, section),
 packed AS (SELECT *, list_reduce(list_transform(words, lambda w: {{'n': length(w)::BIGINT, 'ks': [1::BIGINT]}}), lambda a, x: CASE WHEN a.n + 1 + x.n > 1000 THEN {{'n': x.n, 'ks': list_append(a.ks, a.ks[-1] + 1)}} ELSE {{'n': a.n + 1 + x.n, 'ks': list_append(a.ks, a.ks[-1])}} END).ks AS ks FROM listed),
