@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lexloom.functions import document_id, format_size, is_pdf, point_id
 from lexloom.operators import pages, registry, segment
 from lexloom.plans.fixtures import BOXES_SQL, LEGAL_SQL, chunked_sql, classified_sql, clean_sql, document_sql, legal_pages, margin_sql, page_boxes, table
+from lexloom.sources import page_source
 from lexloom.sources.sinks import Collection
 from lexloom.sources.tables import new_folder, stored
+from lexloom.sources.uploads import reading_order
 
 
 def line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +112,24 @@ def parent_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.scroll_parents(points.read(), 64).select("filename", "pasal", "chunk_id", "point_id")
 
 
-QUERIES = {f.__name__: f for f in (line_clean, margin_keys, hyphen_join, legal_sections, bab_titles, penjelasan_cut, legal_chunks, doc_metrics, structure_counts, page_decision, image_union, point_ids, name_ids, doc_hash_dupes, chunk_checks, index_batches, parent_scroll)}
+def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as paged files of many pages each, read back by ranges of pages; the first line of a page says whose it is."""
+    folder = new_folder(spark, "volumes")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 12).cast("int")), lambda i: F.array_join(F.slice(lines, i * 12 + 1, 12), "\n"))
+    paged = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("page", "text"))
+    paged.select(F.concat_ws("\n", F.concat_ws(" ", "doc_id", "page"), "text")).write.option("lineSep", "\f").text(folder)
+    opener = "lexloom.sources.page_source:FormFeedFile"
+    read = page_source.read_paged(spark, stored(page_source.count_pages(spark, folder, opener), "files"), opener, columns=["path", "page_number", "blocks", "error"])
+    head, text = F.split(F.split(F.col("whole"), "\n", 2)[0], " "), F.split(F.col("whole"), "\n", 2)[1]
+    return read.withColumn("whole", reading_order(F.col("blocks"))).select(head[0].cast("long").alias("doc_id"), (head[1].cast("int") + 1).alias("page"), text.alias("text"), "error")
+
+
+QUERIES = {f.__name__: f for f in (line_clean, margin_keys, hyphen_join, legal_sections, bab_titles, penjelasan_cut, legal_chunks, doc_metrics, structure_counts, page_decision, image_union, point_ids, name_ids, doc_hash_dupes, chunk_checks, index_batches, parent_scroll, page_scan)}
 
 _PAGE_TEXT = "string_agg(line, chr(10) ORDER BY line_no) AS text"
 ORACLES = {
+    "page_scan": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS ln FROM documents) SELECT doc_id, (1 + ln // 12)::INTEGER AS page, string_agg(line, chr(10) ORDER BY ln) AS text, NULL::VARCHAR AS error FROM l GROUP BY ALL",
     "line_clean": f"WITH {LEGAL_SQL}, {clean_sql('legal', 'basic')} SELECT doc_id, page_number, {_PAGE_TEXT} FROM basic GROUP BY doc_id, page_number",
     "margin_keys": f"WITH {LEGAL_SQL}, {clean_sql('legal', 'basic')}, {margin_sql('basic', 'margins')} SELECT doc_id, key, n_pages FROM margins",
     "hyphen_join": f"WITH {document_sql()} SELECT doc_id, page_number, count(*)::BIGINT AS n_lines, {_PAGE_TEXT} FROM cleaned GROUP BY doc_id, page_number",
