@@ -42,11 +42,11 @@ class JobResult:
     chunks: DataFrame
 
 
-def embed_batches(chunks: DataFrame, connect: Callable[[], Embed], *, batch: int = 8) -> DataFrame:
+def embed_batches(chunks: DataFrame, connect: Callable[[], Embed], *, batch: int = 8, dense_size: int | None = None) -> DataFrame:
     """chunks (doc_id, n, text, ...) with dense, sparse, error: each document's chunks in order of n, `batch` at a time.
 
-    When a batch fails the document's chunks from there on carry the error and are not tried; other documents go on.
-    Chunks stream by, so that no document is held whole.
+    When a batch fails, or has vectors of another size than dense_size, the document's chunks from there on carry the error
+    and are not tried; other documents go on. Chunks stream by, so that no document is held whole.
     """
     if batch <= 0:
         raise ValueError("the batch size must be above zero")
@@ -67,6 +67,8 @@ def embed_batches(chunks: DataFrame, connect: Callable[[], Embed], *, batch: int
                         got = embed(texts)
                         if len(got) != len(texts):
                             raise ValueError(f"{len(got)} embeddings for {len(texts)} texts")
+                        if odd := [len(d) for d, _ in got if dense_size is not None and len(d) != dense_size]:
+                            raise ValueError(f"a vector of {odd[0]} values where the collection has {dense_size}")
                     except Exception as failed:  # noqa: BLE001  one document's failure must not end the others
                         error = str(failed) or type(failed).__name__
                 if error is not None:
@@ -86,12 +88,24 @@ def embed_batches(chunks: DataFrame, connect: Callable[[], Embed], *, batch: int
     return chunks.repartition("doc_id").sortWithinPartitions("doc_id", "n").mapInPandas(run, kind)
 
 
+def unfit_documents(chunks: DataFrame) -> DataFrame:
+    """(doc_id, unfit): documents of which a chunk has a blank id, or one that another has, and what is wrong."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    twice = chunks.where(~blank(F.col("chunk_id"))).groupBy("doc_id", "chunk_id").count().where("count > 1").groupBy("doc_id").agg(F.concat(F.lit("repeated chunk id "), F.min("chunk_id")).alias("twice"))
+    blanks = chunks.groupBy("doc_id").agg(F.max(blank(F.col("chunk_id"))).alias("no_id"))
+    said = F.when(F.col("no_id"), "a chunk without an id").otherwise(F.col("twice"))
+    return blanks.join(twice, "doc_id", "left").select("doc_id", said.alias("unfit")).where("unfit IS NOT NULL")
+
+
 def index_chunks(chunks: DataFrame, connect: Callable[[], Embed], collection: Collection | None, *, model: str = "embedding", batch: int = 8) -> DataFrame:
     """Embeds and stores chunks (doc_id, n, ingestion_id, chunk_id, text, ...); returns them with batch, error and indexed.
 
-    What a document's batches before a failing one hold is stored, what comes after is not.
+    What a document's batches before a failing one hold is stored, what comes after is not. A document that is unfit is not
+    embedded at all. No document's failure touches another.
     """
-    done = stored(embed_batches(chunks, connect, batch=batch), "embedded")
+    checked = stored(chunks.join(unfit_documents(chunks), "doc_id", "left"), "checked")
+    done = embed_batches(checked.where("unfit IS NULL").drop("unfit"), connect, batch=batch, dense_size=collection.dense_size if collection is not None else None)
+    done = stored(done.unionByName(checked.where("unfit IS NOT NULL").withColumnRenamed("unfit", "error"), allowMissingColumns=True), "embedded")
     if collection is not None:
         good = done.where("error is null").drop("n", "error")
         if good.limit(1).count():
@@ -106,12 +120,13 @@ def _event(step: int, sub: Column, stage: Column | str, status: str, message: Co
     return ["job_id", "position", F.lit(step).alias("step"), sub.cast("long").alias("sub"), F.lit("document_status").alias("type"), "filename", text(stage).alias("stage"), F.lit(status).alias("status"), message.alias("message"), *rest]
 
 
-def process_documents(documents: DataFrame, pages: DataFrame, connect: Callable[[], Embed], collection: Collection | None = None, *, model: str = "embedding", batch: int = 8) -> JobResult:
+def process_documents(documents: DataFrame, pages: DataFrame, connect: Callable[[], Embed], collection: Collection | None = None, *, model: str = "embedding", batch: int = 8, ended: Callable[[DataFrame], DataFrame] | None = None) -> JobResult:
     """Processes the accepted documents of jobs.
 
     documents (job_id, position, doc_id, filename, document_hash, ingestion_id); pages (doc_id, filename, page_number, text,
     mode, error), where a page with an error is that of a file which could not be read. A document without chunks has
     failed, as has one whose reading or indexing did; the others go on. A job has failed if all its documents have.
+    ended: the jobs that are over by these outcomes, as `job_ends` gives them, where a job's documents come in several calls.
     """
     good = pages.where("error is null")
     chunks = chunk_documents(good.select("doc_id", "filename", "page_number", "text"), ordered=True)
@@ -128,10 +143,15 @@ def process_documents(documents: DataFrame, pages: DataFrame, connect: Callable[
     error = F.coalesce("read_error", F.when(F.col("chunks").isNull(), NO_CHUNKS), "index_error")
     out = out.select("job_id", "position", "doc_id", "filename", "document_hash", "ingestion_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"), zero("chunks"), zero("indexed_chunks"), zero("native_pages"), zero("ocr_pages"), error.alias("error"), F.col("read_error").isNotNull().alias("unread"))
     out = stored(out, "outcomes")
-    return JobResult(out.drop("unread"), job_events(out, good, indexed), registry_log(out), chunks)
+    return JobResult(out.drop("unread"), job_events(out, good, indexed, (ended or job_ends)(out)), registry_log(out), chunks)
+
+
+def job_ends(outcomes: DataFrame) -> DataFrame:
+    """(job_id, all, good, position): documents of each job, those that are completed, the place after the last."""
+    return outcomes.groupBy("job_id").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("status") == "completed").alias("good"), (F.max("position") + 1).alias("position"))
 
 
-def job_events(outcomes: DataFrame, pages: DataFrame, indexed: DataFrame) -> DataFrame:
+def job_events(outcomes: DataFrame, pages: DataFrame, indexed: DataFrame, ended: DataFrame) -> DataFrame:
     """All events of the jobs, numbered by seq within a job: each document's in its turn, then the one that ends the job."""
     say = lambda stage: F.lit(MESSAGES[stage])
     no = F.lit(0)
@@ -155,7 +175,7 @@ def job_events(outcomes: DataFrame, pages: DataFrame, indexed: DataFrame) -> Dat
         outcomes.where("status = 'completed'").select(*_event(5, no, "completed", "completed", F.concat(say("completed"), F.lit(" · "), F.col("indexed_chunks").cast("string"), F.lit(" chunk masuk ke Qdrant")), chunks=F.col("chunks"), indexed_chunks=F.col("indexed_chunks"), **pages_of)),
         outcomes.where("status = 'failed'").select(*_event(5, no, "failed", "failed", F.concat(say("failed"), F.lit(": "), F.col("error")), error=F.col("error"))),
     ]
-    jobs = outcomes.groupBy("job_id").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("status") == "completed").alias("good"), (F.max("position") + 1).alias("position")).withColumn("filename", F.lit("-"))
+    jobs = ended.withColumn("filename", F.lit("-"))
     said = F.when(F.col("good") == F.col("all"), JOB_DONE).when(F.col("good") > 0, JOB_PARTLY).otherwise(JOB_FAILED)
     last = jobs.select(*_event(6, no, "job", "completed", said), "good").withColumns({"type": F.lit("job_status"), "status": F.when(F.col("good") > 0, "completed").otherwise("failed")}).drop("good")
     rows = functools.reduce(DataFrame.unionByName, [*parts, last])

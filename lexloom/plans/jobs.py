@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import log_message
@@ -12,6 +12,7 @@ from lexloom.plans.fixtures import JOBS_SQL, chunked_sql, job_events, legal_page
 from lexloom.sources.registry_store import RegistryStore
 from lexloom.sources.sinks import Collection
 from lexloom.sources.tables import KeyedTable, new_folder, stored
+from lexloom.streaming import ingest as live
 from lexloom.streaming import jobs as streams
 
 
@@ -118,17 +119,37 @@ def _embedder():
     return embed
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> ingest.JobResult:
-    """Documents as files of jobs of ten; every 23rd cannot be read, every third page is read by OCR."""
+def _uploaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files of jobs of ten and their pages; every 23rd cannot be read, every third page is read by OCR."""
     source, d = legal_pages(spark, sf_dir), F.col("doc_id")
     error = F.when(d % 23 == 0, "broken file")
     pages = source.withColumn("mode", F.when(F.col("page_number") % 3 == 0, "full_ocr").otherwise("native_text")).withColumn("error", error)
     text = d.cast("string")
     documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("job"), F.floor(d / 10).cast("string")).alias("job_id"), (d % 10).alias("position"), "doc_id", F.concat(F.lit("UU No. "), text, F.lit(".pdf")).alias("filename"), F.concat(F.lit("h"), text).alias("document_hash"), F.concat(F.lit("i"), text).alias("ingestion_id"))
+    return documents, pages
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> ingest.JobResult:
+    documents, pages = _uploaded(spark, sf_dir)
     points = Collection(spark, new_folder(spark, "points"), 2)
     return ingest.process_documents(documents, stored(pages, "pages"), lambda: _embedder(), points)
 
 
+def ingest_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document job as a stream of micro-batches whose events a second stream follows; the events that it saw, in order."""
+    folder = new_folder(spark, "ingest-live")
+    documents, pages = _uploaded(spark, sf_dir)
+    by_doc = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text", "mode", "error"))).alias("pages"))
+    sized = documents.join(documents.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("job_size")), "job_id").join(by_doc, "doc_id")
+    queue = sized.select("job_id", "job_size", "position", F.col("doc_id").cast("string").alias("doc_id"), "filename", "document_hash", "ingestion_id", "pages")
+    live.queue_documents(queue, f"{folder}/queue", files=3)
+    live.ingest_stream(spark, f"{folder}/queue", f"{folder}/out", lambda: _embedder(), Collection(spark, f"{folder}/points", 2), f"{folder}/checkpoint", files_per_batch=2).awaitTermination()
+    reader = live.follow_events(spark, f"{folder}/out").writeStream.format("parquet").option("checkpointLocation", f"{folder}/reader").trigger(availableNow=True)
+    reader.start(f"{folder}/seen").awaitTermination()
+    seen = spark.read.schema(live.EVENTS).parquet(f"{folder}/seen")
+    return seen.withColumn("seq", F.row_number().over(Window.partitionBy("job_id").orderBy("seq")).cast("long"))
+
+
 def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each document of each job ended."""
     return _ingested(spark, sf_dir).outcomes.drop("document_hash", "ingestion_id", "filename")
@@ -148,7 +169,7 @@ def ingest_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.registry_state(reserves.unionByName(updates)).select("document_hash", "ingestion_id", "status", "indexed_chunks", "error")
 
 
-QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, registry_durable, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry)}
+QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, registry_durable, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry, ingest_live)}
 
 #: Registry states one operation after the other, by a recursive query.
 _REGISTRY = r"""WITH RECURSIVE log AS (SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'reserve' ELSE 'update' END AS op, 'h' || user_id AS document_hash, 'doc_' || user_id AS document_id, 'f' || user_id || '.pdf' AS filename, 'i' || (event_id // 200) AS ingestion_id,
@@ -205,6 +226,7 @@ g AS (SELECT job_id, count(*) FILTER (WHERE NOT failed AND NOT duplicate)::BIGIN
 SELECT job_id, accepted, rejected, duplicates, CASE WHEN every THEN 409 WHEN accepted = 0 THEN 422 ELSE 202 END::BIGINT AS status_code, CASE WHEN every THEN CASE WHEN n = 1 THEN e ELSE '{registry.ALL_DUPLICATES}' END END AS detail FROM g""",
     "ingest_outcomes": _INGEST + " SELECT job_id, position, doc_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, chunks, indexed_chunks, native_pages, ocr_pages, error FROM outcomes",
     "ingest_events": _EVENTS,
+    "ingest_live": _EVENTS,
     "ingest_registry": _INGEST + " SELECT 'h' || doc_id AS document_hash, 'i' || doc_id AS ingestion_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, CASE WHEN error IS NULL THEN indexed_chunks END::INTEGER AS indexed_chunks, error FROM outcomes",
     "registry_outcomes": _REGISTRY + " SELECT op, outcome, count(*)::BIGINT AS n FROM st WHERE rn > 0 GROUP BY op, outcome",
     "job_outcome": _FILES + " SELECT job_id, count(*)::BIGINT AS n_files, count(*) FILTER (WHERE status = 'failed')::BIGINT AS n_failed, CASE WHEN count(*) FILTER (WHERE status = 'completed') > 0 THEN 'completed' ELSE 'failed' END AS outcome, count(*) FILTER (WHERE status = 'completed') > 0 AND count(*) FILTER (WHERE status = 'failed') > 0 AS with_failures FROM files GROUP BY job_id",
