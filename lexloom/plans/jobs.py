@@ -14,6 +14,7 @@ from lexloom.sources.sinks import Collection
 from lexloom.sources.tables import KeyedTable, new_folder, stored
 from lexloom.streaming import ingest as live
 from lexloom.streaming import jobs as streams
+from lexloom.streaming import reserve
 
 
 def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +107,19 @@ def registry_durable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+def registry_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as requests of two writers, applied by one stream; the registry after them, equal to registry_state."""
+    folder, log = new_folder(spark, "requests"), registry_log(spark, sf_dir)
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    kinds = {c.split()[0]: c.split()[1] for c in reserve.REQUESTS.split(", ")}
+    for call, part in enumerate((log.where(F.col("seq") <= half), log.where(F.col("seq") > half))):
+        # the order of the log stands for the times of the calls
+        rows = part.withColumn("request_id", F.col("seq").cast("string")).withColumn("asked_at", F.timestamp_seconds("seq"))
+        rows.select(*[F.col(c).cast(k) for c, k in kinds.items()]).write.parquet(f"{folder}/requests/call={call}")
+        reserve.serve(spark, folder, once=True).awaitTermination()
+    return RegistryStore(spark, f"{folder}/registry").read()
+
+
 #: Texts of these lengths are those that the stand-in for an embedding model refuses.
 BAD_LENGTH = 41
 
@@ -169,7 +183,7 @@ def ingest_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.registry_state(reserves.unionByName(updates)).select("document_hash", "ingestion_id", "status", "indexed_chunks", "error")
 
 
-QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, registry_durable, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry, ingest_live)}
+QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, registry_durable, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry, ingest_live, registry_requests)}
 
 #: Registry states one operation after the other, by a recursive query.
 _REGISTRY = r"""WITH RECURSIVE log AS (SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'reserve' ELSE 'update' END AS op, 'h' || user_id AS document_hash, 'doc_' || user_id AS document_id, 'f' || user_id || '.pdf' AS filename, 'i' || (event_id // 200) AS ingestion_id,
@@ -220,6 +234,7 @@ ORACLES = {
     "registry_state": _STATE,
     "stream_registry": _STATE,
     "registry_durable": _STATE,
+    "registry_requests": _STATE,
     "duplicate_uploads": _UPLOADS + " SELECT document_hash, duplicate, existing_status, error FROM checked",
     "upload_reports": _UPLOADS + f""", jobs AS (SELECT * FROM checked UNION ALL SELECT job_id || '-' || document_hash, * EXCLUDE (job_id) FROM checked),
 g AS (SELECT job_id, count(*) FILTER (WHERE NOT failed AND NOT duplicate)::BIGINT AS accepted, count(*) FILTER (WHERE failed)::BIGINT AS rejected, count(*) FILTER (WHERE duplicate)::BIGINT AS duplicates, bool_and(duplicate) AS every, count(*) AS n, min(error) AS e FROM jobs GROUP BY job_id)

@@ -22,19 +22,26 @@ class RegistryStore:
         return self.spark.createDataFrame([], STATE) if found is None else found
 
     def get(self, document_hash: str) -> DataFrame:
-        """The state of one document; no row if it is unknown."""
-        return self.read().where(F.col("document_hash") == document_hash)
-
-    def apply(self, log: DataFrame) -> DataFrame:
-        """Applies operations (seq from 0 up, op, document_hash, ...) in order of seq; returns what each did."""
+        """The state of one document; no row if it is unknown. Only the bucket of its hash is read."""
+        bucket = self.spark.range(1).select(self.table.bucket(F.lit(document_hash))).first()[0]
+        found = self.table.read([bucket])
+        found = self.spark.createDataFrame([], STATE) if found is None else found
+        return found.where(F.col("document_hash") == document_hash)
+
+    def tried(self, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What operations (seq from 0 up, op, document_hash, ...) in order of seq would do, and the states after them; nothing is changed."""
         names = [x.split()[0] for x in LOG.split(", ")]
         log = stored(log.select(*names), "operations")
         held = self.read().join(log.select("document_hash").distinct(), "document_hash", "left_semi")
         # what is there already comes as the operations that lead to it
         before = held.withColumn("op", F.lit("reserve")).withColumn("seq", F.lit(-2).cast("long")).unionByName(held.withColumn("op", F.lit("update")).withColumn("seq", F.lit(-1).cast("long")))
         whole = stored(before.select(*names).unionByName(log), "operations")
-        outcomes = stored(registry_outcomes(whole).where("seq >= 0"), "outcomes")
-        self.table.upsert(registry_state(whole))
+        return stored(registry_outcomes(whole).where("seq >= 0"), "outcomes"), registry_state(whole)
+
+    def apply(self, log: DataFrame) -> DataFrame:
+        """Applies operations and returns what each did. One writer; many writers go through `streaming.reserve`."""
+        outcomes, state = self.tried(log)
+        self.table.upsert(state)
         return outcomes
 
     def reserve(self, documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -108,6 +108,10 @@ class KeyedTable:
         paths = [f"{self.path}/v{v}/bucket={b}" for b, v in now["buckets"].items() if only is None or int(b) in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def bucket(self, key: Column) -> Column:
+        """The bucket of a key."""
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
     def upsert(self, rows: DataFrame, version: int | None = None) -> None:
         """rows (each key once) replace those of their keys. A version that has been written already is left as it is."""
         now = self.version()
@@ -115,11 +119,11 @@ class KeyedTable:
         if new <= now:
             return
         before = self._manifest(now)
-        rows = stored(rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")), "rows")
+        rows = stored(rows.withColumn("bucket", self.bucket(F.col(self.key))), "rows")
         touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
         merged = rows
         if (old := self.read(touched)) is not None:
-            kept = old.join(rows.select(self.key), self.key, "left_anti").withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+            kept = old.join(rows.select(self.key), self.key, "left_anti").withColumn("bucket", self.bucket(F.col(self.key)))
             merged = kept.unionByName(rows, allowMissingColumns=True)
         merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{new}")
         schema = merged.drop("bucket").schema.jsonValue() if touched or before["schema"] is None else before["schema"]
