@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.sources.tables import stored
+from lexloom.sources.tables import new_folder, stored
 
 TOKEN_GAP = "[^a-z]+"
 
@@ -89,15 +89,28 @@ class _Best:
         return rows[rows.groupby("q").cumcount() < self.limit]
 
 
-def _passes(queries: DataFrame, weight: int) -> Iterator[DataFrame]:
-    """The queries in parts of about PASS_BYTES, where one takes `weight` bytes."""
-    parts = -(-queries.count() * weight // PASS_BYTES)
-    for p in range(parts):
-        yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-
+def _by_pass(queries: DataFrame, weight: Column, score: Callable[[list], tuple[DataFrame, Broadcast]], kinds: str, limit: int) -> DataFrame:
+    """score(rows of queries) gives the scored points and the broadcast they rest on; here for all queries, ranked.
 
-def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, parts) if parts else empty
+    Queries whose weights come to more than PASS_BYTES are dealt into passes, one after the other: each is gathered, sent
+    out, its best points written, and let go before the next, so the driver and the tasks hold one pass whatever their number.
+    """
+    spark = queries.sparkSession
+    total = (queries.agg(F.sum(weight)).first()[0] or 0) if limit > 0 else 0
+    parts = -(-int(total) // PASS_BYTES)
+    if parts == 0:
+        return ranked(spark.createDataFrame([], kinds), limit)
+    if parts == 1:
+        return ranked(score(queries.collect())[0], limit)
+    queries, folder = stored(queries, "queries"), new_folder(spark, "hits")
+    for p in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).collect()
+        if rows:
+            scored, shared = score(rows)
+            ranked(scored, limit).write.parquet(f"{folder}/pass={p}")
+            shared.destroy()
+        del rows
+    return spark.read.schema(f"{kinds}, rank long").parquet(f"{folder}/*")
 
 
 def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits: int | None = DIGITS) -> DataFrame:
@@ -110,19 +123,18 @@ def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits:
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
     good = points.where(dense_ok(F.col("dense"))).select("id", "dense")
     own = queries.where(dense_ok(F.col("dense"))).select("query_id", "dense")
-    size = own.agg(F.max(F.size("dense"))).first()[0] or 1
 
     def matrix(rows: list) -> np.ndarray:
         x = np.array(rows, np.float64)
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
-    parts, digits = [], DIGITS if digits is None else digits
-    for some in _passes(own, 8 * size) if limit > 0 else ():
-        got = some.collect()
+    digits = DIGITS if digits is None else digits
+
+    def scored(got: list) -> tuple[DataFrame, Broadcast]:
         shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in got], matrix([r[1] for r in got])))
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (names, asked), best = shared.value, _Best(limit)
             for batch in batches:
                 if len(batch):
@@ -132,8 +144,9 @@ def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits:
             rows = best.rows()
             yield pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]})
 
-        parts.append(good.mapInPandas(score, kinds))
-    return ranked(_union(parts, good.sparkSession.createDataFrame([], kinds)), limit)
+        return good.mapInPandas(score, kinds), shared
+
+    return _by_pass(own, F.lit(8) * F.size("dense"), scored, kinds, limit)
 
 
 def term_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -171,13 +184,12 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
     seen = tokens(vectors).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     weighted = asked.join(seen, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.lit(n_docs))).alias("w"))
     per_query = stored(weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("weights")), "weights")
-    size = per_query.agg(F.avg(F.size("weights"))).first()[0] or 1
-    parts, digits = [], DIGITS if digits is None else digits
-    for some in _passes(per_query, int(100 * size) + 1) if limit > 0 else ():
-        got = some.collect()
+    digits = DIGITS if digits is None else digits
+
+    def scored(got: list) -> tuple[DataFrame, Broadcast]:
         shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in got], *_weights([r[1] for r in got])))
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (names, places, common, starts, of, weight), best = shared.value, _Best(limit)
             # where no weight is negative a common term shows in the sum
             n, plain = len(names), not ((common < 0).any() or (weight < 0).any())
@@ -200,8 +212,9 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
             rows = best.rows()
             yield pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]})
 
-        parts.append(vectors.mapInPandas(score, kinds))
-    return ranked(_union(parts, vectors.sparkSession.createDataFrame([], kinds)), limit)
+        return vectors.mapInPandas(score, kinds), shared
+
+    return _by_pass(per_query, F.lit(100) * F.size("weights") + 1, scored, kinds, limit)
 
 
 def _weights(per_query: list) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

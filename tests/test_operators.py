@@ -173,3 +173,38 @@ def test_model_connectors(spark):
     assert got[0]["sparse"] == {2: 1.0}
     asked = spark.createDataFrame([(1, "q", "c")], "query_id long, question string, context string")
     assert models.generate_answers(asked, lambda: lambda q, c: q + c).first()["answer"] == "qc"
+
+
+def test_fifty_passes_hold_one_broadcast_and_give_the_same(spark, monkeypatch):
+    from pyspark import Broadcast
+
+    rng = random.Random(3)
+    words = [a + b for a in "abcdef" for b in "ghijk"]
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], " ".join(rng.choices(words, k=12))) for i in range(800)]
+    points = spark.createDataFrame(rows, "id long, dense array<double>, text string")
+    queries = points.select(F.col("id").alias("query_id"), "dense")
+    terms = vectors.term_vectors(points)
+    asked = terms.where("id < 100").withColumnRenamed("id", "query_id")
+    rowset = lambda df: sorted(map(tuple, df.collect()))
+    one_dense, one_sparse = rowset(vectors.dense_top_k(points, queries, 5)), rowset(vectors.sparse_top_k(terms, asked, 800, 5))
+    alive, most = set(), []
+    real, destroy = type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def send(self, value):
+        shared = real(self, value)
+        alive.add(shared._jbroadcast.id())
+        most.append(len(alive))
+        return shared
+
+    def drop(self, *args):
+        alive.discard(self._jbroadcast.id())
+        destroy(self, *args)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", send)
+    monkeypatch.setattr(Broadcast, "destroy", drop)
+    monkeypatch.setattr(vectors, "PASS_BYTES", 1 << 10)
+    assert rowset(vectors.dense_top_k(points, queries, 5)) == one_dense
+    assert len(most) == 50 and max(most) == 1 and not alive
+    monkeypatch.setattr(vectors, "PASS_BYTES", 5 << 10)
+    assert rowset(vectors.sparse_top_k(terms, asked, 800, 5)) == one_sparse
+    assert len(most) > 52 and max(most) == 1
