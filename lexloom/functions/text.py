@@ -83,9 +83,20 @@ def normalize_questions(questions: DataFrame, column: str = "question") -> DataF
     return questions.where(plain).unionByName(questions.where(~plain).withColumn(column, _nfkc_any(F.col(column))))
 
 
+#: Letters that case folding changes though they are lower case already, by Python's tables.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c == c.lower() != c.casefold()}
+
+
+def casefold(x: Column) -> Column:
+    """Full case folding: lower case, then the letters that have a folded form of their own, which few lines hold."""
+    pairs = F.split(F.lit("\x01".join(f"{a}\x02{b}" for a, b in FOLDED.items())), "\x01")
+    fold = F.aggregate(pairs, F.lower(x), lambda text, p: F.replace(text, F.substring_index(p, "\x02", 1), F.substring_index(p, "\x02", -1)))
+    return F.when(F.lower(x).rlike("[" + "".join(FOLDED) + "]"), fold).otherwise(F.lower(x))
+
+
 def line_key(x: Column) -> Column:
-    """Key by which repeated margin lines are found: case-folded, that is lower case with ß as ss and one small sigma."""
-    return F.replace(F.replace(F.lower(collapsed(x)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Key by which repeated margin lines are found: white space collapsed, case-folded."""
+    return casefold(collapsed(x))
 
 
 def is_page_marker(x: Column) -> Column:

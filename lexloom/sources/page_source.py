@@ -157,9 +157,10 @@ class PageSource(DataSource):
         return PageReader(schema, dict(self.options))
 
 
-def count_pages(spark: SparkSession, path: str, opener: str) -> DataFrame:
-    """(path, n_pages, error) of the files under a path, each opened once; their bytes are not read as a column."""
+def count_pages(spark: SparkSession, path: str, opener: str, only: DataFrame | None = None) -> DataFrame:
+    """(path, n_pages, error) of the files under a path, each opened once; their bytes are not read as a column. only: (path) of those that count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    files = files if only is None else files.join(only.select("path"), "path", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_file = _opener(opener)
@@ -223,13 +224,14 @@ def ocr_paged(asked: DataFrame, connect: Callable[[], Callable[[str, int, str, i
     return asked.select("doc_id", "path", "page_number").repartition("path", "page_number").mapInPandas(run, kind)
 
 
-def scan_files(spark: SparkSession, path: str, opener: str, connect: Callable[[], Callable[[str, int, str, int], str]], *, mode: str = "hybrid", language: str = "ind", dpi: int = OCR_DPI, pages: int = RANGE) -> DataFrame:
-    """(doc_id, filename, page_number, text, mode, error) of the PDF files under a path, as process_documents takes it; doc_id is the file's path.
+def scan_files(spark: SparkSession, path: str, opener: str, connect: Callable[[], Callable[[str, int, str, int], str]], *, mode: str = "hybrid", language: str = "ind", dpi: int = OCR_DPI, pages: int = RANGE, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, document_id, filename, page_number, text, mode, error) of the PDF files under a path, as process_documents takes it; doc_id is the file's path.
 
     mode: hybrid decides by page, native never uses OCR, full_ocr always. Text is put in reading order. A file or page
-    that cannot be read, or whose OCR fails, is a row with its error; a file's own has the page number 0.
+    that cannot be read, or whose OCR fails, is a row with its error; a file's own has the page number 0. only: the paths
+    (one column, path) to which the scan is kept.
     """
-    files = stored(count_pages(spark, path, opener).withColumn("filename", F.url_decode(F.element_at(F.split("path", "/"), -1))).where(is_pdf(F.col("filename"))), "files")
+    files = stored(count_pages(spark, path, opener, only).withColumn("filename", F.url_decode(F.element_at(F.split("path", "/"), -1))).where(is_pdf(F.col("filename"))), "files")
     read = read_paged(spark, files, opener, pages=pages).withColumn("text", reading_order(F.col("blocks"))).withColumn("doc_id", F.col("path")).drop("blocks")
     read = stored(read, "pages")
     good = read.where("error is null").drop("error")

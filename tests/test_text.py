@@ -81,3 +81,15 @@ def test_error_detail(spark):
     assert one(spark, '{"detail": "d", "error": "e"}', X.error_detail) == "d"
     assert one(spark, '{"error": "e"}', X.error_detail) == "e"
     assert len(one(spark, "x" * 900, X.error_detail)) == 500
+
+
+def test_case_folding_is_full(spark):
+    """Every letter that Java and Python put in lower case alike folds as Python does, alone and within words."""
+    letters = [chr(c) for c in range(0x20, 0x1F000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    df = spark.createDataFrame([(c, f"A{c}b {c}") for c in letters], "c string, x string")
+    rows = df.select("c", "x", F.lower("c").alias("low"), text.casefold(F.col("x")).alias("y")).collect()
+    same = [r for r in rows if r["low"] == r["c"].lower()]
+    assert len(same) > 0.99 * len(rows)
+    final = lambda s: s.replace("\u03c2", "\u03c3")
+    assert [r["c"] for r in same if r["y"] != final(r["x"].casefold())] == []
+    assert spark.createDataFrame([("Stra\u00dfe  STRASSE \ufb01N",)], "x string").select(text.line_key(F.col("x"))).first()[0] == "strasse strasse fin"
