@@ -14,7 +14,7 @@ from lexloom.sources.sinks import Collection
 from lexloom.sources.tables import KeyedTable, new_folder, stored
 from lexloom.streaming import ingest as live
 from lexloom.streaming import jobs as streams
-from lexloom.streaming import reserve
+from lexloom.streaming import reserve, state
 
 
 def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,18 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return KeyedTable(spark, f"{folder}/state", "filename").read()
 
 
+def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log in two parts through the fold whose state ends with its job; equal to event_fold."""
+    folder = new_folder(spark, "job-state")
+    log = job_events(spark, sf_dir)
+    for part in (0, 1):
+        streams.publish(log.where(F.col("seq") % 2 == part), f"{folder}/log")
+        with state.rocksdb(spark):
+            stream = state.stream_jobs(streams.event_stream(spark, f"{folder}/log"), grace_ms=3_600_000).drop("job_id")
+            streams.to_latest(stream, "filename", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return KeyedTable(spark, f"{folder}/state", "filename").read()
+
+
 def stream_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4, U5 as a stream; equal to registry_state."""
     folder = new_folder(spark, "registry")
@@ -183,7 +195,7 @@ def ingest_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.registry_state(reserves.unionByName(updates)).select("document_hash", "ingestion_id", "status", "indexed_chunks", "error")
 
 
-QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, registry_durable, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry, ingest_live, registry_requests)}
+QUERIES = {f.__name__: f for f in (event_fold, job_outcome, ui_status, terminal_cut, page_progress, sse_encode, job_file_list, registry_state, registry_outcomes, stream_fold, stream_registry, registry_durable, duplicate_uploads, upload_reports, ingest_outcomes, ingest_events, ingest_registry, ingest_live, registry_requests, stream_jobs)}
 
 #: Registry states one operation after the other, by a recursive query.
 _REGISTRY = r"""WITH RECURSIVE log AS (SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'reserve' ELSE 'update' END AS op, 'h' || user_id AS document_hash, 'doc_' || user_id AS document_id, 'f' || user_id || '.pdf' AS filename, 'i' || (event_id // 200) AS ingestion_id,
@@ -231,6 +243,7 @@ _FILES = f"WITH {JOBS_SQL}, files AS (SELECT job_id, filename, arg_max(status, s
 ORACLES = {
     "event_fold": _FOLD,
     "stream_fold": _FOLD,
+    "stream_jobs": _FOLD,
     "registry_state": _STATE,
     "stream_registry": _STATE,
     "registry_durable": _STATE,
