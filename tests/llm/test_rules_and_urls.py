@@ -151,6 +151,15 @@ def test_rules_as_a_table_give_the_same(spark, bound):
         filter_urls(df, [("maybe", "com", "/")], broadcast_rules=bound).count()
 
 
+def test_rules_of_the_contract(spark, tmp_path):
+    want = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    assert queries.URL_RULES == want
+    urls = ["http://a.net/de/1", "http://a.example.net/de/81", "http://a.example.net/de/7", "http://a.com/en/7", "http://example.com/en/71", "http://b.org/es/", "http://b.org/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["rule"], r["verdict"]) for r in queries.op5_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block"), (None, "allow")]
+
+
 def test_many_rules_and_bad_ones():
     trie = RuleTrie([("block", "com", f"/p{i:03d}") for i in range(300)])
     assert trie.find("x.com", "/p123/y") == ("com/p123", "block")
