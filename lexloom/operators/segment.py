@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lexloom.functions import HEADINGS, SPLIT_LINES, chunk_id, document_id, dropped_by_cleaning, heading, is_structural, line_key, normalize_lines
@@ -46,10 +48,10 @@ def margin_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("in_margin", (F.row_number().over(_page()) <= MARGIN_LINES) | (F.row_number().over(back) <= MARGIN_LINES))
 
 
-def repeated_margins(lines: DataFrame) -> DataFrame:
-    """(doc_id, key, n_pages) of margin lines that occur in the margins of two or more pages."""
+def repeated_margins(lines: DataFrame, key: Callable[[Column], Column] = line_key) -> DataFrame:
+    """(doc_id, key, n_pages) of margin lines that occur in the margins of two or more pages; `key` says which lines are one."""
     own = margin_lines(lines).where("in_margin").where(F.length("line").between(3, 120) & ~is_structural(F.col("line")))
-    return own.groupBy("doc_id", line_key(F.col("line")).alias("key")).agg(F.count_distinct("page_number").alias("n_pages")).where("n_pages >= 2")
+    return own.groupBy("doc_id", key(F.col("line")).alias("key")).agg(F.count_distinct("page_number").alias("n_pages")).where("n_pages >= 2")
 
 
 def remove_margins(lines: DataFrame, keys: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import plans
 from lexloom.operators import segment
+from tests.conftest import same_rows
 
 
 def pages(spark, *texts):
@@ -93,3 +95,13 @@ def test_metrics(spark):
 def test_empty_table(spark):
     empty = pages(spark, "x").where(F.lit(False))
     assert segment.chunk_documents(empty).count() == 0
+
+
+def test_margin_keys_with_a_sharp_s_equal_the_sql(spark, tmp_path):
+    text = "\n".join(["Die Straße ß", *[f"zeile {i} inhalt" for i in "abcdefghijk"], "DIE STRAẞE", *[f"satz {i} text" for i in "abcdefghijk"], "Die Straße ß", *[f"wort {i} hier" for i in "abc"]])
+    spark.createDataFrame([(28, text), (37, text.upper()), (30, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/rows")
+    (file,) = spark.read.parquet(f"{tmp_path}/rows").coalesce(1).select("doc_id", "text").write.parquet(f"{tmp_path}/one") or tmp_path.glob("one/*.parquet")
+    (tmp_path / "documents.parquet").write_bytes(file.read_bytes())
+    got = plans.QUERIES["margin_keys"](spark, str(tmp_path))
+    assert any("ß" in r["key"] for r in got.collect())
+    same_rows(got, plans.ORACLES["margin_keys"], str(tmp_path))
