@@ -87,16 +87,23 @@ def normalize_questions(questions: DataFrame, column: str = "question") -> DataF
 FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c == c.lower() != c.casefold()}
 
 
+#: Those that become one letter, in one pass, and those that become several; of these only the sharp s is not rare.
+_ONE = {a: b for a, b in FOLDED.items() if len(b) == 1}
+_MORE = {a: b for a, b in FOLDED.items() if len(b) > 1 and a != "ß"}
+
+
 def casefold(x: Column) -> Column:
     """Full case folding: lower case, then the letters that have a folded form of their own, which few lines hold."""
-    pairs = F.split(F.lit("\x01".join(f"{a}\x02{b}" for a, b in FOLDED.items())), "\x01")
-    fold = F.aggregate(pairs, F.lower(x), lambda text, p: F.replace(text, F.substring_index(p, "\x02", 1), F.substring_index(p, "\x02", -1)))
-    return F.when(F.lower(x).rlike("[" + "".join(FOLDED) + "]"), fold).otherwise(F.lower(x))
+    low = F.replace(F.translate(F.lower(x), "".join(_ONE), "".join(_ONE.values())), F.lit("ß"), F.lit("ss"))
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _MORE.items()))
+    fold = F.aggregate(pairs, low, lambda text, p: F.replace(text, p["a"], p["b"]))
+    # the class of a hundred letters is slow to test: only lines with letters beyond Latin-1 come to it
+    return F.when(low.rlike(r"[^\x00-\xFF]") & low.rlike("[" + "".join(_MORE) + "]"), fold).otherwise(low)
 
 
 def line_key(x: Column) -> Column:
     """Key by which repeated margin lines are found: white space collapsed, case-folded."""
-    return casefold(collapsed(x))
+    return casefold(F.when(x.rlike(r"^\s|\s$|\s\s|[^\S ]|[^\x00-\xFF]|[\x85\xA0]"), collapsed(x)).otherwise(x))
 
 
 def is_page_marker(x: Column) -> Column:
