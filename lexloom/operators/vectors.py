@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.sources.tables import new_folder, stored
 
@@ -68,19 +70,29 @@ class _Best:
     """The best `limit` of each query among what a task has seen: score first, then id."""
 
     def __init__(self, limit: int) -> None:
-        self.limit, self.parts = limit, []
+        # floor: a score that `limit` points of a query reach already; what is below it is let go at once
+        self.limit, self.parts, self.held, self.floor = limit, [], 0, np.empty(0)
 
     def add(self, first: int, ids: pd.Series, scores: np.ndarray, there: np.ndarray | None = None) -> None:
         """scores[i, j] of the points `ids` for the queries from number `first` on; `there` marks those that count."""
         if not scores.size:
             return
-        shown = scores if there is None else np.where(there, scores, -np.inf)
-        k = min(self.limit, len(ids))
-        least = np.partition(shown, len(ids) - k, axis=0)[len(ids) - k]
-        point, query = np.nonzero((shown >= least) & (shown > -np.inf))
+        if len(self.floor) < (end := first + scores.shape[1]):
+            self.floor = np.concatenate([self.floor, np.full(end - len(self.floor), -np.inf)])
+        shown, floor = scores if there is None else np.where(there, scores, -np.inf), self.floor[first:end]
+        good = (shown >= floor) & (shown > -np.inf)
+        if len(many := np.flatnonzero(good.sum(axis=0) > self.limit)):
+            part = shown[:, many]
+            floor[many] = least = np.partition(part, len(ids) - self.limit, axis=0)[len(ids) - self.limit]
+            good[:, many] &= part >= least
+        point, query = np.nonzero(good)
         self.parts.append(pd.DataFrame({"q": query + first, "id": ids.to_numpy()[point], "score": scores[point, query]}))
-        if sum(map(len, self.parts)) > 2_000_000:
-            self.parts = [self.rows()]
+        self.held += len(point)
+        if self.held > max(200_000, 4 * self.limit * len(self.floor)):
+            rows = self.rows()
+            self.parts, self.held = [rows], len(rows)
+            last = rows[rows.groupby("q").cumcount() == self.limit - 1]
+            self.floor[last["q"].to_numpy()] = last["score"].to_numpy()
 
     def rows(self) -> pd.DataFrame:
         if not self.parts:
@@ -185,38 +197,64 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
     weighted = asked.join(seen, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.lit(n_docs))).alias("w"))
     per_query = stored(weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("weights")), "weights")
     digits = DIGITS if digits is None else digits
+    shape = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("id", to_arrow_type(vectors.schema["id"].dataType)), ("score", pa.float64())])
 
     def scored(got: list) -> tuple[DataFrame, Broadcast]:
         shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in got], *_weights([r[1] for r in got])))
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (names, places, common, starts, of, weight), best = shared.value, _Best(limit)
             # where no weight is negative a common term shows in the sum
             n, plain = len(names), not ((common < 0).any() or (weight < 0).any())
             for batch in batches:
                 for a in range(0, len(batch), 1000):
-                    part = batch.iloc[a : a + 1000]
-                    total, there = np.zeros((len(part), n)), np.zeros((len(part), n), bool)
+                    part = batch.slice(a, 1000)
+                    at, place, tf = _placed(part.column(1), part.column(2), places)
+                    total, there = np.zeros((len(part), n)), None if plain else np.zeros((len(part), n), bool)
+                    rare = place >= len(common)
+                    for spot, value in _spread(at[rare], place[rare] - len(common), tf[rare], starts, of, weight, n):
+                        np.add.at(total.reshape(-1), spot, value)
+                        if not plain:
+                            there.reshape(-1)[spot] = True
                     held = np.zeros((len(part), len(common)))
-                    for i, (terms, tfs) in enumerate(zip(part["terms"], part["tfs"], strict=True)):
-                        for t, tf in zip(terms, tfs, strict=True):
-                            if (p := places.get(t, -1)) >= len(common):
-                                own = slice(starts[p - len(common)], starts[p - len(common) + 1])
-                                total[i, of[own]] += tf * weight[own]
-                                there[i, of[own]] = True
-                            elif p >= 0:
-                                held[i, p] = tf
+                    held[at[~rare], place[~rare]] = tf[~rare]
                     total += held @ common
                     there = total > 0 if plain else there | (held @ (common != 0) > 0)
-                    best.add(0, part["id"], _rounded(total, digits), there)
+                    best.add(0, part.column(0).to_pandas(), _rounded(total, digits), there)
             rows = best.rows()
-            yield pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]})
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]}), schema=shape, preserve_index=False)
 
-        return vectors.mapInPandas(score, kinds), shared
+        return vectors.mapInArrow(score, kinds), shared
 
     return _by_pass(per_query, F.lit(100) * F.size("weights") + 1, scored, kinds, limit)
 
 
+def _placed(terms: pa.Array, tfs: pa.Array, places: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, tf) of the terms that a query has; each different term of the rows is looked up once."""
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+    found = pc.dictionary_encode(terms.flatten())
+    known = np.array([*(places.get(t, -1) for t in found.dictionary.to_pylist()), -1], np.int64)
+    place = known[pc.fill_null(found.indices, len(known) - 1).to_numpy()]
+    own = place >= 0
+    return np.repeat(np.arange(len(terms)), sizes)[own], place[own], tfs.flatten().to_numpy()[own]
+
+
+#: Products of point and query weights that are held at once.
+_PRODUCTS = 2_000_000
+
+
+def _spread(at: np.ndarray, place: np.ndarray, tf: np.ndarray, starts: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row * n + query, product) of listed terms with the queries that have them, in order of the terms."""
+    sizes = starts[place + 1] - starts[place]
+    ends = np.cumsum(sizes)
+    inner = np.searchsorted(ends, np.arange(_PRODUCTS, ends[-1], _PRODUCTS)) if len(ends) else []
+    cuts = np.unique([0, *inner, len(ends)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        size = sizes[a:b]
+        own = np.arange(size.sum()) + np.repeat(starts[place[a:b]] - np.cumsum(size) + size, size)
+        yield np.repeat(at[a:b] * n, size) + of[own], np.repeat(tf[a:b], size) * weight[own]
+
+
 def _weights(per_query: list) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number of each term (those of over a sixteenth of the queries first), their matrix, and lists of (query, weight) of the others."""
     by_term: dict[str, list[tuple[int, float]]] = {}

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +210,27 @@ def test_fifty_passes_hold_one_broadcast_and_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PASS_BYTES", 5 << 10)
     assert rowset(vectors.sparse_top_k(terms, asked, 800, 5)) == one_sparse
     assert len(most) > 52 and max(most) == 1
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_listed_terms_in_parts_against_a_plain_loop(monkeypatch, most):
+    monkeypatch.setattr(vectors, "_PRODUCTS", most)
+    r, n = np.random.default_rng(1), 6
+    for _ in range(50):
+        sizes = r.integers(0, 4, r.integers(1, 8))
+        starts, m = np.concatenate([[0], np.cumsum(sizes)]), r.integers(0, 25)
+        of, weight, at, place, tf = r.integers(0, n, starts[-1]), r.random(starts[-1]), np.sort(r.integers(0, 4, m)), r.integers(0, len(sizes), m), r.random(m)
+        want = [(a * n + of[k], t * weight[k]) for a, p, t in zip(at, place, tf, strict=True) for k in range(starts[p], starts[p + 1])]
+        assert [(i, x) for spot, value in vectors._spread(at, place, tf, starts, of, weight, n) for i, x in zip(spot, value, strict=True)] == want
+
+
+def test_best_points_against_sorting_all():
+    r, best, seen = np.random.default_rng(2), vectors._Best(3), []
+    for b in range(40):
+        ids, scores, there = pd.Series(r.permutation(30) + 30 * b), np.round(r.random((30, 5)) * 8) - 4, r.random((30, 5)) < 0.7
+        best.add(0, ids, scores, there)
+        seen += [(q, -scores[i, q], ids[i]) for i in range(30) for q in range(5) if there[i, q]]
+    want = [(q, i, -s) for q in range(5) for _, s, i in sorted(x for x in seen if x[0] == q)[:3]]
+    assert [(q, i, s) for q, i, s in best.rows().itertuples(index=False)] == want
+    # what is below the floor is let go at once
+    assert best.held < len(seen) / 2
