@@ -34,8 +34,10 @@ PAGES = (
     "path string, page_number int, page_w double, page_h double, blocks array<struct<x0:double,y0:double,text:string>>, "
     "boxes array<struct<x0:double,y0:double,x1:double,y1:double>>, error string"
 )
-#: Pages of a task.
+#: Pages of a task, of up to TASKS tasks.
 RANGE = 50
+#: Ranges of one read from which on they are longer than that: a task opens its file anew, so their number must not grow with the pages.
+TASKS = 2_000
 #: Files of one read; Spark holds a source's partitions on the driver, so more files are several reads.
 FILES = 50_000
 
@@ -105,7 +107,8 @@ class PageReader(DataSourceReader):
                     yield f
 
     def partitions(self) -> list[PageRange]:
-        out = []
+        out, total = [], sum(n for _, n, error in self.files if error is None)
+        size = max(self.range, -(-total // TASKS))
         for path, n, error in self.files:
             if self.paths is not None and path not in self.paths:
                 continue
@@ -114,7 +117,7 @@ class PageReader(DataSourceReader):
                     out.append(PageRange(path, 0, 0, error))
                 continue
             last = int(min(n, self.last))
-            out += [PageRange(path, a, min(a + self.range - 1, last)) for a in range(int(self.first), last + 1, self.range)]
+            out += [PageRange(path, a, min(a + size - 1, last)) for a in range(int(self.first), last + 1, size)]
         return out
 
     def read(self, partition: PageRange | None) -> Iterator[tuple]:

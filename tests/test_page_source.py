@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lexloom.plans import documents
 from lexloom.sources import page_source
 from lexloom.sources.page_source import count_pages, read_paged, scan_files
+from tests.conftest import SMALL, same_rows
 
 OPENER = f"{__name__}:open_file"
 
@@ -116,3 +120,20 @@ def test_form_feed_files(spark, tmp_path):
     paged = page_source.FormFeedFile(f"{tmp_path}/v")
     assert paged.count() == 3
     assert [[b[2] for b in paged.blocks(n)] for n in (1, 2, 3)] == [["one", "two"], [""], ["three"]]
+
+
+def test_ranges_do_not_grow_in_number(monkeypatch):
+    monkeypatch.setattr(page_source, "TASKS", 10)
+    reader = page_source.PageReader(StructType([]), {"opener": OPENER, "files": json.dumps([["a", 1000, None], ["b", 7, None], ["c", 0, "broken"]]), "range": "5"})
+    got = reader.partitions()
+    assert len(got) <= 10 + 3
+    assert [n for p in got if p.path == "a" for n in range(p.first, p.last + 1)] == list(range(1, 1001))
+    assert [(p.first, p.last, p.error) for p in got if p.path != "a"] == [(1, 7, None), (0, 0, "broken")]
+
+
+def test_volumes_are_of_a_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(documents, "VOLUME_PAGES", 20)
+    seen = []
+    monkeypatch.setattr(page_source, "count_pages", lambda *args: seen.append(count_pages(*args)) or seen[0])
+    same_rows(documents.page_scan(spark, SMALL), documents.ORACLES["page_scan"], SMALL)
+    assert seen[0].agg(F.max("n_pages")).first()[0] <= 20
