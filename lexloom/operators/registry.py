@@ -60,35 +60,41 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, pd.Data
             yield (None if pd.isna(key) else key), rows
 
 
-def registry_outcomes(log: DataFrame) -> DataFrame:
-    """What each operation did: inserted, reset, duplicate, updated, rejected. In order of seq within each hash."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
-        for key, rows in _runs(batches):
+def _outcome_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A frame for each batch: one for each hash would cost more than the fold."""
+    last, state = object(), None
+    for batch in batches:
+        done = []
+        for key, rows in _runs(iter([batch])):
             out, state = _fold(rows, state if key == last else None)
             last = key
-            yield pd.DataFrame([(*x, key) for x in out], columns=["seq", "op", "outcome", "document_hash"])
+            done += [(*x, key) for x in out]
+        yield pd.DataFrame(done, columns=["seq", "op", "outcome", "document_hash"])
 
-    return _in_order(log).mapInPandas(run, "seq long, op string, outcome string, document_hash string")
 
+def registry_outcomes(log: DataFrame) -> DataFrame:
+    """What each operation did: inserted, reset, duplicate, updated, rejected. In order of seq within each hash."""
+    return _in_order(log).mapInPandas(_outcome_frames, "seq long, op string, outcome string, document_hash string")
 
-def registry_state(log: DataFrame) -> DataFrame:
-    """Latest state of each hash by the rules above."""
 
+def _state_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in STATE.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
-        for key, rows in _runs(batches):
+    last, state = object(), None
+    for batch in batches:
+        done = []
+        for key, rows in _runs(iter([batch])):
             if key != last and state:
-                yield pd.DataFrame([state], columns=names)
+                done.append(state)
             _, state = _fold(rows, state if key == last else None)
             last = key
-        if state:
-            yield pd.DataFrame([state], columns=names)
+        yield pd.DataFrame(done, columns=names, dtype=object)
+    if state:
+        yield pd.DataFrame([state], columns=names, dtype=object)
 
-    return _in_order(log).mapInPandas(run, STATE)
+
+def registry_state(log: DataFrame) -> DataFrame:
+    """Latest state of each hash by the rules above."""
+    return _in_order(log).mapInPandas(_state_frames, STATE)
 
 
 def latest_state(log: DataFrame) -> DataFrame:

@@ -234,3 +234,15 @@ def test_best_points_against_sorting_all():
     assert [(q, i, s) for q, i, s in best.rows().itertuples(index=False)] == want
     # what is below the floor is let go at once
     assert best.held < len(seen) / 2
+
+
+def test_registry_gives_a_frame_for_a_batch_not_for_a_hash():
+    names = ["seq", "op", *(c.split()[0] for c in registry.STATE.split(", "))]
+    rows = [(s, "update" if s % 2 else "reserve", f"h{h:03d}", "d", "f.pdf", "i", "completed" if s % 2 else None, 3 if s % 2 else None, None) for h in range(40) for s in range(4)]
+    frame = pd.DataFrame(rows, columns=names)
+    batches = [frame[a : a + 50] for a in range(0, len(frame), 50)]
+    outcomes, states = list(registry._outcome_frames(iter(batches))), list(registry._state_frames(iter(batches)))
+    assert len(outcomes) == len(batches) and len(states) == len(batches) + 1
+    assert pd.concat(outcomes)["outcome"].tolist() == ["inserted", "updated", "duplicate", "updated"] * 40
+    got = pd.concat(states)
+    assert got["document_hash"].tolist() == [f"h{h:03d}" for h in range(40)] and set(got["status"]) == {"completed"} and set(got["indexed_chunks"]) == {3}
