@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lexloom.sources.tables import new_folder, stored
 
-TOKEN_GAP = "[^a-z]+"
+WORDS = re.compile("[a-z]+")
 
 
 def dense_ok(vector: Column) -> Column:
@@ -101,8 +103,8 @@ class _Best:
         return rows[rows.groupby("q").cumcount() < self.limit]
 
 
-def _by_pass(queries: DataFrame, weight: Column, score: Callable[[list], tuple[DataFrame, Broadcast]], kinds: str, limit: int) -> DataFrame:
-    """score(rows of queries) gives the scored points and the broadcast they rest on; here for all queries, ranked.
+def _by_pass(queries: DataFrame, weight: Column, score: Callable[[pa.Table], tuple[DataFrame, Broadcast]], kinds: str, limit: int) -> DataFrame:
+    """score(table of queries) gives the scored points and the broadcast they rest on; here for all queries, ranked.
 
     Queries whose weights come to more than PASS_BYTES are dealt into passes, one after the other: each is gathered, sent
     out, its best points written, and let go before the next, so the driver and the tasks hold one pass whatever their number.
@@ -113,11 +115,11 @@ def _by_pass(queries: DataFrame, weight: Column, score: Callable[[list], tuple[D
     if parts == 0:
         return ranked(spark.createDataFrame([], kinds), limit)
     if parts == 1:
-        return ranked(score(queries.collect())[0], limit)
+        return ranked(score(queries.toArrow())[0], limit)
     queries, folder = stored(queries, "queries"), new_folder(spark, "hits")
     for p in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).collect()
-        if rows:
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow()
+        if rows.num_rows:
             scored, shared = score(rows)
             ranked(scored, limit).write.parquet(f"{folder}/pass={p}")
             shared.destroy()
@@ -143,8 +145,8 @@ def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits:
 
     digits = DIGITS if digits is None else digits
 
-    def scored(got: list) -> tuple[DataFrame, Broadcast]:
-        shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in got], matrix([r[1] for r in got])))
+    def scored(got: pa.Table) -> tuple[DataFrame, Broadcast]:
+        shared = points.sparkSession.sparkContext.broadcast((got.column(0).to_pylist(), matrix(got.column(1).to_pylist())))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (names, asked), best = shared.value, _Best(limit)
@@ -163,16 +165,15 @@ def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits:
 
 def term_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, terms, tfs): the lower-cased ASCII words of each text and how often it has them; in place, without a shuffle."""
-    words = F.array_remove(F.split(F.lower(text_col), TOKEN_GAP), "")
     kind = f"id {texts.schema[id_col].dataType.simpleString()}, terms array<string>, tfs array<double>"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(x) for x in batch.column(1).to_pylist()]
+            found = [Counter(WORDS.findall(x or "")) for x in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([[float(n) for n in c.values()] for c in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "tfs"])
 
-    return texts.select(F.col(id_col).alias("id"), F.coalesce(words, F.array().cast("array<string>")).alias("words")).mapInArrow(count, kind)
+    return texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).mapInArrow(count, kind)
 
 
 def tokens(vectors: DataFrame) -> DataFrame:
@@ -185,48 +186,93 @@ def idf(n: Column, docs: Column) -> Column:
     return F.log(1 + (docs - n + 0.5) / (n + 0.5))
 
 
+#: Points that are scored first, those of the largest weights: what they reach lets most of the others be left out unscored.
+FIRST_POINTS = 4_000
+#: Bytes of a query's weight in the broadcast.
+_WEIGHT_BYTES = 24
+#: Points that are scored at once.
+_POINT_BLOCK = 250
+
+
 def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int = 20, digits: int | None = DIGITS) -> DataFrame:
     """(query_id, id, score, rank) by the sum of query weight, point weight and IDF over common terms; both sides (id or query_id, terms, tfs).
 
     The queries' weights go to the tasks, at most PASS_BYTES at a time, and each task scores its points in place: no term
-    gathers the points that have it. Terms that many of the queries have are a matrix, the others lists.
+    gathers the points that have it. Terms that many of the queries have are a matrix, the others lists. The points of the
+    largest weights come first. A score is at most the product of both norms (Cauchy and Schwarz), so a point whose bound is
+    below the last score that a query has already is not among its best and is not scored for it.
     """
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
     asked = queries.select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("query_id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("qtf"))
     seen = tokens(vectors).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    weighted = asked.join(seen, "term").select("query_id", "term", (F.col("qtf") * idf(F.col("n"), F.lit(n_docs))).alias("w"))
-    per_query = stored(weighted.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("weights")), "weights")
+    weighted = asked.join(seen, "term").select("query_id", "term", (F.col("qtf") * (own := idf(F.col("n"), F.lit(n_docs)))).alias("w"), own.alias("idf"))
+    per_query = stored(weighted.groupBy("query_id").agg(*(F.collect_list(c).alias(c) for c in ("term", "w", "idf"))), "weights")
     digits = DIGITS if digits is None else digits
     shape = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("id", to_arrow_type(vectors.schema["id"].dataType)), ("score", pa.float64())])
-
-    def scored(got: list) -> tuple[DataFrame, Broadcast]:
-        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in got], *_weights([r[1] for r in got])))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (names, places, common, starts, of, weight), best = shared.value, _Best(limit)
-            # where no weight is negative a common term shows in the sum
-            n, plain = len(names), not ((common < 0).any() or (weight < 0).any())
+    first = _largest(vectors, FIRST_POINTS) if limit > 0 and n_docs > 4 * FIRST_POINTS else None
+
+    def scored(got: pa.Table) -> tuple[DataFrame, Broadcast]:
+        context, names, terms = vectors.sparkSession.sparkContext, got.column(0).to_pylist(), _Terms(got)
+        reach = np.full(len(names), -np.inf)
+        if first is not None:
+            shared = context.broadcast((names, terms, None))
+            last = ranked(score(first, shared), limit).where(F.col("rank") == limit).select("query_id", "score").toArrow()
+            shared.destroy()
+            place = {q: i for i, q in enumerate(names)}
+            # half a unit of the last digit, and what sums in another order may differ by
+            low = last.column(1).to_numpy() - 10.0**-digits
+            reach[[place[q] for q in last.column(0).to_pylist()]] = low - 1e-9 * np.abs(low)
+            reach = np.where(reach > 0, np.divide(reach, terms.norms, out=np.full(len(names), np.inf), where=terms.norms > 0), -np.inf)
+            order = np.argsort(reach, kind="stable")
+            names, terms, reach = [names[i] for i in order], terms.ordered(order), reach[order]
+        shared = context.broadcast((names, terms, reach))
+        return score(vectors, shared), shared
+
+    def score(points: DataFrame, shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (names, terms, reach), best = shared.value, _Best(limit)
+            common, plain = terms.common, terms.plain
             for batch in batches:
-                for a in range(0, len(batch), 1000):
-                    part = batch.slice(a, 1000)
-                    at, place, tf = _placed(part.column(1), part.column(2), places)
-                    total, there = np.zeros((len(part), n)), None if plain else np.zeros((len(part), n), bool)
-                    rare = place >= len(common)
-                    for spot, value in _spread(at[rare], place[rare] - len(common), tf[rare], starts, of, weight, n):
-                        np.add.at(total.reshape(-1), spot, value)
+                at, place, tf = _placed(batch.column(1), batch.column(2), terms.places)
+                norms = np.sqrt(np.bincount(at, (tf * terms.scale[place]) ** 2, len(batch)))
+                # from the largest norm down, each block with the queries that its first point may reach
+                order = np.argsort(-norms, kind="stable")
+                new = np.argsort(order, kind="stable")[at]
+                spots = np.argsort(new, kind="stable")
+                at, place, tf = new[spots], place[spots], tf[spots]
+                ids, norms = batch.column(0).to_pandas().iloc[order], norms[order]
+                for a in range(0, len(batch), _POINT_BLOCK):
+                    n = len(names) if reach is None else int(np.searchsorted(reach, norms[a], "right"))
+                    if not n:
+                        break
+                    b = min(a + _POINT_BLOCK, len(batch))
+                    i, j = np.searchsorted(at, [a, b])
+                    row, own, value = at[i:j] - a, place[i:j], tf[i:j]
+                    total, there = np.zeros((b - a, n)), None if plain else np.zeros((b - a, n), bool)
+                    rare = own >= len(common)
+                    for spot, product in _spread(row[rare], own[rare] - len(common), value[rare], terms.starts, terms.of, terms.weight, n, terms.ends(n)):
+                        np.add.at(total.reshape(-1), spot, product)
                         if not plain:
                             there.reshape(-1)[spot] = True
-                    held = np.zeros((len(part), len(common)))
-                    held[at[~rare], place[~rare]] = tf[~rare]
-                    total += held @ common
-                    there = total > 0 if plain else there | (held @ (common != 0) > 0)
-                    best.add(0, part.column(0).to_pandas(), _rounded(total, digits), there)
+                    held = np.zeros((b - a, len(common)))
+                    held[row[~rare], own[~rare]] = value[~rare]
+                    total += held @ common[:, :n]
+                    # where no weight is negative a common term shows in the sum
+                    there = total > 0 if plain else there | (held @ (common[:, :n] != 0) > 0)
+                    best.add(0, ids.iloc[a:b], _rounded(total, digits), there)
             rows = best.rows()
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]}), schema=shape, preserve_index=False)
 
-        return vectors.mapInArrow(score, kinds), shared
+        return points.mapInArrow(run, kinds)
 
-    return _by_pass(per_query, F.lit(100) * F.size("weights") + 1, scored, kinds, limit)
+    return _by_pass(per_query, F.lit(_WEIGHT_BYTES) * F.size("w") + 1, scored, kinds, limit)
+
+
+def _largest(vectors: DataFrame, n: int) -> DataFrame:
+    """The n vectors of the largest norms, those of equal norms by the hash of their ids."""
+    size = F.struct(F.aggregate("tfs", F.lit(0.0), lambda s, x: s + x * x).alias("a"), F.xxhash64("id").alias("b"))
+    least = vectors.select(size.alias("s")).orderBy(F.desc("s")).limit(n).agg(F.min("s").alias("s")).first()["s"]
+    return stored(vectors.where(size >= F.struct(F.lit(least["a"]).alias("a"), F.lit(least["b"]).alias("b"))), "first")
 
 
 def _placed(terms: pa.Array, tfs: pa.Array, places: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,30 +289,54 @@ def _placed(terms: pa.Array, tfs: pa.Array, places: dict) -> tuple[np.ndarray, n
 _PRODUCTS = 2_000_000
 
 
-def _spread(at: np.ndarray, place: np.ndarray, tf: np.ndarray, starts: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row * n + query, product) of listed terms with the queries that have them, in order of the terms."""
-    sizes = starts[place + 1] - starts[place]
-    ends = np.cumsum(sizes)
-    inner = np.searchsorted(ends, np.arange(_PRODUCTS, ends[-1], _PRODUCTS)) if len(ends) else []
-    cuts = np.unique([0, *inner, len(ends)])
+class _Terms:
+    """The terms of a pass of queries (query_id, term, w, idf): those of over a sixteenth of the queries a matrix, then lists of (query, weight) of the others."""
+
+    def __init__(self, got: pa.Table) -> None:
+        term, w, idf = (got.column(c).combine_chunks() for c in ("term", "w", "idf"))
+        self.n = len(got)
+        query = np.repeat(np.arange(self.n), pc.list_value_length(term).to_numpy())
+        found = pc.dictionary_encode(term.flatten())
+        found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+        number, w, idf = found.indices.to_numpy().astype(np.int64), w.flatten().to_numpy(), idf.flatten().to_numpy()
+        times = np.bincount(number, minlength=len(found.dictionary))
+        new = np.argsort(np.argsort(times * 16 <= self.n, kind="stable"), kind="stable")
+        n_common = int((times * 16 > self.n).sum())
+        self.places = dict(zip(found.dictionary.to_pylist(), new.tolist(), strict=True))
+        place, scale = new[number], np.zeros(len(times))
+        scale[place] = np.sqrt(np.abs(idf))
+        self.scale, self.plain = scale, not (w < 0).any()
+        self.norms = np.sqrt(np.bincount(query, np.divide(w, scale[place], out=np.zeros_like(w), where=w != 0) ** 2, self.n))
+        self.common = np.zeros((n_common, self.n))
+        often = place < n_common
+        self.common[place[often], query[often]] = w[often]
+        self._lists(place[~often] - n_common, query[~often], w[~often], len(times) - n_common)
+
+    def _lists(self, place: np.ndarray, query: np.ndarray, w: np.ndarray, n_terms: int) -> None:
+        key = place * self.n + query
+        order = np.argsort(key, kind="stable")
+        self.key, self.of, self.weight = key[order], query[order], w[order]
+        self.starts = np.searchsorted(self.key, np.arange(n_terms + 1) * self.n)
+
+    def ordered(self, order: np.ndarray) -> _Terms:
+        """The same with the queries in another order."""
+        out = copy(self)
+        out.common, out.norms = np.ascontiguousarray(self.common[:, order]), self.norms[order]
+        out._lists(self.key // self.n, np.argsort(order, kind="stable")[self.of], self.weight, len(self.starts) - 1)
+        return out
+
+    def ends(self, n: int) -> np.ndarray:
+        """Where each list ends for the first n queries."""
+        return self.starts[1:] if n == self.n else np.searchsorted(self.key, np.arange(len(self.starts) - 1) * self.n + n)
+
+
+def _spread(at: np.ndarray, place: np.ndarray, tf: np.ndarray, starts: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, ends: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row * n + query, product) of listed terms with the queries that have them, in order of the terms; lists end at the next, or before it at `ends`."""
+    sizes = (starts[1:] if ends is None else ends)[place] - starts[place]
+    last = np.cumsum(sizes)
+    inner = np.searchsorted(last, np.arange(_PRODUCTS, last[-1], _PRODUCTS)) if len(last) else []
+    cuts = np.unique([0, *inner, len(last)])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         size = sizes[a:b]
         own = np.arange(size.sum()) + np.repeat(starts[place[a:b]] - np.cumsum(size) + size, size)
         yield np.repeat(at[a:b] * n, size) + of[own], np.repeat(tf[a:b], size) * weight[own]
-
-
-def _weights(per_query: list) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of each term (those of over a sixteenth of the queries first), their matrix, and lists of (query, weight) of the others."""
-    by_term: dict[str, list[tuple[int, float]]] = {}
-    for q, weights in enumerate(per_query):
-        for term, w in weights:
-            by_term.setdefault(term, []).append((q, w))
-    often = [t for t, own in by_term.items() if len(own) * 16 > len(per_query)]
-    rare = [t for t, own in by_term.items() if len(own) * 16 <= len(per_query)]
-    common = np.zeros((len(often), len(per_query)))
-    for i, t in enumerate(often):
-        for q, w in by_term[t]:
-            common[i, q] = w
-    starts = np.concatenate(([0], np.cumsum([len(by_term[t]) for t in rare]))).astype(np.int64)
-    flat = [x for t in rare for x in by_term[t]]
-    return {t: i for i, t in enumerate([*often, *rare])}, common, starts, np.array([q for q, _ in flat], np.int64), np.array([w for _, w in flat])

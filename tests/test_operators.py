@@ -246,3 +246,23 @@ def test_registry_gives_a_frame_for_a_batch_not_for_a_hash():
     assert pd.concat(outcomes)["outcome"].tolist() == ["inserted", "updated", "duplicate", "updated"] * 40
     got = pd.concat(states)
     assert got["document_hash"].tolist() == [f"h{h:03d}" for h in range(40)] and set(got["status"]) == {"completed"} and set(got["indexed_chunks"]) == {3}
+
+
+@pytest.mark.parametrize("signs", [1, -1])
+def test_points_out_of_reach_are_not_scored_and_the_best_stay(spark, monkeypatch, signs):
+    """Every fortieth point is large; the last queries share no word with those and find theirs among the small ones."""
+    r, rows = random.Random(3), []
+    for i in range(2000):
+        words = r.sample([f"w{k}" if i % 50 else f"v{k}" for k in range(40)], 6)
+        rows.append((i, words, [float(r.randint(1, 3) * (30 if i % 40 == 1 else 1) * (signs if k == 0 else 1)) for k in range(6)]))
+    terms = spark.createDataFrame(rows, "id long, terms array<string>, tfs array<double>").repartition(3)
+    asked = terms.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    held = vectors._Best.add
+    monkeypatch.setattr(vectors, "FIRST_POINTS", 10_000)
+    whole = sorted(map(tuple, vectors.sparse_top_k(terms, asked, 2000, 5, digits=6).collect()))
+    monkeypatch.setattr(vectors, "FIRST_POINTS", 50)
+    monkeypatch.setattr(vectors, "_POINT_BLOCK", 25)
+    counted = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(vectors, "_Best", type("Counted", (vectors._Best,), {"add": lambda self, first, ids, scores, there=None: (counted.add(scores.size), held(self, first, ids, scores, there))[1]}))
+    assert sorted(map(tuple, vectors.sparse_top_k(terms, asked, 2000, 5, digits=6).collect())) == whole and len(whole) == 500
+    assert 0 < counted.value < 0.75 * 2000 * 100
