@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 __all__ = [
-    "HEADINGS", "IGNORED_HEADERS", "dropped_by_cleaning", "SPLIT_LINES", "collapsed", "heading", "is_noise", "is_page_marker", "is_structural", "line_key",
-    "normalize_ascii", "normalize_lines", "normalize_query", "normalize_questions", "question_ok", "rewrite_query", "stripped", "suspicious_text", "text_length",
+    "HEADINGS", "IGNORED_HEADERS", "casefold", "dropped_by_cleaning", "SPLIT_LINES", "collapsed", "heading", "is_noise", "is_page_marker", "is_structural", "line_key",
+    "normalize_ascii", "normalize_lines", "normalize_query", "normalize_questions", "question_ok", "rewrite_query", "split_lines", "stripped", "suspicious_text", "text_length",
 ]
 
 # Patterns and word lists of the documents' language.
@@ -31,6 +31,12 @@ QUESTION_WITHOUT_REFERENCE = " menurut peraturan ketenagakerjaan Indonesia"
 SPLIT_LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def split_lines(x: Column) -> Column:
+    """The lines of a text, also an empty one after the last line end. Most texts have no other line end than \\n."""
+    other = x.rlike("[\r\x0b\x0c\x1c\x1d\x1e\x85]") | F.contains(x, F.lit("\u2028")) | F.contains(x, F.lit("\u2029"))
+    return F.when(other, F.split(x, SPLIT_LINES, -1)).otherwise(F.split(x, "\n", -1))
+
+
 def stripped(x: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -47,8 +53,12 @@ def text_length(x: Column) -> Column:
 
 
 def normalize_ascii(x: Column) -> Column:
-    """Line normalisation where it needs no Unicode tables: control signs go (a TAB too), white space collapses."""
-    return collapsed(F.regexp_replace(x, r"[\x00-\x1F\x7F]", ""))
+    """Line normalisation where it needs no Unicode tables: control signs go (a TAB too), white space collapses.
+
+    Most lines have neither control signs nor two blanks together, and finding that out is cheaper than replacing.
+    """
+    bare = F.when(x.rlike(r"[\x00-\x1F\x7F]"), F.regexp_replace(x, r"[\x00-\x1F\x7F]", "")).otherwise(x)
+    return F.trim(F.when(F.contains(bare, F.lit("  ")), F.regexp_replace(bare, " +", " ")).otherwise(bare))
 
 
 def _nfkc(line: str) -> str:
@@ -64,12 +74,11 @@ def _normalize_any(lines: pd.Series) -> pd.Series:
 def normalize_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """NFKC, no soft hyphens, no control signs, collapsed white space.
 
-    Spark has no NFKC, so a vectorised UDF does it; rows of plain ASCII keep to built-in functions. Rows are split
-    first because a UDF inside `when` would run on every row.
+    Spark has no NFKC, so a vectorised UDF does it; it gets null for rows of plain ASCII, which keep to built-in functions.
     """
-    plain = ~F.col(column).rlike(r"[^\x00-\x7F]")
-    ascii_rows = lines.where(plain | F.col(column).isNull()).withColumn(column, normalize_ascii(F.col(column)))
-    return ascii_rows.unionByName(lines.where(~plain).withColumn(column, _normalize_any(F.col(column))))
+    other = F.when(F.col(column).rlike(r"[^\x00-\x7F]"), F.col(column))
+    rows = lines.withColumn("__other", other).withColumn("__new", _normalize_any(F.col("__other")))
+    return rows.withColumn(column, F.when(F.col("__other").isNotNull(), F.col("__new")).otherwise(normalize_ascii(F.col(column)))).drop("__other", "__new")
 
 
 @F.pandas_udf(StringType())
@@ -94,11 +103,12 @@ _MORE = {a: b for a, b in FOLDED.items() if len(b) > 1 and a != "ß"}
 
 def casefold(x: Column) -> Column:
     """Full case folding: lower case, then the letters that have a folded form of their own, which few lines hold."""
-    low = F.replace(F.translate(F.lower(x), "".join(_ONE), "".join(_ONE.values())), F.lit("ß"), F.lit("ss"))
+    low = F.lower(x)
+    one = F.replace(F.translate(low, "".join(_ONE), "".join(_ONE.values())), F.lit("ß"), F.lit("ss"))
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _MORE.items()))
-    fold = F.aggregate(pairs, low, lambda text, p: F.replace(text, p["a"], p["b"]))
+    fold = F.aggregate(pairs, one, lambda text, p: F.replace(text, p["a"], p["b"]))
     # the class of a hundred letters is slow to test: only lines with letters beyond Latin-1 come to it
-    return F.when(low.rlike(r"[^\x00-\xFF]") & low.rlike("[" + "".join(_MORE) + "]"), fold).otherwise(low)
+    return F.when(~x.rlike(r"[^\x00-\x7F]"), low).when(one.rlike(r"[^\x00-\xFF]") & one.rlike("[" + "".join(_MORE) + "]"), fold).otherwise(one)
 
 
 def line_key(x: Column) -> Column:
@@ -112,7 +122,12 @@ def is_page_marker(x: Column) -> Column:
 
 def is_structural(x: Column) -> Column:
     """Lines that may be legal headings, which are never margins."""
-    return x.rlike(r"(?i)^(BAB|Bagian|Paragraf|Pasal)\s+") | x.rlike(r"^\(\d+\)") | (F.upper(x) == "PENJELASAN")
+    return x.rlike(r"(?i)^(BAB|Bagian|Paragraf|Pasal)\s+") | x.rlike(r"^\(\d+\)") | _is_end(x)
+
+
+def _is_end(x: Column) -> Column:
+    """PENJELASAN in any case; only a short line is upper-cased."""
+    return (F.octet_length(x) <= 30) & (F.upper(x) == "PENJELASAN")
 
 
 def is_noise(x: Column) -> Column:
@@ -121,13 +136,18 @@ def is_noise(x: Column) -> Column:
 
 
 def dropped_by_cleaning(x: Column) -> Column:
-    """Noise, national headers, `- n -` and decree numbers."""
-    return is_noise(x) | F.upper(x).isin(*IGNORED_HEADERS) | x.rlike(r"^-\s*\d+\s*-\s*$") | x.rlike(r"(?i)^SK\s+No\.?\s*")
+    """Noise, national headers, `- n -` and decree numbers. Most lines begin with nothing that these begin with."""
+    may = (x == "") | x.rlike(r"^(?:[-–—\d|¦~_=*•·….,;:\s]|[Hh][Aa]|[Pp][AaRr]|[Rr][Ee]|[Ss][Kk])")
+    return F.when(may | x.isNull(), _dropped(x)).otherwise(F.lit(False))
+
+
+def _dropped(x: Column) -> Column:
+    return is_noise(x) | ((F.octet_length(x) <= 60) & F.upper(x).isin(*IGNORED_HEADERS)) | x.rlike(r"^-\s*\d+\s*-\s*$") | x.rlike(r"(?i)^SK\s+No\.?\s*")
 
 
 def heading(x: Column) -> Column:
     """Kind of heading of a line: PENJELASAN, BAB, BAGIAN, PARAGRAF, PASAL, AYAT, or null."""
-    kind = F.when(F.upper(x) == "PENJELASAN", "PENJELASAN")
+    kind = F.when(_is_end(x), "PENJELASAN")
     for name, pattern in HEADINGS.items():
         kind = kind.when(x.rlike(pattern), name)
     return kind

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lexloom.functions import HEADINGS, SPLIT_LINES, chunk_id, document_id, dropped_by_cleaning, heading, is_structural, line_key, normalize_lines
+from lexloom.functions import HEADINGS, casefold, chunk_id, document_id, dropped_by_cleaning, heading, is_structural, line_key, normalize_lines, split_lines
 from lexloom.sources.tables import stored
 
 MARGIN_LINES = 5
+MARGIN_CHARS = 120
 MAX_CHARS = 1000
 
 
@@ -24,7 +25,7 @@ def _so_far() -> WindowSpec:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, text) to normalised lines; the empty part after a final line end is none."""
-    lines = pages.select("doc_id", "page_number", F.posexplode(F.split(F.col("text"), SPLIT_LINES, -1)).alias("line_no", "line"))
+    lines = pages.select("doc_id", "page_number", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
     # one shuffle: all windows and groups below are by document, or by document and page
     return normalize_lines(lines).repartition("doc_id")
 
@@ -32,9 +33,12 @@ def page_lines(pages: DataFrame) -> DataFrame:
 def join_split_articles(lines: DataFrame) -> DataFrame:
     """A line `Pasal` and a following identifier become one line."""
     number = lambda x: F.coalesce(x.rlike(r"^\d+[A-Za-z]?$"), F.lit(False))
-    after, before = F.lead("line").over(_page()), F.lag("line").over(_page())
-    own = lines.withColumn("__joins", (F.lower("line") == "pasal") & number(after)).withColumn("__joined", F.coalesce(F.lower(before) == "pasal", F.lit(False)) & number(F.col("line"))).withColumn("__after", after)
-    return own.where(~F.col("__joined")).select("doc_id", "page_number", "line_no", F.when(F.col("__joins"), F.concat(F.lit("Pasal "), F.col("__after"))).otherwise(F.col("line")).alias("line"))
+    # only a short line is lower-cased
+    article = lambda x: F.coalesce((F.octet_length(x) <= 15) & (F.lower(x) == "pasal"), F.lit(False))
+    own = lines.withColumn("__after", F.lead("line").over(_page())).withColumn("__before", F.lag("line").over(_page()))
+    own = own.where(~(article(F.col("__before")) & number(F.col("line"))))
+    joined = F.when(article(F.col("line")) & number(F.col("__after")), F.concat(F.lit("Pasal "), F.col("__after"))).otherwise(F.col("line"))
+    return own.withColumn("line", joined).drop("__after", "__before")
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
@@ -44,13 +48,19 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 
 def margin_lines(lines: DataFrame) -> DataFrame:
     """Adds in_margin: within the first or last MARGIN_LINES lines of the page."""
-    back = Window.partitionBy("doc_id", "page_number").orderBy(F.desc("line_no"))
-    return lines.withColumn("in_margin", (F.row_number().over(_page()) <= MARGIN_LINES) | (F.row_number().over(back) <= MARGIN_LINES))
+    number, total = F.row_number().over(_page()), F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_number"))
+    rows = lines.withColumn("__number", number).withColumn("__total", total)
+    return rows.withColumn("in_margin", (F.col("__number") <= MARGIN_LINES) | (F.col("__number") > F.col("__total") - MARGIN_LINES)).drop("__number", "__total")
+
+
+def _may_repeat() -> Column:
+    """Margin lines that are removed where they occur on two or more pages."""
+    return F.col("in_margin") & F.length("line").between(3, MARGIN_CHARS) & ~is_structural(F.col("line"))
 
 
 def repeated_margins(lines: DataFrame, key: Callable[[Column], Column] = line_key) -> DataFrame:
     """(doc_id, key, n_pages) of margin lines that occur in the margins of two or more pages; `key` says which lines are one."""
-    own = margin_lines(lines).where("in_margin").where(F.length("line").between(3, 120) & ~is_structural(F.col("line")))
+    own = margin_lines(lines).where(_may_repeat())
     return own.groupBy("doc_id", key(F.col("line")).alias("key")).agg(F.count_distinct("page_number").alias("n_pages")).where("n_pages >= 2")
 
 
@@ -62,8 +72,9 @@ def remove_margins(lines: DataFrame, keys: DataFrame) -> DataFrame:
 
 def join_hyphens(lines: DataFrame) -> DataFrame:
     """Undoes word breaks at line ends; chains of them too, never across pages."""
-    glued = F.coalesce(F.lag("line").over(_page()).rlike("[A-Za-zÀ-ÿ]-$") & F.col("line").rlike("^[a-zà-ÿ]"), F.lit(False))
-    runs = lines.withColumn("__glued", glued).withColumn("__run", F.sum(F.when(F.col("__glued"), 0).otherwise(1)).over(_page().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.col("__before")
+    glued = F.coalesce(before.endswith("-") & before.rlike("[A-Za-zÀ-ÿ]-$") & F.col("line").rlike("^[a-zà-ÿ]"), F.lit(False))
+    runs = lines.withColumn("__before", F.lag("line").over(_page())).withColumn("__glued", glued).drop("__before").withColumn("__run", F.sum(F.when(F.col("__glued"), 0).otherwise(1)).over(_page().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     out = runs.groupBy("doc_id", "page_number", "__run").agg(parts.alias("p"))
     text = F.array_join(F.transform("p", lambda x, i: F.when(i < F.size("p") - 1, F.substring(x["line"], F.lit(1), F.length(x["line"]) - 1)).otherwise(x["line"])), "")
@@ -71,9 +82,18 @@ def join_hyphens(lines: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """Cleaned lines of whole documents: noise, then repeated margins, then hyphens."""
-    basic = stored(clean_lines(page_lines(pages)), "lines").repartition("doc_id")
-    return join_hyphens(remove_margins(clean_lines(basic), repeated_margins(basic)))
+    """Cleaned lines of whole documents: noise, then repeated margins, then hyphens.
+
+    Each line learns, beside those of its document with its key, whether the key is repeated; so nothing is joined and lines
+    move once. A key is no shorter than its line, and that of a margin line three times as long at most.
+    """
+    basic = margin_lines(clean_lines(page_lines(pages)))
+    same, at = Window.partitionBy("doc_id", "__key"), F.col("__at")
+    rows = basic.withColumn("__key", F.when(F.length("line") <= 3 * MARGIN_CHARS, casefold(F.col("line")))).withColumn("__at", F.when(_may_repeat(), F.col("page_number")))
+    rows = rows.withColumn("__hit", F.coalesce(F.max(at).over(same) > F.min(at).over(same), F.lit(False))).drop("__key", "__at", "in_margin")
+    # a heading that is joined only now has the key of none: what has it is a heading too
+    rows = margin_lines(clean_lines(rows)).where(~(F.col("in_margin") & F.col("__hit") & ~is_structural(F.col("line"))))
+    return join_hyphens(rows.select("doc_id", "page_number", "line_no", "line"))
 
 
 def again(cleaned: DataFrame) -> DataFrame:
@@ -128,8 +148,8 @@ def sections(classified: DataFrame) -> DataFrame:
     return out.select("doc_id", "section", "bab_no", "bab", "pasal", "ayat", F.transform("y", lambda s: s["w"]).alias("words"), F.transform("y", lambda s: s["p"]).alias("pages")).where(F.size("words") > 0)
 
 
-def pack_sections(found: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Greedy packing of a section's words into chunks of at most max_chars; a longer word stands alone.
+def _begins(found: DataFrame, max_chars: int) -> DataFrame:
+    """Adds at: the words of a section with which its chunks begin.
 
     The fold keeps the length of the open chunk and where chunks begin, so it grows with the chunks and not the words.
     """
@@ -140,10 +160,18 @@ def pack_sections(found: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
         fits = (acc["n"] == 0) | (acc["n"] + 1 + n <= max_chars)
         return F.struct(F.when(fits, F.when(acc["n"] == 0, n).otherwise(acc["n"] + 1 + n)).otherwise(n).alias("n"), F.when(fits, acc["at"]).otherwise(F.concat(acc["at"], F.array(i))).alias("at"), i.alias("i"))
 
-    rows = found.withColumn("at", F.aggregate("words", start, add, lambda acc: acc["at"]))
+    return found.withColumn("at", F.aggregate("words", start, add, lambda acc: acc["at"]))
+
+
+def _cut(rows: DataFrame, *more: str) -> DataFrame:
     rows = rows.select("*", F.posexplode("at").alias("k", "begin")).withColumn("size", F.coalesce(F.get("at", F.col("k") + 1), F.size("words") + 1) - F.col("begin"))
     pages = F.array_sort(F.array_distinct(F.slice("pages", F.col("begin"), F.col("size"))))
-    return rows.select("doc_id", "section", "bab_no", "bab", "pasal", "ayat", "k", F.size("at").alias("n_chunks"), F.array_join(F.slice("words", F.col("begin"), F.col("size")), " ").alias("text"), pages.alias("pages"))
+    return rows.select("doc_id", "section", "bab_no", "bab", "pasal", "ayat", "k", F.size("at").alias("n_chunks"), F.array_join(F.slice("words", F.col("begin"), F.col("size")), " ").alias("text"), pages.alias("pages"), *more)
+
+
+def pack_sections(found: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Greedy packing of a section's words into chunks of at most max_chars; a longer word stands alone."""
+    return _cut(_begins(found, max_chars))
 
 
 def chunk_documents(pages: DataFrame, max_chars: int = MAX_CHARS, *, lines: DataFrame | None = None, ordered: bool = False) -> DataFrame:
@@ -152,11 +180,13 @@ def chunk_documents(pages: DataFrame, max_chars: int = MAX_CHARS, *, lines: Data
     lines: the parser's lines of the pages, if they are there already.
     """
     classified = stored(classify(parser_lines(pages) if lines is None else lines), "classified")
-    packed = pack_sections(sections(classified), max_chars)
-    # part numbers go on where a (pasal, ayat) is opened again
-    before = packed.where("k = 0").select("doc_id", "section", F.sum("n_chunks").over(Window.partitionBy("doc_id", "pasal", "ayat").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     names = pages.groupBy("doc_id").agg(F.min("filename").alias("filename"))
-    out = packed.join(before, ["doc_id", "section"]).join(bab_titles(classified).drop("bab"), ["doc_id", "bab_no"], "left").join(names, "doc_id")
+    # by document from here on: sections, part numbers and names move no row again
+    found = _begins(sections(classified.where("content is not null and ctx = 'PASAL'").repartition("doc_id")), max_chars)
+    # part numbers go on where a (pasal, ayat) is opened again
+    before = F.sum(F.size("at")).over(Window.partitionBy("doc_id", "pasal", "ayat").orderBy("section").rowsBetween(Window.unboundedPreceding, -1))
+    packed = _cut(found.withColumn("before", before).join(names, "doc_id"), "before", "filename")
+    out = packed.join(bab_titles(classified).drop("bab"), ["doc_id", "bab_no"], "left")
     out = out.withColumn("part", (F.coalesce("before", F.lit(0)) + F.col("k") + 1).cast("int"))
     return out.select(
         "doc_id", "filename", "bab", "bab_title", "pasal", "ayat", "part", F.array_min("pages").alias("page_start"), F.array_max("pages").alias("page_end"), "pages", "text",

@@ -17,37 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, filename, page_number, text): documents cut into pages, with headings, headers, marks and word breaks put in by line."""
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("ln", "line"))
-    k, ln, line = F.col("k"), F.col("ln"), F.col("line")
-    text = lambda x: x.cast("string")
-    put = {
-        (0,): F.concat(F.lit("BAB "), F.element_at(F.array(*map(F.lit, ("I", "II", "III", "IV", "V"))), (ln % 5 + 1).cast("int"))),
-        (1,): F.concat(F.lit("KETENTUAN UMUM "), text(ln % 3)),
-        (2,): F.lit("Bagian Kesatu"),
-        (3, 4): F.concat(F.lit("Pasal "), text(1 + ln % 9), F.when(ln % 5 == 0, "a").otherwise("")),
-        (5,): F.lit("Pasal"),
-        (18,): F.lit("7a"),
-        (6, 7, 8): F.concat(F.lit("("), text(1 + ln % 4), F.lit(") "), line),
-        (9,): F.concat(F.lit("Lembaran Dokumen "), text(F.col("doc_id"))),
-        (10,): F.lit("- 3 -"),
-        (11,): F.concat(line, F.lit(" kete-")),
-        (24,): F.concat(F.lit("nagakerjaan "), line),
-        (12,): F.lit("SK No 12"),
-        (13,): F.lit("Presiden Republik Indonesia"),
-        (14,): F.when(F.col("doc_id") % 5 == 0, "PENJELASAN").otherwise(line),
-        (15,): F.lit(".. ,,"),
-        (16,): F.concat(F.lit("Paragraf "), text(1 + ln % 3)),
-        (19,): F.concat(F.lit("Pasal "), text(1 + ln % 9), F.lit(" "), line),
-        # ligature, full-width letters, no-break space, soft hyphen, replacement sign, zero-width space, a tab
-        (20,): F.concat(F.lit("\ufb01nal\u00a0\uff21\uff22 so\u00adft\ufffdx\u200b \ty "), text(ln % 3)),
-    }
-    new = line
-    for keys, value in put.items():
-        new = F.when(k.isin(*keys), value).otherwise(new)
-    rows = rows.withColumn("k", (F.col("doc_id") * 7 + ln * 13) % 40).withColumn("new", new).withColumn("page_number", (1 + F.floor(ln / LINES_PER_PAGE)).cast("int"))
-    pages = rows.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "new"))), lambda x: x["new"]), "\n").alias("text"))
-    return pages.select("doc_id", F.concat(F.lit("UU No. "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), "page_number", "text")
+    docs, text = table(spark, sf_dir, "documents"), lambda x: x.cast("string")
+
+    def new(line, ln):
+        k = (F.col("doc_id") * 7 + ln * 13) % 40
+        put = {
+            (0,): F.concat(F.lit("BAB "), F.element_at(F.array(*map(F.lit, ("I", "II", "III", "IV", "V"))), (ln % 5 + 1).cast("int"))),
+            (1,): F.concat(F.lit("KETENTUAN UMUM "), text(ln % 3)),
+            (2,): F.lit("Bagian Kesatu"),
+            (3, 4): F.concat(F.lit("Pasal "), text(1 + ln % 9), F.when(ln % 5 == 0, "a").otherwise("")),
+            (5,): F.lit("Pasal"),
+            (18,): F.lit("7a"),
+            (6, 7, 8): F.concat(F.lit("("), text(1 + ln % 4), F.lit(") "), line),
+            (9,): F.concat(F.lit("Lembaran Dokumen "), text(F.col("doc_id"))),
+            (10,): F.lit("- 3 -"),
+            (11,): F.concat(line, F.lit(" kete-")),
+            (24,): F.concat(F.lit("nagakerjaan "), line),
+            (12,): F.lit("SK No 12"),
+            (13,): F.lit("Presiden Republik Indonesia"),
+            (14,): F.when(F.col("doc_id") % 5 == 0, "PENJELASAN").otherwise(line),
+            (15,): F.lit(".. ,,"),
+            (16,): F.concat(F.lit("Paragraf "), text(1 + ln % 3)),
+            (19,): F.concat(F.lit("Pasal "), text(1 + ln % 9), F.lit(" "), line),
+            # ligature, full-width letters, no-break space, soft hyphen, replacement sign, zero-width space, a tab
+            (20,): F.concat(F.lit("\ufb01nal\u00a0\uff21\uff22 so\u00adft\ufffdx\u200b \ty "), text(ln % 3)),
+        }
+        out = line
+        for keys, value in put.items():
+            out = F.when(k.isin(*keys), value).otherwise(out)
+        return out
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), new)
+    # the lines are bound once, not made anew for each page
+    starts = lambda x: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / LINES_PER_PAGE).cast("int"))
+    cut = F.transform(F.array(lines), lambda x: F.transform(starts(x), lambda i: F.array_join(F.slice(x, i * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n")))
+    pages = docs.select("doc_id", F.posexplode(cut[0]).alias("i", "text"))
+    return pages.select("doc_id", F.concat(F.lit("UU No. "), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), (F.col("i") + 1).alias("page_number"), "text")
 
 
 LEGAL_SQL = r"""

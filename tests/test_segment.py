@@ -105,3 +105,20 @@ def test_margin_keys_with_a_sharp_s_equal_the_sql(spark, tmp_path):
     got = plans.QUERIES["margin_keys"](spark, str(tmp_path))
     assert any("ß" in r["key"] for r in got.collect())
     same_rows(got, plans.ORACLES["margin_keys"], str(tmp_path))
+
+
+def test_cleaning_moves_lines_once_and_equals_its_steps(spark, monkeypatch):
+    """Lines with odd ends, signs and headings that come together only when noise between them is gone."""
+    r, signs = random.Random(4), ["Pasal", "pasal", "7a", "12", "- 3 -", "..", "Lembaran Stra\u00dfe 1", "LEMBARAN STRASSE 1", "\ufb01nal  x", "kete-", "nagakerjaan", "PENJELASAN", "a\u2028b", "c\rd\r\ne", "", "  SK No 4", "Pasal 3", "(1) x", "g" * 130]
+    rows = [(d, f"UU {d}.pdf", p, "\n".join(r.choice(signs) if r.random() < 0.7 else f"baris {r.randint(0, 400)}" for _ in range(r.randint(0, 16)))) for d in range(40) for p in range(1, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, filename string, page_number int, text string")
+    basic = segment.clean_lines(segment.page_lines(df))
+    want = segment.join_hyphens(segment.remove_margins(segment.clean_lines(basic), segment.repeated_margins(basic)))
+    kept = segment.join_hyphens(segment.clean_lines(basic))
+    monkeypatch.setattr(segment, "stored", None)
+    got = segment.clean_pages(df)
+    order = lambda x: sorted(map(tuple, x.select("doc_id", "page_number", "line_no", "line").collect()))
+    assert order(got) == order(want)
+    assert len(order(got)) < len(order(kept))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
