@@ -42,31 +42,37 @@ class Config:
 def pages(texts: DataFrame, lines_per_page: int) -> DataFrame:
     """(document_hash, text) to (doc_id, filename, page_number, text), doc_id and filename the hash; pages of so many lines."""
     lines = F.split("text", "\n", -1)
-    starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / lines_per_page).cast("int"))
-    cut = F.transform(starts, lambda i: F.array_join(F.slice(lines, i * lines_per_page + 1, lines_per_page), "\n"))
-    out = texts.select("document_hash", F.posexplode(cut).alias("i", "text"))
+    starts = lambda x: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / lines_per_page).cast("int"))
+    # the lines are bound once, not split anew for each page
+    cut = F.transform(F.array(lines), lambda x: F.transform(starts(x), lambda i: F.array_join(F.slice(x, i * lines_per_page + 1, lines_per_page), "\n")))
+    out = texts.select("document_hash", F.posexplode(cut[0]).alias("i", "text"))
     return out.select(F.col("document_hash").alias("doc_id"), F.col("document_hash").alias("filename"), (F.col("i") + 1).alias("page_number"), "text")
 
 
 def page_chunks(lines: DataFrame, max_chars: int) -> DataFrame:
     """Chunks of documents without articles: the words of a page packed, never across pages."""
     words = lambda s: F.array_remove(F.split(s["line"], r"\s+"), "")
-    found = lines.groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    found = lines.groupBy("doc_id", "page_number").agg(F.first("language").alias("language"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     none = F.lit(None).cast("string")
-    found = found.select("doc_id", F.col("page_number").alias("section"), F.lit(0).alias("bab_no"), none.alias("bab"), none.alias("pasal"), none.alias("ayat"), F.flatten(F.transform("x", words)).alias("words"))
+    found = found.select("doc_id", F.col("page_number").alias("section"), F.lit(0).alias("bab_no"), none.alias("bab"), none.alias("pasal"), none.alias("ayat"), "language", F.flatten(F.transform("x", words)).alias("words"))
     found = found.where(F.size("words") > 0).withColumn("pages", F.array_repeat("section", F.size("words")))
     part = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "k"))
-    return pack_sections(found, max_chars).select("doc_id", F.lit("page").alias("kind"), "pasal", "ayat", part.alias("part"), F.col("section").alias("page_start"), F.col("section").alias("page_end"), "text")
+    return pack_sections(found, max_chars, "language").select("doc_id", F.lit("page").alias("kind"), "pasal", "ayat", part.alias("part"), F.col("section").alias("page_start"), F.col("section").alias("page_end"), "text", "language")
 
 
 def chunks(texts: DataFrame, config: Config) -> DataFrame:
-    """Chunks of (document_hash, text): by article where a text has articles, otherwise by page."""
+    """Chunks of (document_hash, text, language): by article where a text has articles, otherwise by page.
+
+    The language goes with the lines, so that finished chunks do not move once more to get it.
+    """
     paged = pages(texts, config.lines_per_page)
     lines = stored(parser_lines(paged), "ingest-lines")
     articles = stored(chunk_documents(paged, config.max_chars, lines=lines), "ingest-articles")
-    others = page_chunks(lines.join(articles.select("doc_id").distinct(), "doc_id", "left_anti"), config.max_chars)
-    own = ["pasal", "ayat", "part", "page_start", "page_end", "text"]
-    out = articles.select("doc_id", F.lit("article").alias("kind"), *own).unionByName(others)
+    languages = texts.select(F.col("document_hash").alias("doc_id"), "language")
+    without = languages.join(articles.select("doc_id").distinct(), "doc_id", "left_anti")
+    others = page_chunks(lines.repartition("doc_id").join(without, "doc_id"), config.max_chars)
+    own = ["pasal", "ayat", "part", "page_start", "page_end", "text", "language"]
+    out = articles.join(languages, "doc_id").select("doc_id", F.lit("article").alias("kind"), *own).unionByName(others)
     return out.withColumnRenamed("doc_id", "document_hash")
 
 
@@ -85,7 +91,7 @@ def take(docs: DataFrame, batch: int, target: str, config: Config) -> None:
     new.write.mode("overwrite").parquet(f"{target}/_new_texts")
     new = spark.read.schema(new.schema).parquet(f"{target}/_new_texts")
     out = f"{target}/chunks/batch={batch}"
-    chunks(new, config).join(new.select("document_hash", "language"), "document_hash").write.mode("overwrite").partitionBy("language").parquet(out)
+    chunks(new, config).write.mode("overwrite").partitionBy("language").parquet(out)
     counts = spark.read.schema(CHUNKS + ", language string").parquet(out).groupBy("document_hash").agg(F.count(F.lit(1)).alias("n"))
 
     facts = first.select("document_hash", F.col("order").alias("first")).join(known, "document_hash", "left").join(counts, "document_hash", "left")

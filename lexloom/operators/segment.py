@@ -169,9 +169,9 @@ def _cut(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("doc_id", "section", "bab_no", "bab", "pasal", "ayat", "k", F.size("at").alias("n_chunks"), F.array_join(F.slice("words", F.col("begin"), F.col("size")), " ").alias("text"), pages.alias("pages"), *more)
 
 
-def pack_sections(found: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Greedy packing of a section's words into chunks of at most max_chars; a longer word stands alone."""
-    return _cut(_begins(found, max_chars))
+def pack_sections(found: DataFrame, max_chars: int = MAX_CHARS, *more: str) -> DataFrame:
+    """Greedy packing of a section's words into chunks of at most max_chars; a longer word stands alone. `more` columns stay."""
+    return _cut(_begins(found, max_chars), *more)
 
 
 def chunk_documents(pages: DataFrame, max_chars: int = MAX_CHARS, *, lines: DataFrame | None = None, ordered: bool = False) -> DataFrame:
@@ -179,7 +179,9 @@ def chunk_documents(pages: DataFrame, max_chars: int = MAX_CHARS, *, lines: Data
 
     lines: the parser's lines of the pages, if they are there already.
     """
-    classified = stored(classify(parser_lines(pages) if lines is None else lines), "classified")
+    # of a text without headings nothing is stored: only lines in articles and of chapter titles are used
+    used = "(content is not null and ctx = 'PASAL') or (bab_no > 0 and ctx = 'BAB')"
+    classified = stored(classify(parser_lines(pages) if lines is None else lines).where(used), "classified")
     names = pages.groupBy("doc_id").agg(F.min("filename").alias("filename"))
     # by document from here on: sections, part numbers and names move no row again
     found = _begins(sections(classified.where("content is not null and ctx = 'PASAL'").repartition("doc_id")), max_chars)

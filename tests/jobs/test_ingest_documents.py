@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from jobs import common, ingest_documents, queries
+from lexloom.operators import segment
 from tests.conftest import SMALL, same_rows
 
 KIND = "doc_id long, text string, lang string, source string, n_chars int, status string"
@@ -99,3 +100,18 @@ def test_no_files_and_no_rows(spark, place):
     source, target, checkpoint = place
     spark.createDataFrame([], KIND).write.parquet(source)
     assert ingest_documents.run(spark, source, target, checkpoint).count() == 0
+
+
+def test_texts_without_articles_are_not_stored_for_them(spark, monkeypatch):
+    kept, store = {}, segment.stored
+
+    def count(df, name):
+        out = store(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(segment, "stored", count)
+    rows = spark.createDataFrame([("h1", PROSE, "en"), ("h2", PROSE.replace("text", "poem"), "de")], "document_hash string, text string, language string")
+    got = ingest_documents.chunks(rows, ingest_documents.Config()).collect()
+    assert kept == {"classified": 0}
+    assert {(r["document_hash"], r["language"], r["kind"]) for r in got} == {("h1", "en", "page"), ("h2", "de", "page")}
