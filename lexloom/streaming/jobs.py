@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexloom.operators.events import KEPT, LAST, fold_progress, is_terminal, mark_lost, up_to_terminal
 from lexloom.operators.registry import STATE, fold_batches
 from lexloom.sources.tables import KeyedTable
+from lexloom.streaming.state import deciding
 
 EVENTS = (
     "seq long, type string, job_id string, filename string, stage string, status string, message string, chunks int, indexed_chunks int, progress_current int, progress_total int, progress_percent double, progress_unit string, "
@@ -42,7 +43,7 @@ def stream_progress(events: DataFrame) -> DataFrame:
         # each value has the seq it came with: a key's chunks come in no promised order, and a replay changes nothing
         held, seqs = (list(state.get[:n]), list(state.get[n:])) if state.exists else ([None] * n, [-1] * n)
         for rows in batches:
-            for x in rows.itertuples():
+            for x in deciding(rows).itertuples():
                 for i, c in enumerate(names[1:]):
                     v = getattr(x, c)
                     v = None if pd.isna(v) else v if isinstance(v, str) else float(v) if c == "progress_percent" else int(v)

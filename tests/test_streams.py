@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from lexloom.operators import events, registry
@@ -62,3 +63,12 @@ def test_follow_job_sends_later_events_up_to_the_end(spark, tmp_path):
     add(event(3, "a", "document_status", "completed"), event(4, "a", "job_status", "completed"), event(5, "a", "document_status", "late"))
     assert query.awaitTermination(30)
     assert [x["seq"] for x in sent] == [1, 3, 4]
+
+
+def test_folds_read_only_the_rows_that_decide():
+    from lexloom.streaming.state import deciding
+
+    rows = pd.DataFrame({"seq": [4, 9, 2, 7, 9], "native_pages": [1.0, None, 3.0, None, None], "ocr_pages": [None] * 5, "total_pages": [None, None, 5.0, 6.0, None]}, index=[5, 6, 7, 8, 9])
+    assert deciding(rows)["seq"].tolist() == [4, 9, 7]
+    many = pd.concat([rows] * 1000, ignore_index=True)
+    assert len(deciding(many)) == 3
