@@ -7,7 +7,7 @@ import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,41 +51,58 @@ def embed_batches(chunks: DataFrame, connect: Callable[[], Embed], *, batch: int
     if batch <= 0:
         raise ValueError("the batch size must be above zero")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields) + ", dense array<double>, sparse map<int,double>, error string"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embed, held, doc, error = connect(), [], object(), None
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal held, error
-            if held:
-                rows, held, got = pd.DataFrame(held), [], [(None, None)]
-                if error is None:
-                    try:
-                        texts = [(x or "").strip() for x in rows["text"]]
-                        if not all(texts):
-                            raise ValueError("an empty chunk cannot be embedded")
-                        got = embed(texts)
-                        if len(got) != len(texts):
-                            raise ValueError(f"{len(got)} embeddings for {len(texts)} texts")
-                        if odd := [len(d) for d, _ in got if dense_size is not None and len(d) != dense_size]:
-                            raise ValueError(f"a vector of {odd[0]} values where the collection has {dense_size}")
-                    except Exception as failed:  # noqa: BLE001  one document's failure must not end the others
-                        error = str(failed) or type(failed).__name__
-                if error is not None:
-                    got = [(None, None)] * len(rows)
-                yield rows.assign(dense=[d for d, _ in got], sparse=[None if s is None else {int(k): float(v) for k, v in s.items() if v} for _, s in got], error=error)
-
+    more = [pa.field("dense", pa.list_(pa.float64())), pa.field("sparse", pa.map_(pa.int32(), pa.float64())), pa.field("error", pa.string())]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed, doc, error, rest = connect(), object(), None, None
+
+        def answer(texts: list[str | None]) -> list[tuple]:
+            """(dense, sparse) of a batch; where it fails, `error` says why and stays for the document."""
+            nonlocal error
+            if error is None:
+                try:
+                    texts = [(x or "").strip() for x in texts]
+                    if not all(texts):
+                        raise ValueError("an empty chunk cannot be embedded")
+                    got = embed(texts)
+                    if len(got) != len(texts):
+                        raise ValueError(f"{len(got)} embeddings for {len(texts)} texts")
+                    if odd := [len(d) for d, _ in got if dense_size is not None and len(d) != dense_size]:
+                        raise ValueError(f"a vector of {odd[0]} values where the collection has {dense_size}")
+                    return [(d, None if s is None else [(int(k), float(v)) for k, v in s.items() if v]) for d, s in got]
+                except Exception as failed:  # noqa: BLE001  one document's failure must not end the others
+                    error = str(failed) or type(failed).__name__
+            return [(None, None)] * len(texts)
+
+        def work(rows: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            """The rows of the whole batches with their vectors; the rows that may go on in the next part, unless it is the last."""
+            nonlocal doc, error
+            docs, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+            out, errors, a = [], [], 0
+            while a < len(docs):
+                b = a + 1
+                while b < len(docs) and b - a < batch and docs[b] == docs[a]:
+                    b += 1
+                if b == len(docs) and b - a < batch and not last:
+                    break
+                if docs[a] != doc:
+                    doc, error = docs[a], None
+                out += answer(texts[a:b])
+                errors += [error] * (b - a)
+                a = b
+            own = rows.slice(0, a)
+            values = [[d for d, _ in out], [s for _, s in out], errors]
+            return pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, values, [f.type for f in more])], schema=pa.schema([*own.schema, *more])), rows.slice(a)
+
+        # vectors go out with the rows of a part, not with each batch: a batch is a few rows, and a message of its own costs more
         for part in parts:
-            for row in part.to_dict("records"):
-                if row["doc_id"] != doc:
-                    yield from flush()
-                    doc, error = row["doc_id"], None
-                held.append(row)
-                if len(held) == batch:
-                    yield from flush()
-        yield from flush()
-
-    return chunks.repartition("doc_id").sortWithinPartitions("doc_id", "n").mapInPandas(run, kind)
+            done, rest = work(part if rest is None else pa.Table.from_batches([rest, part]).combine_chunks().to_batches()[0], False) if len(part) else (None, rest)
+            if done is not None and len(done):
+                yield done
+        if rest is not None and len(rest):
+            yield work(rest, True)[0]
+
+    return chunks.repartition("doc_id").sortWithinPartitions("doc_id", "n").mapInArrow(run, kind)
 
 
 def unfit_documents(chunks: DataFrame) -> DataFrame:

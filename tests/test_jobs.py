@@ -3,8 +3,10 @@
 import json
 import logging
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexloom.functions import INSUFFICIENT_EVIDENCE, OUT_OF_SCOPE, line_key, normalize_query, normalize_questions
 from lexloom.jobs import answer, ingest
@@ -74,6 +76,41 @@ def test_batch_sizes_and_empty_chunks(spark):
         ingest.embed_batches(rows, embed, batch=0)
 
 
+class Handed:
+    """Stands for a frame whose rows come to a task in the parts given; takes the function that works on them."""
+
+    schema = StructType()
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, kind):  # noqa: N802
+        return run
+
+
+def test_vectors_go_out_with_the_parts_and_not_by_batch():
+    rows = [(f"d{i // 5}", "" if i == 53 else f"text {i}") for i in range(300)]
+    parts = [rows[:7], [], rows[7:9], rows[9:212], rows[212:]]
+    tables = [pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in p], pa.string()), "text": pa.array([t for _, t in p], pa.string())}) for p in parts]
+    asked = []
+
+    def embed(texts):
+        asked.append(texts)
+        return [([float(t[5:]), 0.5], {1: 2.0, 2: 0.0}) for t in texts]
+
+    out = list(ingest.embed_batches(Handed(), lambda: embed, batch=3)(iter(tables)))
+    assert len(out) <= len(parts) + 1
+    got = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text"]) for r in got] == rows
+    # the second batch of the eleventh document fails, its first one stays
+    assert [i for i, r in enumerate(got) if r["error"]] == [53, 54]
+    assert all(r["dense"] == [float(r["text"][5:]), 0.5] and r["sparse"] == [(1, 2.0)] for r in got if not r["error"])
+    assert all(r["dense"] is None and r["sparse"] is None for r in got if r["error"])
+    assert {len(t) for t in asked} == {2, 3} and len(asked) == 119
+
+
 def lexicon():
     words = ["upah", "cuti", "kontrak"]
     return lambda parts: [([float(t.lower().count(w)) for w in words], {i: float(t.lower().count(w)) for i, w in enumerate(words)}) for t in parts]
