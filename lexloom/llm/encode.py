@@ -25,6 +25,8 @@ KEPT_PIECES = 1_000_000
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SIGN_SET = frozenset(_SIGNS)
+#: The sign after the last Latin letter of those that are encoded by the merges alone.
+_LATIN = 0x250
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -52,6 +54,7 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.plain = None if self.leading or not self.lowers else self._without_patterns()
+        self.bytes = self._byte_letters() if self.leading else None
 
     def _signs_apart(self) -> bool:
         """Whether the vocabulary's own pattern cuts between a letter and ASCII signs after it, whichever they are."""
@@ -82,6 +85,27 @@ class PieceEncoder:
         plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         return plain
 
+    def _byte_letters(self) -> dict[int, str] | None:
+        """What the byte-level vocabulary writes for a blank and for Latin letters; None if it is built otherwise.
+
+        A blank and letters are one piece to its pattern, so the merges alone give their ids.
+        """
+        from tokenizers import pre_tokenizers
+
+        parts = json.loads(self.tokenizer.to_str())
+        cut, model = parts["pre_tokenizer"] or {}, parts["model"]
+        if parts["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex"):
+            return None
+        if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            return None
+        write = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        return {c: write(chr(c))[0][0] for c in (32, *(c for c in range(_LATIN) if chr(c).isalpha()))}
+
+    def _letter_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are a blank, or none, and Latin letters."""
+        tokenize, table, code = self.tokenizer.model.tokenize, self.bytes, self.code
+        return [array(code, [t.id for t in tokenize(self._text(p).translate(table))]).tobytes() for p in pieces]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -141,7 +165,12 @@ class PieceEncoder:
             known[""] = b""
         odd = [p for p in todo if self.mark in p]
         known.update(zip(odd, self._ids(list(map(self._text, odd))), strict=True))
-        if self.plain:
+        if self.bytes:
+            letters = [p for p in todo if (q := p.removeprefix("\x00")).isalpha() and (q.isascii() or ord(max(q)) < _LATIN)]
+            known.update(zip(letters, self._letter_ids(letters), strict=True))
+            rest = set(letters)
+            kinds = ((self.tokenizer, [p for p in todo if p and p not in rest and self.mark not in p]),)
+        elif self.plain:
             # words of lower-case Latin letters are as they are before and after normalising
             letters = [p for p in todo if p.isalpha() and p.islower() and max(p) < "\u0100"]
             rest = set(letters)

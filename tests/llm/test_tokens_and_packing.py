@@ -37,6 +37,22 @@ def test_letters_that_change_in_lower_case_before_signs(name, spaces):
     assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == want
 
 
+def test_latin_words_are_encoded_by_the_merges_alone(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    e, r = encode.PieceEncoder(vocabulary(BYTE), spaces="leading"), random.Random(4)
+    letters = [chr(c) for c in range(0x300) if chr(c).isalpha()]
+    words = [*letters, *("".join(r.choices(letters, k=r.randint(2, 12))) for _ in range(3000)), "'s", "don't", "\u0249\u0250"]
+    texts = [f"{a} {b}{sign}\n{c}" for a, b, c, sign in zip(words, words[1:], words[2:], [".", "", "9"] * len(words), strict=False)]
+    assert set(e.bytes) == {32, *map(ord, (x for x in letters if ord(x) < 0x250))}
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == want
+    t = Tokenizer.from_file(vocabulary(BYTE))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.save(str(tmp_path / "other.json"))
+    assert encode.PieceEncoder(str(tmp_path / "other.json"), spaces="leading").bytes is None
+
+
 def test_a_pattern_that_joins_letters_and_signs_is_noticed(tmp_path):
     from tokenizers import Tokenizer, pre_tokenizers
 
