@@ -202,6 +202,30 @@ def test_sets_that_are_too_large_are_dealt_out(monkeypatch):
     assert cover(suffix_dedup.resolve(seed, key, at, windows, contexts, 30)) == whole
 
 
+@pytest.mark.parametrize("sorted_bytes", [suffix_dedup.SORTED, 0])
+def test_rows_that_share_a_seed_alone_are_not_sorted(monkeypatch, sorted_bytes):
+    monkeypatch.setattr(suffix_dedup, "SORTED", sorted_bytes)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 4000)
+    r, word = random.Random(5), lambda r, n: "".join(r.choice("abcdef ") for _ in range(n))
+    # a line of 45 bytes with other text around it each time, and a few copies that are cut or changed somewhere
+    line, length = word(r, 45), 100
+    texts = [word(r, 150) + line + word(r, 150) for _ in range(300)]
+    copies = [t[: (p := r.randint(0, 340))] + r.choice(["", "X"]) + t[p + r.randint(0, 3) :] for t in r.sample(texts, 12)]
+    texts = [t.encode() for t in texts + copies]
+    seed, key, at, windows, contexts = [], [], [], [], []
+    for i, t in enumerate(texts):
+        for h, lo, hi in zip(*suffix_dedup.find_seeds(np.frombuffer(t, np.uint8), np.array([len(t)])), strict=True):
+            seed, key, at, windows, contexts = [*seed, h], [*key, i], [*at, lo], [*windows, hi - lo + 1], [*contexts, t[lo : hi + length]]
+    rows = [np.array(seed, np.uint64), *(np.array(x, np.int64) for x in (key, at, windows)), contexts]
+    met = np.flatnonzero(np.isin(rows[0], [h for h, n in zip(*np.unique(rows[0], return_counts=True), strict=True) if n > 1]))
+    rows = [*(x[met] for x in rows[:4]), [contexts[i] for i in met]]
+    cover = lambda spans: {(int(k), p) for ks, starts, ns in spans for k, a, n in zip(ks, starts, ns, strict=True) for p in range(a, a + n)}
+    gone, rest = suffix_dedup.narrowed(*rows)
+    assert cover([gone, *suffix_dedup.resolve(*rest)]) == cover(suffix_dedup.resolve(*rows))
+    assert cover([gone, *suffix_dedup.resolve(*rest)])
+    assert sum(map(len, rest[4])) * 4 < sum(map(len, rows[4]))
+
+
 @pytest.mark.parametrize("hot_rows", [100_000, 3, 0])
 def test_removal_against_brute_force(spark, monkeypatch, hot_rows):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
