@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from copy import copy
 
@@ -16,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexloom.sources.tables import new_folder, stored
-
-WORDS = re.compile("[a-z]+")
+from lexloom.sources.tables import new_folder, spread, stored
 
 
 def dense_ok(vector: Column) -> Column:
@@ -61,6 +57,8 @@ PASS_BYTES = 64 << 20
 DIGITS = 12
 #: Queries that are multiplied at once.
 QUERY_BLOCK = 500
+#: Points that are multiplied with them at once.
+_DENSE_POINTS = 1_000
 
 
 def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -103,15 +101,15 @@ class _Best:
         return rows[rows.groupby("q").cumcount() < self.limit]
 
 
-def _by_pass(queries: DataFrame, weight: Column, score: Callable[[pa.Table], tuple[DataFrame, Broadcast]], kinds: str, limit: int) -> DataFrame:
+def _by_pass(queries: DataFrame, weight: Column, score: Callable[[pa.Table], tuple[DataFrame, Broadcast]], kinds: str, limit: int, pass_bytes: int) -> DataFrame:
     """score(table of queries) gives the scored points and the broadcast they rest on; here for all queries, ranked.
 
-    Queries whose weights come to more than PASS_BYTES are dealt into passes, one after the other: each is gathered, sent
+    Queries whose weights come to more than pass_bytes are dealt into passes, one after the other: each is gathered, sent
     out, its best points written, and let go before the next, so the driver and the tasks hold one pass whatever their number.
     """
     spark = queries.sparkSession
     total = (queries.agg(F.sum(weight)).first()[0] or 0) if limit > 0 else 0
-    parts = -(-int(total) // PASS_BYTES)
+    parts = -(-int(total) // pass_bytes)
     if parts == 0:
         return ranked(spark.createDataFrame([], kinds), limit)
     if parts == 1:
@@ -151,16 +149,17 @@ def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (names, asked), best = shared.value, _Best(limit)
             for batch in batches:
-                if len(batch):
-                    x = matrix(batch["dense"].tolist())
+                for p in range(0, len(batch), _DENSE_POINTS):
+                    part = batch.iloc[p : p + _DENSE_POINTS]
+                    x = matrix(part["dense"].tolist())
                     for a in range(0, len(names), QUERY_BLOCK):
-                        best.add(a, batch["id"], _rounded(x @ asked[a : a + QUERY_BLOCK].T, digits))
+                        best.add(a, part["id"], _rounded(x @ asked[a : a + QUERY_BLOCK].T, digits))
             rows = best.rows()
             yield pd.DataFrame({"query_id": [names[int(q)] for q in rows["q"]], "id": rows["id"], "score": rows["score"]})
 
         return good.mapInPandas(score, kinds), shared
 
-    return _by_pass(own, F.lit(8) * F.size("dense"), scored, kinds, limit)
+    return _by_pass(own, F.lit(8) * F.size("dense"), scored, kinds, limit, PASS_BYTES)
 
 
 def term_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -169,16 +168,37 @@ def term_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text") -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(WORDS.findall(x or "")) for x in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([[float(n) for n in c.values()] for c in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "tfs"])
+            plain = _plain(batch.column(1))
+            for a in range(0, len(batch), _TEXTS):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, _TEXTS), *_counted(plain.slice(a, _TEXTS))], names=["id", "terms", "tfs"])
 
     return texts.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).mapInArrow(count, kind)
 
 
-def tokens(vectors: DataFrame) -> DataFrame:
-    """(id, term, tf) rows of term vectors."""
-    return vectors.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+#: Texts whose words are counted at once.
+_TEXTS = 500
+#: Each byte that is not a letter from a to z as a space; so are all bytes of other characters.
+_LETTERS = np.where((np.arange(256) >= ord("a")) & (np.arange(256) <= ord("z")), np.arange(256), ord(" ")).astype(np.uint8)
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    data = data if data is None else pa.py_buffer(_LETTERS[np.frombuffer(data, np.uint8)])
+    return pa.LargeStringArray.from_buffers(len(texts), offsets, data, None, 0, texts.offset)
+
+
+def _counted(plain: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(words, how often) of each text."""
+    split = pc.ascii_split_whitespace(plain)
+    found = pc.dictionary_encode(split.flatten())
+    words = found.dictionary
+    word = found.indices.to_numpy()
+    key = np.repeat(np.arange(len(plain)), pc.list_value_length(split).to_numpy()) * len(words) + word
+    key, times = np.unique(key[pc.not_equal(words, "").to_numpy(zero_copy_only=False)[word]], return_counts=True)
+    text, word = np.divmod(key, max(1, len(words)))
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(plain))))), pa.int32())
+    return pa.ListArray.from_arrays(ends, words.take(pa.array(word)).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(times.astype(float)))
 
 
 def idf(n: Column, docs: Column) -> Column:
@@ -187,11 +207,14 @@ def idf(n: Column, docs: Column) -> Column:
 
 
 #: Points that are scored first, those of the largest weights: what they reach lets most of the others be left out unscored.
-FIRST_POINTS = 4_000
+FIRST_POINTS = 2_000
 #: Bytes of a query's weight in the broadcast.
 _WEIGHT_BYTES = 24
-#: Points that are scored at once.
+#: Points that are scored at once, fewer where they would have more scores than _SCORES.
 _POINT_BLOCK = 250
+_SCORES = 4_000_000
+#: Terms of the queries that are numbered for all passes at once; of more, each pass numbers its own.
+KNOWN_TERMS = 4_000_000
 
 
 def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int = 20, digits: int | None = DIGITS) -> DataFrame:
@@ -203,16 +226,30 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
     below the last score that a query has already is not among its best and is not scored for it.
     """
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    asked = queries.select("query_id", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("query_id", F.col("x.terms").alias("term"), F.col("x.tfs").alias("qtf"))
-    seen = tokens(vectors).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    weighted = asked.join(seen, "term").select("query_id", "term", (F.col("qtf") * (own := idf(F.col("n"), F.lit(n_docs)))).alias("w"), own.alias("idf"))
-    per_query = stored(weighted.groupBy("query_id").agg(*(F.collect_list(c).alias(c) for c in ("term", "w", "idf"))), "weights")
+    spark = vectors.sparkSession
+    asked = queries.select("query_id", "terms", "tfs")
+    # counted before the queries' terms are picked: of a term, one row leaves a task
+    terms_of = lambda df: df.select(F.explode("terms").alias("term"))
+    counted = terms_of(vectors).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms_of(asked).distinct(), "term", "left_semi")
+    seen = stored(counted.select("term", idf(F.col("n"), F.lit(n_docs)).alias("idf")), "seen")
     digits = DIGITS if digits is None else digits
     shape = pa.schema([("query_id", to_arrow_type(queries.schema["query_id"].dataType)), ("id", to_arrow_type(vectors.schema["id"].dataType)), ("score", pa.float64())])
-    first = _largest(vectors, FIRST_POINTS) if limit > 0 and n_docs > 4 * FIRST_POINTS else None
+    n_first = FIRST_POINTS if limit > 0 and n_docs > 4 * FIRST_POINTS else 0
+
+    def known(rows: DataFrame) -> tuple[pa.Table, DataFrame, DataFrame | None]:
+        """(term, idf) by number, the vectors by number, and those of them that come first."""
+        table = rows.toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast(table.column("term").combine_chunks())
+        points = spread(stored(_numbered(vectors, shared), "numbered"))
+        shared.destroy()
+        return table, points, _largest(points, n_first) if n_first else None
+
+    for_all = known(seen) if limit > 0 and seen.count() <= KNOWN_TERMS else None
 
     def scored(got: pa.Table) -> tuple[DataFrame, Broadcast]:
-        context, names, terms = vectors.sparkSession.sparkContext, got.column(0).to_pylist(), _Terms(got)
+        context, names = spark.sparkContext, got.column("query_id").to_pylist()
+        own = for_all or known(seen.join(terms_of(spark.createDataFrame(got.select(["terms"]))).distinct(), "term", "left_semi"))
+        points, first, terms = own[1], own[2], _Terms(got, own[0])
         reach = np.full(len(names), -np.inf)
         if first is not None:
             shared = context.broadcast((names, terms, None))
@@ -222,16 +259,17 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
             # half a unit of the last digit, and what sums in another order may differ by
             low = last.column(1).to_numpy() - 10.0**-digits
             reach[[place[q] for q in last.column(0).to_pylist()]] = low - 1e-9 * np.abs(low)
-            reach = np.where(reach > 0, np.divide(reach, terms.norms, out=np.full(len(names), np.inf), where=terms.norms > 0), -np.inf)
+            reach = np.where(reach > 0, np.divide(reach, terms.norms, out=np.full(len(names), np.inf), where=terms.norms > 0), np.where(terms.empty, np.inf, -np.inf))
             order = np.argsort(reach, kind="stable")
             names, terms, reach = [names[i] for i in order], terms.ordered(order), reach[order]
         shared = context.broadcast((names, terms, reach))
-        return score(vectors, shared), shared
+        return score(points, shared), shared
 
     def score(points: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (names, terms, reach), best = shared.value, _Best(limit)
             common, plain = terms.common, terms.plain
+            block = min(_POINT_BLOCK, 1 + _SCORES // max(1, len(names)))
             for batch in batches:
                 at, place, tf = _placed(batch.column(1), batch.column(2), terms.places)
                 norms = np.sqrt(np.bincount(at, (tf * terms.scale[place]) ** 2, len(batch)))
@@ -241,16 +279,16 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
                 spots = np.argsort(new, kind="stable")
                 at, place, tf = new[spots], place[spots], tf[spots]
                 ids, norms = batch.column(0).to_pandas().iloc[order], norms[order]
-                for a in range(0, len(batch), _POINT_BLOCK):
+                for a in range(0, len(batch), block):
                     n = len(names) if reach is None else int(np.searchsorted(reach, norms[a], "right"))
                     if not n:
                         break
-                    b = min(a + _POINT_BLOCK, len(batch))
+                    b = min(a + block, len(batch))
                     i, j = np.searchsorted(at, [a, b])
                     row, own, value = at[i:j] - a, place[i:j], tf[i:j]
                     total, there = np.zeros((b - a, n)), None if plain else np.zeros((b - a, n), bool)
                     rare = own >= len(common)
-                    for spot, product in _spread(row[rare], own[rare] - len(common), value[rare], terms.starts, terms.of, terms.weight, n, terms.ends(n)):
+                    for spot, product in _spread(row[rare], listed := own[rare] - len(common), value[rare], terms.starts, terms.of, terms.weight, n, terms.ends(n, listed)):
                         np.add.at(total.reshape(-1), spot, product)
                         if not plain:
                             there.reshape(-1)[spot] = True
@@ -265,7 +303,7 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
 
         return points.mapInArrow(run, kinds)
 
-    return _by_pass(per_query, F.lit(_WEIGHT_BYTES) * F.size("w") + 1, scored, kinds, limit)
+    return _by_pass(asked, F.lit(_WEIGHT_BYTES) * F.size("terms") + 1, scored, kinds, limit, 2 * PASS_BYTES)
 
 
 def _largest(vectors: DataFrame, n: int) -> DataFrame:
@@ -275,14 +313,34 @@ def _largest(vectors: DataFrame, n: int) -> DataFrame:
     return stored(vectors.where(size >= F.struct(F.lit(least["a"]).alias("a"), F.lit(least["b"]).alias("b"))), "first")
 
 
-def _placed(terms: pa.Array, tfs: pa.Array, places: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, tf) of the terms that a query has; each different term of the rows is looked up once."""
-    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+def _codes(terms: pa.Array, known: pa.Array) -> np.ndarray:
+    """The number of each term of the lists, -1 of one that is not known; each different term is looked up once."""
     found = pc.dictionary_encode(terms.flatten())
-    known = np.array([*(places.get(t, -1) for t in found.dictionary.to_pylist()), -1], np.int64)
-    place = known[pc.fill_null(found.indices, len(known) - 1).to_numpy()]
+    number = np.append(pc.fill_null(pc.index_in(found.dictionary, value_set=known), -1).to_numpy(), np.int32(-1))
+    return number[pc.fill_null(found.indices, len(number) - 1).to_numpy()]
+
+
+def _numbered(vectors: DataFrame, known: Broadcast) -> DataFrame:
+    """(id, terms, tfs) with the numbers of the terms that are known in place of the terms; the others add to no score."""
+    kind = f"id {vectors.schema['id'].dataType.simpleString()}, terms array<int>, tfs array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            number = _codes(batch.column(1), known.value)
+            own = number >= 0
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[own], minlength=len(sizes))))), pa.int32())
+            columns = [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(number[own], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(batch.column(2).flatten().to_numpy()[own], pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "tfs"])
+
+    return vectors.select("id", "terms", F.col("tfs").cast("array<double>")).mapInArrow(run, kind)
+
+
+def _placed(numbers: pa.Array, tfs: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, tf) of the numbered terms that a query of the pass has."""
+    place = places[numbers.flatten().to_numpy()]
     own = place >= 0
-    return np.repeat(np.arange(len(terms)), sizes)[own], place[own], tfs.flatten().to_numpy()[own]
+    return np.repeat(np.arange(len(numbers)), pc.list_value_length(numbers).to_numpy())[own], place[own], tfs.flatten().to_numpy()[own]
 
 
 #: Products of point and query weights that are held at once.
@@ -290,19 +348,23 @@ _PRODUCTS = 2_000_000
 
 
 class _Terms:
-    """The terms of a pass of queries (query_id, term, w, idf): those of over a sixteenth of the queries a matrix, then lists of (query, weight) of the others."""
+    """The terms of a pass of queries (query_id, terms, tfs): those of over a sixteenth of the queries a matrix, then lists of (query, weight) of the others."""
 
-    def __init__(self, got: pa.Table) -> None:
-        term, w, idf = (got.column(c).combine_chunks() for c in ("term", "w", "idf"))
+    def __init__(self, got: pa.Table, known: pa.Table) -> None:
+        term, tf, known_idf = got.column("terms").combine_chunks(), got.column("tfs").combine_chunks(), known.column("idf").to_numpy()
         self.n = len(got)
-        query = np.repeat(np.arange(self.n), pc.list_value_length(term).to_numpy())
-        found = pc.dictionary_encode(term.flatten())
-        found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-        number, w, idf = found.indices.to_numpy().astype(np.int64), w.flatten().to_numpy(), idf.flatten().to_numpy()
-        times = np.bincount(number, minlength=len(found.dictionary))
+        number = _codes(term, known.column("term").combine_chunks())
+        own = number >= 0
+        query = np.repeat(np.arange(self.n), pc.fill_null(pc.list_value_length(term), 0).to_numpy())[own]
+        self.empty = np.bincount(query, minlength=self.n) == 0
+        used, number = np.unique(number[own], return_inverse=True)
+        idf = known_idf[used][number]
+        w = tf.flatten().to_numpy()[own] * idf
+        times = np.bincount(number, minlength=len(used))
         new = np.argsort(np.argsort(times * 16 <= self.n, kind="stable"), kind="stable")
         n_common = int((times * 16 > self.n).sum())
-        self.places = dict(zip(found.dictionary.to_pylist(), new.tolist(), strict=True))
+        self.places = np.full(len(known), -1, np.int32)
+        self.places[used] = new
         place, scale = new[number], np.zeros(len(times))
         scale[place] = np.sqrt(np.abs(idf))
         self.scale, self.plain = scale, not (w < 0).any()
@@ -315,7 +377,7 @@ class _Terms:
     def _lists(self, place: np.ndarray, query: np.ndarray, w: np.ndarray, n_terms: int) -> None:
         key = place * self.n + query
         order = np.argsort(key, kind="stable")
-        self.key, self.of, self.weight = key[order], query[order], w[order]
+        self.key, self.of, self.weight = key[order], query[order].astype(np.int32), w[order]
         self.starts = np.searchsorted(self.key, np.arange(n_terms + 1) * self.n)
 
     def ordered(self, order: np.ndarray) -> _Terms:
@@ -325,9 +387,15 @@ class _Terms:
         out._lists(self.key // self.n, np.argsort(order, kind="stable")[self.of], self.weight, len(self.starts) - 1)
         return out
 
-    def ends(self, n: int) -> np.ndarray:
-        """Where each list ends for the first n queries."""
-        return self.starts[1:] if n == self.n else np.searchsorted(self.key, np.arange(len(self.starts) - 1) * self.n + n)
+    def ends(self, n: int, place: np.ndarray) -> np.ndarray:
+        """Where the lists at these places end for the first n queries; other lists are not looked at."""
+        if n == self.n:
+            return self.starts[1:]
+        asked = np.zeros(len(self.starts) - 1, bool)
+        asked[place] = True
+        own, ends = np.flatnonzero(asked), np.zeros(len(asked), np.int64)
+        ends[own] = np.searchsorted(self.key, own * self.n + n)
+        return ends
 
 
 def _spread(at: np.ndarray, place: np.ndarray, tf: np.ndarray, starts: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, ends: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -1,9 +1,12 @@
 """Page decisions, vectors, fusion, context, registry, events, sources on small cases."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +269,47 @@ def test_points_out_of_reach_are_not_scored_and_the_best_stay(spark, monkeypatch
     monkeypatch.setattr(vectors, "_Best", type("Counted", (vectors._Best,), {"add": lambda self, first, ids, scores, there=None: (counted.add(scores.size), held(self, first, ids, scores, there))[1]}))
     assert sorted(map(tuple, vectors.sparse_top_k(terms, asked, 2000, 5, digits=6).collect())) == whole and len(whole) == 500
     assert 0 < counted.value < 0.75 * 2000 * 100
+
+
+@pytest.mark.parametrize("known", [vectors.KNOWN_TERMS, 0])
+def test_passes_do_not_read_the_terms_of_all_points_again(spark, monkeypatch, known):
+    r = random.Random(6)
+    rows = [(i, (own := r.sample([f"w{k}" for k in range(300)], 8)), [float(r.randint(1, 4)) for _ in own]) for i in range(600)]
+    terms = spark.createDataFrame(rows, "id long, terms array<string>, tfs array<double>").repartition(3)
+    asked = terms.where("id % 6 = 0").withColumnRenamed("id", "query_id")
+    # a query of unknown words and one of none have no hits
+    asked = asked.union(spark.createDataFrame([(-1, ["nowhere"], [1.0]), (-2, [], [])], asked.schema))
+    one = sorted(map(tuple, vectors.sparse_top_k(terms, asked, 600, 5, digits=6).collect()))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(vectors, "PASS_BYTES", 1 << 10)
+    monkeypatch.setattr(vectors, "KNOWN_TERMS", known)
+    assert sorted(map(tuple, vectors.sparse_top_k(terms.mapInArrow(count, terms.schema), asked, 600, 5, digits=6).collect())) == one
+    assert len(one) == 500
+    # ten passes and more: the terms are read to be counted and to be numbered, and again only where each pass numbers its own
+    assert read.value == 1200 if known else read.value > 6000
+
+
+def test_words_of_texts_against_a_plain_count(spark):
+    texts = ["a b a", None, "", "Ab-ab", "é x\u212a é", "...", " lead trail ", "a1b2\x00c\x0bd\x1ce"] * 150 + ["tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    got = {x["id"]: dict(zip(x["terms"], x["tfs"], strict=True)) for x in vectors.term_vectors(df).collect()}
+    low = {x["id"]: x["low"] for x in df.select("id", F.lower("text").alias("low")).collect()}
+    assert got == {i: dict(Counter(re.findall("[a-z]+", low[i] or ""))) for i in range(len(texts))}
+
+
+def test_ends_are_looked_for_in_the_lists_that_are_asked_only():
+    n, known = 40, pa.table({"term": [f"t{k}" for k in range(60)], "idf": [1.0] * 60})
+    got = pa.table({"query_id": list(range(n)), "terms": [[f"t{k}" for k in range(60) if (k * 7 + q) % 29 == 0] for q in range(n)], "tfs": [[1.0] * sum((k * 7 + q) % 29 == 0 for k in range(60)) for q in range(n)]})
+    terms = vectors._Terms(got, known).ordered(np.arange(n)[::-1])
+    asked = np.array([3, 3, 7, 21])
+    for first in (0, 1, 13, n):
+        ends = terms.ends(first, asked)
+        for k in set(asked.tolist()):
+            assert terms.of[terms.starts[k] : ends[k]].tolist() == [q for q in terms.of[terms.starts[k] : terms.starts[k + 1]] if q < first]
+    assert terms.ends(13, asked)[5] == 0
