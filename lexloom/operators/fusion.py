@@ -39,6 +39,23 @@ def set_overlap(asked: Column, own: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, own)) / F.size(asked)).otherwise(0.0)
 
 
+#: Hits on one text that meet it in one place, about.
+HITS_AT_ONCE = 2_000
+
+
+def with_words(hits: DataFrame, asked: DataFrame, own: DataFrame) -> DataFrame:
+    """hits (query_id, id, ...) with the word sets of their question, asked (query_id, asked), and of their text, own (id, own).
+
+    The best hits are the longest texts, and many questions have the same ones. So a question's words go to its hits, as
+    one string, and a text's words never go with a hit; a text with many hits is laid out once for each HITS_AT_ONCE.
+    """
+    parts = hits.groupBy("id").agg((F.count(F.lit(1)) / HITS_AT_ONCE + 1).cast("long").alias("parts"))
+    laid = own.join(parts, "id").select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "own")
+    rows = hits.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts"))).drop("parts")
+    rows = rows.join(asked.withColumn("asked", F.array_join("asked", " ")), "query_id").join(laid, ["id", "part"]).drop("part")
+    return rows.withColumn("asked", F.array_remove(F.split("asked", " "), ""))
+
+
 def overlap_score(question: Column, text: Column) -> Column:
     return set_overlap(word_set(question), word_set(text))
 

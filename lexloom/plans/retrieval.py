@@ -44,13 +44,17 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse_rrf(nameless(_dense(spark, sf_dir)), nameless(_sparse(spark, sf_dir)), digits=9)
 
 
+#: Texts that are picked by a broadcast of their ids, at most.
+BROADCAST_IDS = 1_000_000
+
+
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused list is stored once; each text that it names is cut into words once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", fusion.word_set(F.col("text")).alias("words"))
+    """The fused list is stored once; each text that it names is cut into words once, and hits get their scores where those are."""
     fused = stored(hybrid_rrf(spark, sf_dir).select("query_id", "id", "position"), "fused")
-    named = fused.select(F.col("id").alias("doc_id")).union(fused.select("query_id")).distinct()
-    words = stored(docs.join(named, "doc_id", "left_semi"), "words")
-    rows = fused.join(words.select(F.col("doc_id").alias("id"), F.col("words").alias("own")), "id").join(words.select(F.col("doc_id").alias("query_id"), F.col("words").alias("asked")), "query_id")
+    named = stored(fused.select(F.col("id").alias("doc_id")).union(fused.select("query_id")).distinct(), "named")
+    named = F.broadcast(named) if named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else named
+    words = stored(table(spark, sf_dir, "documents").join(named, "doc_id", "left_semi").select("doc_id", fusion.word_set(F.col("text")).alias("words")), "words")
+    rows = fusion.with_words(fused, words.select(F.col("doc_id").alias("query_id"), F.col("words").alias("asked")), words.select(F.col("doc_id").alias("id"), F.col("words").alias("own")))
     return fusion.rerank(rows, F.round(fusion.set_overlap(F.col("asked"), F.col("own")), 6))
 
 

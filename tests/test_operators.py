@@ -313,3 +313,33 @@ def test_ends_are_looked_for_in_the_lists_that_are_asked_only():
         for k in set(asked.tolist()):
             assert terms.of[terms.starts[k] : ends[k]].tolist() == [q for q in terms.of[terms.starts[k] : terms.starts[k + 1]] if q < first]
     assert terms.ends(13, asked)[5] == 0
+
+
+@pytest.mark.parametrize("at_once", [fusion.HITS_AT_ONCE, 5])
+def test_word_sets_of_a_text_with_many_hits_do_not_go_with_the_hits(spark, monkeypatch, at_once):
+    monkeypatch.setattr(fusion, "HITS_AT_ONCE", at_once)
+    r, words = random.Random(4), [a + b for a in "abcdefgh" for b in "ijklmnop"]
+    sets = [(i, r.sample(words, 60) if i < 2 else r.sample(words, r.randint(0, 6))) for i in range(90)]
+    # texts 0 and 1 are hits of every question; some hits name no text, some questions have no words
+    hits = [(q, i, float(p)) for q in range(90) for p, i in enumerate([0, 1, *r.sample(range(2, 95), 3)])]
+    df = spark.createDataFrame(sets, "k long, words array<string>")
+    rows = fusion.with_words(spark.createDataFrame(hits, "query_id long, id long, position double"), df.select(F.col("k").alias("query_id"), F.col("words").alias("asked")), df.select(F.col("k").alias("id"), F.col("words").alias("own")))
+    of = dict(sets)
+    assert sorted((x["query_id"], x["id"], x["position"], tuple(x["asked"]), tuple(x["own"])) for x in rows.collect()) == sorted((q, i, p, tuple(of[q]), tuple(of[i])) for q, i, p in hits if i in of)
+
+
+def test_hits_on_one_text_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "HITS_AT_ONCE", 20)
+    hits = spark.createDataFrame([(q, 7) for q in range(400)], "query_id long, id long")
+    df = spark.createDataFrame([(k, ["a", "b"]) for k in range(400)], "k long, words array<string>")
+    asked, own = df.select(F.col("k").alias("query_id"), F.col("words").alias("asked")), df.select(F.col("k").alias("id"), F.col("words").alias("own"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sizes = [x["n"] for x in fusion.with_words(hits, asked, own).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(sizes) == 400 and max(sizes) < 150
