@@ -279,8 +279,10 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
                 spots = np.argsort(new, kind="stable")
                 at, place, tf = new[spots], place[spots], tf[spots]
                 ids, norms = batch.column(0).to_pandas().iloc[order], norms[order]
+                # queries that each point may reach, up to the next step
+                within = np.full(len(batch), len(names)) if reach is None else terms.up(np.searchsorted(reach, norms, "right"))
                 for a in range(0, len(batch), block):
-                    n = len(names) if reach is None else int(np.searchsorted(reach, norms[a], "right"))
+                    n = int(within[a])
                     if not n:
                         break
                     b = min(a + block, len(batch))
@@ -288,7 +290,10 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
                     row, own, value = at[i:j] - a, place[i:j], tf[i:j]
                     total, there = np.zeros((b - a, n)), None if plain else np.zeros((b - a, n), bool)
                     rare = own >= len(common)
-                    for spot, product in _spread(row[rare], listed := own[rare] - len(common), value[rare], terms.starts, terms.of, terms.weight, n, terms.ends(n, listed)):
+                    listed = own[rare] - len(common)
+                    # without negative weights, what a point lacks for queries out of its own reach leaves it below what they have
+                    ends = terms.ends(within[a:b][row[rare]] if plain else n, listed)
+                    for spot, product in _spread(row[rare], listed, value[rare], terms.starts, terms.of, terms.weight, n, ends):
                         np.add.at(total.reshape(-1), spot, product)
                         if not plain:
                             there.reshape(-1)[spot] = True
@@ -344,7 +349,9 @@ def _placed(numbers: pa.Array, tfs: pa.Array, places: np.ndarray) -> tuple[np.nd
 
 
 #: Products of point and query weights that are held at once.
-_PRODUCTS = 2_000_000
+_PRODUCTS = 200_000
+#: Numbers of first queries, each 0.85 of the one before, for which the ends of the lists are kept.
+_STEPS = 24
 
 
 class _Terms:
@@ -379,28 +386,29 @@ class _Terms:
         order = np.argsort(key, kind="stable")
         self.key, self.of, self.weight = key[order], query[order].astype(np.int32), w[order]
         self.starts = np.searchsorted(self.key, np.arange(n_terms + 1) * self.n)
+        self.steps, self.stops = np.array([self.n]), self.starts[None, 1:]
 
     def ordered(self, order: np.ndarray) -> _Terms:
-        """The same with the queries in another order."""
+        """The same with the queries in another order, and the ends of the lists for their first ones, in steps."""
         out = copy(self)
         out.common, out.norms = np.ascontiguousarray(self.common[:, order]), self.norms[order]
         out._lists(self.key // self.n, np.argsort(order, kind="stable")[self.of], self.weight, len(self.starts) - 1)
+        out.steps = np.unique(np.maximum(1, self.n * 0.85 ** np.arange(_STEPS)).astype(np.int64))
+        out.stops = np.stack([np.searchsorted(out.key, np.arange(len(out.starts) - 1) * self.n + step) for step in out.steps]).astype(np.int32)
         return out
 
-    def ends(self, n: int, place: np.ndarray) -> np.ndarray:
-        """Where the lists at these places end for the first n queries; other lists are not looked at."""
-        if n == self.n:
-            return self.starts[1:]
-        asked = np.zeros(len(self.starts) - 1, bool)
-        asked[place] = True
-        own, ends = np.flatnonzero(asked), np.zeros(len(asked), np.int64)
-        ends[own] = np.searchsorted(self.key, own * self.n + n)
-        return ends
+    def up(self, n: np.ndarray) -> np.ndarray:
+        """Numbers of first queries, taken up to the next step; none stays none."""
+        return np.where(n > 0, self.steps[np.searchsorted(self.steps, n)], 0)
+
+    def ends(self, n: np.ndarray | int, place: np.ndarray) -> np.ndarray:
+        """Where the lists at these places end for the first n queries, n being a step or none."""
+        return np.where(np.asarray(n) > 0, self.stops[np.searchsorted(self.steps, n), place], self.starts[place])
 
 
 def _spread(at: np.ndarray, place: np.ndarray, tf: np.ndarray, starts: np.ndarray, of: np.ndarray, weight: np.ndarray, n: int, ends: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row * n + query, product) of listed terms with the queries that have them, in order of the terms; lists end at the next, or before it at `ends`."""
-    sizes = (starts[1:] if ends is None else ends)[place] - starts[place]
+    """(row * n + query, product) of listed terms with the queries that have them, in order of the terms; a term's list ends at the next, or before it at its `ends`."""
+    sizes = (starts[place + 1] if ends is None else ends) - starts[place]
     last = np.cumsum(sizes)
     inner = np.searchsorted(last, np.arange(_PRODUCTS, last[-1], _PRODUCTS)) if len(last) else []
     cuts = np.unique([0, *inner, len(last)])

@@ -303,16 +303,20 @@ def test_words_of_texts_against_a_plain_count(spark):
     assert got == {i: dict(Counter(re.findall("[a-z]+", low[i] or ""))) for i in range(len(texts))}
 
 
-def test_ends_are_looked_for_in_the_lists_that_are_asked_only():
+def test_lists_end_with_the_queries_in_reach():
     n, known = 40, pa.table({"term": [f"t{k}" for k in range(60)], "idf": [1.0] * 60})
     got = pa.table({"query_id": list(range(n)), "terms": [[f"t{k}" for k in range(60) if (k * 7 + q) % 29 == 0] for q in range(n)], "tfs": [[1.0] * sum((k * 7 + q) % 29 == 0 for k in range(60)) for q in range(n)]})
     terms = vectors._Terms(got, known).ordered(np.arange(n)[::-1])
-    asked = np.array([3, 3, 7, 21])
-    for first in (0, 1, 13, n):
-        ends = terms.ends(first, asked)
-        for k in set(asked.tolist()):
-            assert terms.of[terms.starts[k] : ends[k]].tolist() == [q for q in terms.of[terms.starts[k] : terms.starts[k + 1]] if q < first]
-    assert terms.ends(13, asked)[5] == 0
+    place = np.arange(len(terms.starts) - 1)
+    whole = [terms.of[a:b].tolist() for a, b in zip(terms.starts[:-1], terms.starts[1:], strict=True)]
+    for first in (0, 1, 13, 30, n):
+        step = int(terms.up(np.array([first]))[0])
+        assert first <= step <= max(first / 0.85 + 1, terms.steps[0]) and (step == 0) == (first == 0)
+        ends = terms.ends(np.full(len(place), step), place)
+        assert [terms.of[a:b].tolist() for a, b in zip(terms.starts[:-1], ends, strict=True)] == [[q for q in x if q < step] for x in whole]
+    # a point has the products of the queries in its own reach, whatever larger points are scored with it
+    few = terms.ends(np.full(len(place), int(terms.up(np.array([8]))[0])), place) - terms.starts[:-1]
+    assert sum(map(len, whole)) > 3 * few.sum() > 0
 
 
 @pytest.mark.parametrize("at_once", [fusion.HITS_AT_ONCE, 5])
