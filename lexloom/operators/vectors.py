@@ -101,15 +101,15 @@ class _Best:
         return rows[rows.groupby("q").cumcount() < self.limit]
 
 
-def _by_pass(queries: DataFrame, weight: Column, score: Callable[[pa.Table], tuple[DataFrame, Broadcast]], kinds: str, limit: int, pass_bytes: int) -> DataFrame:
+def _by_pass(queries: DataFrame, weight: Column, score: Callable[[pa.Table], tuple[DataFrame, Broadcast]], kinds: str, limit: int) -> DataFrame:
     """score(table of queries) gives the scored points and the broadcast they rest on; here for all queries, ranked.
 
-    Queries whose weights come to more than pass_bytes are dealt into passes, one after the other: each is gathered, sent
+    Queries whose weights come to more than PASS_BYTES are dealt into passes, one after the other: each is gathered, sent
     out, its best points written, and let go before the next, so the driver and the tasks hold one pass whatever their number.
     """
     spark = queries.sparkSession
     total = (queries.agg(F.sum(weight)).first()[0] or 0) if limit > 0 else 0
-    parts = -(-int(total) // pass_bytes)
+    parts = -(-int(total) // PASS_BYTES)
     if parts == 0:
         return ranked(spark.createDataFrame([], kinds), limit)
     if parts == 1:
@@ -159,7 +159,7 @@ def dense_top_k(points: DataFrame, queries: DataFrame, limit: int = 20, digits:
 
         return good.mapInPandas(score, kinds), shared
 
-    return _by_pass(own, F.lit(8) * F.size("dense"), scored, kinds, limit, PASS_BYTES)
+    return _by_pass(own, F.lit(8) * F.size("dense"), scored, kinds, limit)
 
 
 def term_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -308,7 +308,7 @@ def sparse_top_k(vectors: DataFrame, queries: DataFrame, n_docs: int, limit: int
 
         return points.mapInArrow(run, kinds)
 
-    return _by_pass(asked, F.lit(_WEIGHT_BYTES) * F.size("terms") + 1, scored, kinds, limit, 2 * PASS_BYTES)
+    return _by_pass(asked, F.lit(_WEIGHT_BYTES) * F.size("terms") + 1, scored, kinds, limit)
 
 
 def _largest(vectors: DataFrame, n: int) -> DataFrame:
@@ -362,27 +362,27 @@ class _Terms:
         self.n = len(got)
         number = _codes(term, known.column("term").combine_chunks())
         own = number >= 0
-        query = np.repeat(np.arange(self.n), pc.fill_null(pc.list_value_length(term), 0).to_numpy())[own]
+        query = np.repeat(np.arange(self.n, dtype=np.int32), pc.fill_null(pc.list_value_length(term), 0).to_numpy())[own]
         self.empty = np.bincount(query, minlength=self.n) == 0
-        used, number = np.unique(number[own], return_inverse=True)
-        idf = known_idf[used][number]
-        w = tf.flatten().to_numpy()[own] * idf
-        times = np.bincount(number, minlength=len(used))
-        new = np.argsort(np.argsort(times * 16 <= self.n, kind="stable"), kind="stable")
+        number, tf = number[own], tf.flatten().to_numpy()[own]
+        times = np.bincount(number, minlength=len(known))
+        used = np.flatnonzero(times)
+        times = times[used]
         n_common = int((times * 16 > self.n).sum())
         self.places = np.full(len(known), -1, np.int32)
-        self.places[used] = new
-        place, scale = new[number], np.zeros(len(times))
-        scale[place] = np.sqrt(np.abs(idf))
+        self.places[used] = np.argsort(np.argsort(times * 16 <= self.n, kind="stable"), kind="stable")
+        place, scale = self.places[number], np.zeros(len(used))
+        scale[self.places[used]] = np.sqrt(np.abs(known_idf[used]))
+        w = tf * known_idf[number]
         self.scale, self.plain = scale, not (w < 0).any()
         self.norms = np.sqrt(np.bincount(query, np.divide(w, scale[place], out=np.zeros_like(w), where=w != 0) ** 2, self.n))
         self.common = np.zeros((n_common, self.n))
         often = place < n_common
         self.common[place[often], query[often]] = w[often]
-        self._lists(place[~often] - n_common, query[~often], w[~often], len(times) - n_common)
+        self._lists(place[~often] - n_common, query[~often], w[~often], len(used) - n_common)
 
     def _lists(self, place: np.ndarray, query: np.ndarray, w: np.ndarray, n_terms: int) -> None:
-        key = place * self.n + query
+        key = place.astype(np.int64) * self.n + query
         order = np.argsort(key, kind="stable")
         self.key, self.of, self.weight = key[order], query[order].astype(np.int32), w[order]
         self.starts = np.searchsorted(self.key, np.arange(n_terms + 1) * self.n)
